@@ -7,12 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, line_dedup, packing, simhash
+from tallyspark.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from tallyspark.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier chain, fitted on the labelled ones among them, finds toxic."""
+    return toxicity.clean(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that at least three documents hold, save in the document of the largest id; n_chars follows the text. Documents left without text stay."""
     done = line_dedup.drop_repeated_lines(docs.select(COLUMNS))
@@ -36,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("line dedup", dedup_lines), ("SimHash near-dedup", near_dedup), ("decontamination", decontaminated), ("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("line dedup", dedup_lines), ("SimHash near-dedup", near_dedup), ("decontamination", decontaminated), ("packing", packed)]
 #: Neither XXH64 fingerprints nor tokenizer ids can be written in SQL.
 ORACLE_SQL = None
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontaminate, line_dedup, packing, simhash
+from tallyspark.llm import decontaminate, line_dedup, nearest, packing, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op2_secrets": secrets.query,
     "op3_packing": packing.query,
+    "op4_quality": quality.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_nearest": nearest.query,
+    "op7_toxicity": toxicity.query,
+    "op8_token_counts": token_rollup.query,
     "op9_simhash": simhash.query,
+    "op10_pseudonyms": pseudonyms.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
