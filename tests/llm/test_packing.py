@@ -56,12 +56,28 @@ def test_edges(spark, model):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("ab Z9'.,\n\t\r  é\x1c\x85  　😀!#")), max_size=60))
-def test_chunks_encode_as_the_whole_text(text):
+@given(st.one_of(st.text(st.sampled_from(list("ab Z9'.,\n\t\r  é\x1c\x85  　😀!#")), max_size=60), st.text(max_size=40)))
+def test_ranks_encode_as_the_library(text):
     e = packing.encoder(packing.default_tokenizer())
+    assert e.ranked is not None
     assert np.frombuffer(e.ids(text), "<u4").tolist() == e.model.encode(text, add_special_tokens=False).ids
 
 
+def test_ranks_encode_every_code_point_as_the_library(model):
+    """The pattern's classes are all that the two could see differently; every seventh code point, and all below U+3000."""
+    e = packing.encoder(packing.default_tokenizer())
+    points = [c for c in range(0x110000) if (c < 0x3000 or c % 7 == 0) and not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} '{chr(c)}" for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    for text, found in zip(texts, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == found.ids
+
+
+def test_other_tokenizers_take_the_library():
+    path = packing.default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k")
+    e = packing.encoder(path)
+    assert e.ranked is None and np.frombuffer(e.ids("Some words"), "<u4").tolist() == e.model.encode("Some words", add_special_tokens=False).ids
+
+
 def test_limits_hold_in_every_dimension():
     rng = np.random.default_rng(1)
     sizes = np.stack([rng.integers(1, 101, 3000), rng.integers(1, 5, 3000), rng.integers(0, 60, 3000)], axis=1)
