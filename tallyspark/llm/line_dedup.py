@@ -20,6 +20,8 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 #: Lines a bitmap word covers.
 WORD = 62
+#: A key with more than this part of all rows is hot; fewer than so many keys can be.
+HOT = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -51,8 +53,13 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: i
     width = shuffle_width(docs.sparkSession)
     ranged = keyed.repartitionByRange(width, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     # The ranges cluster (h1, h2, doc_id): distinct documents are counted where they lie, one row a key and range moves on.
-    held = ranged.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_documents)
-    gone = keyed.join(held.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id != keeper")
+    held = ranged.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("rows"))
+    held = stored(held.where(F.col("n") >= min_documents).select("h1", "h2", "keeper", "rows"), "line-holders")
+    # Rows of hot keys stay where they are: fewer than HOT keys can be hot, so those are broadcast at any size of the input.
+    share = keyed.count() / HOT
+    hot = F.broadcast(held.where(F.col("rows") > share).drop("rows"))
+    found = keyed.join(hot, ["h1", "h2"]).unionByName(keyed.join(hot, ["h1", "h2"], "left_anti").join(held.where(F.col("rows") <= share).drop("rows"), ["h1", "h2"]))
+    gone = found.where("doc_id != keeper")
     words = gone.groupBy("doc_id", "row_key", (F.col("pos") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD})")).alias("bits"))
     return words.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop_bitmap"))
 
