@@ -27,11 +27,14 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens lo
 def signed(events: DataFrame) -> DataFrame:
     """Rows of KEYS, n_docs and n_tokens from events (op, source, lang, tokenizer, tokens, old_tokens).
 
-    op is insert, delete (tokens are those it had) or revise. A null count is 0;
-    null keys are values of their own. Other ops are an error.
+    op is insert, delete (tokens are those it had) or revise. An event stands
+    for one document, or for as many as a column docs says, and its counts are
+    their sums. A null count is 0, null docs are 1; null keys are values of
+    their own. Other ops are an error.
     """
+    docs = F.coalesce("docs", F.lit(1)).cast("long") if "docs" in events.columns else F.lit(1).cast("long")
     old, new = F.coalesce("old_tokens", F.lit(0)).cast("long"), F.coalesce("tokens", F.lit(0)).cast("long")
-    one = lambda n, t: F.struct(F.lit(n).cast("long").alias("n_docs"), t.alias("n_tokens"))
+    one = lambda sign, t: F.struct((sign * docs).alias("n_docs"), t.alias("n_tokens"))
     rows = (
         F.when(F.col("op") == "insert", F.array(one(1, new))).when(F.col("op") == "delete", F.array(one(-1, -new)))
         .when(F.col("op") == "revise", F.array(one(-1, -old), one(1, new))).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
@@ -95,15 +98,22 @@ def query(spark, sf_dir):
     """A corpus' history in four batches: both halves of the documents come in, counts are revised to the squeezed texts, and rows whose text a smaller doc_id (or an earlier equal row) has are deleted. The second batch is committed twice, as after a retry."""
     rows = stored(counted(table(spark, sf_dir, "documents"), default_tokenizer()), "token-counts").withColumn("tokenizer", F.lit("byte_bpe_50k"))
     path = f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
-    event = lambda df, op, tokens, old=None: df.select(F.lit(op).alias("op"), *KEYS, tokens.alias("tokens"), (F.lit(None).cast("long") if old is None else old).alias("old_tokens"))
+
+    def event(df, op, tokens, old=None, docs=None):
+        old, docs = F.lit(None).cast("long") if old is None else old, F.lit(1).cast("long") if docs is None else docs
+        return df.select(F.lit(op).alias("op"), *KEYS, tokens.alias("tokens"), old.alias("old_tokens"), docs.alias("docs"))
+
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     late = event(rows.where(~half), "insert", F.col("tokens"))
     commit(path, "insert-1", event(rows.where(half), "insert", F.col("tokens")))
     commit(path, "insert-2", late)
     commit(path, "insert-2", late)
     commit(path, "revise-1", event(rows.where("tokens != revised"), "revise", F.col("revised"), F.col("tokens")))
-    # A digest's rows: all of them go, and the first comes back. Both sides are sums, so a group of copies is never gathered.
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang", "revised", "tokenizer")).alias("r"), F.count("*").alias("n")).where("n > 1")
-    copies = rows.join(first.select("digest"), "digest", "left_semi")
-    commit(path, "delete-1", event(copies, "delete", F.col("revised")).unionByName(event(first.select("r.*"), "insert", F.col("revised"))))
+    # A text's rows are summed by key before its digest gathers them, so a group of copies is a few rows. All of it goes, and the first comes back.
+    groups = rows.groupBy("digest", *KEYS).agg(F.count("*").alias("docs"), F.sum("revised").alias("revised"), F.min(F.struct("doc_id", "source", "lang", "revised", "tokenizer")).alias("r"))
+    groups = stored(groups, "token-groups")
+    first = groups.groupBy("digest").agg(F.min("r").alias("r"), F.sum("docs").alias("n")).where("n > 1")
+    copies = groups.join(first.select("digest"), "digest", "left_semi")
+    gone = event(copies, "delete", F.col("revised"), docs=F.col("docs"))
+    commit(path, "delete-1", gone.unionByName(event(first.select("r.*"), "insert", F.col("revised"))))
     return totals(spark, path)
