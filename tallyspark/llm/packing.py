@@ -181,20 +181,22 @@ def _pack(batches, columns: list[str], limits: list[int], window: int):
         yield from flush()
 
 
-def pack(examples: DataFrame, key: str, limits: dict[str, int] | None = None, window: int = WINDOW) -> DataFrame:
+def pack(examples: DataFrame, key: str | list[str], limits: dict[str, int] | None = None, window: int = WINDOW) -> DataFrame:
     """examples with sequence_id and offset: each example whole in one sequence, within every limit.
 
     limits names the size columns, tokens first; offsets count that one. Sizes
     can't be null. Examples are dealt by key (even: no group stands behind it)
     into tasks of about window rows, so a longer input gets more tasks, not
-    larger ones. An example that alone exceeds a limit is an error. An empty
-    input packs to nothing.
+    larger ones; a task sorts its rows, so one that is run again for a lost
+    executor packs them alike. An example that alone exceeds a limit is an
+    error. An empty input packs to nothing.
     """
     prepare(examples.sparkSession)
     limits = limits or LIMITS
     n = examples.count()
     schema = examples.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = examples.repartition(max(1, -(-n // window)), key)
+    keys = [key] if isinstance(key, str) else key
+    dealt = examples.repartition(max(1, -(-n // window)), *keys).sortWithinPartitions(*keys, *limits)
     return dealt.mapInArrow(partial(_pack, columns=list(limits), limits=list(limits.values()), window=window), schema)
 
 
@@ -202,7 +204,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_segments:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece of each row of docs. All ids bear loss. Rows that repeat a doc_id, or have none, are packed like others; extra columns are ignored."""
     cut = stored(pieces(docs, tokenizer or default_tokenizer()), "pieces")
     sized = cut.withColumns({"tokens": F.col("length"), "segments": F.lit(1).cast("long"), "loss_tokens": F.col("length")})
-    packed = pack(sized, "doc_id", LIMITS | {"segments": max_segments})
+    # By piece, not by document: rows without a doc_id, or one long text, are dealt over all tasks.
+    packed = pack(sized, ["doc_id", "start", "ids_crc32"], LIMITS | {"segments": max_segments})
     return packed.drop("tokens", "segments", "loss_tokens")
 
 
