@@ -10,10 +10,13 @@ original vectors, in double precision; all others are ruled out by their code.
 Every row is indexed. Queries are taken in blocks of fixed size, which are
 broadcast; each block passes over all codes, task by task, and a task returns
 a query's best few rows, so no task holds more than a block of either side.
+Each block's rows are written before the next is taken up, so the plan and what
+is broadcast stay as small with a thousand blocks as with one.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, stored, table
+from tallyspark.llm.common import prepare, shared_dir, stored, table
 
 CODE_BITS = 256
 #: The bound, in error scales. A neighbour is ruled out wrongly in about 3 of 100 cases at most.
@@ -144,7 +147,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, bound: float = BOUND) -> D
     # Blocks of ids of even size: a few numbers go to the driver, not the queries.
     n = asked.count()
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).cast("int")), "queries")
-    out = None
+    folder, kind = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}", "query_id long, vec_id long, score double"
+    done = []
     for block in range(max(1, -(-n // QUERY_BLOCK))):
         ids, q = _rows(asked.where(F.col("block") == block))
         if not len(ids):
@@ -152,11 +156,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, bound: float = BOUND) -> D
         first = q @ seen.T  # the k-th best of the sample is beaten or met by any of the k best of all
         first[ids[:, None] == seen_ids[None, :]] = -np.inf
         beat = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(ids), -np.inf)
-        scan = partial(_scan, queries=spark.sparkContext.broadcast((ids, q, beat)), centre=centre, turn=turn, k=k, bound=bound)
-        found = codes.mapInArrow(scan, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        sent = spark.sparkContext.broadcast((ids, q, beat))
+        scan = partial(_scan, queries=sent, centre=centre, turn=turn, k=k, bound=bound)
+        done.append(f"{folder}/{block}")
+        codes.mapInArrow(scan, kind).write.parquet(done[-1])
+        sent.unpersist()
+    if not done:
         return empty
+    out = spark.read.schema(kind).parquet(*done)
     best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("place", "b"))
     return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))
