@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+
 from tallyspark.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, word int, pos string"
@@ -39,3 +41,9 @@ def test_edges(spark):
     by = lambda x: str(x)
     assert sorted(found, key=by) == sorted(brute(docs), key=by)
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 50])
+def test_hot_and_other_keys_alike(spark, sf, oracle, rows, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    assert rows(line_dedup.query(spark, sf)) == oracle(line_dedup.ORACLE, sf)
