@@ -136,3 +136,13 @@ def participant_key(cpf: Column, name: Column) -> Column:
     """One key for a person: by tax id, else by name."""
     base = F.when(digits(cpf) != "", F.concat(F.lit("cpf:"), digits(cpf))).otherwise(F.concat(F.lit("name:"), text(name)))
     return F.concat(F.lit("participant_"), F.substring(F.sha2(base, 256), 1, 16))
+
+
+def decimal_display(v) -> Column:
+    """An amount as it is shown: with a comma the dots go, else the first dot becomes the comma."""
+    return F.when(F.contains(_s(v), F.lit(",")), F.replace(_s(v), F.lit("."), F.lit(""))).otherwise(F.regexp_replace(_s(v), r"^([^.]*)\.", "$1,"))
+
+
+def parse_decimal(v) -> Column:
+    """A shown amount as a number, or null."""
+    return F.replace(F.replace(_s(v), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(28,6)")

@@ -71,3 +71,43 @@ def align_participants(rows: DataFrame) -> DataFrame:
     joined = keyed.join(known, ["process_id", "norm_name"], "left")
     cpf = F.when(F.col("cpf") != "", F.col("cpf")).otherwise(F.col("known"))
     return joined.select("process_id", "source", "participant_id", n.participant_key(cpf, F.col("norm_name")).alias("participant_key"))
+
+
+def scored_best(rows: DataFrame, keys: list[str], order: str, labels: dict[str, str], raw: str = "raw") -> DataFrame:
+    """The candidate of the highest score, the earliest of several: its confidence, 15 more with a raw text, 20 more where that holds its digits; for fields with a label pattern 40 more where the text has the label, else 40 less."""
+    text, own = F.coalesce(raw, F.lit("")), n.digits("value")
+    score = F.col("confidence") + F.when(text != "", 15).otherwise(0) + F.when((own != "") & F.contains(n.digits(text), own), 20).otherwise(0)
+    for field, pattern in labels.items():
+        score = score + F.when(F.col("field_id") != field, 0).when(F.regexp_like(text, F.lit(pattern)), 40).otherwise(-40)
+    filled = rows.where(F.trim("value") != "").withColumn("score", score)
+    return filled.groupBy(*keys).agg(F.max_by(F.struct("value", "score"), F.struct(F.col("score"), -F.col(order))).alias("b")).select(*keys, "b.value", "b.score")
+
+
+def fold_participants(rows: DataFrame, order: str) -> DataFrame:
+    """One row per process, source and participant: the last tax id and the last name that aren't blank."""
+    last = lambda c: F.max_by(F.col(c), F.when(F.trim(c) != "", F.col(order))).alias(c)
+    return rows.groupBy("process_id", "source", "participant_id").agg(last("cpf"), last("name"))
+
+
+def expand_participants(participants: DataFrame) -> DataFrame:
+    """Each participant with each repeatable field of the checklist."""
+    repeatable = [F.lit(f) for f, _, _, multiple, _ in catalog.fields() if multiple]
+    return participants.select("*", F.explode(F.array(*repeatable)).alias("field_id"))
+
+
+def quality_totals(reports: DataFrame) -> DataFrame:
+    """One row: what all quality reports miss, doubt and find ambiguous."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return reports.agg(F.count("*").alias("n_reports"), total("n_missing"), total("n_low"), total("n_ambiguous"))
+
+
+def extraction_alerts(reports: DataFrame) -> DataFrame:
+    """(process_id, severity, sources, coverage, n_missing, n_low, n_ambiguous): critical where a source failed or gave nothing, a warning where one is partial; the figures are of those sources."""
+    failed = (F.col("status") == "FAILED") | (F.col("coverage") == 0)
+    bad = reports.withColumn("failed", failed).where(failed | (F.col("status") == "PARTIAL"))
+    per = bad.groupBy("process_id", "failed").agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"), F.min("coverage").alias("coverage"), F.sum("n_missing").alias("n_missing"), F.sum("n_low").alias("n_low"), F.sum("n_ambiguous").alias("n_ambiguous")
+    )
+    rest = ["failed", "sources", "coverage", "n_missing", "n_low", "n_ambiguous"]
+    worst = per.groupBy("process_id").agg(F.max_by(F.struct(*rest), "failed").alias("w")).select("process_id", "w.*")
+    return worst.select("process_id", F.when(F.col("failed"), "critical").otherwise("warning").alias("severity"), *rest[1:])

@@ -68,3 +68,49 @@ def final_status(verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
     approved = reviews.where("approved").select("process_id").distinct().withColumn("ok", F.lit(True))
     per = verdicts.groupBy("process_id").agg(F.count_if(F.col("status") != "MATCH").alias("open"))
     return per.join(approved, "process_id", "left").select("process_id", F.when((F.col("open") == 0) | F.col("ok"), APPROVED).otherwise("PENDING_REVIEW").alias("final_status"))
+
+
+def admin_metrics(processes: DataFrame) -> DataFrame:
+    """One row: processes by status and their documents. What has run for 30 minutes or more is stuck, and isn't in progress."""
+    running = (F.col("final_status") == "IN_PROGRESS") & (F.col("minutes") < 30)
+    finished = ~F.col("final_status").isin("IN_PROGRESS", "FAILED")
+    docs = lambda c: F.coalesce(F.sum(F.when(c, F.col("n_documents"))), F.lit(0))
+    count = lambda s: F.count_if(F.col("final_status") == s)
+    return processes.agg(
+        F.count_if(running).alias("in_progress"), count("PENDING_REVIEW").alias("pending"), count(APPROVED).alias("checked"), count("FAILED").alias("failed"),
+        docs(running).alias("documents_in_progress"), docs(finished).alias("documents_analysed"), docs(F.lit(True)).alias("documents_total"),
+    )
+
+
+def login_limits(events: DataFrame, now: str, minutes: int = 15, most: int = 8) -> DataFrame:
+    """(actor_id, n, limited): failed logins in the minutes before now, and whether they block the next one."""
+    at = F.lit(now).cast("timestamp")
+    recent = events.where((F.col("event_type") == "LOGIN_FAILED") & (F.col("created_at") >= at - F.expr(f"interval {minutes} minutes")) & (F.col("created_at") <= at))
+    return recent.groupBy("actor_id").agg(F.count("*").alias("n")).select("actor_id", "n", (F.col("n") >= most).alias("limited"))
+
+
+def stale(processes: DataFrame, now: str, seconds: int = 45) -> DataFrame:
+    """Unfinished processes (column updated_at) without a heartbeat for so long: they may be resumed."""
+    return processes.where((F.col("final_status") == "IN_PROGRESS") & (F.col("updated_at") <= F.lit(now).cast("timestamp") - F.expr(f"interval {seconds} seconds")))
+
+
+def recent_processes(processes: DataFrame, status: str | None = None, user_id: int | None = None, top: int = 100) -> DataFrame:
+    """The latest processes, of one status or one analyst where asked."""
+    for column, wanted in (("final_status", status), ("user_id", user_id)):
+        processes = processes if wanted is None else processes.where(F.col(column) == wanted)
+    return processes.orderBy(F.desc("started_at"), "process_id").limit(top)
+
+
+def review_progress(verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(process_id, total, reviewed, unresolved, checked_percent): an approved review settles the verdicts of its process that are no match."""
+    approved = reviews.where("approved").select("process_id").distinct().withColumn("ok", F.lit(True))
+    per = verdicts.groupBy("process_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") != "MATCH").alias("open"))
+    each = per.join(approved, "process_id", "left").withColumn("reviewed", F.when(F.col("ok"), F.col("open")).otherwise(0))
+    left = F.col("open") - F.col("reviewed")
+    share = F.floor(((F.col("total") - left) * 200 + F.col("total")) / (F.col("total") * 2)).cast("int")
+    return each.select("process_id", "total", "reviewed", left.alias("unresolved"), share.alias("checked_percent"))
+
+
+def new_uploads(uploads: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Uploads whose keys (name and size, say) aren't known yet, one of each."""
+    return uploads.join(known.select(*keys), keys, "left_anti").dropDuplicates(keys)

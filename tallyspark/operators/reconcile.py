@@ -14,6 +14,7 @@ from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
 
 TEXTUAL = ("texto", "endereco")
+ZERO_TEXT = "Valores equivalentes por regra segura: campo opcional sem valor foi tratado como R$ 0,00."
 
 
 def _filled(rows) -> Column:
@@ -95,13 +96,12 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
     each = each.withColumn("rung", rung)
     at = F.col("rung")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    zero_text = "Valores equivalentes por regra segura: campo opcional sem valor foi tratado como R$ 0,00."
     not_in = F.when(F.size("missing") > 0, say(" Campo não encontrado na fonte ", _labels(F.col("missing")), ".")).otherwise("")
     observation = (
         F.when(at == 1, say("Foram encontrados valores conflitantes para o campo entre arquivos da fonte ", _labels(F.col("conflicting")), "."))
         .when(at == 2, say("Evidência insuficiente ou incompatível para o campo na fonte ", _labels(F.col("issued")), "."))
         .when(at == 3, say("Campo de o campo não pôde ser conferido completamente porque a fonte ", _labels(F.col("unread")), " não foi interpretada."))
-        .when(at.isin(40, 7), zero_text)
+        .when(at.isin(40, 7), ZERO_TEXT)
         .when((at == 4) & (F.size("filled") > 0), say("Campo de o campo encontrado apenas na fonte ", _labels(have), ". É necessário outro arquivo com o mesmo dado para confirmar.", not_in))
         .when(at == 4, say("Campo de o campo não encontrado nas fontes esperadas para conferência.", not_in))
         .when(at == 5, say("Extração abaixo de 70% para o campo na fonte ", _labels(F.col("low")), "."))
@@ -158,3 +158,29 @@ def date_gap(a: Column, b: Column) -> Column:
     days = F.abs(F.datediff(F.try_to_date(b, "yyyy-MM-dd"), F.try_to_date(a, "yyyy-MM-dd")))
     word = lambda k, one, more: F.concat((days / k).cast("int").cast("string"), F.when(days == k, f" {one}").otherwise(f" {more}"))
     return F.when((days >= 365) & (days % 365 == 0), word(365, "ano", "anos")).when((days >= 30) & (days % 30 == 0), word(30, "mês", "meses")).otherwise(word(1, "dia", "dias"))
+
+
+def email_gap(a: Column, b: Column) -> Column:
+    """Which part of two normalised addresses differs: DOMAIN, else USER; null where they are equal."""
+    domain = lambda x: F.substring_index(x, "@", -1)
+    return F.when(a == b, F.lit(None)).when(domain(a) != domain(b), "DOMAIN").otherwise("USER")
+
+
+def phone_gap(a: Column, b: Column) -> Column:
+    """Which part of two numbers of digits differs: the area code (the first two), else the position from 1; null where they are equal."""
+    return F.when(a == b, F.lit(None)).when(F.substring(a, 1, 2) != F.substring(b, 1, 2), "DDD").otherwise(first_difference(a, b).cast("string"))
+
+
+def optional_zero(verdicts: DataFrame) -> DataFrame:
+    """Verdicts that match because an optional amount without a value counts as zero."""
+    return verdicts.where(F.col("field_id").isin(*catalog.OPTIONAL_ZERO) & (F.col("observation") == ZERO_TEXT))
+
+
+def filter_results(verdicts: DataFrame, approved: DataFrame, status: str | None = None, query: str = "") -> DataFrame:
+    """Verdicts of a status (approved ones count as MATCH; MISSING: a source lacks the field) whose field or observation holds the query."""
+    each = verdicts.join(approved.select("process_id").distinct().withColumn("ok", F.lit(True)), "process_id", "left").withColumn("status", F.when(F.col("ok"), "MATCH").otherwise(F.col("status"))).drop("ok")
+    if status == "MISSING":
+        each = each.where(F.contains("observation", F.lit("não encontrado na fonte")))
+    elif status:
+        each = each.where(F.col("status") == status)
+    return each.where(F.contains(F.lower(F.concat_ws(" ", "field_id", "observation")), F.lit(query.lower())))

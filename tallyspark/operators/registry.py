@@ -77,3 +77,15 @@ def natural_order(v) -> Column:
     """A sort key in which 9 stands before 10: digit runs, filled up with zeros."""
     runs = F.regexp_extract_all(n.text(v), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 12, "0")).otherwise(r)), "")
+
+
+def pick_units(units: DataFrame, tower: str | None = None, query: str = "") -> DataFrame:
+    """Units to choose from: of the tower, and those whose tower, unit or typology holds the query."""
+    units = units if tower is None else units.where(F.col("tower") == tower)
+    return units.where(F.contains(n.text(F.concat_ws(" ", "tower", "unit", "typology")), n.text(F.lit(query))))
+
+
+def accepted_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a unit sheet that stand: a private area, and a typology, tower or unit."""
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return rows.where(filled("private_area") & (filled("typology") | filled("tower") | filled("unit")))

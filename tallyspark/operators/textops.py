@@ -75,3 +75,29 @@ def salvaged(json_text) -> Column:
     found = F.regexp_extract_all(json_text, F.lit(r'"fieldId"\s*:\s*"[^"]+"[^{}]*?"value"\s*:\s*"[^"]*"[^{}]*?"confidence"\s*:\s*[0-9.]+'), F.lit(0))
     one = lambda x, p: F.regexp_extract(x, p, 1)
     return F.transform(found, lambda x: F.struct(one(x, r'"fieldId"\s*:\s*"([^"]+)"').alias("field_id"), one(x, r'"value"\s*:\s*"([^"]*)"').alias("value"), one(x, r'"confidence"\s*:\s*([0-9.]+)').try_cast("double").alias("confidence")))
+
+
+def form_lines(rows: DataFrame, key: str, order: list[str], name: str, value: str) -> DataFrame:
+    """(key, form): the filled form fields of a document as lines under their heading; blank ones and boxes that are Off don't stand."""
+    filled = rows.where((F.trim(value) != "") & (F.trim(value) != "Off"))
+    line = F.concat(F.col(name), F.lit(": "), F.trim(value))
+    per = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("l"))
+    return per.select(key, F.concat(F.lit("[CAMPOS DE FORMULARIO]\n"), F.array_join(F.transform("l", lambda x: x["_line"]), "\n")).alias("form"))
+
+
+#: A line of a unit table: tower, unit, type, private area, total area, share.
+UNIT_LINE = r"(?m)^[ \t]*(\S+)[ \t]+([0-9]\S*)[ \t]+(\S.*?)[ \t]+([0-9.]+,[0-9]+)[ \t]+([0-9.]+,[0-9]+)[ \t]+(0,[0-9]+)[ \t]*$"
+UNIT_COLUMNS = ["tower", "unit", "typology", "private_area", "total_area", "ideal_fraction"]
+
+
+def tabular_rows(text) -> Column:
+    """The unit table's lines of a text, as structs of strings."""
+    return F.transform(F.regexp_extract_all(text, F.lit(UNIT_LINE), F.lit(0)), lambda x: F.struct(*[F.regexp_extract(x, UNIT_LINE, i).alias(c) for i, c in enumerate(UNIT_COLUMNS, 1)]))
+
+
+def search(rows: DataFrame, key: str, texts: list[Column], query: str) -> DataFrame:
+    """Keys of which a text holds the query, whatever its case, accents and punctuation."""
+    hit = F.lit(False)
+    for t in texts:
+        hit = hit | F.contains(keyword(F.coalesce(t, F.lit(""))), keyword(F.lit(query)))
+    return rows.where(hit).select(key).distinct()

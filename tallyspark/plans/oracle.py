@@ -166,4 +166,36 @@ FROM (SELECT *, final_status NOT IN ('IN_PROGRESS', 'FAILED') AS fin FROM {PROC}
     "results_merge": f"SELECT process_id, status FROM (SELECT o_orderkey AS process_id, CASE WHEN o_orderkey % 4 = 0 THEN 'RERUN' ELSE o_orderstatus END AS status FROM orders)",
     "stream_login_failures": f"SELECT actor_id, time_bucket(INTERVAL 1 DAY, created_at) AS start, count(*) AS n FROM {a.duck(a.AUDIT)} e WHERE event_type = 'LOGIN_FAILED' GROUP BY ALL HAVING count(*) >= 3",
     "learned_rule_counts": f"SELECT field_id, signature, count(*) AS n FROM (SELECT process_id, field_id, coalesce(array_to_string(list_sort(list_distinct(list(norm) FILTER (WHERE norm <> ''))), ' || '), '') AS signature FROM {_SIDE} x WHERE field_id = 'property.type' GROUP BY ALL) GROUP BY ALL",
+    "norm_money": f"SELECT process_id, source, field_id, {money('value')} AS norm FROM {EV} e WHERE field_type = 'valor_monetario'",
+    "norm_date": f"SELECT process_id, source, CASE WHEN coalesce(value, '') = '' THEN '' ELSE {date('value')} END AS norm FROM {EV} e WHERE field_type = 'data'",
+    "norm_decimal": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '' END || replace(CAST(p AS VARCHAR), '.', ',') AS shown, CAST(CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '' END || CAST(p AS VARCHAR) AS DECIMAL(20,2)) AS number FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(20,2)) AS p FROM part)",
+    "process_codes": "SELECT o_orderkey, 'OP-' || substring(upper(to_hex(o_orderkey + 1000000000000)), 1, 8) AS code FROM orders",
+    "source_diagnostic": FULL + "SELECT process_id, field_id, observation FROM o WHERE rung0 = 9",
+    "optional_zero_equivalence": FULL + "SELECT process_id, field_id, status FROM o WHERE rung0 IN (7, 40)",
+    "divergence_email": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'DOMAIN' WHEN c_custkey % 2 = 0 THEN 'USER' END AS part FROM customer",
+    "divergence_digits": """SELECT c_custkey, CAST(list_position(list_transform(range(1, 12), lambda i: substring(lpad(CAST(c_custkey AS VARCHAR), 11, '0'), i, 1) <> substring(lpad(CAST(c_custkey + 7 AS VARCHAR), 11, '0'), i, 1)), true) AS INT) AS position,
+CASE WHEN c_custkey % 5 = 0 THEN 'DDD' WHEN c_custkey % 2 = 1 THEN '13' END AS phone FROM customer""",
+    "result_filter": FULL + f"SELECT process_id, field_id, status FROM o WHERE status = 'REVIEW_REQUIRED' AND process_id NOT IN (SELECT process_id FROM {a.duck(a.REVIEWS)} x WHERE approved) AND contains(lower(field_id || ' ' || observation), 'minuta')",
+    "reservation_score_best": f"""SELECT process_id, field_id, value, score FROM (SELECT process_id, field_id, value, source_ord, CAST(confidence + CASE m WHEN 2 THEN 0 ELSE 15 END + CASE WHEN m = 0 AND {digits('value')} <> '' THEN 20 ELSE 0 END + CASE WHEN field_id <> 'financial.totalValue' THEN 0 WHEN m = 0 THEN 40 ELSE -40 END AS INT) AS score
+FROM (SELECT *, (process_id + source_ord) % 3 AS m FROM {EV} e WHERE field_id IN ('financial.totalValue', 'contract.date') AND trim(coalesce(value, '')) <> '')) QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY score DESC, source_ord) = 1""",
+    "participant_expand": "SELECT o_orderkey AS process_id, 'SIOPI' AS source, p.participant_id, o_orderkey || p.c AS cpf, p.name, f.field_id FROM orders, (VALUES ('buyer_1', '-0', 'Nome 2'), ('buyer_2', '-1', 'Nome 1')) AS p(participant_id, c, name), (VALUES " + ", ".join(f"('{f}')" for f, _, _, m, _ in catalog.fields() if m) + ") AS f(field_id)",
+    "unit_picker": f"SELECT tower, unit, typology FROM {a.duck(a.UNITS_OCR)} u WHERE contains({text("concat_ws(' ', tower, unit, typology)")}, 'TIPO 1')",
+    "unit_accepted": f"SELECT unit, private_area FROM {a.duck(a.UNITS_OCR)} u WHERE confidence % 3 <> 0",
+    "form_fields": "SELECT conv_id, sha256('[CAMPOS DE FORMULARIO]' || chr(10) || string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn, role || ': ' || trim(text))) AS form FROM conversations WHERE turn % 3 <> 2 AND trim(text) NOT IN ('', 'Off') GROUP BY conv_id",
+    "label_next_line": "SELECT c_custkey, trim(c_name) AS value FROM customer",
+    "tabular_rows": """SELECT p_partkey, p_brand AS tower, CASE n WHEN 0 THEN CAST(p_partkey AS VARCHAR) ELSE '7B' END AS unit, CASE n WHEN 0 THEN 'Tipo A' ELSE 'Loja' END AS typology, s AS private_area, CASE n WHEN 0 THEN '9.' ELSE '' END || s AS total_area, CASE n WHEN 0 THEN '0,0123' ELSE '0,5' END AS ideal_fraction
+FROM (SELECT *, replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS VARCHAR), '.', ',') AS s FROM part), (VALUES (0), (1)) AS v(n)""",
+    "history_search": f"SELECT DISTINCT process_id FROM (SELECT process_id, coalesce(value, '') AS t FROM {EV} e) WHERE contains({_KW}, 'outro customer')",
+    "upload_dedup": f"SELECT DISTINCT source || '-' || part AS name, process_id % 5 AS size FROM {a.duck(a.DOCUMENTS)} d WHERE process_id % 5 <> 0",
+    "process_list": f"SELECT process_id, user_id, final_status FROM {a.duck(a.PROCESSES)} p WHERE final_status = 'FULLY_CHECKED' ORDER BY started_at DESC, process_id LIMIT 100",
+    "admin_metrics": f"""SELECT count(*) FILTER (WHERE run) AS in_progress, count(*) FILTER (WHERE final_status = 'PENDING_REVIEW') AS pending, count(*) FILTER (WHERE final_status = 'FULLY_CHECKED') AS checked, count(*) FILTER (WHERE final_status = 'FAILED') AS failed,
+CAST(coalesce(sum(n_documents) FILTER (WHERE run), 0) AS BIGINT) AS documents_in_progress, CAST(coalesce(sum(n_documents) FILTER (WHERE final_status NOT IN ('IN_PROGRESS', 'FAILED')), 0) AS BIGINT) AS documents_analysed, CAST(coalesce(sum(n_documents), 0) AS BIGINT) AS documents_total FROM (SELECT *, final_status = 'IN_PROGRESS' AND minutes < 30 AS run FROM {PROC} p)""",
+    "login_rate_limit": f"SELECT actor_id, count(*) AS n, count(*) >= 8 AS limited FROM {a.duck(a.AUDIT)} e WHERE event_type = 'LOGIN_FAILED' AND created_at BETWEEN TIMESTAMP '{a.NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{a.NOW}' GROUP BY actor_id",
+    "stale_processes": f"SELECT process_id FROM {a.duck(a.PROCESSES)} p WHERE final_status = 'IN_PROGRESS' AND CAST(started_at AS TIMESTAMP) + to_minutes(minutes) <= TIMESTAMP '1996-01-01 00:19:15'",
+    "review_progress": FULL + f"SELECT process_id, total, reviewed, bad - reviewed AS unresolved, CAST(floor((total - bad + reviewed) * 100.0 / total + 0.5) AS INT) AS checked_percent FROM (SELECT process_id, count(*) AS total, count(*) FILTER (WHERE status <> 'MATCH') AS bad, CASE WHEN process_id IN (SELECT process_id FROM {a.duck(a.REVIEWS)} x WHERE approved) THEN count(*) FILTER (WHERE status <> 'MATCH') ELSE 0 END AS reviewed FROM o GROUP BY process_id)",
+    "stream_rule_counter": "SELECT 'property.type' AS field_id, o_orderstatus AS signature, count(*) AS n FROM orders GROUP BY 2",
 }
+_QUALITY = ORACLE["quality_coverage"]
+ORACLE["quality_totals"] = f"SELECT count(*) AS n_reports, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous FROM ({_QUALITY})"
+ORACLE["extraction_alerts"] = f"""SELECT process_id, CASE WHEN f THEN 'critical' ELSE 'warning' END AS severity, string_agg(source, ', ' ORDER BY source) AS sources, min(coverage) AS coverage, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous
+FROM (SELECT *, status = 'FAILED' OR coverage = 0 AS f, bool_or(status = 'FAILED' OR coverage = 0) OVER (PARTITION BY process_id) AS any_failed FROM ({_QUALITY}) WHERE status <> 'COMPLETE' OR coverage = 0) WHERE f = any_failed GROUP BY process_id, f"""

@@ -267,6 +267,15 @@ def results_merge(spark, sf_dir):
     return ops.merge(old, old.where("process_id % 4 = 0").withColumn("status", F.lit("RERUN")), ["process_id"])
 
 
+def _streamed(spark: SparkSession, found: DataFrame, name: str) -> DataFrame:
+    """A streamed aggregate, run until its source is read; each trigger replaces the table."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-stream-")
+    folder = f"{shared}/{name}-{uuid.uuid4().hex}"
+    writer = found.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table")).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/table")
+
+
 def stream_login_failures(spark, sf_dir):
     """The stream over the audit log, run until its source is read; each trigger replaces the table of windows."""
     schema = _table(spark, sf_dir, "events").schema
@@ -276,11 +285,7 @@ def stream_login_failures(spark, sf_dir):
     log = log.withColumn("created_at", F.from_utc_timestamp(F.col("created_at").cast("timestamp"), F.current_timezone()))
     found = alerts.failures_by_window(log)
     found = found.withColumn("start", F.to_utc_timestamp("start", F.current_timezone()).cast("timestamp_ntz"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-stream-")
-    folder = f"{shared}/login-failures-{uuid.uuid4().hex}"
-    writer = found.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table")).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/table")
+    return _streamed(spark, found, "login-failures")
 
 
 def learned_rule_counts(spark, sf_dir):
@@ -289,6 +294,132 @@ def learned_rule_counts(spark, sf_dir):
     return alerts.rule_counter(signed)
 
 
+def norm_money(spark, sf_dir):
+    return _evidence(spark, sf_dir).where("field_type = 'valor_monetario'").select("process_id", "source", "field_id", n.money("value").alias("norm"))
+
+
+def norm_date(spark, sf_dir):
+    return _evidence(spark, sf_dir).where("field_type = 'data'").select("process_id", "source", n.date("value").alias("norm"))
+
+
+def norm_decimal(spark, sf_dir):
+    price = F.col("p_retailprice").cast("decimal(20,2)").cast("string")
+    shown = n.decimal_display(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("1."), F.replace(price, F.lit("."), F.lit(",")))).otherwise(price))
+    return _table(spark, sf_dir, "part").select("p_partkey", shown.alias("shown"), n.parse_decimal(shown).cast("decimal(20,2)").alias("number"))
+
+
+def process_codes(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", n.process_code(F.lower(F.hex(F.col("o_orderkey") + 1_000_000_000_000))).alias("code"))
+
+
+def source_diagnostic(spark, sf_dir):
+    return _verdicts(spark, sf_dir).where("rung = 9").select("process_id", "field_id", "observation")
+
+
+def optional_zero_equivalence(spark, sf_dir):
+    return reconcile.optional_zero(_verdicts(spark, sf_dir)).select("process_id", "field_id", "status")
+
+
+def divergence_email(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    other = F.concat(F.when(F.col("c_custkey") % 2 == 0, "x").otherwise(""), key, F.lit("@"), F.when(F.col("c_custkey") % 3 == 0, "b.com").otherwise("a.com"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", reconcile.email_gap(F.concat(key, F.lit("@a.com")), other).alias("part"))
+
+
+def divergence_digits(spark, sf_dir):
+    key = F.col("c_custkey")
+    number = lambda k: F.lpad(k.cast("string"), 11, "0")
+    phone = F.concat(F.when(key % 5 == 0, "11").otherwise("21"), number(key * 10))
+    return _table(spark, sf_dir, "customer").select("c_custkey", reconcile.first_difference(number(key), number(key + 7)).cast("int").alias("position"), reconcile.phone_gap(F.concat(F.lit("21"), number(key * 10 + key % 2)), phone).alias("phone"))
+
+
+def result_filter(spark, sf_dir):
+    approved = a.read(spark, sf_dir, a.REVIEWS).where("approved")
+    return reconcile.filter_results(_verdicts(spark, sf_dir), approved, "REVIEW_REQUIRED", "Minuta").select("process_id", "field_id", "status")
+
+
+def reservation_score_best(spark, sf_dir):
+    key = F.col("process_id") + F.col("source_ord")
+    raw = F.when(key % 3 == 0, F.concat(F.lit("Valor total: "), F.coalesce("value", F.lit("")))).when(key % 3 == 1, "sem rótulo")
+    rows = _evidence(spark, sf_dir).where("field_id in ('financial.totalValue', 'contract.date')").withColumn("raw", raw)
+    return evidence.scored_best(rows, ["process_id", "field_id"], "source_ord", {"financial.totalValue": "(?i)valor total"})
+
+
+def participant_expand(spark, sf_dir):
+    each = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("process_id"), F.lit("SIOPI").alias("source"), F.explode(F.array(*map(F.lit, range(3)))).alias("seq"))
+    rows = each.select("process_id", "source", "seq", F.when(F.col("seq") == 1, "buyer_2").otherwise("buyer_1").alias("participant_id"), F.when(F.col("seq") == 2, "").otherwise(F.concat("process_id", F.lit("-"), "seq")).alias("cpf"), F.concat(F.lit("Nome "), "seq").alias("name"))
+    return evidence.expand_participants(evidence.fold_participants(rows, "seq"))
+
+
+def quality_totals(spark, sf_dir):
+    return evidence.quality_totals(quality_coverage(spark, sf_dir))
+
+
+def extraction_alerts(spark, sf_dir):
+    return evidence.extraction_alerts(quality_coverage(spark, sf_dir))
+
+
+def unit_picker(spark, sf_dir):
+    return registry.pick_units(a.read(spark, sf_dir, a.UNITS_OCR), None, "tipo 1").select("tower", "unit", "typology")
+
+
+def unit_accepted(spark, sf_dir):
+    sheet = a.read(spark, sf_dir, a.UNITS_OCR).withColumn("private_area", F.when(F.col("confidence") % 3 != 0, F.col("private_area")).otherwise(" "))
+    return registry.accepted_rows(sheet).select("unit", "private_area")
+
+
+def form_fields(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").withColumn("value", F.when(F.col("turn") % 3 == 2, "Off").otherwise(F.col("text")))
+    return textops.form_lines(turns, "conv_id", ["turn"], "role", "value").select("conv_id", F.sha2("form", 256).alias("form"))
+
+
+def label_next_line(spark, sf_dir):
+    text = F.concat(F.lit("Ficha\nNome"), F.when(F.col("c_custkey") % 2 == 0, ": ").otherwise("\n "), F.col("c_name"), F.lit("\nFim"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", textops.label_value(text, "NOME").alias("value"))
+
+
+def tabular_rows(spark, sf_dir):
+    area = F.replace(F.col("p_retailprice").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
+    text = F.concat(F.lit("Quadro de áreas\n"), F.col("p_brand"), F.lit(" "), "p_partkey", F.lit(" Tipo A "), area, F.lit(" 9."), area, F.lit(" 0,0123\nTotal 1 de 2\n"), F.col("p_brand"), F.lit("  7B  Loja "), area, F.lit(" "), area, F.lit(" 0,5"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.explode(textops.tabular_rows(text)).alias("r")).select("p_partkey", "r.*")
+
+
+def history_search(spark, sf_dir):
+    return textops.search(_evidence(spark, sf_dir), "process_id", [n.process_code(F.col("process_id").cast("string")), F.col("value")], "Outro  CUSTOMER")
+
+
+def upload_dedup(spark, sf_dir):
+    files = a.read(spark, sf_dir, a.DOCUMENTS).select(F.concat("source", F.lit("-"), "part").alias("name"), (F.col("process_id") % 5).alias("size"))
+    return ops.new_uploads(files, files.where("size = 0"), ["name", "size"])
+
+
+def process_list(spark, sf_dir):
+    return ops.recent_processes(a.read(spark, sf_dir, a.PROCESSES), "FULLY_CHECKED").select("process_id", "user_id", "final_status")
+
+
+def admin_metrics(spark, sf_dir):
+    return ops.admin_metrics(_processes(spark, sf_dir))
+
+
+def login_rate_limit(spark, sf_dir):
+    return ops.login_limits(a.read(spark, sf_dir, a.AUDIT), a.NOW, 10080, 8)
+
+
+def stale_processes(spark, sf_dir):
+    beat = a.read(spark, sf_dir, a.PROCESSES).withColumn("updated_at", F.col("started_at").cast("timestamp") + F.make_dt_interval(mins=F.col("minutes").cast("int")))
+    return ops.stale(beat, "1996-01-01 00:20:00").select("process_id")
+
+
+def review_progress(spark, sf_dir):
+    return ops.review_progress(_verdicts(spark, sf_dir), a.read(spark, sf_dir, a.REVIEWS))
+
+
+def stream_rule_counter(spark, sf_dir):
+    """The counter of approved equivalences kept by a stream."""
+    source = spark.readStream.schema(_table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parquet*")
+    return _streamed(spark, alerts.rule_counter(source.select(F.lit("property.type").alias("field_id"), F.col("o_orderstatus").alias("signature"))), "rules")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -296,5 +427,7 @@ QUERIES = {
         similarity_pairs, legacy_validation, divergence_money, divergence_date, consolidate_best, source_conflicts, quality_coverage, downpayment_derivation, participant_alignment, evidence_check, unit_reconcile, unit_dedup,
         unit_qc, unit_review, unit_unpivot, unit_signature, unit_natural_sort, checklist_union, page_prune, page_asof_marker, text_gate, focus_windows, regex_catalog_extract, json_salvage, rls_visible_processes,
         rls_visible_documents, ops_dashboard, process_anomalies, security_alerts, retention_batch, process_merge_latest, results_merge, stream_login_failures, learned_rule_counts,
+        norm_money, norm_date, norm_decimal, process_codes, source_diagnostic, optional_zero_equivalence, divergence_email, divergence_digits, result_filter, reservation_score_best, participant_expand, quality_totals, extraction_alerts,
+        unit_picker, unit_accepted, form_fields, label_next_line, tabular_rows, history_search, upload_dedup, process_list, admin_metrics, login_rate_limit, stale_processes, review_progress, stream_rule_counter,
     )
 }
