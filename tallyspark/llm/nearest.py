@@ -33,10 +33,9 @@ BOUND = 1.9
 SAMPLE, QUERY_BLOCK, ROWS = 4096, 4096, 4096
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as doubles, and which rows take part: of the longest length, finite, not zero."""
+def _matrix(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as doubles, and which rows take part: of length n, finite, not zero."""
     values = column.to_pylist()
-    n = max((len(v) for v in values if v), default=0)
     ok = np.array([bool(v) and len(v) == n and None not in v for v in values], bool)
     x = np.zeros((len(values), n))
     if ok.any():
@@ -54,9 +53,7 @@ def rotation(dim: int, bits: int, seed: int = 7) -> np.ndarray:
 
 def _encode(batches, centre: np.ndarray, turn: np.ndarray):
     for b in batches:
-        x, ok = _matrix(b.column(1))
-        if x.shape[1] != len(centre):
-            ok[:] = False
+        x, ok = _matrix(b.column(1), len(centre))
         if not ok.any():
             continue
         x = x[ok] - centre
@@ -117,9 +114,9 @@ def _scan(batches, queries, centre: np.ndarray, turn: np.ndarray, k: int, bound:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
 
-def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _rows(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     t = df.toArrow().combine_chunks()
-    x, ok = _matrix(t.column("embedding").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float64())))
+    x, ok = _matrix(t.column("embedding").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float64())), n)
     return t.column("vec_id").to_numpy()[ok], x[ok]
 
 
@@ -137,7 +134,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, bound: float = BOUND) -> D
     dims = sample.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not dims:
         return empty
-    seen_ids, seen = _rows(sample.where(F.size("embedding") == dims[0]["n"]))
+    seen_ids, seen = _rows(sample.where(F.size("embedding") == dims[0]["n"]), dims[0]["n"])
     if not len(seen):
         return empty
     centre = seen.mean(axis=0)
@@ -150,7 +147,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, bound: float = BOUND) -> D
     folder, kind = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}", "query_id long, vec_id long, score double"
     done = []
     for block in range(max(1, -(-n // QUERY_BLOCK))):
-        ids, q = _rows(asked.where(F.col("block") == block))
+        ids, q = _rows(asked.where(F.col("block") == block), len(centre))
         if not len(ids):
             continue
         first = q @ seen.T  # the k-th best of the sample is beaten or met by any of the k best of all

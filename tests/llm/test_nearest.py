@@ -48,3 +48,10 @@ def test_edges(spark):
     ties = sorted((r.rank, r.vec_id) for r in nearest.search(same, F.col("vec_id") == 0, k=5).collect())
     assert [v for _, v in ties][:2] == [1, 1]  # repeated rows are rows
     assert nearest.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_a_longer_vector_leaves_its_batch_alone(spark):
+    rows = [(i, [float(i + 1), 1.0, float(i % 3)]) for i in range(12)] + [(99, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = nearest.search(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [11, 10, 9]
