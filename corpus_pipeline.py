@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from tallyspark.llm import decontaminate, line_dedup, near_copies, packing, toxicity
 from tallyspark.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,9 +25,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies. Rows without a doc_id stay."""
+    """Keeps the document of the smallest id of each group of near copies (similarity of five-word shingles 0.8 or more). Rows without a doc_id stay."""
     docs = docs.select(COLUMNS)
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = near_copies.near_copies(docs.select("doc_id", "text"))
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(COLUMNS)
 
