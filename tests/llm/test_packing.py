@@ -63,6 +63,17 @@ def test_ranks_encode_as_the_library(text):
     assert np.frombuffer(e.ids(text), "<u4").tolist() == e.model.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n\t", "\u3000"])
+def test_long_white_space(model, space):
+    """tiktoken panics on runs of over about a million."""
+    e = packing.encoder(packing.default_tokenizer())
+    for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, packing.LONG_SPACE + 1, 2_500_000):
+        run = (space * n)[:n]
+        for text in (f"a{run}b c", run):
+            assert packing._has_long_space(text) == (n >= packing.LONG_SPACE)
+            assert e.ids(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_ranks_encode_every_code_point_as_the_library(model):
     """The pattern's classes are all that the two could see differently; every seventh code point, and all below U+3000."""
     e = packing.encoder(packing.default_tokenizer())
