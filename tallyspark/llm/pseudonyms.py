@@ -1,11 +1,27 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions alone.
 
-One pattern finds phone numbers, card numbers, IPv4 addresses, e-mail addresses
-and dates; what fails its validation (Luhn's sum, octets to 255, days of the
-calendar) stays as it is. A value's number is permuted by a keyed Feistel
+One pattern finds
+
+* phone numbers with a country code after + in any usual grouping, and ten-digit
+  North American ones in groups (area in parentheses or not, 1 before or not),
+* card numbers in one run or grouped 4-4-4-4, 4-6-5 and 4-6-4,
+* IBANs of the countries in IBAN_LENGTHS, in one run or in groups of four,
+* IPv4 addresses and e-mail addresses,
+* numeric dates of 1900 to 2099, year first or last, with / - or . between. Year
+  last is read as day/month, or as month/day where only that is in the calendar.
+
+What fails its validation (Luhn's sum, IBAN's remainder, octets to 255, days of
+the calendar) stays as it is. A value's number is permuted by a keyed Feistel
 network within its format, so the same value has the same pseudonym in every
-document, different values have different ones, and a pseudonym is as valid as
-the value. Work is per row: nothing is shuffled or gathered.
+document, different values of a format have different ones, and a pseudonym has
+the value's grouping and check digits. Work is per row: nothing is shuffled or
+gathered.
+
+Out of scope: names and postal addresses, phone numbers without + outside North
+America or without grouping, numbers with 00 for +, extensions, 19-digit cards
+in groups, dates with month names or two-digit years, IPv6, and national id
+numbers (social security, passport, tax). A number that follows a phone number
+after +, with nothing but a space between, may be taken for its last group.
 """
 
 from __future__ import annotations
@@ -20,15 +36,26 @@ ROUNDS = 8
 DAYS = (256, 128)
 
 #: Look-arounds keep longer numbers, versions and words out.
-PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)"
+PHONE = (
+    r"\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\d)|\+[2-9](?:[ .-]?\(\d{1,4}\)(?=[ .-]?\d)|[ .-]?\d){7,14}(?!\d)"
+    r"|(?<![\w.+-])(?:1[ .-])?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d|[.-]\d)"
+)
+#: What isn't permuted: the country code of the E.164 list, and a trunk 0 in parentheses.
+PHONE_HEAD = r"^(?:\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ .-]*(?:\(0\))?|1[ .-])?"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
-DATE = r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])|(?<![\d/])\d\d/\d\d/(?:19|20)\d\d(?![\d/])"
-CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d-])"
-ANY = f"(?:{EMAIL})|(?:{PHONE})|(?:{IPV4})|(?:{DATE})|(?:{CARD})"
-
-
-def feistel(number: Column, left: Column, right: Column, key: str, tweak: str) -> Column:
+DATE = "|".join(rf"(?<![\d{c}])(?:(?:19|20)\d\d{c}\d\d?{c}\d\d?|\d\d?{c}\d\d?{c}(?:19|20)\d\d)(?!\d|{c}{after})" for c, after in ((r"\-", ""), ("/", ""), (r"\.", r"\d")))
+CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?![\d-])"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|CY|DO|GT|HU|LB|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
+ANY = f"(?:{EMAIL})|(?:{IBAN})|(?:{PHONE})|(?:{IPV4})|(?:{DATE})|(?:{CARD})"
+
+
+def feistel(number: Column, left: Column, right: Column, key: str, tweak: str | Column) -> Column:
     """A permutation of 0 .. left * right - 1: the halves, number div right and mod right, take turns in being shifted by a keyed draw of the other."""
     state = F.struct(F.floor(number / right).cast("long").alias("l"), (number % right).cast("long").alias("r"))
     # A fold over the rounds: written out, each round's expression would hold the one before several times.
@@ -39,7 +66,7 @@ def feistel(number: Column, left: Column, right: Column, key: str, tweak: str) -
     return out["l"] * right + out["r"]
 
 
-def _drawn(key: str, tweak: str, i: Column, half: Column, size: Column) -> Column:
+def _drawn(key: str, tweak: str | Column, i: Column, half: Column, size: Column) -> Column:
     """A keyed number below size: 48 bits of a SHA-256 of key, format, round and half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), half.cast("string"), size.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % size
@@ -49,7 +76,7 @@ def _long(c) -> Column:
     return (F.lit(c) if isinstance(c, int) else c).cast("long")
 
 
-def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
+def permuted_digits(digits: Column, key: str, tweak: str | Column) -> Column:
     """A string of 2 to 18 digits, permuted among those of its length."""
     n = F.length(digits)
     low = (n / 2).cast("int")
@@ -89,9 +116,37 @@ def _card(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """The ten digits after the country code."""
-    digits = F.regexp_replace(F.substring(v, 4, 99), "[^0-9]", "")
-    return F.concat(F.substring(v, 1, 3), _refill(F.substring(v, 4, 99), permuted_digits(digits, key, "phone")))
+    """The digits after the country code, which is 1 where there is none."""
+    head = F.regexp_extract(v, PHONE_HEAD, 0)
+    code = F.when(head.startswith("+"), F.regexp_replace(F.regexp_replace(head, r"\(0\)", ""), "[^0-9]", "")).otherwise("1")
+    rest = F.substring(v, F.length(head) + 1, F.lit(99))
+    return F.concat(head, _refill(rest, permuted_digits(F.regexp_replace(rest, "[^0-9]", ""), key, F.when(code == "1", "phone").otherwise(F.concat(F.lit("phone"), code)))))
+
+
+def _mod97(v: Column) -> Column:
+    """The remainder of a string of digits and capitals, which count from 10 on."""
+    at = F.sequence(F.lit(1), F.length(v))
+
+    def add(rest, i):
+        d = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(v, i, F.lit(1))) - 1
+        return (rest * F.when(d > 9, 100).otherwise(10) + d) % 97
+
+    return F.aggregate(at, F.lit(0), add)
+
+
+def _iban(v: Column, key: str) -> Column:
+    """The digits after the check digits, which are made anew; letters stay."""
+    plain = F.regexp_replace(v, " ", "")
+    body = F.substring(plain, F.lit(5), F.lit(99))
+    digits = F.regexp_replace(body, "[^0-9]", "")
+    # Up to 28 digits: the second half's permutation depends on the first half.
+    half = (F.length(digits) / 2).cast("int")
+    first, second = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, F.lit(99))
+    country = F.substring(plain, 1, 2)
+    made = F.concat(permuted_digits(first, key, "iban"), permuted_digits(second, key, F.concat(F.lit("iban"), country, first)))
+    check = F.lpad((98 - _mod97(F.concat(_refill(body, made), country, F.lit("00")))).cast("string"), 2, "0")
+    valid = (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1) & (F.length(digits) >= 4)
+    return F.when(valid, F.concat(country, _refill(F.substring(v, F.lit(3), F.lit(99)), F.concat(check, made)))).otherwise(v)
 
 
 def _ipv4(v: Column, key: str) -> Column:
@@ -104,14 +159,20 @@ def _ipv4(v: Column, key: str) -> Column:
 
 
 def _date(v: Column, key: str) -> Column:
-    iso = F.contains(v, F.lit("-"))
-    day = F.when(iso, F.try_to_date(v, "yyyy-MM-dd")).otherwise(F.try_to_date(v, "dd/MM/yyyy"))
+    parts = F.split(v, "[-/.]")
+    part = lambda i: F.lpad(F.element_at(parts, i), 2, "0")
+    day_of = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.element_at(parts, y), part(m), part(d)), "yyyy-MM-dd")
+    iso, day_first = F.length(F.element_at(parts, 1)) == 4, day_of(3, 2, 1)
+    day = F.when(iso, day_of(1, 2, 3)).otherwise(F.coalesce(day_first, day_of(3, 1, 2)))
     number = F.datediff(day, F.lit("1950-01-01").cast("date")).cast("long")
     size = DAYS[0] * DAYS[1]
     window = F.floor(number / size).cast("long")
     inside = feistel(F.pmod(number, F.lit(size).cast("long")), _long(DAYS[0]), _long(DAYS[1]), key, "date")
     other = F.date_add(F.lit("1950-01-01").cast("date"), (window * size + inside).cast("int"))
-    return F.when(day.isNull(), v).when(iso, F.date_format(other, "yyyy-MM-dd")).otherwise(F.date_format(other, "dd/MM/yyyy"))
+    short = F.length(v) < 10  # without leading zeros
+    shown = lambda full, brief: F.when(short, F.date_format(other, brief)).otherwise(F.date_format(other, full))
+    made = F.when(iso, shown("yyyy-MM-dd", "yyyy-M-d")).when(day_first.isNotNull(), shown("dd-MM-yyyy", "d-M-yyyy")).otherwise(shown("MM-dd-yyyy", "M-d-yyyy"))
+    return F.when(day.isNull(), v).otherwise(F.replace(made, F.lit("-"), F.regexp_extract(v, "[-/.]", 0)))
 
 
 def _email(v: Column, key: str) -> Column:
@@ -120,12 +181,18 @@ def _email(v: Column, key: str) -> Column:
 
 
 def kind_of(v: Column) -> Column:
-    return F.when(F.contains(v, F.lit("@")), "email").when(v.startswith("+"), "phone").when(F.contains(v, F.lit(".")), "ipv4").when(v.rlike(r"^(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})$"), "date").otherwise("card")
+    return (
+        F.when(F.contains(v, F.lit("@")), "email").when(v.rlike("^[A-Z]"), "iban").when(v.rlike(r"^(\d{4}([-/.])\d\d?\2\d\d?|\d\d?([-/.])\d\d?\3\d{4})$"), "date")
+        .when(v.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4").when(v.rlike(r"^[+(]|^(1[ .-])?\(?\d{3}\)?[ .-]"), "phone").otherwise("card")
+    )
 
 
 def pseudonym(v: Column, key: str) -> Column:
     kind = kind_of(v)
-    return F.when(kind == "email", _email(v, key)).when(kind == "phone", _phone(v, key)).when(kind == "ipv4", _ipv4(v, key)).when(kind == "date", _date(v, key)).otherwise(_card(v, key))
+    return (
+        F.when(kind == "email", _email(v, key)).when(kind == "phone", _phone(v, key)).when(kind == "ipv4", _ipv4(v, key)).when(kind == "date", _date(v, key))
+        .when(kind == "iban", _iban(v, key)).otherwise(_card(v, key))
+    )
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -43,6 +43,29 @@ def test_values_keep_their_format_and_stay_linked(spark):
     assert p.pseudonymise(df, "another").where("doc_id = 1").first().text != by[1].text
 
 
+def test_forms_that_the_tables_do_not_hold(spark):
+    forms = {
+        r"\+1 \d{3}-\d{3}-\d{4}": "+1 415-555-0100", r"\d{3}-\d{3}-\d{4}": "415-555-0100", r"\(\d{3}\) \d{3}-\d{4}": "(415) 555-0100", r"1\.\d{3}\.\d{3}\.\d{4}": "1.415.555.0100", r"\+1\d{10}": "+14155550100",
+        r"\+44 \d\d \d{4} \d{4}": "+44 20 7946 0958", r"\+44 \(0\)\d\d \d{4} \d{4}": "+44 (0)20 7946 0958", r"\+49 \d{3}/?\d+-\d+": "+49 30901820-12", r"\+33\d{9}": "+33142685300",
+        r"\d{4} \d{6} \d{5}": "3782 822463 10005", r"\d{4}-\d{6}-\d{4}": "3056-930902-5904", r"\d\d/\d\d/\d{4}": "04/25/1990", r"\d\d\.\d\d\.\d{4}": "25.04.1990", r"\d\d?/\d\d?/\d{4}": "4/5/1990", r"\d{4}/\d\d/\d\d": "1990/04/25",
+        r"DE\d\d(?: \d{4}){4} \d\d": "DE89 3704 0044 0532 0130 00", r"GB\d\dNWBK\d{14}": "GB29NWBK60161331926819", r"BE\d\d(?: \d{4}){3} ABC": "BE68 5390 0754 7034 ABC", r"PL\d{26}": "PL61109010140000071219812874",
+    }
+    left = ["3782 822463 10006", "DE89 3704 0044 0532 0130 01", "13/13/1990", "2023-02-30", "1.2.3", "100-200-3000", "123-45-6789", "4155550100", "+12"]
+    df = spark.createDataFrame([(i, f"see {v}.") for i, v in enumerate([*forms.values(), *left])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in p.pseudonymise(df, "key").collect()}
+    for i, (form, v) in enumerate(forms.items()):
+        assert re.fullmatch(f"see {form}\\.", rows[i].text) and rows[i].n_pii == 1 and v not in rows[i].text, (v, rows[i])
+    for i, v in enumerate(left, len(forms)):
+        assert rows[i].text == f"see {v}." and rows[i].n_pii == 0
+    got = {v: rows[i].text[4:-1] for i, v in enumerate(forms.values())}
+    digits = lambda v: re.sub(r"\D", "", v)
+    assert len({digits(got[v])[-10:] for v in list(forms.values())[:5]}) == 1 and digits(got["+44 20 7946 0958"]) == digits(got["+44 (0)20 7946 0958"].replace("(0)", ""))
+    assert luhn(digits(got["3782 822463 10005"])) and luhn(digits(got["3056-930902-5904"]))
+    for v in [x for x in got.values() if x[0] in "DGBP"]:
+        v = v.removesuffix(" ABC").replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
 def test_documents(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = p.query(spark, sf).collect()
