@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, stored, table, with_row_key
+from tallyspark.llm.common import HOT, carried, prepare, row_key, stored, table
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the filter for each shingle, and the most there are (16 MB).
 FILTER_BITS, FILTER_MOST = 32, 1 << 27
+#: Parts a hot shingle's hits are dealt in, and the powers a worker keeps.
+SALTS, POWERS = 64, 1 << 20
 WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -48,10 +50,12 @@ class _Words:
         edges = np.diff(np.concatenate(([0], (b != 32).view(np.int8), [0])))
         self.start, self.end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.n = len(self.start)
-        if len(_Words.powers[0]) <= len(b):
-            size = max(1 << 16, 2 * len(b))
-            _Words.powers = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, np.uint64(x))))) for x in (BASE, INVERSE))
         up, down = _Words.powers
+        if len(up) <= len(b):
+            size = max(1 << 16, 2 * len(b))
+            up, down = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, np.uint64(x))))) for x in (BASE, INVERSE))
+            if size <= POWERS:  # those of a longer text go with it
+                _Words.powers = up, down
         sums = np.concatenate(([np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])))
         self.hash = _mix((sums[self.end] - sums[self.start]) * down[self.start])
 
@@ -146,14 +150,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     filter_, bits = shingle_filter(wins.select(F.explode("codes").alias("code")).distinct())
     lengths = [r[0] for r in items.select(F.least(F.lit(shingle), "n")).distinct().collect()]  # 1 to shingle
     scan = partial(_document_rows, held=spark.sparkContext.broadcast(filter_), bits=bits, lengths=sorted(lengths), window=window)
-    rows = with_row_key(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "row_key", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     seen = stored(rows.mapInArrow(scan, "doc_id long, row_key long, n_words long, hits array<struct<code:long,pos:int,from:int,words:array<string>>>"), "benchmark-hits")
     # The same text under the same id, repeated, is hit alike: judged once.
     hits = seen.where(F.size("hits") > 0).dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", "n_words", F.explode("hits").alias("h")).select("doc_id", "row_key", "n_words", "h.*")
-    frequency = hits.groupBy("code").count()
+    frequency = stored(hits.groupBy("code").count(), "benchmark-frequency")  # of benchmark shingles alone
     placed = wins.select("win", "n", F.posexplode("codes").alias("offset", "code")).join(frequency, "code")
     prefix = placed.groupBy("win", "n").agg(F.min(F.struct("count", "code", "offset")).alias("p")).select("win", "n", "p.code", "p.offset")
-    met = hits.join(prefix, "code").withColumn("start", F.col("pos") - F.col("offset"))
+    # A shingle of very many hits (a one-word item that is a common word) is dealt in SALTS parts, each of which meets its windows.
+    hot = frequency.where(F.col("count") > frequency.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] / HOT).select("code", F.lit(SALTS).alias("salts"))
+    salted = lambda df: df.join(F.broadcast(hot), "code", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    prefix = salted(prefix).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = salted(hits).withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")).cast("int")).drop("salts")
+    met = met.join(prefix, ["code", "salt"]).withColumn("start", F.col("pos") - F.col("offset"))
     met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
     met = met.where(F.array_join(F.slice("words", F.col("start") - F.col("from") + 1, F.col("n")), " ") == F.col("win"))
     per_doc = met.select("doc_id", "row_key", "start", "n", "win").join(items.select("win", "item_id").distinct(), "win")
@@ -167,8 +176,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of an item."""
     hit = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    rows = with_row_key(docs)
-    return rows.join(hit, rows["doc_id"].eqNullSafe(hit["_id"]) & (rows["row_key"] == hit["_key"]), "left_anti").drop("row_key")
+    whole, back = carried(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), row_key().alias("key"), whole, "text")
+    return rows.join(hit, F.col("id").eqNullSafe(hit["_id"]) & (F.col("key") == hit["_key"]), "left_anti").select(*back)
 
 
 def query(spark, sf_dir):

@@ -2,35 +2,42 @@
 
 1. Every whole text gets the set of its five-word shingles (words as SimHash
    takes them), a SimHash fingerprint of it and BANDS hashes of ROWS min-hashes.
-2. Texts of equal sets become one class with the smallest doc_id as its vertex.
+2. Texts of equal sets become one class; its vertex is the least of its rows.
 3. Candidates are classes that share a bucket: a band, or a component of SimHash
    links. Two sets of similarity s share a band with probability
    1 - (1 - s**5)**20: 0.9996 at 0.8, and more above. That is the only place
    where a pair can be missed.
-4. Candidates are compared shingle by shingle (as 64-bit hashes), first each
-   class with three members of its bucket, then all pairs of a bucket that
-   aren't connected by then.
+4. Candidates are compared shingle by shingle (as 64-bit hashes) in rounds. In a
+   round each bucket names a few pivots, and each of its classes that isn't
+   connected with a pivot yet meets it: as many pairs as there are classes, not
+   as many as there are pairs. Who has been a pivot has met the whole bucket and
+   leaves it. A bucket is done when what is left of it is one component.
 5. Pairs of SIMILARITY and more are links; a group is what links connect.
 
-The pairs of the last step grow with the square of a bucket's classes that are
-alike enough to meet but not to be linked.
+Most buckets are done after a round or two, as all that is in them is alike. A
+bucket of many classes that are alike enough to meet and not to be linked takes
+a round for every MOST_PIVOTS of them, each as long as the bucket.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import simhash
-from tallyspark.llm.common import prepare, stored
+from tallyspark.llm.common import HOT, carried, hot_join, prepare, stored
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 20, 5
+#: Classes of a bucket that all others are compared with in the first round, which ends most buckets, and in later ones.
+PIVOTS, MOST_PIVOTS = 3, 256
 #: Odd multipliers of the min-hashes.
 _TURNS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -58,15 +65,15 @@ def _bands(found: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
-def _sets(batches, shingle: int):
+def _sets(batches, at: int, shingle: int):
     for b in batches:
-        texts = b.column(1).to_pylist()
+        texts = b.column(at).to_pylist()
         sets = [codes(t, shingle) for t in texts]
         columns = [
-            b.column(0), b.column(1), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
             pa.array(np.array([simhash._fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), pa.array([_bands(s) for s in sets], pa.list_(pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "key", "n", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "key", "n", "fp", "bands"])
 
 
 def _verify(batches, shingle: int, similarity: float):
@@ -86,50 +93,78 @@ def _verify(batches, shingle: int, similarity: float):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(vertex, component) of the vertices that links reach: members are (bucket, vertex, n), texts (vertex, text)."""
+    spark = members.sparkSession
+    left = members.withColumn("component", F.col("vertex"))
+    found, most = spark.createDataFrame([], "vertex long, component long"), PIVOTS
+    for turn in count():
+        sizes = stored(left.groupBy("bucket").agg(F.count("*").alias("many"), F.min("vertex").alias("least")), "copies-sizes")
+        hot = F.col("many") > sizes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
+        named = hot_join(left, sizes, ["bucket"], hot)
+        # About so many of a bucket, by a hash; its least one too, where a chain of copies begins.
+        drawn = F.pmod(F.xxhash64("vertex", "bucket", F.lit(turn)), F.col("many")) < most
+        named = stored(named.withColumn("pivot", drawn | (F.col("vertex") == F.col("least"))), "copies-named")
+        pivots = named.where("pivot").select("bucket", "many", F.col("vertex").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        met = hot_join(left, pivots, ["bucket"], hot)
+        fits = (F.col("component") != F.col("pc")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn"))
+        pairs = stored(met.where(fits).select(F.greatest("vertex", "p").alias("child"), F.least("vertex", "p").alias("parent")).distinct(), "copies-pairs")
+        both = pairs.join(texts.select(F.col("vertex").alias("child"), F.col("text").alias("a")), "child").join(texts.select(F.col("vertex").alias("parent"), F.col("text").alias("b")), "parent")
+        new = both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), "child long, parent long")
+        found = stored(simhash.components(found.select(F.col("vertex").alias("child"), F.col("component").alias("parent")).unionByName(new)), "copies-found")
+        # Pivots have met all of their bucket, and leave it.
+        rest = named.where("not pivot").select("bucket", "vertex", "n").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        rest = stored(rest, "copies-rest")
+        apart = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "vertex", "n", "component"), "copies-left")
+        if left.isEmpty():
+            return found
+        most = min(MOST_PIVOTS, 4 * most)
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list]:
+    """Stored rows of docs (row: a number of their own; id, whole, text, key); for each key its rows, and the first row (id, row) of its group; and what selects docs' columns back."""
+    prepare(docs.sparkSession)
+    whole, back = carried(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), whole, "text")
+    kind = T.StructType([*rows.schema.fields, *T._parse_datatype_string("key string, n long, fp long, bands array<long>").fields])
+    # Written once, so that a row's number stays what it is.
+    sets = stored(rows.mapInArrow(partial(_sets, at=3, shingle=shingle), kind), "copies-sets")
+    classes = sets.where("id is not null").groupBy("key").agg(
+        F.min("row").alias("vertex"), F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")
+    )
+    classes = stored(classes, "copies-classes")
+    worded = classes.where("n > 0")  # the class of no words has no links
+
+    prints = simhash.components(simhash.links(worded.select("fp", F.col("fp").alias("vertex")).distinct()))
+    close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
+    members = stored(close.unionByName(worded.select("vertex", "n", F.explode("bands").alias("bucket"))), "copies-members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
+    members = stored(members.join(shared, "bucket", "left_semi"), "copies-met")
+    texts = stored(sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex"), "copies-texts")
+
+    found = _links(members, texts, shingle, similarity)
+    labels = classes.join(found, "vertex", "left").select("key", "rows", "first", F.coalesce("component", "vertex").alias("component"))
+    least = labels.groupBy("component").agg(F.min("first").alias("first"))
+    labels = stored(labels.drop("first").join(least, "component").drop("component"), "copies-labels")
+    return sets.drop("n", "fp", "bands"), labels, back
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) per row of docs: the smallest doc_id that links reach. BANDS and ROWS are made for similarities of 0.8 and more.
+    """(doc_id, component_id) per row of docs: the smallest doc_id of the group. BANDS and ROWS are made for similarities of 0.8 and more.
 
     Texts without words (null, empty) are copies of each other. Rows that repeat
-    a doc_id keep a row each. Rows without a doc_id get a null component. Extra
-    columns are ignored.
+    a doc_id keep a row each, and each is in the group of its own text. Rows
+    without a doc_id get a null component. Extra columns are ignored.
     """
-    prepare(docs.sparkSession)
-    sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sets, shingle=shingle), "doc_id long, text string, key string, n long, fp long, bands array<long>")
-    sets = stored(sets, "copies-sets")
-    rows = sets.where("doc_id is not null")
-    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("vertex"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "copies-classes").where("n > 0")
-
-    prints = simhash.components(simhash.links(classes.select("fp", F.col("fp").alias("vertex")).distinct()))
-    close = classes.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("key", "vertex", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
-    members = close.unionByName(classes.select("key", "vertex", "n", F.explode("bands").alias("bucket")))
-    members = stored(members, "copies-members")
-    # Three of each bucket, by three orders; a bucket of one class has no pair.
-    order = lambda k: F.min_by(F.struct("key", "vertex", "n"), F.xxhash64("key", F.lit(k)))
-    pivots = stored(members.groupBy("bucket").agg(F.count("*").alias("many"), F.array(F.min_by(F.struct("key", "vertex", "n"), F.struct("vertex", "key")), order(1), order(2)).alias("pivots")).where("many > 1"), "copies-pivots")
-    members = stored(members.join(pivots.drop("many"), "bucket"), "copies-met")
-
-    wanted = members.select("key", F.col("vertex").alias("doc_id")).distinct()
-    texts = stored(rows.select("doc_id", "key", "text").join(wanted, ["doc_id", "key"]).dropDuplicates(["key"]).select("key", "text"), "copies-texts")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """(child, parent) by vertex, of the pairs (a, b) of (key, vertex, n) that are similar."""
-        fits = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
-        pairs = pairs.where(fits & (F.col("a.vertex") != F.col("b.vertex")))
-        less = F.col("a.vertex") < F.col("b.vertex")
-        pairs = pairs.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"))
-        pairs = stored(pairs.select(F.col("b.vertex").alias("child"), F.col("a.vertex").alias("parent"), F.col("a.key").alias("ka"), F.col("b.key").alias("kb")).distinct(), "copies-pairs")
-        both = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
-        return stored(both.select("child", "parent", "ta", "tb").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), "child long, parent long"), "copies-links")
-
-    one = F.struct("key", "vertex", "n").alias("a")
-    linked = alike(members.select(one, F.explode("pivots").alias("b")))
-    found = simhash.components(linked)
-    held = members.drop("pivots").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    apart = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    held = stored(held.join(apart, "bucket"), "copies-apart").select("bucket", "component", one)
-    rest = held.alias("x").join(held.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (F.least("x.a.n", "y.a.n") >= similarity * F.greatest("x.a.n", "y.a.n")))
-    found = simhash.components(linked.unionByName(alike(rest.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))))
-
-    # Of no words there is one class, without links.
-    labels = rows.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("vertex")).join(found, "vertex", "left").select("key", F.coalesce("component", "vertex").alias("component_id"))
-    return sets.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    rows, labels, _ = _grouped(docs.select("doc_id", "text"), shingle, similarity)
+    named, hot = rows.where("id is not null").select("id", "key"), F.col("rows") > rows.count() / HOT
+    with_id = hot_join(named, labels, ["key"], hot).select(F.col("id").alias("doc_id"), F.col("first.id").alias("component_id"))
+    return with_id.unionByName(rows.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies: the one of the smallest doc_id, and one of several rows that have it. Rows without a doc_id all stay."""
+    rows, labels, back = _grouped(docs, shingle, similarity)
+    gone = rows.where("id is not null").select("row").join(labels.select(F.col("first.row").alias("row")).distinct(), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*back)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, stored, table, with_row_key
+from tallyspark.llm.common import HOT, hot_join, prepare, row_key, stored, table
 
 #: A value held by more owners, or by more repositories, is a copied example.
 MAX_OWNERS, MAX_REPOSITORIES = 1, 4
@@ -28,6 +28,7 @@ KINDS = ("assign", "access", "hex", "token")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{24,}")
 _TOKEN = re.compile("[A-Za-z0-9+/_-]{32,}={0,2}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _LABELS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PLACEHOLDER = re.compile("example|changeme|placeholder|dummy|sample|your_|xxxx|1234567", re.IGNORECASE)
 
@@ -46,10 +47,13 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
-    taken = [(a, b) for a, _, b, _ in out]
+    # Tokens come in order, so base spans are swept once: those that end before a token never touch a later one.
+    taken, at, held = sorted((a, b) for a, _, b, _ in out), 0, 0
     for m in _TOKEN.finditer(text):
         v = m[0]
-        if not any(a < m.end() and m.start() < b for a, b in taken) and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= MIN_ENTROPY + 0.5:
+        while at < len(taken) and taken[at][0] < m.end():
+            held, at = max(held, taken[at][1]), at + 1
+        if held <= m.start() and _DIGIT.search(v) and _LETTER.search(v) and entropy(v) >= MIN_ENTROPY + 0.5:
             out.append((m.start(), 3, m.end(), v))
     return sorted(out)
 
@@ -78,12 +82,15 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     of their own. Rows that repeat an id are judged each by its text.
     """
     prepare(docs.sparkSession)
-    rows = with_row_key(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.col("text"))
     seen = stored(rows.mapInArrow(_scan, "doc_id long, row_key long, repository string, owner string, found array<struct<start:int,kind:int,stop:int,digest:string,strong:boolean>>"), "secret-candidates")
     held = seen.where(F.size("found") > 0).select("doc_id", "row_key", "repository", "owner", F.explode("found").alias("f"))
-    # Distinct (value, repository, owner) first: a value in a third of all rows is a few rows from each task.
-    frequency = stored(held.select(F.col("f.digest").alias("digest"), "repository", "owner").distinct().groupBy("digest").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners")), "secret-owners")
-    each = held.select("doc_id", "row_key", "f", F.col("f.digest").alias("digest")).dropDuplicates(["doc_id", "row_key", "f"]).join(frequency, "digest")
+    # (value, repository, owner) is counted first: a value in a third of all rows is a few rows from each task.
+    frequency = held.groupBy(F.col("f.digest").alias("digest"), "repository", "owner").agg(F.count("*").alias("rows")).groupBy("digest")
+    frequency = stored(frequency.agg(F.sum("rows").alias("rows"), F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners")), "secret-owners")
+    hot = F.col("rows") > frequency.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] / HOT
+    each = held.select("doc_id", "row_key", "f", F.col("f.digest").alias("digest")).dropDuplicates(["doc_id", "row_key", "f"])
+    each = hot_join(each, frequency, ["digest"], hot)
     live = F.col("f.strong") & (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
     judged = each.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("f.start", "f.kind", "f.stop", "f.digest", "owners", "repositories", live.alias("live")))).alias("judged"))
     judged = judged.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})

@@ -232,13 +232,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """(doc_id, fp, component_id) per row of docs: the smallest doc_id that links of max_bits differing bits reach.
 
     Rows without words (null, empty) have fingerprint 0 and link like others.
-    Rows that repeat a doc_id keep a row each. Rows without a doc_id get their
+    Rows that repeat a doc_id keep a row each, and link what they are near to:
+    all rows of one doc_id are in one component. Rows without a doc_id get their
     fingerprint and a null component. Extra columns are ignored.
     """
     prints = stored(fingerprints(docs, shingle), "simhash-prints")
     classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("vertex")), "simhash-classes")
-    # A doc_id that repeats with other texts stands in several classes; its rows are linked through the id.
-    found = components(links(classes, max_bits))
+    # A doc_id that repeats with other texts stands in several classes: edges from the id to their vertices.
+    again = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("doc_id")
+    through = prints.join(again, "doc_id").join(classes, "fp").where("doc_id > vertex").select(F.col("doc_id").alias("child"), F.col("vertex").alias("parent")).distinct()
+    found = components(links(classes, max_bits).unionByName(through))
     labels = classes.join(found, "vertex", "left").select("fp", F.coalesce("component", "vertex").alias("component_id"))
     out = prints.join(labels, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -44,3 +44,19 @@ def test_edges(spark):
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(df, bench.limit(0)).collect()} == {0}
     assert hashlib.sha256(b"").hexdigest() in {r.items_sha256 for r in [spark.sql("select sha2('', 256) items_sha256").first()]}
+
+
+def test_hot_shingles_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HOT", 2)
+    docs = [(i, f"the cat {i} the dog and the bird") for i in range(80)] + [(90, "one two three"), (91, "nothing here")]
+    items = [(1, "the"), (2, "one two three")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in docs], "doc_id long, text string, row_key int, key int, whole int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(df, bench).collect()], key=str)
+    assert got == brute(docs, items)
+    assert [tuple(r) for r in decontaminate.clean(df, bench).collect()] == [(91, "nothing here", 1, 2, 3)]
+
+
+def test_a_long_text_leaves_no_powers_behind():
+    decontaminate._Words("x" * 3_000_000)
+    assert len(decontaminate._Words.powers[0]) <= 2 * decontaminate.POWERS

@@ -63,6 +63,34 @@ def test_links_reach_on_where_no_pivot_is_near(spark):
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_of_each_judges_rows_by_their_text(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, ""), (9, None), (None, a), (None, a)]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, row int, whole string")
+    got = near_copies.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (7, c), (8, ""), (None, a), (None, a)], key=str)
+
+
+def test_a_bucket_of_many_classes_that_are_not_similar(spark, monkeypatch):
+    """Texts that share a long passage: nearly all pairs meet, and few are links. By several rounds of pivots."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    docs = []
+    for k in range(60):
+        own = [f"o{k}x{i}" for i in range(22)]
+        docs.append((2 * k + 1, " ".join(shared + own)))
+        if k % 3 == 0:
+            docs.append((2 * k, " ".join(shared + own[:-1] + [f"e{k}"])))
+    rng.shuffle(docs)
+    sets = [(d, shingles(t)) for d, t in docs]
+    pairs = [(d, e) for i, (d, a) in enumerate(sets) for e, b in sets[i + 1 :] if similarity(a, b) >= 0.8]
+    assert 0 < len(pairs) < 100
+    monkeypatch.setattr(near_copies, "MOST_PIVOTS", 12)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == tops(docs, pairs)
+
+
 def test_pipeline_stages_on_planted_copies(spark, tmp_path):
     """All stages: of each group that brute force finds, the document of the smallest id is packed and no other."""
     docs, pairs = planted()

@@ -47,3 +47,22 @@ def test_ownership_and_edges(spark):
     assert judged[None, digest(live + "y")].live and judged[5, digest(live + "x")].live
     assert [(f.start, f.kind) for r in rows if r.doc_id == 7 for f in r.found] == [(2, 0), (18, 1), (39, 2)]
     assert secrets.scan(df.limit(0), F.col("source"), F.col("source")).count() == 0
+
+
+def test_hot_values_are_judged_like_others(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "HOT", 3)
+    docs = [(i, f"password = Zq8xW2mP7tLk4Rv9 token={i}abcdefgh", f"o{i % 3}") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = secrets.scan(df, F.col("source"), F.col("source")).collect()
+    assert sorted((r.doc_id, [(j.owners, j.repositories, j.live) for j in r.judged]) for r in rows) == [(i, [(3, 3, False), (1, 1, True)]) for i in range(30)]
+
+
+def test_very_many_spans_are_swept(spark):
+    text = " ".join(f"password = secret{i:06}" for i in range(20_000)) + " " + "Ab3" * 12
+    import time
+
+    began = time.perf_counter()
+    found = secrets.candidates(text)
+    assert len(found) == 20_000 and time.perf_counter() - began < 3
+    token = "q7Rk2ZpX9vLm4TnB8cWd1FgH6jKs3QyE"
+    assert [k for _, k, _, _ in secrets.candidates(f"{token} password={token} {token}")] == [3, 0, 3]

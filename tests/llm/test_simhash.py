@@ -52,6 +52,14 @@ def test_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_linked_through_it(spark):
+    texts = [(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "quite another text here"), (9, "quite another text here"), (9, "a third one of its own"), (12, "nobody has this text at all")]
+    prints = [(d, brute_print(t)) for d, t in texts]
+    want = brute_components(prints)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == set(want.items()) == {(3, 3), (5, 3), (9, 3), (12, 12)}
+
+
 def test_links_of_random_and_dense_fingerprints(spark, monkeypatch):
     rng = random.Random(5)
     prints = {rng.getrandbits(64) for _ in range(300)}
