@@ -2,10 +2,15 @@
 
 Totals by source, language and tokenizer version are sums of signed rows: an
 insert adds a document and its tokens, a delete takes them off, and a revised
-count takes the old ones off and adds the new. A batch is aggregated and
-written to a folder of its own, named by its id; the folder's success marker
-commits it. A batch that is run again, after a failure or by mistake, replaces
-its own folder, so it never counts twice.
+count takes the old ones off and adds the new. A batch is aggregated and written
+under a name of its own attempt; one rename of a small file, commits/<batch id>,
+which names that attempt, publishes it. Until then no reader sees it, so a
+failed attempt leaves nothing behind but files that nobody reads. A batch id
+that is committed already is left as it is, whatever comes with it again.
+
+fold() adds what is committed to the rollup of totals, a table of a row for each
+key, published in the same way; readers then add only the batches since. One
+writer at a time works on a rollup; readers may come at any time.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import prepare, shared_dir, stored, table
+from tallyspark.llm.common import delete, prepare, shared_path, stored, table
 from tallyspark.llm.packing import default_tokenizer, encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -42,29 +47,84 @@ def signed(events: DataFrame) -> DataFrame:
     return events.select(*[F.col(k).cast("string").alias(k) for k in KEYS], F.explode(rows).alias("r")).select(*KEYS, "r.*")
 
 
-def commit(path: str, batch_id: str, events: DataFrame) -> None:
-    """Applies a batch of events to the rollup at path. The same batch_id again replaces what it wrote."""
-    if not batch_id.replace("-", "").replace("_", "").isalnum():
-        raise ValueError("a batch id has letters, digits, - and _")
-    sums = signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    sums.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")  # a row for each source, language and version
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def committed(spark: SparkSession, path: str) -> list[str]:
-    """The folders of the batches whose success marker is there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
-    return sorted(s.getPath().getParent().toString() for s in found)
+def _publish(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A small file that appears whole, by a rename."""
+    fs, at = _fs(spark, path)
+    _, draft = _fs(spark, f"{path[: path.rindex('/')]}/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write("\n".join(lines).encode())
+    out.close()
+    if not fs.rename(draft, at):
+        raise OSError(f"could not publish {path}")
 
 
-def totals(spark: SparkSession, path: str) -> DataFrame:
-    """KEYS, n_docs, n_tokens over all committed batches; keys whose documents are all gone have no row."""
-    folders = committed(spark, path)
+def _published(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Name and lines of each published file of a folder."""
+    fs, at = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    names = sorted(n for n in names if not n.startswith("."))
+    return {n: [r[0] for r in spark.read.text(f"{folder}/{n}").collect()] for n in names}
+
+
+def commit(path: str, batch_id: str, events: DataFrame) -> bool:
+    """Applies a batch of events to the rollup at path. False, and nothing done, where the batch_id is committed already."""
+    if not batch_id.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("a batch id has letters, digits, - and _")
+    spark = events.sparkSession
+    fs, at = _fs(spark, f"{path}/commits/{batch_id}")
+    if fs.exists(at):
+        return False
+    attempt = f"{path}/batches/{batch_id}-{uuid.uuid4().hex}"
+    signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(attempt)
+    _publish(spark, f"{path}/commits/{batch_id}", [attempt])
+    return True
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, list[str], dict[str, str]]:
+    """The number of the newest fold, the folders that make up the totals, and the batches that it hasn't taken in: id to folder."""
+    folds = {int(n): lines for n, lines in _published(spark, f"{path}/folds").items()}
+    newest = max(folds, default=0)
+    base, *taken = folds.get(newest) or [None]
+    taken = set(taken)
+    fresh = {b: lines[0] for b, lines in _published(spark, f"{path}/commits").items() if b not in taken}
+    return newest, [base] if base else [], fresh
+
+
+def fold(spark: SparkSession, path: str) -> int:
+    """Adds all committed batches to the totals and gives how many there were. The batches of the fold before, which no reader of the newest totals needs, are deleted."""
+    newest, base, fresh = _state(spark, path)
+    if not fresh:
+        return 0
+    attempt = f"{path}/totals/{newest + 1}-{uuid.uuid4().hex}"
+    _sums(spark, [*base, *fresh.values()]).write.parquet(attempt)
+    before = _published(spark, f"{path}/folds")
+    old = before.get(f"{newest:08}", [None])[1:]
+    _publish(spark, f"{path}/folds/{newest + 1:08}", [attempt, *old, *fresh])
+    # What the fold before the last was made of may still be read by those who began before that; what is older may not.
+    base, *earlier = before.get(f"{newest - 1:08}", [None])
+    commits = _published(spark, f"{path}/commits") if earlier else {}
+    for folder in [commits[b][0] for b in earlier if b in commits] + [base] * bool(base):
+        delete(spark, folder)
+    return len(fresh)
+
+
+def _sums(spark: SparkSession, folders: list[str]) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
     sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return sums.where("n_docs != 0 or n_tokens != 0")
 
 
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """KEYS, n_docs, n_tokens over the folded totals and all batches committed since; keys whose documents are all gone have no row."""
+    _, base, fresh = _state(spark, path)
+    return _sums(spark, [*base, *fresh.values()])
+
+
 def squeezed(text: str) -> str:
     """The text as the revision counts it: without white space at its ends and with single spaces."""
     text = text.strip()
@@ -95,9 +155,9 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    """A corpus' history in four batches: both halves of the documents come in, counts are revised to the squeezed texts, and rows whose text a smaller doc_id (or an earlier equal row) has are deleted. The second batch is committed twice, as after a retry."""
+    """A corpus' history in four batches: both halves of the documents come in, counts are revised to the squeezed texts, and rows whose text a smaller doc_id (or an earlier equal row) has are deleted. The first two are folded; the second is sent once more, as after a lost answer."""
     rows = stored(counted(table(spark, sf_dir, "documents"), default_tokenizer()), "token-counts").withColumn("tokenizer", F.lit("byte_bpe_50k"))
-    path = f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
+    path = shared_path(spark, "token-rollup")
 
     def event(df, op, tokens, old=None, docs=None):
         old, docs = F.lit(None).cast("long") if old is None else old, F.lit(1).cast("long") if docs is None else docs
@@ -107,7 +167,8 @@ def query(spark, sf_dir):
     late = event(rows.where(~half), "insert", F.col("tokens"))
     commit(path, "insert-1", event(rows.where(half), "insert", F.col("tokens")))
     commit(path, "insert-2", late)
-    commit(path, "insert-2", late)
+    fold(spark, path)
+    commit(path, "insert-2", late)  # left as it is
     commit(path, "revise-1", event(rows.where("tokens != revised"), "revise", F.col("revised"), F.col("tokens")))
     # A text's rows are summed by key before its digest gathers them, so a group of copies is a few rows. All of it goes, and the first comes back.
     groups = rows.groupBy("digest", *KEYS).agg(F.count("*").alias("docs"), F.sum("revised").alias("revised"), F.min(F.struct("doc_id", "source", "lang", "revised", "tokenizer")).alias("r"))

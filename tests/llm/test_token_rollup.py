@@ -27,21 +27,53 @@ def test_history_of_the_corpus(spark, sf):
 def test_commits(spark, tmp_path):
     path = str(tmp_path / "rollup")
     batch = lambda *rows: spark.createDataFrame(list(rows), EVENT)
-    assert token_rollup.totals(spark, path).count() == 0
+    now = lambda: {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.totals(spark, path).collect()}
+    assert token_rollup.totals(spark, path).count() == 0 and token_rollup.fold(spark, path) == 0
     one = batch(("insert", "a", "x", "t", 10, None), ("insert", "a", "x", "t", 10, None), ("insert", None, "x", "t", None, None))
-    token_rollup.commit(path, "b1", one)
-    token_rollup.commit(path, "b1", one)  # a retry
+    assert token_rollup.commit(path, "b1", one)
+    assert not token_rollup.commit(path, "b1", one)  # a retry
+    assert not token_rollup.commit(path, "b1", batch(("insert", "other", "x", "t", 1, None)))  # an id used again
     token_rollup.commit(path, "b2", batch(("revise", "a", "x", "t", 7, 10), ("insert", "b", "x", "t", 4, None)))
     token_rollup.commit(path, "b3", batch(("delete", "b", "x", "t", 4, None)).limit(1))
     token_rollup.commit(path, "b4", one.limit(0))
-    (tmp_path / "rollup" / "batch=lost").mkdir()  # a batch that failed: no marker
-    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.totals(spark, path).collect()}
-    assert got == {("a", "x", "t"): (2, 17), (None, "x", "t"): (1, 0)}
+    (tmp_path / "rollup" / "batches" / "lost").mkdir()  # an attempt that failed
+    want = {("a", "x", "t"): (2, 17), (None, "x", "t"): (1, 0)}
+    assert now() == want
     with pytest.raises(Exception, match="unknown op"):
         token_rollup.commit(path, "b5", batch(("upsert", "a", "x", "t", 1, None)))
     with pytest.raises(ValueError):
         token_rollup.commit(path, "../b", one)
-    assert token_rollup.totals(spark, path).count() == 2
+    assert now() == want
+
+
+def test_a_failed_retry_leaves_the_committed_batch(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    batch = lambda *rows: spark.createDataFrame(list(rows), EVENT)
+    token_rollup.commit(path, "b1", batch(("insert", "a", "x", "t", 10, None)))
+    bad = batch(("upsert", "a", "x", "t", 1, None))
+    assert not token_rollup.commit(path, "b1", bad)
+    with pytest.raises(Exception, match="unknown op"):
+        token_rollup.commit(path, "b2", bad)
+    assert token_rollup.totals(spark, path).first().n_tokens == 10
+    assert token_rollup.commit(path, "b2", batch(("insert", "a", "x", "t", 5, None)))
+    assert token_rollup.totals(spark, path).first().n_tokens == 15
+
+
+def test_folds_keep_the_totals(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    batch = lambda *rows: spark.createDataFrame(list(rows), EVENT)
+    now = lambda: {r.source: (r.n_docs, r.n_tokens) for r in token_rollup.totals(spark, path).collect()}
+    for k in range(4):
+        token_rollup.commit(path, f"in-{k}", batch(("insert", "a", "x", "t", 10 + k, None), ("insert", f"s{k}", "x", "t", 1, None)))
+        want = now()
+        reader = token_rollup.totals(spark, path)
+        assert token_rollup.fold(spark, path) == 1 and now() == want
+        assert reader.count() == len(want)  # one who began before the fold
+        assert token_rollup.fold(spark, path) == 0
+        assert not token_rollup.commit(path, f"in-{k}", batch(("insert", "a", "x", "t", 10, None)))
+    token_rollup.commit(path, "out", batch(("delete", "s0", "x", "t", 1, None)))
+    assert now() == {"a": (4, 46), "s1": (1, 1), "s2": (1, 1), "s3": (1, 1)}
+    assert len(list((tmp_path / "rollup" / "batches").iterdir())) < 5
 
 
 def test_counts_of_odd_texts(spark):
