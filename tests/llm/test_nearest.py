@@ -55,3 +55,36 @@ def test_a_longer_vector_leaves_its_batch_alone(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     got = nearest.search(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [11, 10, 9]
+
+
+def test_many_dimensions_and_queries_that_repeat(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 768))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, [0, 50, 100, 150])
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.95 * 80
+    other = [-float(v) for v in rows[0][1]]
+    first = min(rows[0][1], other)
+    twice = nearest.search(df.unionByName(spark.createDataFrame([(0, other)], df.schema)), F.col("vec_id") == 0, k=1).collect()
+    best = max((float(np.dot(first, v)), -i) for i, v in rows[1:])
+    assert [(r.query_id, r.vec_id) for r in twice] == [(0, -best[1])]
+
+
+def test_estimates_come_from_packed_words():
+    """The counted bits give the product with the rounded query, and the product with the query within the rounding."""
+    rng = np.random.default_rng(3)
+    for dim in (64, 200):
+        bits = nearest.code_bits(dim)
+        turn = nearest.rotation(dim, bits)
+        q, signs = rng.normal(size=(5, dim)) @ turn, rng.integers(0, 2, (300, bits))
+        codes = np.packbits(signs.astype(bool), axis=1, bitorder="little").view(np.uint64)
+        plane, low, step = nearest.planes(q)
+        for r in range(5):
+            rounded = low[r] + step[r] * np.rint((q[r] - low[r]) / step[r])
+            got = nearest.estimates(codes, signs.sum(axis=1), plane[r], low[r], step[r], rounded.sum())
+            assert np.allclose(got, (2 * signs - 1) @ rounded / np.sqrt(bits))
+            assert np.abs(got - (2 * signs - 1) @ q[r] / np.sqrt(bits)).max() < step[r] * 4
