@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import prepare, table
 
 PASSAGE = 64
-#: Labelled documents that a fit takes at most, the smallest hashes of doc_id first.
-SAMPLE = 4000
+#: Labelled rows that a fit takes at most, the smallest hashes of doc_id first, and the passages of each: spread evenly over a longer text. (Scores see all passages.)
+SAMPLE, SAMPLE_PASSAGES = 4000, 256
 HIDDEN, ATTENTION, EPOCHS, BAGS = 24, 12, 30, 32
 
 #: Byte classes: white space, newline, lower, upper, digit, high bytes, single signs, other signs.
@@ -138,17 +138,22 @@ def held_out(doc_id):
 
 def _bags(batches):
     for b in batches:
-        data = [encode(t.as_py()).astype(np.float16).tobytes() for t in b.column(1)]
+        bags = [encode(t.as_py()) for t in b.column(1)]
+        data = [x[np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).astype(int)].astype(np.float16).tobytes() for x in bags]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "bag"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from at most sample labelled rows that aren't held out; None where they don't hold both labels."""
+    """A model from at most sample labelled rows that aren't held out; None where they don't hold both labels.
+
+    A doc_id with labels of both kinds counts as 0. Rows that repeat a doc_id
+    are bags of their own; beyond sample rows those of the largest hashes go.
+    """
     prepare(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_bags, "doc_id long, bag binary").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(sample).collect()
+    rows = texts.mapInArrow(_bags, "doc_id long, bag binary").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(sample).collect()
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return None

@@ -1,9 +1,15 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted in order, each by a logistic regression over the
-presence of words and word beginnings and the probabilities of the categories before it. A later model is
-trained on probabilities that models of other folds gave (out-of-fold), so it
-sees earlier predictions as good as they are on unseen documents.
+presence of words and word beginnings and the probabilities of the categories
+before it. A later model is trained on probabilities that models of other folds
+gave (out-of-fold), so it sees earlier predictions as good as they are on unseen
+documents.
+
+The categories before `toxic` are columns of the labels, where the caller names
+some. Otherwise they are found in the labelled toxic documents: the words that
+mark those are parted into two themes by which of them stand together, and a
+theme holds for a toxic document with one of its words. No word list is built in.
 
 Fitting takes a bounded sample of labelled documents; scoring runs over every
 whole text where it lies, without a shuffle.
@@ -30,9 +36,8 @@ VOCABULARY, FOLDS, THRESHOLD = 512, 5, 0.5
 PREFIXES = (4, 5, 6, 7)
 #: A word of the vocabulary stands in this share of the toxic documents at least, and so much oftener than in others (standard errors).
 MIN_SHARE, MIN_Z = 0.01, 5
-#: Words that mark the earlier categories in documents labelled toxic.
-SEEDS = {"insult": ["idiot", "moron", "loser", "clown", "stupid"], "contempt": ["trash", "scum", "worthless", "disgusting", "pathetic"]}
-CATEGORIES = ("insult", "contempt", "toxic")
+#: Categories that are found where labels hold none.
+THEMES = ("theme_1", "theme_2")
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -107,20 +112,31 @@ class Chain:
         return x[:, len(self.vocabulary) :]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """A chain for SEEDS' categories and `toxic`, or None where labels hold no toxic or no other document.
+def themes(x: np.ndarray) -> np.ndarray:
+    """Parts marking words (columns of toxic documents' 0/1 rows) in two groups: by the sign of the first principal component, so words that stand together are in one. Group 0 has the first column."""
+    if x.shape[1] < 2 or len(x) < 2:
+        return np.zeros(x.shape[1], int)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    first = np.linalg.eigh(z.T @ z)[1][:, -1]
+    return ((first > 0) != (first[0] > 0)).astype(int)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories: tuple[str, ...] = ()) -> Chain | None:
+    """A chain for categories (0/1 columns of labels, in their order; THEMES where none are named) and then `toxic`, or None where labels hold no toxic or no other document.
 
-    A category before the last holds for a toxic document with one of its seed
-    words; the models find words beside these. Near copies in the sample, by
-    two min-hashes, count once. Rows with a null id or label are left out.
+    A doc_id with several labels has the largest of each column. Near copies of
+    one labelling in the sample, which agree in two min-hashes, count once, as
+    the smallest doc_id of them. Rows with a null id or a null `toxic` are left out; another
+    null label is 0.
     """
     spark = prepare(docs.sparkSession)
-    chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    largest = [F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"c{i}") for i, c in enumerate(categories)]
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"), *largest)
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = texts.mapInArrow(_sample_rows, "doc_id long, m1 long, m2 long, words array<string>").join(F.broadcast(chosen), "doc_id")
-    for m in ("m1", "m2"):
-        rows = rows.groupBy(m).agg(F.min(F.struct("doc_id", "m1", "m2", "y", "words")).alias("r")).select("r.*")
+    given = F.array(*[F.col(f"c{i}") for i in range(len(categories))]).cast("array<int>").alias("given")
+    rows = rows.select("doc_id", "m1", "m2", "words", "y", given).groupBy("m1", "m2", "y", "given").agg(F.min(F.struct("doc_id", "words")).alias("r")).select("r.*", "y", "given")
     rows = stored(rows, "toxicity-sample")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = total["n"], total["p"]
@@ -132,34 +148,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
     top = held.where(F.col("b") < n).withColumn("z", z).where(F.col("z") > MIN_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(top)}
     kept = F.array_intersect("words", F.lit(sorted(vocabulary)) if vocabulary else F.array().cast("array<string>"))
-    seeds = [F.arrays_overlap("words", F.lit(SEEDS[c])).alias(c) for c in CATEGORIES[:-1]]
-    found = rows.select("doc_id", "y", kept.alias("words"), *seeds).orderBy("doc_id").collect()
-    x, ys = np.zeros((n, len(vocabulary))), np.zeros((n, len(CATEGORIES)))
+    found = rows.select("doc_id", "y", kept.alias("words"), "given").orderBy("doc_id").collect()
+    x, y = np.zeros((n, len(vocabulary))), np.array([r["y"] for r in found], float)
     for i, r in enumerate(found):
         x[i, [vocabulary[w] for w in r["words"]]] = 1
-        ys[i] = [r["y"] and r[c] for c in CATEGORIES[:-1]] + [r["y"]]
+    if categories:
+        earlier = np.array([r["given"] for r in found], float)
+    else:
+        whole = [i for w, i in vocabulary.items() if not w.endswith("-")]
+        part = themes(x[np.ix_(y == 1, whole)])
+        earlier = np.stack([y * x[:, [i for i, g in zip(whole, part, strict=True) if g == k]].any(axis=1) for k in range(len(THEMES))], axis=1)
     fold = np.array([xxhash.xxh64_intdigest(str(r["doc_id"])) % FOLDS for r in found])
-    return Chain.fit(CATEGORIES, vocabulary, x, ys, fold)
+    return Chain.fit((*(categories or THEMES), "toxic"), vocabulary, x, np.hstack([earlier, y[:, None]]), fold)
 
 
-def _score(batches, chain: Chain | None, at: int, threshold: float):
+def _score(batches, chain: Chain | None, categories: tuple[str, ...], at: int, threshold: float):
     for b in batches:
-        probs = chain.predict(list(b.column(at))) if chain else np.zeros((b.num_rows, len(CATEGORIES)))
+        probs = chain.predict(list(b.column(at))) if chain else np.zeros((b.num_rows, len(categories)))
         cols = [pa.array(probs[:, i]) for i in range(probs.shape[1])] + [pa.array(probs[:, -1] >= threshold)]
-        yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *[f"p_{c}" for c in CATEGORIES], "is_toxic"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *[f"p_{c}" for c in categories], "is_toxic"])
 
 
 def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with p_insult, p_contempt, p_toxic and is_toxic (p_toxic at the threshold or above); columns of these names are replaced.
+    """docs with p_<category> for each category, p_toxic and is_toxic (p_toxic at the threshold or above); columns of these names are replaced.
 
-    Null and empty texts score as texts without words. Without a chain all
-    probabilities are 0 and nothing is toxic.
+    Null and empty texts score as texts without words. Without a chain the
+    categories are THEMES, all probabilities are 0 and nothing is toxic.
     """
     prepare(docs.sparkSession)
-    added = [f"p_{c}" for c in CATEGORIES]
+    categories = chain.categories if chain else (*THEMES, "toxic")
+    added = [f"p_{c}" for c in categories]
     docs = docs.drop(*added, "is_toxic")
     schema = T.StructType(docs.schema.fields + [T.StructField(c, T.DoubleType()) for c in added] + [T.StructField("is_toxic", T.BooleanType())])
-    return docs.mapInArrow(partial(_score, chain=chain, at=docs.columns.index("text"), threshold=threshold), schema)
+    return docs.mapInArrow(partial(_score, chain=chain, categories=categories, at=docs.columns.index("text"), threshold=threshold), schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

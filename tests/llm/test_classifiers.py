@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspark.llm import quality, toxicity
 
@@ -52,15 +53,66 @@ def test_quality_edges(spark):
     assert quality.score(df.limit(0), None).count() == 0
 
 
-def test_toxicity_finds_labelled_documents(spark):
+def test_quality_takes_the_smaller_of_two_labels(spark):
+    rows = [(i, ("good words in a row " if i % 2 else "|| ## || $$ ") * 30) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = [(i, i % 2) for i in range(60)]
+    twice = once + [(i, 1) for i in range(0, 60, 2)]  # the even ones have both labels
+    scores = lambda labels: [r.score for r in quality.score(df, quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))).orderBy("doc_id").collect()]
+    assert np.allclose(scores(once), scores(twice))
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Fitted on two thirds of the labels, measured on the rest. (Shares at 0.1: 150 or so toxic rows unseen.)"""
     sf = "/root/testdata/sf0.1"
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = toxicity.query(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    seen = [(r.is_toxic, labels[r.doc_id]) for r in rows if labels.get(r.doc_id) is not None]
-    toxic = [t for t, y in seen if y]
-    clean = [t for t, y in seen if not y]
-    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    unseen = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 1
+    chain = toxicity.fit(docs, labels.where(~unseen))
+    rows = toxicity.score(docs, chain).join(labels.where(unseen & F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id").select("is_toxic", "toxic").collect()
+    toxic, clean = [r.is_toxic for r in rows if r.toxic], [r.is_toxic for r in rows if not r.toxic]
+    print(f"held out: {sum(toxic)} of {len(toxic)} toxic, {sum(clean)} of {len(clean)} others")
+    assert len(toxic) > 100 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_query(spark, sf):
+    rows = toxicity.query(spark, sf)
+    assert rows.columns == ["doc_id", "p_theme_1", "p_theme_2", "p_toxic", "is_toxic"] and rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def own(i):
+    """A word of letters for a number."""
+    return "".join(chr(97 + int(c)) for c in f"{i:05}")
+
+
+def test_toxicity_categories_of_the_caller(spark):
+    """Labels with columns of their own lead the chain; one category follows from words, the last from both."""
+    kinds = {(0, 0): "calm words of no harm", (1, 0): "grim threat at once", (0, 1): "vile slur again", (1, 1): "grim threat and vile slur"}
+    docs, labels = [], []
+    for i in range(240):
+        threat, slur = i % 2, i // 2 % 2
+        docs.append((i, f"{kinds[threat, slur]} {own(i)} {own(i * 7)} {own(i * 13)}"))
+        labels.append((i, threat, slur, int(threat or slur)))
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, threat int, slur int, toxic int")
+    chain = toxicity.fit(df, lab, categories=("threat", "slur"))
+    assert chain.categories == ("threat", "slur", "toxic") and [len(w) - 1 - len(chain.vocabulary) for w in chain.weights] == [0, 1, 2]
+    rows = toxicity.score(df, chain).collect()
+    assert all((r.p_threat > 0.5, r.p_slur > 0.5, r.is_toxic) == (bool(r.doc_id % 2), bool(r.doc_id // 2 % 2), bool(r.doc_id % 4)) for r in rows)
+
+
+def test_toxicity_takes_the_larger_of_two_labels_and_keeps_texts_around_a_shared_passage(spark):
+    shared = " ".join(own(i) for i in range(300, 306))
+    docs = [(i, f"{shared} {'rotten filth' if i % 2 else 'fine day'} {own(i)}") for i in range(200)]
+    labels = [(i, i % 2) for i in range(200)] + [(i, 0) for i in range(1, 200, 2)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert [r.is_toxic for r in toxicity.score(df, toxicity.fit(df, lab)).orderBy("doc_id").collect()] == [bool(i % 2) for i in range(200)]
+
+
+def test_themes_are_words_that_stand_together():
+    rng = np.random.default_rng(1)
+    first = rng.random((200, 1)) < 0.5
+    x = np.hstack([(first & (rng.random((200, 3)) < 0.8)), (~first & (rng.random((200, 3)) < 0.8))]).astype(float)
+    assert list(toxicity.themes(x)) == [0, 0, 0, 1, 1, 1]
+    assert list(toxicity.themes(x[:, :1])) == [0] and not len(toxicity.themes(x[:, :0]))
 
 
 def test_toxicity_edges(spark):
