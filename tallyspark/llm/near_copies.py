@@ -1,11 +1,13 @@
 """Near copies by exact Jaccard similarity of word shingles, for the pipeline.
 
 1. Every whole text gets the set of its five-word shingles (words as SimHash
-   takes them), a SimHash fingerprint of it and BANDS hashes of ROWS min-hashes.
+   takes them), a SimHash fingerprint of it and BANDS hashes of ROWS min-hashes,
+   which are its sketch.
 2. Texts of equal sets become one class; its vertex is the least of its rows.
 3. Candidates are classes that share a bucket: a band, or a component of SimHash
-   links. Two sets of similarity s share a band with probability
-   1 - (1 - s**5)**20: 0.9996 at 0.8, and more above. That is the only place
+   links, and whose sketches agree in AGREE bands or whose fingerprints are
+   links. Two sets of similarity s share a band with probability s**5; at 0.8,
+   three or more of 32 with 0.9996, and above with more. That is the only place
    where a pair can be missed.
 4. Candidates are compared shingle by shingle (as 64-bit hashes) in rounds. In a
    round each bucket names a few pivots, and each of its classes that isn't
@@ -35,7 +37,7 @@ from tallyspark.llm import simhash
 from tallyspark.llm.common import HOT, carried, hot_join, prepare, stored
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 20, 5
+BANDS, ROWS, AGREE = 32, 5, 3
 #: Classes of a bucket that all others are compared with in the first round, which ends most buckets, and in later ones.
 PIVOTS, MOST_PIVOTS = 3, 256
 #: Odd multipliers of the min-hashes.
@@ -69,11 +71,24 @@ def _sets(batches, at: int, shingle: int):
     for b in batches:
         texts = b.column(at).to_pylist()
         sets = [codes(t, shingle) for t in texts]
+        bands = [_bands(s) for s in sets]
         columns = [
             pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array(np.array([simhash._fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), pa.array([_bands(s) for s in sets], pa.list_(pa.int64())),
+            pa.array(np.array([simhash._fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
+            pa.array([(np.array(x, np.int64) & 0xFFFF).astype(np.uint16).tobytes() for x in bands], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "key", "n", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "key", "n", "fp", "bands", "sketch"])
+
+
+def _agree(batches, agree: int, max_bits: int):
+    """Of pairs with both fingerprints and sketches, those that may be similar."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        fp = [b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3)]
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (4, 5))
+        keep = ((x == y).sum(axis=1) >= agree) | (np.bitwise_count(fp[0] ^ fp[1]) <= max_bits)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep))
 
 
 def _verify(batches, shingle: int, similarity: float):
@@ -94,7 +109,7 @@ def _verify(batches, shingle: int, similarity: float):
 
 
 def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(vertex, component) of the vertices that links reach: members are (bucket, vertex, n), texts (vertex, text)."""
+    """(vertex, component) of the vertices that links reach: members are (bucket, vertex, n, fp, sketch), texts (vertex, text)."""
     spark = members.sparkSession
     left = members.withColumn("component", F.col("vertex"))
     found, most = spark.createDataFrame([], "vertex long, component long"), PIVOTS
@@ -105,21 +120,22 @@ def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float
         # About so many of a bucket, by a hash; its least one too, where a chain of copies begins.
         drawn = F.pmod(F.xxhash64("vertex", "bucket", F.lit(turn)), F.col("many")) < most
         named = stored(named.withColumn("pivot", drawn | (F.col("vertex") == F.col("least"))), "copies-named")
-        pivots = named.where("pivot").select("bucket", "many", F.col("vertex").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        pivots = named.where("pivot").select("bucket", "many", *[F.col(c).alias(f"p_{c}") for c in ("vertex", "n", "component", "fp", "sketch")])
         met = hot_join(left, pivots, ["bucket"], hot)
-        fits = (F.col("component") != F.col("pc")) & (F.least("n", "pn") >= similarity * F.greatest("n", "pn"))
-        pairs = stored(met.where(fits).select(F.greatest("vertex", "p").alias("child"), F.least("vertex", "p").alias("parent")).distinct(), "copies-pairs")
+        fits = (F.col("component") != F.col("p_component")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
+        met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "fp", "p_fp", "sketch", "p_sketch")
+        pairs = met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), "child long, parent long").distinct()
         both = pairs.join(texts.select(F.col("vertex").alias("child"), F.col("text").alias("a")), "child").join(texts.select(F.col("vertex").alias("parent"), F.col("text").alias("b")), "parent")
         new = both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), "child long, parent long")
         found = stored(simhash.components(found.select(F.col("vertex").alias("child"), F.col("component").alias("parent")).unionByName(new)), "copies-found")
         # Pivots have met all of their bucket, and leave it.
-        rest = named.where("not pivot").select("bucket", "vertex", "n").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        rest = named.where("not pivot").select("bucket", "vertex", "n", "fp", "sketch").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         rest = stored(rest, "copies-rest")
         apart = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "vertex", "n", "component"), "copies-left")
+        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "vertex", "n", "fp", "sketch", "component"), "copies-left")
         if left.isEmpty():
             return found
-        most = min(MOST_PIVOTS, 4 * most)
+        most = MOST_PIVOTS
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list]:
@@ -127,11 +143,11 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     prepare(docs.sparkSession)
     whole, back = carried(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), whole, "text")
-    kind = T.StructType([*rows.schema.fields, *T._parse_datatype_string("key string, n long, fp long, bands array<long>").fields])
+    kind = T.StructType([*rows.schema.fields, *T._parse_datatype_string("key string, n long, fp long, bands array<long>, sketch binary").fields])
     # Written once, so that a row's number stays what it is.
     sets = stored(rows.mapInArrow(partial(_sets, at=3, shingle=shingle), kind), "copies-sets")
     classes = sets.where("id is not null").groupBy("key").agg(
-        F.min("row").alias("vertex"), F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")
+        F.min("row").alias("vertex"), F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
     classes = stored(classes, "copies-classes")
     worded = classes.where("n > 0")  # the class of no words has no links
@@ -140,14 +156,14 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
     members = stored(close.unionByName(worded.select("vertex", "n", F.explode("bands").alias("bucket"))), "copies-members")
     shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    members = stored(members.join(shared, "bucket", "left_semi"), "copies-met")
+    members = stored(members.join(shared, "bucket", "left_semi").join(worded.select("vertex", "fp", "sketch"), "vertex"), "copies-met")
     texts = stored(sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex"), "copies-texts")
 
     found = _links(members, texts, shingle, similarity)
     labels = classes.join(found, "vertex", "left").select("key", "rows", "first", F.coalesce("component", "vertex").alias("component"))
     least = labels.groupBy("component").agg(F.min("first").alias("first"))
     labels = stored(labels.drop("first").join(least, "component").drop("component"), "copies-labels")
-    return sets.drop("n", "fp", "bands"), labels, back
+    return sets.drop("n", "fp", "bands", "sketch"), labels, back
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
