@@ -44,8 +44,22 @@ def unaccent(v) -> Column:
     return F.regexp_replace(F.translate(_s(v), COMPOSED, BASE), r"[̀-ͯ^`·¨¯´¸]", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once: a lambda's variable is, where an expression named twice may be evaluated twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _is_ascii(v: Column) -> Column:
+    return F.octet_length(v) == F.char_length(v)
+
+
 def text(v) -> Column:
-    return F.upper(F.replace(F.trim(F.regexp_replace(unaccent(v), WS + "+", " ")), F.lit("ß"), F.lit("SS")))
+    """Without diacritics, with single spaces, in capitals. Pure ASCII takes a short way to the same result."""
+    v = _s(v)
+    bare = F.when(F.contains(v, F.lit("`")) | F.contains(v, F.lit("^")), F.regexp_replace(v, "[`^]", "")).otherwise(v)
+    short = F.upper(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    full = F.upper(F.replace(F.trim(F.regexp_replace(unaccent(v), WS + "+", " ")), F.lit("ß"), F.lit("SS")))
+    return F.when(_is_ascii(v), short).otherwise(full)
 
 
 def digits(v) -> Column:
@@ -54,12 +68,14 @@ def digits(v) -> Column:
 
 def money_decimal(v) -> Column:
     """The amount, or null. With both separators the last one is the decimal one; a single separator is, if two signs follow it."""
-    kept = F.regexp_replace(F.regexp_replace(_s(v), r"(?i)R\$", ""), r"[^0-9,.\-]", "")
-    cut = (F.contains(kept, F.lit(".")) & F.contains(kept, F.lit(","))) | kept.rlike(r"^[^.,]*[.,][^.,]{2}\z")
-    head = F.regexp_replace(F.regexp_extract(kept, r"^(.*)[.,]", 1), "[.,]", "")
-    plain = F.when(cut, F.concat(head, F.lit("."), F.regexp_extract(kept, r"[.,]([^.,]*)\z", 1))).otherwise(F.regexp_replace(kept, "[.,]", ""))
-    number = F.nullif(F.regexp_extract(plain, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0), F.lit(""))
-    return F.round(number.try_cast("decimal(38,10)"), 2).cast("decimal(28,2)")
+
+    def amount(kept):
+        cut = kept.rlike(r"^(?=[^.]*\.)(?=[^,]*,)|^[^.,]*[.,][^.,]{2}\z")
+        return F.when(cut, F.translate(F.regexp_replace(kept, "[.,](?=.*[.,])", ""), ",", ".")).otherwise(F.translate(kept, ".,", ""))
+
+    # What stands at the front counts, as in 12-3.
+    prefix = lambda plain: F.coalesce(plain.try_cast("decimal(38,10)"), F.nullif(F.regexp_extract(plain, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0), F.lit("")).try_cast("decimal(38,10)"))
+    return F.round(let(let(F.regexp_replace(_s(v), r"[^0-9,.\-]", ""), amount), prefix), 2).cast("decimal(28,2)")
 
 
 def money(v) -> Column:
@@ -82,15 +98,18 @@ def property_identifier(v) -> Column:
 def date(v) -> Column:
     """yyyy-MM-dd, not checked against the calendar; two-digit years are of this century, unknown months January."""
     numeric = r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{2,4})"
-    part = lambda i: F.regexp_extract(_s(v), numeric, i)
-    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    low, words = F.lower(text(v)), "([0-9]{1,2}) de ([a-z]+) de ([0-9]{4})"
-    word = lambda i: F.regexp_extract(low, words, i)
-    month = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), word(2)), F.lit("01"))
-    return (
-        F.when(_s(v).rlike(numeric), F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")))
-        .when(low.rlike(words), F.concat_ws("-", word(3), month, F.lpad(word(1), 2, "0"))).otherwise(text(v))
-    )
+
+    def of_numbers(found):
+        year = F.element_at(found, 3)
+        return F.concat_ws("-", F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year), F.lpad(F.element_at(found, 2), 2, "0"), F.lpad(F.element_at(found, 1), 2, "0"))
+
+    def of_words(low):
+        word = lambda i: F.regexp_extract(low, "([0-9]{1,2}) de ([a-z]+) de ([0-9]{4})", i)
+        month = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), word(2)), F.lit("01"))
+        return F.when(word(3) != "", F.concat_ws("-", word(3), month, F.lpad(word(1), 2, "0"))).otherwise(F.upper(low))
+
+    first = F.regexp_extract(_s(v), numeric, 0)
+    return let(first, lambda m: F.when(m != "", let(F.split(m, "[/-]"), of_numbers)).otherwise(let(F.lower(text(v)), of_words)))
 
 
 def email(v) -> Column:

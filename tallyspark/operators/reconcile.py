@@ -1,8 +1,9 @@
 """Reconciliation of every field of a process across its sources.
 
-One shuffle by process brings a process' values and its context together; the
-checklist is exploded against them as a literal, and one CASE over arrays of at
-most ten sources decides. Nothing is a UDF.
+One shuffle by process brings a process' values and its context together: values
+are packed by field (and buyer) first, then by process, on the same partitioning.
+The checklist is exploded against the packed fields as a literal, and one CASE
+over arrays of at most ten sources decides. Nothing is a UDF.
 """
 
 from __future__ import annotations
@@ -54,64 +55,137 @@ def source_diagnostic(g) -> Column:
     return F.when((F.size(alone) > 0) & (F.size(many) > 0), apart).otherwise(every)
 
 
+IDENTITY = ("buyer.name", "buyer.cpf")
+
+
+def _packed(rows: DataFrame, repeated: list[str]) -> DataFrame:
+    """(process_id, by_key, people): a map of key to rows in the sources' order, and the buyers as (id, label) in order of appearance."""
+    person = F.when(F.col("field_id").isin(repeated), F.col("participant_id")) if "participant_id" in rows.columns else F.lit(None).cast("string")
+    keyed = rows.repartition("process_id").withColumn("person", person).withColumn("key", F.when(F.col("person").isNotNull(), F.concat_ws("::", "field_id", "person")).otherwise(F.col("field_id")))
+    each = keyed.groupBy("process_id", "key").agg(
+        F.array_sort(F.collect_list(F.struct("source_ord", "source", "value", "norm", "confidence"))).alias("rows"), F.any_value("field_id").alias("field_id"), F.any_value("person").alias("person")
+    )
+    seen = F.struct((~F.col("field_id").isin(*IDENTITY)).alias("other"), F.element_at("rows", 1)["source_ord"].alias("at"), F.col("person").alias("id"), F.when(F.col("field_id") == "buyer.name", F.get(_filled(F.col("rows")), F.lit(0))["value"]).alias("name"))
+    per = each.groupBy("process_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "rows"))).alias("by_key"), F.array_sort(F.collect_list(F.when(F.col("person").isNotNull(), seen))).alias("seen"))
+    # Buyers are those that a name or tax id names; without one, all that some value names.
+    named = F.filter("seen", lambda x: ~x["other"])
+    chosen = F.when(F.size(named) > 0, named).otherwise(F.col("seen"))
+    ids = F.array_distinct(F.transform(chosen, lambda x: x["id"]))
+    label = lambda i, at: F.coalesce(F.get(F.filter("seen", lambda x: (x["id"] == i) & x["name"].isNotNull()), F.lit(0))["name"], F.concat(F.lit("Comprador "), (at + 1).cast("string")))
+    return per.select("process_id", "by_key", F.transform(ids, lambda i, at: F.struct(i.alias("id"), label(i, at).alias("label"))).alias("people"))
+
+
 def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(process_id, field_id, status, observation, rung, rows, diff) per process and field with evidence.
+    """(process_id, field_id, participant_id, status, observation, rung, rows, diff) per process and field (and buyer, for fields that repeat) with evidence.
 
     evidence: (process_id, source_ord, source, field_id, value, confidence), one
-    row for each source and field. context: (process_id, participating,
-    unreadable, conflicts, issues), arrays of sources and of source:field keys.
+    row for each source and field, and for each buyer where a column
+    participant_id says whose value it is. context: (process_id, participating,
+    unreadable, conflicts, issues), arrays of sources and of source:field (or
+    source:field::buyer) keys, and maybe errors, a map of source to text.
     rung: the step that decided. A null or blank value is a value looked for
-    and not found. fields limits the checklist.
+    and not found. Values of sources that don't participate aren't compared.
+    fields limits the checklist.
     """
     chosen = [f for f in catalog.fields() if fields is None or f[0] in fields]
     kinds = F.create_map(*[F.lit(x) for f in chosen for x in (f[0], f[2])])
     value = F.coalesce(F.trim(F.regexp_replace("value", f"^{n.WS}+|{n.WS}+$", "")), F.lit(""))
     rows = evidence.where(F.col("field_id").isin([f[0] for f in chosen])).withColumn("value", value)
     rows = rows.withColumn("norm", n.field_value("value", F.element_at(kinds, F.col("field_id")), F.col("field_id")))
-    packed = rows.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("source_ord", "source", "field_id", "value", "norm", "confidence"))).alias("all"))
-    catalogue = F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(k).alias("field_type"), F.array(*map(F.lit, s)).alias("expected")) for f, _, k, _, s in chosen])
-    each = context.join(packed, "process_id", "left").withColumn("all", F.coalesce("all", F.array().cast(packed.schema["all"].dataType)))
-    each = each.select("*", F.explode(catalogue).alias("c")).select("*", "c.*").withColumn("rows", F.filter("all", lambda r: r["field_id"] == F.col("field_id"))).drop("all", "c")
-    filled = _filled(F.col("rows"))
+    packed = _packed(rows, [f[0] for f in chosen if f[3]])
+    entry = lambda f, k, s: F.struct(F.lit(f).alias("field_id"), F.lit(k).alias("field_type"), F.array(*map(F.lit, s)).alias("expected"))
+    nobody = F.array().cast("array<struct<id:string,label:string>>")
+    whose = lambda c, i, label: F.struct(c["field_id"].alias("field_id"), c["field_type"].alias("field_type"), c["expected"].alias("expected"), i.alias("participant_id"), label.alias("who"))
+    none = F.lit(None).cast("string")
+    once, repeated = ([entry(f, k, s) for f, _, k, m, s in chosen if m == flag] for flag in (False, True))
+    parts = [F.transform(F.array(*once), lambda c: whose(c, none, none))] if once else []
+    if repeated:
+        every = F.array(*repeated)
+        by_person = F.flatten(F.transform("people", lambda x: F.transform(every, lambda c: whose(c, x["id"], x["label"]))))
+        parts.append(F.when(F.size("people") > 0, by_person).otherwise(F.transform(every, lambda c: whose(c, none, none))))
+    each = context.join(packed, "process_id", "left").withColumn("people", F.coalesce("people", nobody))
+    each = each.select("*", F.explode(F.concat(*parts)).alias("c")).select("*", "c.*").withColumn("key", F.when(F.col("participant_id").isNotNull(), F.concat_ws("::", "field_id", "participant_id")).otherwise(F.col("field_id")))
+    given = F.coalesce(F.try_element_at("by_key", F.col("key")), F.array().cast(packed.schema["by_key"].dataType.valueType))
+    each = each.withColumn("all", given).drop("by_key", "people", "c")
     optional = F.col("field_id").isin(*catalog.OPTIONAL_ZERO)
-    held = F.exists(filled, lambda r: r["source"] == "DADOS_RESERVA")
-    kept = F.when(optional & F.array_contains("participating", "DADOS_RESERVA"), held).otherwise(F.arrays_overlap("participating", "expected") | (F.size("rows") > 0))
-    each = each.where(kept).withColumn("filled", filled)
-    key = lambda s: F.concat(s, F.lit(":"), F.col("field_id"))
+    held = F.exists(_filled(F.col("all")), lambda r: r["source"] == "DADOS_RESERVA")
+    kept = F.when(optional & F.array_contains("participating", "DADOS_RESERVA"), held).otherwise(F.arrays_overlap("participating", "expected") | (F.size("all") > 0))
+    each = each.where(kept).withColumn("rows", F.filter("all", lambda r: F.array_contains("participating", r["source"]))).withColumn("filled", _filled(F.col("rows")))
+    key = lambda s: F.concat(s, F.lit(":"), F.col("key"))
     have = _sources(F.col("filled"))
+    asked = F.filter("participating", lambda s: F.array_contains("expected", s))
+    zero = lambda rows: F.forall(rows, lambda r: r["norm"].isin("", "0.00"))
     each = each.withColumns({
         "conflicting": F.filter(have, lambda s: F.array_contains("conflicts", key(s))),
         "issued": F.filter("participating", lambda s: F.array_contains("issues", key(s))),
         "unread": F.filter("unreadable", lambda s: F.array_contains("expected", s)),
         "low": _sources(F.filter("filled", lambda r: r["confidence"] < catalog.LOW_CONFIDENCE)),
-        "missing": F.filter("participating", lambda s: F.array_contains("expected", s) & ~F.array_contains(have, s) & ~F.array_contains("unreadable", s)),
+        "missing": F.filter(asked, lambda s: ~F.array_contains(have, s) & ~F.array_contains("unreadable", s)),
         "groups": groups(F.col("filled")),
-        "zero": optional & F.forall("rows", lambda r: r["norm"].isin("", "0.00")),
+        # Where nothing is expected of those that take part, all of them count.
+        "zero": optional & zero(F.filter("rows", lambda r: (F.size(asked) == 0) | F.array_contains(asked, r["source"]))),
     })
-    small = F.forall("filled", lambda a: F.forall("filled", lambda b: similar(a["norm"], b["norm"])))
+    small = F.forall("groups", lambda a: F.forall("groups", lambda b: (a["value"] >= b["value"]) | similar(a["value"], b["value"])))
     rung = (
         F.when(F.size("conflicting") > 0, 1).when(F.size("issued") > 0, 2).when(F.size("unread") > 0, 3).when((F.size("filled") < 2) & F.col("zero"), 40).when(F.size("filled") < 2, 4)
-        .when(F.size("low") > 0, 5).when(F.size("groups") == 1, 6).when(F.col("zero"), 7).when(F.col("field_type").isin(*TEXTUAL) & small, 8).otherwise(9)
+        .when(F.size("low") > 0, 5).when(F.size("groups") == 1, 6).when(optional & zero("filled"), 7).when(F.col("field_type").isin(*TEXTUAL) & small, 8).otherwise(9)
     )
     each = each.withColumn("rung", rung)
     at = F.col("rung")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    who = F.when(F.col("who").isNotNull(), say("o comprador ", F.col("who"))).otherwise("o campo")
     not_in = F.when(F.size("missing") > 0, say(" Campo não encontrado na fonte ", _labels(F.col("missing")), ".")).otherwise("")
+    reason = F.lit("")
+    if "errors" in context.columns:
+        told = F.filter("unread", lambda s: F.try_element_at("errors", s).isNotNull())
+        reason = F.when(F.size(told) > 0, say(" Motivo:", F.array_join(F.transform(told, lambda s: say(" ", catalog.source_label(s), ": ", F.element_at("errors", s))), ""))).otherwise("")
+    # The observations' wording.
     observation = (
-        F.when(at == 1, say("Foram encontrados valores conflitantes para o campo entre arquivos da fonte ", _labels(F.col("conflicting")), "."))
-        .when(at == 2, say("Evidência insuficiente ou incompatível para o campo na fonte ", _labels(F.col("issued")), "."))
-        .when(at == 3, say("Campo de o campo não pôde ser conferido completamente porque a fonte ", _labels(F.col("unread")), " não foi interpretada."))
+        F.when(at == 1, say("Foram encontrados valores conflitantes para ", who, " entre arquivos da fonte ", _labels(F.col("conflicting")), "."))
+        .when(at == 2, say("Evidência insuficiente ou incompatível para ", who, " na fonte ", _labels(F.col("issued")), "."))
+        .when(at == 3, say("Campo de ", who, " não pôde ser conferido completamente porque a fonte ", _labels(F.col("unread")), " não foi interpretada.", reason))
         .when(at.isin(40, 7), ZERO_TEXT)
-        .when((at == 4) & (F.size("filled") > 0), say("Campo de o campo encontrado apenas na fonte ", _labels(have), ". É necessário outro arquivo com o mesmo dado para confirmar.", not_in))
-        .when(at == 4, say("Campo de o campo não encontrado nas fontes esperadas para conferência.", not_in))
-        .when(at == 5, say("Extração abaixo de 70% para o campo na fonte ", _labels(F.col("low")), "."))
+        .when((at == 4) & (F.size("filled") > 0), say("Campo de ", who, " encontrado apenas na fonte ", _labels(have), ". É necessário outro arquivo com o mesmo dado para confirmar.", not_in))
+        .when(at == 4, say("Campo de ", who, " não encontrado nas fontes esperadas para conferência.", not_in))
+        .when(at == 5, say("Extração abaixo de 70% para ", who, " na fonte ", _labels(F.col("low")), "."))
         .when((at == 6) & (F.size(F.array_distinct(F.transform("filled", lambda r: r["value"]))) > 1), "Valores equivalentes após normalização.").when(at == 6, "Todas as fontes conferem.")
         .when(at == 8, say("Há pequena diferença textual entre ", _labels(have), "; confirme os valores destacados."))
         .otherwise(source_diagnostic(F.col("groups")))
     )
     status = F.when(at.isin(6, 7, 40), "MATCH").when(at == 3, "SOURCE_UNREADABLE").when(at == 9, "DIVERGENCE").otherwise("REVIEW_REQUIRED")
     diff = F.when(at.isin(8, 9), diff_tokens(F.col("filled")))
-    return each.select("process_id", "field_id", status.alias("status"), observation.alias("observation"), F.when(at == 40, 4).otherwise(at).alias("rung"), "rows", diff.alias("diff"))
+    return each.select("process_id", "field_id", "participant_id", status.alias("status"), observation.alias("observation"), F.when(at == 40, 4).otherwise(at).alias("rung"), "rows", diff.alias("diff"), F.col("who").alias("participant_label"))
+
+
+def participants(verdicts: DataFrame) -> DataFrame:
+    """(process_id, participant_id, label): the buyers that verdicts speak of."""
+    return verdicts.where("participant_id is not null").groupBy("process_id", "participant_id").agg(F.max(F.coalesce("participant_label", F.lit("Comprador"))).alias("label"))
+
+
+def rule_candidates(rows: DataFrame) -> DataFrame:
+    """(process_id, field_id, rule_kind, signature) of fields whose values differ as they are and agree by a rule: gender in a marital status, or noise words in a development's name. rows as in reconcile()."""
+    # Names of the rules.
+    kinds = {"buyer.maritalStatus": "MARITAL_STATUS_GENDER", "property.development": "TEXT_ALIAS"}
+    of = rows.where(F.col("field_id").isin(*kinds)).withColumn("plain", n.text("value")).where("plain != ''")
+    folded = F.when(F.col("field_id") == "buyer.maritalStatus", n.marital_status(F.col("plain"))).otherwise(n.development_name(F.col("plain")))
+    per = of.withColumn("folded", folded).groupBy("process_id", "field_id").agg(F.collect_set("plain").alias("plains"), F.collect_set("folded").alias("foldeds"), F.count_if(F.col("folded") != "").alias("n"))
+    agree = per.where((F.size("plains") > 1) & (F.size("foldeds") == 1) & (F.col("n") >= 2))
+    kind = F.element_at(catalog.constant_map(kinds), F.col("field_id"))
+    return agree.select("process_id", "field_id", kind.alias("rule_kind"), F.array_join(F.array_sort("plains"), " || ").alias("signature"))
+
+
+def learned(candidates: DataFrame, rules: DataFrame) -> DataFrame:
+    """candidates with the observation that their rule gives: how often people have approved it (rules: field_id, rule_kind, signature, occurrence_count), or that it is known."""
+    most = rules.groupBy("field_id", "rule_kind", "signature").agg(F.max("occurrence_count").alias("occurrence_count"))
+    joined = candidates.join(most, ["field_id", "rule_kind", "signature"], "left")
+    one = F.col("occurrence_count") == 1
+    # The observations' wording.
+    told = F.concat(
+        F.lit("Valores equivalentes por aprendizado supervisionado ("), F.col("occurrence_count").cast("string"), F.when(one, " validação").otherwise(" validaçãoões"), F.when(one, " humana").otherwise(" humanas"),
+        F.when(one, " anterior").otherwise(" anteriores"), F.lit(")."),
+    )
+    known = F.when(F.col("rule_kind") == "MARITAL_STATUS_GENDER", "Valores equivalentes: variação apenas gramatical do estado civil.").otherwise("Valores equivalentes: variação textual já normalizada para este campo.")
+    return joined.select("process_id", "field_id", "rule_kind", "signature", F.coalesce(F.when(F.col("occurrence_count").isNotNull(), told), known).alias("observation"))
 
 
 def summary(verdicts: DataFrame, *keys: str) -> DataFrame:
@@ -119,12 +193,14 @@ def summary(verdicts: DataFrame, *keys: str) -> DataFrame:
     return verdicts.groupBy(*keys).agg(F.count("*").alias("total"), count("MATCH").alias("matches"), count("DIVERGENCE").alias("divergences"), count("REVIEW_REQUIRED").alias("review"), count("SOURCE_UNREADABLE").alias("unreadable"))
 
 
-def missing_by_source(verdicts: DataFrame) -> DataFrame:
-    """(source, missing, unreadable): observations that name the source as missing (the first one of a list), and unreadable verdicts that hold a value row of it."""
-    labels = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("label")) for s, t in list(catalog.SOURCES.items())[:4]]))
-    each = verdicts.select("status", "observation", _sources(F.col("rows")).alias("have"), labels.alias("s"))
-    named = F.contains("observation", F.concat(F.lit("não encontrado na fonte "), F.col("s.label")))
-    return each.groupBy("s.source").agg(F.count_if(named).alias("missing"), F.count_if((F.col("status") == "SOURCE_UNREADABLE") & F.array_contains("have", F.col("s.source"))).alias("unreadable"))
+def missing_by_source(verdicts: DataFrame, context: DataFrame) -> DataFrame:
+    """(source, missing, unreadable) of each participating source: observations that name it as missing (the first one of a list), and unreadable verdicts that hold a value row of it."""
+    seen = context.select("process_id", F.explode("participating").alias("source"))
+    named = F.explode(F.array_compact(F.array(*[F.when(F.contains("observation", F.lit(f"não encontrado na fonte {label}")), F.lit(s)) for s, label in catalog.SOURCES.items()])))
+    missing = verdicts.select("process_id", named.alias("source")).groupBy("process_id", "source").agg(F.count("*").alias("missing"))
+    unread = verdicts.where("status = 'SOURCE_UNREADABLE'").select("process_id", F.explode(_sources(F.col("rows"))).alias("source")).groupBy("process_id", "source").agg(F.count("*").alias("unreadable"))
+    both = seen.join(missing, ["process_id", "source"], "left").join(unread, ["process_id", "source"], "left")
+    return both.groupBy("source").agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum("unreadable"), F.lit(0)).alias("unreadable"))
 
 
 def two_sources(evidence: DataFrame, left: str, right: str, optional: list[str]) -> DataFrame:
@@ -176,11 +252,40 @@ def optional_zero(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.col("field_id").isin(*catalog.OPTIONAL_ZERO) & (F.col("observation") == ZERO_TEXT))
 
 
-def filter_results(verdicts: DataFrame, approved: DataFrame, status: str | None = None, query: str = "") -> DataFrame:
-    """Verdicts of a status (approved ones count as MATCH; MISSING: a source lacks the field) whose field or observation holds the query."""
-    each = verdicts.join(approved.select("process_id").distinct().withColumn("ok", F.lit(True)), "process_id", "left").withColumn("status", F.when(F.col("ok"), "MATCH").otherwise(F.col("status"))).drop("ok")
+#: What a status is called.
+STATUS = {"MATCH": "Conferido", "DIVERGENCE": "Divergência", "NOT_FOUND": "Não encontrado", "NOT_APPLICABLE": "Não aplicável", "REVIEW_REQUIRED": "Revisão necessária", "SOURCE_UNREADABLE": "Fonte ilegível"}
+
+
+def reviewed(verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """verdicts with approved and has_review: reviews are (process_id, field_id, status), one for each process and field (field::buyer where it repeats)."""
+    key = F.when(F.col("participant_id").isNotNull(), F.concat_ws("::", "field_id", "participant_id")).otherwise(F.col("field_id"))
+    of = reviews.select("process_id", F.col("field_id").alias("_key"), (F.col("status") == "APPROVED").alias("approved"), F.lit(True).alias("has_review"))
+    joined = verdicts.withColumn("_key", key).join(of, ["process_id", "_key"], "left").drop("_key")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("approved", "has_review")})
+
+
+def filter_results(verdicts: DataFrame, reviews: DataFrame, status: str | None = None, query: str = "") -> DataFrame:
+    """Verdicts of a status (an approved one counts as MATCH; MISSING: a source lacks the field, and nobody has reviewed it) whose category, label, values, status name or observation holds the query."""
+    each = reviewed(verdicts, reviews)
     if status == "MISSING":
-        each = each.where(F.contains("observation", F.lit("não encontrado na fonte")))
+        each = each.where(F.contains("observation", F.lit("não encontrado na fonte")) & ~F.col("has_review"))
     elif status:
-        each = each.where(F.col("status") == status)
-    return each.where(F.contains(F.lower(F.concat_ws(" ", "field_id", "observation")), F.lit(query.lower())))
+        each = each.where(F.when(F.col("approved"), "MATCH").otherwise(F.col("status")) == status)
+    about = {r[0]: f"{r[1]} {r[2]}" for r in catalog.MINUTA + catalog.ITBI}
+    text = F.concat_ws(" ", F.try_element_at(catalog.constant_map(about), F.col("field_id")), F.array_join(F.transform("rows", lambda r: r["value"]), " "), F.element_at(catalog.constant_map(STATUS), F.col("status")), "observation")
+    return each.where(F.contains(F.lower(text), F.lit(query.lower())))
+
+
+def report(verdicts: DataFrame, reviews: DataFrame, kind: str = "ALL") -> DataFrame:
+    """The rows of a report: ALL, CHECKED (a match, or approved), DIVERGENCES (not approved), or PENDING (not checked)."""
+    each = reviewed(verdicts, reviews)
+    checked = (F.col("status") == "MATCH") | F.col("approved")
+    kept = {"ALL": F.lit(True), "CHECKED": checked, "DIVERGENCES": (F.col("status") == "DIVERGENCE") & ~F.col("approved"), "PENDING": ~checked}
+    return each.where(kept[kind])
+
+
+def final_counts(verdicts: DataFrame, reviews: DataFrame, *keys: str) -> DataFrame:
+    """(checked, divergences, reviews) with what people have approved counted as checked."""
+    checked = (F.col("status") == "MATCH") | F.col("approved")
+    split = F.col("status") == "DIVERGENCE"
+    return reviewed(verdicts, reviews).groupBy(*keys).agg(F.count_if(checked).alias("checked"), F.count_if(~checked & split).alias("divergences"), F.count_if(~checked & ~split).alias("reviews"))

@@ -54,6 +54,23 @@ def same(x: str) -> str:
     return f"regexp_replace({text(x)}, '[^A-Z0-9]', '', 'g')"
 
 
+def email(x: str) -> str:
+    return f"lower(trim(coalesce({x}, '')))"
+
+
+def marital(x: str) -> str:
+    for stem in ("SOLTEIR", "CASAD", "DIVORCIAD", "VIUV"):
+        x = rf"regexp_replace({x}, '\b{stem}[OA](\(A\)|\b)', '{stem}O', 'g')"
+    return x
+
+
+def development(x: str) -> str:
+    return f"array_to_string(list_filter(string_split({x}, ' '), lambda t: t NOT IN ('', 'CONDOMINIO', 'CONDOMINIOCLUBE', 'CLUBE', 'RESIDENCIAL')), ' ')"
+
+
+WIDE_NORMAL = f"""CASE WHEN coalesce(value, '') = '' THEN '' WHEN field_type IN ('cpf', 'rg', 'cnpj', 'telefone') THEN {digits('value')} WHEN field_type = 'valor_monetario' THEN {money('value')} WHEN field_type = 'area' THEN {area('value')}
+  WHEN field_type = 'identificador_imovel' THEN {identifier('value')} WHEN field_type = 'data' THEN {date('value')} WHEN field_type = 'email' THEN {email('value')} WHEN field_type = 'endereco' THEN {address('value')}
+  WHEN field_id = 'buyer.maritalStatus' THEN {marital(text('value'))} WHEN field_id = 'property.development' THEN {development(text('value'))} ELSE {text('value')} END"""
 NORMAL = f"CASE WHEN coalesce(value, '') = '' THEN '' WHEN field_type = 'valor_monetario' THEN {money('value')} WHEN field_type = 'data' THEN {date('value')} ELSE {text('value')} END"
 LABEL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in catalog.SOURCES.items()) + "}"
 
@@ -91,14 +108,46 @@ o AS (SELECT *, CASE WHEN rung0 = 1 THEN 'Foram encontrados valores conflitantes
 """
 FULL = VERDICTS.replace("@fields", _FIELDS).replace("@conflict", "process_id % 23 = 0").replace("@issue", "process_id % 29 = 0").replace("@unread", "process_id % 19 = 0")
 BASIC = VERDICTS.replace("@fields", "('financial.totalValue')").replace("@conflict", "false").replace("@issue", "false").replace("@unread", "false")
+WIDE_FIELDS = ["buyer.name", "buyer.cpf", "buyer.rg", "buyer.maritalStatus", "buyer.address", "buyer.email", "buyer.phone", "buyer.birthDate", "contract.number", "contract.date", "property.development", "property.registration", "property.unit", "property.privateArea", "property.iptu", "seller.legalName", "seller.cnpj", "seller.address", "financial.totalValue", "financial.fgts", "property.registryOffice"]
+_CHECKLIST = "(VALUES " + ", ".join(f"('{f}', '{k}', {str(m).lower()}, {s})" for f, _, k, m, s in catalog.fields() if f in WIDE_FIELDS) + ") AS f(field_id, field_type, multiple, expected)"
+WIDE = f"""
+WITH nv AS MATERIALIZED (SELECT process_id, source_ord, source, field_id, participant_id, confidence, trim(coalesce(value, '')) AS v, {WIDE_NORMAL} AS norm FROM {a.duck(a.WIDE_EVIDENCE)} e),
+ctx AS (SELECT process_id, list(source ORDER BY source_ord) AS participating, coalesce(list(source ORDER BY source_ord) FILTER (WHERE failed), []) AS unreadable, coalesce(list({{'s': source, 'e': error}} ORDER BY source_ord) FILTER (WHERE failed AND error IS NOT NULL), []) AS told FROM {a.duck(a.PARTICIPATION)} p GROUP BY process_id),
+mk AS (SELECT process_id, coalesce(list(source || ':' || field_id) FILTER (WHERE kind = 'conflict'), []) AS conflicts, coalesce(list(source || ':' || field_id) FILTER (WHERE kind = 'issue'), []) AS issues FROM {a.duck(a.MARKS)} m GROUP BY process_id),
+pp AS (SELECT process_id, participant_id, min(source_ord) FILTER (WHERE field_id IN ('buyer.name', 'buyer.cpf')) AS ia, min(source_ord) AS oa, arg_min(v, source_ord) FILTER (WHERE field_id = 'buyer.name' AND v <> '') AS nm FROM nv WHERE participant_id IS NOT NULL GROUP BY ALL),
+pq AS (SELECT *, row_number() OVER (PARTITION BY process_id ORDER BY coalesce(ia, oa), participant_id) AS nr FROM (SELECT *, bool_or(ia IS NOT NULL) OVER (PARTITION BY process_id) AS named FROM pp) WHERE ia IS NOT NULL OR NOT named),
+sk AS (SELECT ctx.*, coalesce(mk.conflicts, []) AS conflicts, coalesce(mk.issues, []) AS issues, f.*, pq.participant_id, CASE WHEN pq.participant_id IS NOT NULL THEN coalesce(pq.nm, 'Comprador ' || pq.nr) END AS who FROM ctx LEFT JOIN mk USING (process_id) CROSS JOIN {_CHECKLIST} LEFT JOIN pq ON pq.process_id = ctx.process_id AND f.multiple),
+al AS (SELECT process_id, field_id, coalesce(participant_id, '-') AS pid, list({{'source': source, 'v': v, 'norm': norm, 'c': confidence}} ORDER BY source_ord) AS allrows FROM nv GROUP BY ALL),
+jn AS (SELECT sk.*, sk.field_id || coalesce('::' || sk.participant_id, '') AS key, coalesce(al.allrows, []) AS allrows, list_filter(coalesce(al.allrows, []), lambda x: list_contains(participating, x.source)) AS rows FROM sk LEFT JOIN al ON al.process_id = sk.process_id AND al.field_id = sk.field_id AND al.pid = coalesce(sk.participant_id, '-')),
+fl AS (SELECT *, list_filter(rows, lambda x: x.v <> '') AS filled, list_filter(participating, lambda s: list_contains(expected, s)) AS asked, list_filter(unreadable, lambda s: list_contains(expected, s)) AS unread FROM jn
+  WHERE CASE WHEN field_id = 'financial.fgts' AND list_contains(participating, 'DADOS_RESERVA') THEN len(list_filter(allrows, lambda x: x.source = 'DADOS_RESERVA' AND x.v <> '')) > 0 ELSE list_has_any(participating, expected) OR len(allrows) > 0 END),
+h AS (SELECT *, list_transform(filled, lambda x: x.source) AS have, list_transform(list_filter(filled, lambda x: x.c < 70), lambda x: x.source) AS low, list_distinct(list_transform(filled, lambda x: x.norm)) AS norms,
+  field_id = 'financial.fgts' AND len(list_filter(rows, lambda x: (len(asked) = 0 OR list_contains(asked, x.source)) AND x.norm NOT IN ('', '0.00'))) = 0 AS zero FROM fl),
+i AS (SELECT *, list_filter(have, lambda s: list_contains(conflicts, s || ':' || key)) AS conflicting, list_filter(participating, lambda s: list_contains(issues, s || ':' || key)) AS issued, list_filter(asked, lambda s: NOT list_contains(have, s) AND NOT list_contains(unreadable, s)) AS missing,
+  len(list_filter(norms, lambda p: len(list_filter(norms, lambda q: 1 - levenshtein(p, q) / greatest(length(p), length(q), 1) < 0.86)) > 0)) = 0 AS small FROM h),
+v AS (SELECT *, CASE WHEN len(conflicting) > 0 THEN 1 WHEN len(issued) > 0 THEN 2 WHEN len(unread) > 0 THEN 3 WHEN len(filled) < 2 AND zero THEN 40 WHEN len(filled) < 2 THEN 4 WHEN len(low) > 0 THEN 5 WHEN len(norms) = 1 THEN 6 WHEN field_type IN ('texto', 'endereco') AND small THEN 8 ELSE 9 END AS rung0,
+  CASE WHEN len(missing) > 0 THEN ' Campo não encontrado na fonte ' || {listed('missing')} || '.' ELSE '' END AS absent, CASE WHEN who IS NULL THEN 'o campo' ELSE 'o comprador ' || who END AS whose, list_filter(told, lambda t: list_contains(expected, t.s)) AS reasons FROM i),
+gr AS (SELECT *, list_transform(list_filter(list_transform(filled, lambda x, i: {{'n': x.norm, 'i': i}}), lambda y: list_position(list_transform(filled, lambda z: z.norm), y.n) = y.i), lambda y: list_transform(list_filter(filled, lambda x: x.norm = y.n), lambda x: x.source)) AS groups FROM v),
+o AS (SELECT process_id, field_id, participant_id, who, rows, CASE WHEN rung0 IN (6, 40) THEN 'MATCH' WHEN rung0 = 3 THEN 'SOURCE_UNREADABLE' WHEN rung0 = 9 THEN 'DIVERGENCE' ELSE 'REVIEW_REQUIRED' END AS status, CAST(CASE rung0 WHEN 40 THEN 4 ELSE rung0 END AS INT) AS rung,
+  CASE WHEN rung0 = 1 THEN 'Foram encontrados valores conflitantes para ' || whose || ' entre arquivos da fonte ' || {listed('conflicting')} || '.' WHEN rung0 = 2 THEN 'Evidência insuficiente ou incompatível para ' || whose || ' na fonte ' || {listed('issued')} || '.'
+  WHEN rung0 = 3 THEN 'Campo de ' || whose || ' não pôde ser conferido completamente porque a fonte ' || {listed('unread')} || ' não foi interpretada.' || CASE WHEN len(reasons) > 0 THEN ' Motivo:' || array_to_string(list_transform(reasons, lambda t: ' ' || {LABEL}[t.s] || ': ' || t.e), '') ELSE '' END
+  WHEN rung0 = 40 THEN 'Valores equivalentes por regra segura: campo opcional sem valor foi tratado como R$ 0,00.'
+  WHEN rung0 = 4 AND len(filled) > 0 THEN 'Campo de ' || whose || ' encontrado apenas na fonte ' || {listed('have')} || '. É necessário outro arquivo com o mesmo dado para confirmar.' || absent WHEN rung0 = 4 THEN 'Campo de ' || whose || ' não encontrado nas fontes esperadas para conferência.' || absent
+  WHEN rung0 = 5 THEN 'Extração abaixo de 70% para ' || whose || ' na fonte ' || {listed('low')} || '.' WHEN rung0 = 6 AND len(list_distinct(list_transform(filled, lambda x: x.v))) > 1 THEN 'Valores equivalentes após normalização.' WHEN rung0 = 6 THEN 'Todas as fontes conferem.'
+  WHEN rung0 = 8 THEN 'Há pequena diferença textual entre ' || {listed('have')} || '; confirme os valores destacados.'
+  WHEN len(list_filter(groups, lambda x: len(x) = 1)) > 0 AND len(list_filter(groups, lambda x: len(x) > 1)) > 0 THEN 'Valor divergente apenas na fonte ' || {LABEL}[list_filter(groups, lambda x: len(x) = 1)[1][1]] || '. ' || {listed('list_filter(groups, lambda x: len(x) > 1)[1]')} || ' apresentam valores equivalentes.'
+  ELSE 'Valores divergentes entre as fontes: ' || array_to_string(list_transform(groups, lambda y: {listed('y')}), '; ') || '.' END AS observation FROM gr)
+"""
+REVIEWS = f"(SELECT process_id, field_id, action AS status FROM {a.duck(a.REVIEW_LOG)} l QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY seq DESC, action DESC) = 1 AND action <> 'REVOKED')"
+_REVIEWED = f"(SELECT o.*, coalesce(r.status = 'APPROVED', false) AS approved, r.status IS NOT NULL AS has_review FROM o LEFT JOIN {REVIEWS} r ON r.process_id = o.process_id AND r.field_id = o.field_id)"
 _COUNTS = "count(*) AS total, count(*) FILTER (WHERE status = 'MATCH') AS matches, count(*) FILTER (WHERE status = 'DIVERGENCE') AS divergences, count(*) FILTER (WHERE status = 'REVIEW_REQUIRED') AS review, count(*) FILTER (WHERE status = 'SOURCE_UNREADABLE') AS unreadable"
 _SIDE = f"(SELECT process_id, field_id, field_type, source, confidence, {NORMAL} AS norm FROM {EV} e)"
 PROC = f"(SELECT p.*, coalesce(d.n, 0) AS n_documents FROM {a.duck(a.PROCESSES)} p LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) d ON d.k = p.process_id)"
 _KEY = f"CASE WHEN trim(coalesce(typology, '')) <> '' THEN {same('typology')} ELSE {same('tower')} || '::' || {same('unit')} END"
 
 
-def _units(mapping: str) -> str:
-    return f"(SELECT * FROM (SELECT *, {_KEY} AS unit_key FROM {a.duck(mapping)} u) QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY -confidence, tower, unit, private_area) = 1)"
+def _units(mapping: str, order: str = "-confidence, tower, unit, private_area") -> str:
+    return f"(SELECT * FROM (SELECT *, {_KEY} AS unit_key FROM {a.duck(mapping)} u) QUALIFY row_number() OVER (PARTITION BY unit_key ORDER BY {order}) = 1)"
 
 
 _CRITICAL = "(VALUES " + ", ".join(f"('{s}', '{f}')" for s, names in catalog.CRITICAL.items() for f in names.split()) + ") AS c(source, field_id)"
@@ -118,8 +167,8 @@ ORACLE = {
     "reconcile_full": FULL + "SELECT process_id, field_id, status, rung, observation FROM o",
     "reconcile_summary": FULL + f"SELECT field_id, {_COUNTS} FROM o GROUP BY field_id",
     "missing_by_source": FULL + f"SELECT s.source, count(*) FILTER (WHERE contains(observation, 'não encontrado na fonte ' || {LABEL}[s.source])) AS missing, count(*) FILTER (WHERE status = 'SOURCE_UNREADABLE' AND list_contains(list_transform(rows, lambda x: x.source), s.source)) AS unreadable FROM o, (VALUES ('SIOPI'), ('MINUTA'), ('ITBI'), ('DADOS_RESERVA')) AS s(source) GROUP BY s.source",
-    "report_filter": FULL + "SELECT process_id, field_id, observation FROM o WHERE status = 'DIVERGENCE' AND contains(lower(observation), 'minuta')",
-    "final_status_refresh": FULL + f"SELECT v.process_id, CASE WHEN count(*) FILTER (WHERE status <> 'MATCH') = 0 OR bool_or(r.process_id IS NOT NULL) THEN 'FULLY_CHECKED' ELSE 'PENDING_REVIEW' END AS final_status FROM o v LEFT JOIN (SELECT DISTINCT process_id FROM {a.duck(a.REVIEWS)} x WHERE approved) r ON r.process_id = v.process_id GROUP BY v.process_id",
+    "report_filter": FULL + f"SELECT process_id, field_id, observation FROM {_REVIEWED} WHERE status = 'DIVERGENCE' AND NOT approved AND contains(lower(observation), 'minuta')",
+    "final_status_refresh": FULL + f"SELECT process_id, CASE WHEN count(*) FILTER (WHERE status <> 'MATCH' AND NOT approved) > 0 THEN 'PENDING_REVIEW' ELSE 'FULLY_CHECKED' END AS final_status FROM {_REVIEWED} GROUP BY process_id",
     "diff_tokens": FULL + """, e AS (SELECT process_id, field_id, filled, unnest(filled) AS x FROM o WHERE rung0 IN (8, 9))
 SELECT process_id, field_id, x.source AS source, array_to_string(list_filter(string_split(x.norm, ' '), lambda t: t <> '' AND len(list_filter(filled, lambda y: list_contains(string_split(y.norm, ' '), t))) < len(filled)), ' ') AS tokens FROM e""",
     "similarity_pairs": f"SELECT l.process_id, l.source AS left_source, r.source AS right_source, levenshtein(l.norm, r.norm) AS distance FROM {_SIDE} l JOIN {_SIDE} r ON l.process_id = r.process_id AND l.field_id = r.field_id AND l.source < r.source WHERE l.field_id = 'buyer.name' AND l.norm <> '' AND r.norm <> ''",
@@ -130,22 +179,24 @@ FROM (SELECT process_id, field_id, coalesce(max(norm) FILTER (WHERE source = 'SI
 FROM (SELECT l.process_id, abs(date_diff('day', TRY_CAST(l.norm AS DATE), TRY_CAST(r.norm AS DATE))) AS d FROM {_SIDE} l JOIN {_SIDE} r USING (process_id, field_id) WHERE field_id = 'contract.date' AND l.source = 'SIOPI' AND r.source = 'MINUTA' AND l.norm <> '' AND r.norm <> '' AND l.norm <> r.norm)""",
     "consolidate_best": f"SELECT process_id, field_id, value, confidence FROM {EV} e WHERE trim(coalesce(value, '')) <> '' QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY confidence DESC, source_ord) = 1",
     "source_conflicts": f"SELECT process_id, field_id, count(DISTINCT norm) AS n_values FROM {_SIDE} x WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT norm) > 1",
-    "quality_coverage": f"""WITH c AS (SELECT * FROM {_CRITICAL}), h AS (SELECT e.process_id, e.source, e.field_id, trim(coalesce(value, '')) <> '' AS filled, trim(coalesce(value, '')) <> '' AND confidence < 75 AS low, e.process_id % 23 = 0 AND e.source = 'SIOPI' AND e.field_id = 'financial.totalValue' AS amb, e.process_id % 19 = 0 AND e.source = 'ITBI' AS failed FROM {EV} e JOIN c USING (source, field_id)),
-x AS (SELECT source, count(*) AS n FROM c GROUP BY source)
-SELECT process_id, h.source, CASE WHEN bool_or(failed) THEN 'FAILED' WHEN any_value(n) > count(*) FILTER (WHERE filled) OR bool_or(low) OR bool_or(amb) THEN 'PARTIAL' ELSE 'COMPLETE' END AS status, CAST(floor(count(*) FILTER (WHERE filled) * 100.0 / any_value(n) + 0.5) AS INT) AS coverage, any_value(n) - count(*) FILTER (WHERE filled) AS n_missing, count(*) FILTER (WHERE low) AS n_low, count(*) FILTER (WHERE amb) AS n_ambiguous FROM h JOIN x USING (source) GROUP BY process_id, h.source""",
+    "quality_coverage": f"""WITH c AS (SELECT source, list(field_id) AS expected FROM {_CRITICAL} GROUP BY source),
+p AS (SELECT o_orderkey AS process_id, v.source, v.source = 'ITBI' AND o_orderkey % 19 = 0 AS failed, v.source = 'SIOPI' AND o_orderkey % 23 = 0 AS amb, v.source = 'MINUTA' AND o_orderkey % 29 = 0 AS iss FROM orders, (VALUES ('SIOPI'), ('MINUTA'), ('ITBI'), ('DADOS_RESERVA'), ('CERTIDAO')) AS v(source)),
+h AS (SELECT process_id, source, list(DISTINCT field_id) AS got, list(DISTINCT field_id) FILTER (WHERE confidence < 75) AS low FROM {EV} e WHERE trim(coalesce(value, '')) <> '' GROUP BY ALL),
+j AS (SELECT p.*, coalesce(c.expected, []) AS expected, list_filter(coalesce(c.expected, []), lambda f: list_contains(coalesce(h.got, []), f)) AS got, list_filter(coalesce(c.expected, []), lambda f: list_contains(coalesce(h.low, []), f)) AS low FROM p LEFT JOIN c USING (source) LEFT JOIN h USING (process_id, source))
+SELECT process_id, source, CASE WHEN failed THEN 'FAILED' WHEN len(expected) = 0 THEN 'NOT_ASSESSED' WHEN len(got) < len(expected) OR len(low) > 0 OR amb OR iss THEN 'PARTIAL' ELSE 'COMPLETE' END AS status, CAST(CASE WHEN len(expected) > 0 THEN floor(len(got) * 100.0 / len(expected) + 0.5) WHEN failed THEN 0 ELSE 100 END AS INT) AS coverage,
+len(expected) - len(got) AS n_missing, len(low) AS n_low, CAST(amb AS BIGINT) AS n_ambiguous, CAST(iss AS BIGINT) AS n_issues, len(got) AS n_extracted FROM j""",
     "downpayment_derivation": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 AND t - f - s >= 0 THEN CAST(t - f - s AS DECIMAL(20,2)) END AS own_resources FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(20,2)) AS t, CAST(100 * (o_orderkey % 2000) AS DECIMAL(20,2)) AS f, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(o_orderkey % 500 AS DECIMAL(20,2)) END AS s FROM orders)",
     "participant_alignment": f"""WITH r AS (SELECT o_orderkey AS process_id, n AS source, c_name AS name, CASE WHEN n = 1 AND o_orderkey % 3 = 0 THEN '' ELSE lpad(CAST(c_custkey AS VARCHAR), 11, '0') END AS cpf FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (0), (1)) AS v(n)),
 k AS (SELECT process_id, {text('name')} AS nm, arg_min(cpf, source) FILTER (WHERE cpf <> '') AS known FROM r GROUP BY ALL)
 SELECT r.process_id, r.source, 'participant_' || substring(sha256(CASE WHEN r.cpf <> '' OR known IS NOT NULL THEN 'cpf:' || CASE WHEN r.cpf <> '' THEN r.cpf ELSE known END ELSE 'name:' || nm END), 1, 16) AS participant_key FROM r JOIN k ON r.process_id = k.process_id AND {text('r.name')} = nm""",
     "evidence_check": f"SELECT process_id, source, CASE WHEN norm = '' THEN false ELSE process_id % 5 <> 0 END AS held FROM {_SIDE} x WHERE field_id = 'financial.totalValue'",
-    "unit_reconcile": f"""SELECT coalesce(o.unit_key, v.unit_key) AS unit_key, CASE WHEN v.unit IS NULL THEN 'ONLY_OCR' WHEN o.unit IS NULL THEN 'ONLY_VISION' WHEN {same('o.private_area')} = {same('v.private_area')} AND {same('o.typology')} = {same('v.typology')} THEN 'AGREED' ELSE 'DIVERGED' END AS outcome,
-CAST(CASE WHEN o.unit IS NOT NULL AND v.unit IS NOT NULL AND {same('o.private_area')} = {same('v.private_area')} AND {same('o.typology')} = {same('v.typology')} THEN least(99, greatest(o.confidence, v.confidence) + 5) ELSE least(coalesce(o.confidence, 99), coalesce(v.confidence, 99), 69) END AS INT) AS confidence, coalesce(o.private_area, v.private_area) AS private_area
-FROM {_units(a.UNITS_OCR)} o FULL JOIN {_units(a.UNITS_VISION)} v ON o.unit_key = v.unit_key""",
+    "unit_reconcile": f"""SELECT coalesce(o.unit_key, v.unit_key) AS unit_key, outcome, CAST(CASE outcome WHEN 'AGREED' THEN least(99, greatest(o.confidence, v.confidence) + 5) ELSE least(coalesce(o.confidence, 99), coalesce(v.confidence, 99), 69) END AS INT) AS confidence, CASE WHEN outcome = 'ONLY_VISION' THEN v.private_area ELSE o.private_area END AS private_area
+FROM (SELECT o, v, CASE WHEN v.unit_key IS NULL THEN 'ONLY_OCR' WHEN o.unit_key IS NULL THEN 'ONLY_VISION' WHEN {" AND ".join(f"{same('o.' + c)} = {same('v.' + c)}" for c in ("private_area", "common_area", "total_area", "ideal_fraction", "iptu", "typology"))} THEN 'AGREED' ELSE 'DIVERGED' END AS outcome FROM {_units(a.UNITS_OCR, 'seq DESC')} o FULL JOIN {_units(a.UNITS_VISION)} v ON o.unit_key = v.unit_key)""",
     "unit_dedup": f"SELECT unit_key, tower, unit, confidence FROM {_units(a.UNITS_VISION)} u",
-    "unit_qc": "SELECT p_partkey, array_to_string(list_filter([CASE WHEN t < x THEN 'TOTAL_BELOW_PRIVATE' END, CASE WHEN p_partkey % 6 = 0 THEN 'FRACTION_RANGE' END, CASE WHEN p_partkey % 5 = 0 THEN 'INCOMPLETE' END], lambda s: s IS NOT NULL), ',') AS issues FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(20,2)) AS x, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(20,2)) + CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END END AS t FROM part)",
-    "unit_review": f"SELECT tower AS brand, 1::BIGINT AS n_towers, count(*) AS n_units, count(DISTINCT typology || '::' || private_area) AS n_types, count(*) FILTER (WHERE typology IS NULL) AS n_incomplete, count(*) FILTER (WHERE confidence < 80) AS n_low, count(*) FILTER (WHERE typology IS NULL) = 0 AS can_save FROM {a.duck(a.UNITS_OCR)} u GROUP BY tower",
-    "unit_unpivot": " UNION ALL ".join(f"SELECT unit, '{f}' AS field_id, {c} AS value, confidence FROM {a.duck(a.UNITS_OCR)} u WHERE trim(coalesce({c}, '')) <> ''" for f, c in (("property.tower", "tower"), ("property.unit", "unit"), ("property.privateArea", "private_area"), ("property.type", "typology"))),
-    "unit_signature": f"SELECT unit, coalesce(typology, 'Tipo não informado') || '::' || private_area || '::-' AS signature FROM {a.duck(a.UNITS_OCR)} u",
+    "unit_qc": "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 9 = 0 THEN 'NO_EVIDENCE' END, CASE WHEN t < x THEN 'TOTAL_BELOW_PRIVATE' END, CASE WHEN p_partkey % 6 = 0 THEN 'FRACTION_RANGE' END], lambda s: s IS NOT NULL), ',') AS issues, CASE WHEN p_partkey % 5 = 0 THEN 'INCOMPLETE' ELSE '' END AS warnings FROM (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(20,2)) AS x, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(20,2)) + CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END END AS t FROM part)",
+    "unit_review": f"SELECT tower AS brand, CAST(1 AS BIGINT) AS n_towers, count(*) AS n_units, count(DISTINCT typology || '::' || private_area || '::' || coalesce(common_area, '-') || '::' || total_area || '::' || coalesce(ideal_fraction, '-')) AS n_types, count(*) FILTER (WHERE typology IS NULL) AS n_incomplete, count(*) FILTER (WHERE confidence < 80) AS n_low, count(*) FILTER (WHERE typology IS NULL) = 0 AS can_save FROM {a.duck(a.UNITS_OCR)} u GROUP BY tower",
+    "unit_unpivot": " UNION ALL ".join(f"SELECT unit, 'CADASTRO_EMPREENDIMENTO' AS source, '{f}' AS field_id, CAST({c} AS VARCHAR) AS value, confidence FROM {a.duck(a.UNITS)} u LEFT JOIN {a.duck(a.DEVELOPMENTS)} d USING (development_id) WHERE {w}" for f, c, w in [("property.development", "name", "true"), ("property.registration", "coalesce(registration, development_registration)", "true"), ("property.privateArea", "private_area", "true"), ("property.commonArea", "common_area", "true"), ("property.totalArea", "total_area", "true"), ("property.idealFraction", "ideal_fraction", "true"), ("property.iptu", "iptu", "true"), ("seller.legalName", "seller_name", "trim(seller_name) <> ''"), ("seller.cnpj", "seller_cnpj", "trim(seller_cnpj) <> ''"), ("property.unit", "unit", "trim(unit) <> ''"), ("property.tower", "tower", "trim(tower) <> ''"), ("property.type", "typology", "trim(typology) <> ''")]),
+    "unit_signature": f"SELECT unit, seq, coalesce(typology, 'Tipo não informado') || '::' || private_area || '::' || coalesce(common_area, '-') || '::' || total_area || '::' || coalesce(ideal_fraction, '-') AS signature FROM {a.duck(a.UNITS_OCR)} u",
     "unit_natural_sort": "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS position FROM part",
     "checklist_union": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {o}, '{k}', {str(m).lower()}, {len(s)})" for f, o, k, m, s in catalog.fields()) + ") AS t(field_id, ord, field_type, allow_multiple, n_sources)",
     "page_prune": "SELECT conv_id, turn FROM conversations QUALIFY turn <= 1 OR turn > max(turn) OVER (PARTITION BY conv_id) - 1",
@@ -159,9 +210,9 @@ FROM {_units(a.UNITS_OCR)} o FULL JOIN {_units(a.UNITS_VISION)} v ON o.unit_key
     "ops_dashboard": f"""SELECT organization_id, count(*) FILTER (WHERE final_status = 'IN_PROGRESS') AS active, coalesce(CAST(sum(n_documents) FILTER (WHERE fin) AS BIGINT), 0) AS documents, count(*) FILTER (WHERE final_status = 'PENDING_REVIEW') AS pending,
 CAST(CASE WHEN count(*) FILTER (WHERE fin) > 0 THEN floor(count(*) FILTER (WHERE final_status = 'FULLY_CHECKED') * 100.0 / count(*) FILTER (WHERE fin) + 0.5) ELSE 0 END AS INT) AS approval, CAST(coalesce(sum(minutes) FILTER (WHERE fin) * 60 // nullif(count(*) FILTER (WHERE fin), 0), 0) AS BIGINT) AS average_seconds
 FROM (SELECT *, final_status NOT IN ('IN_PROGRESS', 'FAILED') AS fin FROM {PROC} p) GROUP BY organization_id""",
-    "process_anomalies": f"SELECT process_id, CASE WHEN n_documents = 0 THEN 'NO_DOCUMENTS' WHEN final_status = 'FAILED' THEN 'FAILED' WHEN final_status = 'IN_PROGRESS' AND minutes >= 30 THEN 'STUCK' WHEN final_status = 'IN_PROGRESS' AND minutes >= 10 THEN 'SLOW_RUNNING' WHEN minutes >= 10 THEN 'SLOW_DONE' ELSE 'INCOMPLETE' END AS finding FROM {PROC} p WHERE n_documents = 0 OR final_status = 'FAILED' OR minutes >= 10 OR process_id % 5 = 0",
-    "security_alerts": " UNION ALL ".join(f"SELECT event_type, actor_id, count(*) AS n FROM {a.duck(a.AUDIT)} e WHERE event_type = '{k}' AND created_at BETWEEN TIMESTAMP '{a.NOW}' - INTERVAL {m} MINUTE AND TIMESTAMP '{a.NOW}' GROUP BY ALL HAVING count(*) >= {n}" for k, m, n in (("LOGIN_FAILED", 1440, 2), ("DOCUMENT_VIEWED", 1440, 3), ("PROCESS_CREATED", 1440, 3))),
-    "retention_batch": f"SELECT process_id, line, source, created_at, part FROM {a.duck(a.DOCUMENTS)} d WHERE created_at <= TIMESTAMP '{a.NOW}' - INTERVAL 40 DAY ORDER BY created_at, process_id, line, source, part LIMIT 100",
+    "process_anomalies": f"SELECT process_id, CASE WHEN n_documents = 0 THEN 'NO_DOCUMENTS' WHEN final_status = 'FAILED' THEN 'FAILED' WHEN final_status = 'IN_PROGRESS' AND minutes >= 30 THEN 'STUCK' WHEN process_id % 35 = 0 THEN 'EXTRACTION_CRITICAL' WHEN process_id % 5 = 0 THEN 'EXTRACTION_WARNING' WHEN final_status = 'IN_PROGRESS' AND minutes >= 10 THEN 'SLOW_RUNNING' ELSE 'SLOW_DONE' END AS finding FROM {PROC} p WHERE n_documents = 0 OR final_status = 'FAILED' OR minutes >= 10 OR process_id % 5 = 0",
+    "security_alerts": f"SELECT event_type, actor, count(*) AS n FROM (SELECT *, CASE WHEN event_type = 'DOCUMENT_RETENTION_FAILED' THEN 'retention' ELSE coalesce(CAST(actor_id AS VARCHAR), entity_id, 'unknown') END AS actor FROM {a.duck(a.AUDIT)} e WHERE created_at BETWEEN TIMESTAMP '{a.NOW}' - INTERVAL 1440 MINUTE AND TIMESTAMP '{a.NOW}') WHERE event_type IN ('LOGIN_FAILED', 'DOCUMENT_VIEWED', 'PROCESS_CREATED', 'DOCUMENT_RETENTION_FAILED') GROUP BY ALL HAVING count(*) >= CASE event_type WHEN 'LOGIN_FAILED' THEN 2 WHEN 'DOCUMENT_RETENTION_FAILED' THEN 1 ELSE 3 END",
+    "retention_batch": f"SELECT document_id, created_at FROM {a.duck(a.DOCUMENTS)} d WHERE storage_path IS NOT NULL AND purged_at IS NULL AND created_at <= TIMESTAMP '{a.NOW}' - INTERVAL 40 DAY ORDER BY created_at, document_id LIMIT 100",
     "process_merge_latest": f"SELECT actor_id, event_id, event_type FROM {a.duck(a.AUDIT)} e QUALIFY row_number() OVER (PARTITION BY actor_id ORDER BY created_at DESC, event_id DESC) = 1",
     "results_merge": f"SELECT process_id, status FROM (SELECT o_orderkey AS process_id, CASE WHEN o_orderkey % 4 = 0 THEN 'RERUN' ELSE o_orderstatus END AS status FROM orders)",
     "stream_login_failures": f"SELECT actor_id, time_bucket(INTERVAL 1 DAY, created_at) AS start, count(*) AS n FROM {a.duck(a.AUDIT)} e WHERE event_type = 'LOGIN_FAILED' GROUP BY ALL HAVING count(*) >= 3",
@@ -175,11 +226,11 @@ FROM (SELECT *, final_status NOT IN ('IN_PROGRESS', 'FAILED') AS fin FROM {PROC}
     "divergence_email": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'DOMAIN' WHEN c_custkey % 2 = 0 THEN 'USER' END AS part FROM customer",
     "divergence_digits": """SELECT c_custkey, CAST(list_position(list_transform(range(1, 12), lambda i: substring(lpad(CAST(c_custkey AS VARCHAR), 11, '0'), i, 1) <> substring(lpad(CAST(c_custkey + 7 AS VARCHAR), 11, '0'), i, 1)), true) AS INT) AS position,
 CASE WHEN c_custkey % 5 = 0 THEN 'DDD' WHEN c_custkey % 2 = 1 THEN '13' END AS phone FROM customer""",
-    "result_filter": FULL + f"SELECT process_id, field_id, status FROM o WHERE status = 'REVIEW_REQUIRED' AND process_id NOT IN (SELECT process_id FROM {a.duck(a.REVIEWS)} x WHERE approved) AND contains(lower(field_id || ' ' || observation), 'minuta')",
-    "reservation_score_best": f"""SELECT process_id, field_id, value, score FROM (SELECT process_id, field_id, value, source_ord, CAST(confidence + CASE m WHEN 2 THEN 0 ELSE 15 END + CASE WHEN m = 0 AND {digits('value')} <> '' THEN 20 ELSE 0 END + CASE WHEN field_id <> 'financial.totalValue' THEN 0 WHEN m = 0 THEN 40 ELSE -40 END AS INT) AS score
-FROM (SELECT *, (process_id + source_ord) % 3 AS m FROM {EV} e WHERE field_id IN ('financial.totalValue', 'contract.date') AND trim(coalesce(value, '')) <> '')) QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY score DESC, source_ord) = 1""",
+    "result_filter": FULL + f"SELECT process_id, field_id, status FROM {_REVIEWED} WHERE status = 'REVIEW_REQUIRED' AND NOT approved AND contains(lower(observation || ' ' || array_to_string(list_transform(rows, lambda x: x.v), ' ')), 'minuta')",
+    "reservation_score_best": f"""SELECT process_id, field_id, value, score FROM (SELECT process_id, field_id, value, source_ord, CAST(confidence + CASE m WHEN 2 THEN 0 ELSE 15 END + CASE WHEN m = 0 AND {digits('value')} <> '' THEN 20 ELSE 0 END + CASE WHEN field_id NOT LIKE 'financial.%' THEN 0 WHEN m = 0 AND field_id = 'financial.totalValue' THEN 40 ELSE -40 END AS INT) AS score
+FROM (SELECT *, (process_id + source_ord) % 3 AS m FROM {EV} e WHERE field_id IN ('financial.totalValue', 'financial.fgts', 'contract.date') AND trim(coalesce(value, '')) <> '')) QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY score DESC, source_ord) = 1""",
     "participant_expand": "SELECT o_orderkey AS process_id, 'SIOPI' AS source, p.participant_id, o_orderkey || p.c AS cpf, p.name, f.field_id FROM orders, (VALUES ('buyer_1', '-0', 'Nome 2'), ('buyer_2', '-1', 'Nome 1')) AS p(participant_id, c, name), (VALUES " + ", ".join(f"('{f}')" for f, _, _, m, _ in catalog.fields() if m) + ") AS f(field_id)",
-    "unit_picker": f"SELECT tower, unit, typology FROM {a.duck(a.UNITS_OCR)} u WHERE contains({text("concat_ws(' ', tower, unit, typology)")}, 'TIPO 1')",
+    "unit_picker": f"SELECT tower, unit, typology FROM {a.duck(a.UNITS_OCR)} u WHERE contains({text("concat_ws(' ', tower, unit, typology, private_area, iptu)")}, 'TIPO 1')",
     "unit_accepted": f"SELECT unit, private_area FROM {a.duck(a.UNITS_OCR)} u WHERE confidence % 3 <> 0",
     "form_fields": "SELECT conv_id, sha256('[CAMPOS DE FORMULARIO]' || chr(10) || string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn, role || ': ' || trim(text))) AS form FROM conversations WHERE turn % 3 <> 2 AND trim(text) NOT IN ('', 'Off') GROUP BY conv_id",
     "label_next_line": "SELECT c_custkey, trim(c_name) AS value FROM customer",
@@ -189,13 +240,13 @@ FROM (SELECT *, replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS VARCHAR), '
     "upload_dedup": f"SELECT DISTINCT source || '-' || part AS name, process_id % 5 AS size FROM {a.duck(a.DOCUMENTS)} d WHERE process_id % 5 <> 0",
     "process_list": f"SELECT process_id, user_id, final_status FROM {a.duck(a.PROCESSES)} p WHERE final_status = 'FULLY_CHECKED' ORDER BY started_at DESC, process_id LIMIT 100",
     "admin_metrics": f"""SELECT count(*) FILTER (WHERE run) AS in_progress, count(*) FILTER (WHERE final_status = 'PENDING_REVIEW') AS pending, count(*) FILTER (WHERE final_status = 'FULLY_CHECKED') AS checked, count(*) FILTER (WHERE final_status = 'FAILED') AS failed,
-CAST(coalesce(sum(n_documents) FILTER (WHERE run), 0) AS BIGINT) AS documents_in_progress, CAST(coalesce(sum(n_documents) FILTER (WHERE final_status NOT IN ('IN_PROGRESS', 'FAILED')), 0) AS BIGINT) AS documents_analysed, CAST(coalesce(sum(n_documents), 0) AS BIGINT) AS documents_total FROM (SELECT *, final_status = 'IN_PROGRESS' AND minutes < 30 AS run FROM {PROC} p)""",
+CAST(coalesce(sum(n_documents) FILTER (WHERE run), 0) AS BIGINT) AS documents_in_progress, CAST(coalesce(sum(n_documents) FILTER (WHERE final_status <> 'IN_PROGRESS'), 0) AS BIGINT) AS documents_analysed, CAST(coalesce(sum(n_documents), 0) AS BIGINT) AS documents_total FROM (SELECT *, final_status = 'IN_PROGRESS' AND minutes < 30 AS run FROM {PROC} p)""",
     "login_rate_limit": f"SELECT actor_id, count(*) AS n, count(*) >= 8 AS limited FROM {a.duck(a.AUDIT)} e WHERE event_type = 'LOGIN_FAILED' AND created_at BETWEEN TIMESTAMP '{a.NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{a.NOW}' GROUP BY actor_id",
     "stale_processes": f"SELECT process_id FROM {a.duck(a.PROCESSES)} p WHERE final_status = 'IN_PROGRESS' AND CAST(started_at AS TIMESTAMP) + to_minutes(minutes) <= TIMESTAMP '1996-01-01 00:19:15'",
-    "review_progress": FULL + f"SELECT process_id, total, reviewed, bad - reviewed AS unresolved, CAST(floor((total - bad + reviewed) * 100.0 / total + 0.5) AS INT) AS checked_percent FROM (SELECT process_id, count(*) AS total, count(*) FILTER (WHERE status <> 'MATCH') AS bad, CASE WHEN process_id IN (SELECT process_id FROM {a.duck(a.REVIEWS)} x WHERE approved) THEN count(*) FILTER (WHERE status <> 'MATCH') ELSE 0 END AS reviewed FROM o GROUP BY process_id)",
+    "review_progress": FULL + f"SELECT process_id, count(*) AS total, count(*) FILTER (WHERE status <> 'MATCH' AND approved) AS reviewed, count(*) FILTER (WHERE status <> 'MATCH' AND NOT approved) AS unresolved, CAST(floor(count(*) FILTER (WHERE status = 'MATCH' OR approved) * 100.0 / count(*) + 0.5) AS INT) AS checked_percent FROM {_REVIEWED} GROUP BY process_id",
     "stream_rule_counter": "SELECT 'property.type' AS field_id, o_orderstatus AS signature, count(*) AS n FROM orders GROUP BY 2",
 }
 _QUALITY = ORACLE["quality_coverage"]
 ORACLE["quality_totals"] = f"SELECT count(*) AS n_reports, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous FROM ({_QUALITY})"
 ORACLE["extraction_alerts"] = f"""SELECT process_id, CASE WHEN f THEN 'critical' ELSE 'warning' END AS severity, string_agg(source, ', ' ORDER BY source) AS sources, min(coverage) AS coverage, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous
-FROM (SELECT *, status = 'FAILED' OR coverage = 0 AS f, bool_or(status = 'FAILED' OR coverage = 0) OVER (PARTITION BY process_id) AS any_failed FROM ({_QUALITY}) WHERE status <> 'COMPLETE' OR coverage = 0) WHERE f = any_failed GROUP BY process_id, f"""
+FROM (SELECT *, status = 'FAILED' OR coverage = 0 AS f, bool_or(status = 'FAILED' OR coverage = 0) OVER (PARTITION BY process_id) AS any_failed FROM ({_QUALITY}) WHERE status IN ('FAILED', 'PARTIAL') OR coverage = 0) WHERE f = any_failed GROUP BY process_id, f"""

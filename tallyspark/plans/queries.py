@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
 from tallyspark.operators import evidence, ops, reconcile, registry, textops
-from tallyspark.plans.oracle import KEYWORDS
+from tallyspark.plans.oracle import KEYWORDS, WIDE_FIELDS
 from tallyspark.sources import adapters as a
 from tallyspark.streaming import alerts
 
@@ -86,15 +86,19 @@ def reconcile_summary(spark, sf_dir):
 
 
 def missing_by_source(spark, sf_dir):
-    return reconcile.missing_by_source(_verdicts(spark, sf_dir))
+    return reconcile.missing_by_source(_verdicts(spark, sf_dir), _context(spark, sf_dir, True))
+
+
+def _reviews(spark, sf_dir) -> DataFrame:
+    return ops.review_state(a.read(spark, sf_dir, a.REVIEW_LOG))
 
 
 def report_filter(spark, sf_dir):
-    return _verdicts(spark, sf_dir).where((F.col("status") == "DIVERGENCE") & F.contains(F.lower("observation"), F.lit("minuta"))).select("process_id", "field_id", "observation")
+    return reconcile.report(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "DIVERGENCES").where(F.contains(F.lower("observation"), F.lit("minuta"))).select("process_id", "field_id", "observation")
 
 
 def final_status_refresh(spark, sf_dir):
-    return ops.final_status(_verdicts(spark, sf_dir), a.read(spark, sf_dir, a.REVIEWS))
+    return ops.final_status(_verdicts(spark, sf_dir), _reviews(spark, sf_dir))
 
 
 def diff_tokens(spark, sf_dir):
@@ -132,9 +136,9 @@ def source_conflicts(spark, sf_dir):
 
 def quality_coverage(spark, sf_dir):
     flags = a.read(spark, sf_dir, a.CONTEXT)
-    conflicted = flags.where("total_conflict").select("process_id", F.lit("SIOPI").alias("source"), F.lit("financial.totalValue").alias("field_id"))
-    unreadable = flags.where("itbi_unreadable").select("process_id", F.lit("ITBI").alias("source"))
-    return evidence.quality(_evidence(spark, sf_dir), conflicted, unreadable)
+    some = lambda flag, source: flags.where(flag).select("process_id", F.lit(source).alias("source"), F.lit("financial.totalValue").alias("field_id"))
+    taking = flags.select("process_id", F.explode(F.array(*map(F.lit, [*FOUR, "CERTIDAO"]))).alias("source"), "itbi_unreadable").select("process_id", "source", (F.col("itbi_unreadable") & (F.col("source") == "ITBI")).alias("failed"))
+    return evidence.quality(_evidence(spark, sf_dir), taking, some("total_conflict", "SIOPI"), some("total_issue", "MINUTA")).drop("missing_fields")
 
 
 def downpayment_derivation(spark, sf_dir):
@@ -158,7 +162,7 @@ def evidence_check(spark, sf_dir):
 
 
 def unit_reconcile(spark, sf_dir):
-    return registry.reconcile_units(a.read(spark, sf_dir, a.UNITS_OCR), a.read(spark, sf_dir, a.UNITS_VISION))
+    return registry.reconcile_units(registry.last_units(a.read(spark, sf_dir, a.UNITS_OCR), "seq"), registry.dedup_units(a.read(spark, sf_dir, a.UNITS_VISION))).drop("review")
 
 
 def unit_dedup(spark, sf_dir):
@@ -169,29 +173,31 @@ def unit_qc(spark, sf_dir):
     key, price = F.col("p_partkey"), F.col("p_retailprice").cast("decimal(20,2)")
     comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
     total, share = F.when(key % 5 != 0, comma(price + F.when(key % 4 == 0, -1).otherwise(1))), F.when(key % 6 == 0, "1,5").otherwise("0,002")
-    return registry.quality_issues(_table(spark, sf_dir, "part").select("p_partkey", comma(price).alias("private_area"), total.alias("total_area"), share.alias("ideal_fraction"))).select("p_partkey", "issues")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", comma(price).alias("private_area"), total.alias("total_area"), share.alias("ideal_fraction"), F.when(key % 9 != 0, "linha 1").alias("evidence"))
+    return registry.quality_issues(rows).select("p_partkey", "issues", "warnings")
 
 
 def unit_review(spark, sf_dir):
     return registry.review(a.read(spark, sf_dir, a.UNITS_OCR).withColumn("brand", F.col("tower")), "brand")
 
 
+def _units(spark, sf_dir) -> DataFrame:
+    return a.read(spark, sf_dir, a.UNITS).join(a.read(spark, sf_dir, a.DEVELOPMENTS), "development_id", "left")
+
+
 def unit_unpivot(spark, sf_dir):
-    units = a.read(spark, sf_dir, a.UNITS_OCR)
+    units = _units(spark, sf_dir)
     return registry.as_evidence(units.withColumn("_unit", F.col("unit")), "_unit").withColumnRenamed("_unit", "unit")
 
 
 def unit_signature(spark, sf_dir):
-    return a.read(spark, sf_dir, a.UNITS_OCR).select("unit", registry.type_signature(F.col("typology"), F.col("private_area"), F.lit(None).cast("string")).alias("signature"))
+    return a.read(spark, sf_dir, a.UNITS_OCR).select("unit", "seq", registry.type_signature(*map(F.col, registry.SIGNED)).alias("signature"))
 
 
 def unit_natural_sort(spark, sf_dir):
-    """The place of each unit in natural order. Ranks over a whole table: each range of the sort key is counted, and a range's start is the sum of those before."""
+    """The place of each unit in natural order over the whole table."""
     keyed = _table(spark, sf_dir, "part").select("p_partkey", registry.natural_order(F.concat(F.lit("Torre "), F.col("p_partkey").cast("string"))).alias("k"))
-    ranged = keyed.repartitionByRange("k").sortWithinPartitions("k", "p_partkey").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))  # a row for each partition
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("start"))
-    return ranged.join(F.broadcast(before), "part").select("p_partkey", (F.col("start") + F.col("at") + 1).cast("long").alias("position"))
+    return registry.natural_ranks(keyed, "k", "p_partkey", lambda df: _written(df, "unit-ranks")).select("p_partkey", "position")
 
 
 def checklist_union(spark, sf_dir):
@@ -245,7 +251,8 @@ def ops_dashboard(spark, sf_dir):
 
 
 def process_anomalies(spark, sf_dir):
-    found = _processes(spark, sf_dir).withColumn("worst", F.when(F.col("process_id") % 5 == 0, 60)).withColumn("finding", ops.anomaly())
+    alert = F.when(F.col("process_id") % 35 == 0, "critical").when(F.col("process_id") % 5 == 0, "warning")
+    found = _processes(spark, sf_dir).withColumn("alert", alert).withColumn("finding", ops.anomaly())
     return found.where("finding is not null").select("process_id", "finding")
 
 
@@ -253,8 +260,12 @@ def security_alerts(spark, sf_dir):
     return ops.alerts(a.read(spark, sf_dir, a.AUDIT), a.NOW, {"LOGIN_FAILED": (1440, 2), "DOCUMENT_VIEWED": (1440, 3), "PROCESS_CREATED": (1440, 3)})
 
 
+def _due(spark, sf_dir) -> DataFrame:
+    return ops.retention_batch(a.read(spark, sf_dir, a.DOCUMENTS), a.NOW)
+
+
 def retention_batch(spark, sf_dir):
-    return ops.retention_batch(a.read(spark, sf_dir, a.DOCUMENTS).select("process_id", "line", "source", "created_at", "part"), a.NOW, 40, 100)
+    return _due(spark, sf_dir).select("document_id", "created_at")
 
 
 def process_merge_latest(spark, sf_dir):
@@ -267,13 +278,31 @@ def results_merge(spark, sf_dir):
     return ops.merge(old, old.where("process_id % 4 = 0").withColumn("status", F.lit("RERUN")), ["process_id"])
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. In local mode (tests) one of its own, where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="tallyspark-shared-")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _streamed(spark: SparkSession, found: DataFrame, name: str) -> DataFrame:
-    """A streamed aggregate, run until its source is read; each trigger replaces the table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-stream-")
-    folder = f"{shared}/{name}-{uuid.uuid4().hex}"
-    writer = found.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/table")).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/table")
+    """A streamed aggregate, run until its source is read. Each trigger writes a table of its own; the newest one counts, so nobody meets a half-written one."""
+    folder = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    last = []
+
+    def put(df, batch):
+        df.write.mode("overwrite").parquet(f"{folder}/table/{batch}")
+        last[:] = [batch]
+
+    found.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/table/{last[0]}") if last else spark.createDataFrame([], found.schema)
 
 
 def stream_login_failures(spark, sf_dir):
@@ -334,15 +363,14 @@ def divergence_digits(spark, sf_dir):
 
 
 def result_filter(spark, sf_dir):
-    approved = a.read(spark, sf_dir, a.REVIEWS).where("approved")
-    return reconcile.filter_results(_verdicts(spark, sf_dir), approved, "REVIEW_REQUIRED", "Minuta").select("process_id", "field_id", "status")
+    return reconcile.filter_results(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "REVIEW_REQUIRED", "Minuta").select("process_id", "field_id", "status")
 
 
 def reservation_score_best(spark, sf_dir):
     key = F.col("process_id") + F.col("source_ord")
     raw = F.when(key % 3 == 0, F.concat(F.lit("Valor total: "), F.coalesce("value", F.lit("")))).when(key % 3 == 1, "sem rótulo")
-    rows = _evidence(spark, sf_dir).where("field_id in ('financial.totalValue', 'contract.date')").withColumn("raw", raw)
-    return evidence.scored_best(rows, ["process_id", "field_id"], "source_ord", {"financial.totalValue": "(?i)valor total"})
+    rows = _evidence(spark, sf_dir).where("field_id in ('financial.totalValue', 'financial.fgts', 'contract.date')").withColumn("raw", raw)
+    return evidence.scored_best(rows, ["process_id", "field_id"], "source_ord")
 
 
 def participant_expand(spark, sf_dir):
@@ -411,7 +439,7 @@ def stale_processes(spark, sf_dir):
 
 
 def review_progress(spark, sf_dir):
-    return ops.review_progress(_verdicts(spark, sf_dir), a.read(spark, sf_dir, a.REVIEWS))
+    return ops.review_progress(_verdicts(spark, sf_dir), _reviews(spark, sf_dir))
 
 
 def stream_rule_counter(spark, sf_dir):

@@ -37,6 +37,54 @@ CONTEXT = """
 SELECT o_orderkey AS process_id, o_orderkey % 19 = 0 AS itbi_unreadable, o_orderkey % 23 = 0 AS total_conflict, o_orderkey % 29 = 0 AS total_issue FROM {orders}
 """
 
+#: Fixed order of the ten sources in the wide tables below.
+_TEN = "(VALUES (0, 'SIOPI'), (1, 'MINUTA'), (2, 'ITBI'), (3, 'DADOS_RESERVA'), (4, 'CADASTRO_EMPREENDIMENTO'), (5, 'MATRICULA'), (6, 'FRACOES'), (7, 'IPTU'), (8, 'CERTIDAO'), (9, 'DOCUMENTO_COMPLEMENTAR'))"
+
+#: Ten sources, every type of field, and one buyer or two: a customer is a process. Keys decide on spellings, errors, blanks and rows that are missing.
+WIDE_EVIDENCE = f"""
+SELECT k AS process_id, s.source_ord, s.source, f.field_id, f.field_type, b.participant_id, CAST(66 + (k * 5 + s.source_ord + f.nr) % 35 AS INT) AS confidence,
+  CASE WHEN (k + s.source_ord * 3 + f.nr) % 13 = 0 THEN CASE WHEN k % 2 = 0 THEN ' ' END
+  WHEN f.field_type IN ('cpf', 'rg', 'cnpj', 'telefone') THEN CASE WHEN s.source_ord % 2 = 0 THEN lpad(CAST(k * 100 + b.n + off AS STRING), 11, '0') ELSE concat(substring(lpad(CAST(k * 100 + b.n + off AS STRING), 11, '0'), 1, 3), '.', substring(lpad(CAST(k * 100 + b.n + off AS STRING), 11, '0'), 4, 3), '-', substring(lpad(CAST(k * 100 + b.n + off AS STRING), 11, '0'), 7, 5)) END
+  WHEN f.field_type = 'email' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat('c', CAST(k + off AS STRING), '@mail.com') ELSE concat(' C', CAST(k + off AS STRING), '@Mail.com ') END
+  WHEN f.field_type = 'endereco' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat('Rua das Flores, nº ', CAST(k + off AS STRING), ' Apto 3') ELSE concat('R. das Flores, N ', CAST(k + off AS STRING), ' apartamento 3') END
+  WHEN f.field_type = 'data' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat('0', CAST(1 + k % 9 AS STRING), '/0', CAST(1 + off AS STRING), '/2021') ELSE concat(CAST(1 + k % 9 AS STRING), '-', CAST(1 + off AS STRING), '-21') END
+  WHEN f.field_type = 'valor_monetario' THEN CASE WHEN s.source_ord % 3 = 0 THEN concat('R$ ', CAST(k + off AS STRING), ',50') WHEN s.source_ord % 3 = 1 THEN concat(CAST(k + off AS STRING), '.50') ELSE concat('1.', lpad(CAST((k + off) % 1000 AS STRING), 3, '0'), ',50') END
+  WHEN f.field_type = 'area' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat(CAST(40 + k % 60 + off AS STRING), ',5000 m2') ELSE concat(CAST(40 + k % 60 + off AS STRING), '.5') END
+  WHEN f.field_type = 'identificador_imovel' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat('Torre 0', CAST(k + off AS STRING)) ELSE concat('bloco ', CAST(k + off AS STRING), 'º') END
+  WHEN f.field_id = 'buyer.maritalStatus' THEN CASE (s.source_ord + off) % 3 WHEN 0 THEN 'Casado(a)' WHEN 1 THEN 'casada' ELSE CASE WHEN off = 0 THEN 'CASADO' ELSE 'Divorciada' END END
+  WHEN f.field_id = 'property.development' THEN CASE s.source_ord % 3 WHEN 0 THEN concat('Condomínio Vila ', CAST(k + off AS STRING)) WHEN 1 THEN concat('VILA ', CAST(k + off AS STRING), ' Clube') ELSE concat('Residencial  Vila ', CAST(k + off AS STRING)) END
+  WHEN f.field_id = 'buyer.name' THEN CASE WHEN s.source_ord % 2 = 0 THEN concat('Ana Côrtes ', c_name, ' ', CAST(b.n AS STRING)) ELSE concat('ANA CORTES ', c_name, CASE WHEN off > 0 THEN 'x ' ELSE ' ' END, CAST(b.n AS STRING)) END
+  ELSE CASE WHEN s.source_ord % 2 = 0 THEN concat(f.field_id, ' ', CAST(k AS STRING)) ELSE upper(concat(f.field_id, '  ', CAST(k + off * 9 AS STRING))) END END AS value
+FROM (SELECT c_custkey AS k, c_name FROM {{customer}}) AS c
+CROSS JOIN (SELECT *, 0 AS zero FROM {_TEN} AS t(source_ord, source)) AS s
+CROSS JOIN (VALUES ('buyer.name', 'texto', 1, '0123'), ('buyer.cpf', 'cpf', 2, '012'), ('buyer.rg', 'rg', 3, '01'), ('buyer.maritalStatus', 'texto', 4, '01'), ('buyer.address', 'endereco', 5, '012'), ('buyer.email', 'email', 6, '0239'), ('buyer.phone', 'telefone', 7, '023'), ('buyer.birthDate', 'data', 8, '01'),
+  ('contract.number', 'texto', 9, '01'), ('contract.date', 'data', 10, '018'), ('property.development', 'texto', 11, '01234'), ('property.registration', 'texto', 12, '012345'), ('property.unit', 'identificador_imovel', 13, '01234'), ('property.privateArea', 'area', 14, '012456'), ('property.iptu', 'texto', 15, '12467'), ('seller.legalName', 'texto', 16, '1245'), ('seller.cnpj', 'cnpj', 17, '1245'),
+  ('seller.address', 'endereco', 18, '12'), ('financial.totalValue', 'valor_monetario', 19, '0123'), ('financial.fgts', 'valor_monetario', 20, '013'), ('property.registryOffice', 'texto', 21, '156')) AS f(field_id, field_type, nr, held)
+CROSS JOIN (VALUES ('buyer_1', 1), ('buyer_2', 2), (CAST(NULL AS STRING), 0)) AS b(participant_id, n)
+CROSS JOIN (VALUES (0), (1)) AS o(off)
+WHERE instr(f.held, CAST(s.source_ord AS STRING)) > 0 AND (b.participant_id IS NOT NULL) = (f.nr <= 8 AND k % 11 <> 0) AND (coalesce(b.participant_id, '') <> 'buyer_2' OR k % 3 = 0)
+  AND o.off = CASE WHEN (k + s.source_ord * 7 + f.nr) % 9 = 0 THEN 1 ELSE 0 END AND (k + s.source_ord + f.nr * 2) % 7 <> 0
+"""
+
+#: Which sources take part in a process, whether they could be read, and why not.
+PARTICIPATION = f"""
+SELECT c_custkey AS process_id, s.source_ord, s.source, (c_custkey + s.source_ord * 3) % 37 = 0 AS failed, CASE WHEN c_custkey % 2 = 0 THEN concat('arquivo ', s.source) END AS error
+FROM {{customer}} CROSS JOIN {_TEN} AS s(source_ord, source) WHERE (c_custkey + s.source_ord) % 6 <> 0
+"""
+
+#: Fields of a source (field::buyer where a buyer has them) whose documents disagree, or whose evidence doesn't hold them.
+MARKS = f"""
+SELECT c_custkey AS process_id, s.source, CASE WHEN c_custkey % 11 = 0 THEN m.field_id ELSE m.key END AS field_id, m.kind FROM {{customer}} CROSS JOIN {_TEN} AS s(source_ord, source)
+CROSS JOIN (VALUES ('buyer.cpf', 'buyer.cpf::buyer_1', 'conflict', 0), ('financial.totalValue', 'financial.totalValue', 'conflict', 1), ('financial.totalValue', 'financial.totalValue', 'issue', 3), ('buyer.name', 'buyer.name::buyer_2', 'issue', 2)) AS m(field_id, key, kind, source_ord)
+WHERE m.source_ord = s.source_ord AND (c_custkey + m.source_ord) % 17 = 0
+"""
+
+#: Rules that people have approved.
+RULES = """
+SELECT 'buyer.maritalStatus' AS field_id, 'MARITAL_STATUS_GENDER' AS rule_kind, 'CASADA || CASADO(A)' AS signature, CAST(1 AS INT) AS occurrence_count
+UNION ALL SELECT 'property.development', 'TEXT_ALIAS', concat('CONDOMINIO VILA ', CAST(c_custkey AS STRING), ' || VILA ', CAST(c_custkey AS STRING), ' CLUBE'), CAST(2 + c_custkey % 3 AS INT) FROM {customer} WHERE c_custkey % 4 = 0
+"""
+
 PROCESSES = """
 SELECT o_orderkey AS process_id, o_custkey AS user_id, n_regionkey AS organization_id, o_orderdate AS started_at, o_orderkey % 45 AS minutes,
   CASE WHEN o_orderkey % 97 = 0 THEN 'FAILED' WHEN o_orderstatus = 'F' THEN 'FULLY_CHECKED' WHEN o_orderstatus = 'P' THEN 'PENDING_REVIEW' ELSE 'IN_PROGRESS' END AS final_status
@@ -49,31 +97,48 @@ FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
 DOCUMENTS = """
-SELECT l_orderkey AS process_id, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN 'SIOPI' WHEN 1 THEN 'MINUTA' WHEN 2 THEN 'ITBI' ELSE 'DADOS_RESERVA' END AS source, l_shipdate AS created_at, l_partkey AS part
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS document_id, l_orderkey AS process_id, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN 'SIOPI' WHEN 1 THEN 'MINUTA' WHEN 2 THEN 'ITBI' ELSE 'DADOS_RESERVA' END AS source, l_shipdate AS created_at, l_partkey AS part,
+  CASE WHEN l_linenumber <> 5 THEN concat('files/', CAST(l_partkey AS STRING)) END AS storage_path, CASE WHEN l_orderkey % 31 = 0 THEN l_shipdate END AS purged_at, CAST(l_suppkey % 3 AS INT) AS purge_attempts, l_suppkey % 5 AS organization_id
 FROM {lineitem}
 """
 
 AUDIT = """
-SELECT event_id, ts AS created_at, user_id AS actor_id, value, CASE event_type WHEN 'click' THEN 'LOGIN' WHEN 'error' THEN 'LOGIN_FAILED' WHEN 'view' THEN 'DOCUMENT_VIEWED' WHEN 'purchase' THEN 'PROCESS_CREATED' ELSE 'USER_CREATED' END AS event_type
+SELECT event_id, ts AS created_at, CASE WHEN event_id % 11 <> 0 THEN user_id END AS actor_id, CASE WHEN event_id % 22 <> 0 THEN concat('e', CAST(user_id AS STRING)) END AS entity_id, value, CASE WHEN event_id % 1999 = 0 THEN 'DOCUMENT_RETENTION_FAILED' ELSE CASE event_type WHEN 'click' THEN 'LOGIN' WHEN 'error' THEN 'LOGIN_FAILED' WHEN 'view' THEN 'DOCUMENT_VIEWED' WHEN 'purchase' THEN 'PROCESS_CREATED' ELSE 'USER_CREATED' END END AS event_type
 FROM {events}
 """
 
-REVIEWS = "SELECT doc_id AS process_id, quality = 1 AS approved FROM {labels}"
+#: Reviews in the order they were made: each settles one field, or takes its review back.
+REVIEW_LOG = """
+SELECT l.doc_id AS process_id, f.field_id, f.seq, l.doc_id % 7 AS reviewer_id, CASE WHEN (l.doc_id + f.seq) % 4 = 0 THEN 'REVOKED' WHEN l.quality = 1 OR f.seq = 1 THEN 'APPROVED' ELSE 'REJECTED' END AS action
+FROM {labels} AS l CROSS JOIN (VALUES ('financial.totalValue', 1), ('buyer.name', 2), ('contract.date', 3), ('financial.totalValue', 4), ('property.type', 5)) AS f(field_id, seq) WHERE l.doc_id IS NOT NULL
+"""
 
-#: Two readers of one registry: the second misses tenths, reads other areas and finds units of its own.
+#: Two readers of one registry: the first reads some units twice; the second misses tenths, reads other areas and finds units of its own.
 UNITS_OCR = """
-SELECT p_brand AS tower, CAST(p_partkey AS STRING) AS unit, CASE WHEN p_partkey % 2 = 0 THEN concat('Tipo ', CAST(p_partkey AS STRING)) END AS typology,
-  replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS STRING), '.', ',') AS private_area, CAST(70 + p_partkey % 30 AS INT) AS confidence FROM {part}
+SELECT p_brand AS tower, CAST(p_partkey AS STRING) AS unit, CASE WHEN p_partkey % 2 = 0 THEN concat('Tipo ', CAST(p_partkey AS STRING)) END AS typology, replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) + t.seq AS STRING), '.', ',') AS private_area,
+  CASE WHEN p_partkey % 3 = 0 THEN '10,50' END AS common_area, replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) + 20 AS STRING), '.', ',') AS total_area, CASE WHEN p_partkey % 5 <> 0 THEN '0,0123' END AS ideal_fraction, concat('IPTU ', CAST(p_partkey AS STRING)) AS iptu,
+  CAST(70 + p_partkey % 30 AS INT) AS confidence, t.seq FROM {part} CROSS JOIN (VALUES (0), (1)) AS t(seq) WHERE t.seq = 0 OR p_partkey % 8 = 0
 """
 UNITS_VISION = """
-SELECT p_brand AS tower, CAST(p_partkey + CASE WHEN p_partkey % 9 = 0 THEN 10000000 ELSE 0 END AS STRING) AS unit, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 9 <> 0 THEN concat('TIPO  ', CAST(p_partkey AS STRING)) END AS typology,
-  replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS STRING), '.', ',') AS private_area, CAST(75 + p_partkey % 25 AS INT) AS confidence FROM {part} WHERE p_partkey % 10 <> 0
+SELECT CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS tower, CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE CAST(p_partkey + CASE WHEN p_partkey % 9 = 0 THEN 10000000 ELSE 0 END AS STRING) END AS unit, CASE WHEN p_partkey % 2 = 0 THEN concat('TIPO  ', CAST(p_partkey + CASE WHEN p_partkey % 9 = 0 THEN 10000000 ELSE 0 END AS STRING)) END AS typology,
+  replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) + CASE WHEN p_partkey % 8 = 0 THEN 1 WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS STRING), '.', ',') AS private_area, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 33 = 0 THEN '11,50' ELSE '10,50' END END AS common_area,
+  replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) + 20 AS STRING), '.', ',') AS total_area, CASE WHEN p_partkey % 5 <> 0 OR p_partkey % 35 = 0 THEN '0,0123' END AS ideal_fraction, concat('iptu-', CAST(p_partkey AS STRING)) AS iptu, CAST(75 + p_partkey % 25 AS INT) AS confidence FROM {part} WHERE p_partkey % 10 <> 0
+"""
+
+#: Developments and which of them a unit belongs to.
+DEVELOPMENTS = """
+SELECT s_suppkey AS development_id, s_nationkey % 5 AS organization_id, CASE WHEN s_suppkey % 9 = 0 THEN 'Empreendimento sem nome' ELSE concat('Residencial ', s_name) END AS name, CASE WHEN s_suppkey % 4 <> 0 THEN CAST(s_suppkey * 1000 AS STRING) END AS development_registration,
+  CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE concat(s_name, ' LTDA') END AS seller_name, lpad(CAST(s_suppkey AS STRING), 14, '0') AS seller_cnpj FROM {supplier}
+"""
+UNITS = """
+SELECT CAST(floor((p_partkey - 1) / 20) AS BIGINT) + 1 AS development_id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat('T', CAST(p_partkey % 12 AS STRING)) END AS tower, CAST(p_partkey AS STRING) AS unit, CASE WHEN p_partkey % 2 = 0 THEN concat('Tipo ', CAST(p_partkey % 3 AS STRING)) END AS typology,
+  CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS STRING) AS private_area, CAST(NULL AS STRING) AS common_area, CASE WHEN p_partkey % 4 = 0 THEN '99' END AS total_area, '0,01' AS ideal_fraction, concat('I', CAST(p_partkey AS STRING)) AS iptu, CASE WHEN p_partkey % 7 = 0 THEN concat('R', CAST(p_partkey AS STRING)) END AS registration, CAST(80 + p_partkey % 20 AS INT) AS confidence FROM {part}
 """
 
 
 def read(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     """A canonical table: the mapping over the Parquet tables it names."""
-    names = [n for n in ("orders", "customer", "nation", "lineitem", "events", "labels", "part") if "{" + n + "}" in mapping]
+    names = [n for n in ("orders", "customer", "nation", "lineitem", "events", "labels", "part", "supplier") if "{" + n + "}" in mapping]
     return spark.sql(mapping, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
