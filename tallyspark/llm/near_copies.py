@@ -75,19 +75,22 @@ def _sets(batches, at: int, shingle: int):
         columns = [
             pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
             pa.array(np.array([simhash._fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
-            pa.array([(np.array(x, np.int64) & 0xFFFF).astype(np.uint16).tobytes() for x in bands], pa.binary()),
+            pa.array([(np.array(x, np.int64) & 0xFFFFFFFF).astype(np.uint32).tobytes() for x in bands], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "key", "n", "fp", "bands", "sketch"])
 
 
 def _agree(batches, agree: int, max_bits: int):
-    """Of pairs with both fingerprints and sketches, those that may be similar."""
+    """Of pairs that meet in a bucket (its band, both fingerprints and both sketches), those that may be similar: once each, in the first band they agree in, or by their fingerprints alone."""
     for b in batches:
         if not b.num_rows:
             continue
-        fp = [b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 3)]
-        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (4, 5))
-        keep = ((x == y).sum(axis=1) >= agree) | (np.bitwise_count(fp[0] ^ fp[1]) <= max_bits)
+        band = b.column(2).to_numpy(zero_copy_only=False)
+        fp = [b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (3, 4)]
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (5, 6))
+        same = x == y
+        enough = same.sum(axis=1) >= agree
+        keep = np.where(band == BANDS, ~enough & (np.bitwise_count(fp[0] ^ fp[1]) <= max_bits), enough & (same.argmax(axis=1) == band))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep))
 
 
@@ -109,30 +112,32 @@ def _verify(batches, shingle: int, similarity: float):
 
 
 def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(vertex, component) of the vertices that links reach: members are (bucket, vertex, n, fp, sketch), texts (vertex, text)."""
+    """(vertex, component) of the vertices that links reach: members are (bucket, band, vertex, n, fp, sketch, weight), texts (vertex, text)."""
     spark = members.sparkSession
     left = members.withColumn("component", F.col("vertex"))
     found, most = spark.createDataFrame([], "vertex long, component long"), PIVOTS
     for turn in count():
-        sizes = stored(left.groupBy("bucket").agg(F.count("*").alias("many"), F.min("vertex").alias("least")), "copies-sizes")
+        # The weightiest of a bucket meets all others first: what many copies were made of is nearer to each of them than they are to each other.
+        lead = F.max_by("vertex", F.struct("weight", -F.col("vertex")))
+        sizes = stored(left.groupBy("bucket").agg(F.count("*").alias("many"), lead.alias("lead")), "copies-sizes")
         hot = F.col("many") > sizes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
         named = hot_join(left, sizes, ["bucket"], hot)
-        # About so many of a bucket, by a hash; its least one too, where a chain of copies begins.
+        # About so many of a bucket, by a hash, and its lead.
         drawn = F.pmod(F.xxhash64("vertex", "bucket", F.lit(turn)), F.col("many")) < most
-        named = stored(named.withColumn("pivot", drawn | (F.col("vertex") == F.col("least"))), "copies-named")
+        named = stored(named.withColumn("pivot", drawn | (F.col("vertex") == F.col("lead"))), "copies-named")
         pivots = named.where("pivot").select("bucket", "many", *[F.col(c).alias(f"p_{c}") for c in ("vertex", "n", "component", "fp", "sketch")])
         met = hot_join(left, pivots, ["bucket"], hot)
         fits = (F.col("component") != F.col("p_component")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
-        met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "fp", "p_fp", "sketch", "p_sketch")
+        met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "band", "fp", "p_fp", "sketch", "p_sketch")
         pairs = met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), "child long, parent long").distinct()
         both = pairs.join(texts.select(F.col("vertex").alias("child"), F.col("text").alias("a")), "child").join(texts.select(F.col("vertex").alias("parent"), F.col("text").alias("b")), "parent")
         new = both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), "child long, parent long")
         found = stored(simhash.components(found.select(F.col("vertex").alias("child"), F.col("component").alias("parent")).unionByName(new)), "copies-found")
         # Pivots have met all of their bucket, and leave it.
-        rest = named.where("not pivot").select("bucket", "vertex", "n", "fp", "sketch").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        rest = named.where("not pivot").select("bucket", "band", "vertex", "n", "fp", "sketch", "weight").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         rest = stored(rest, "copies-rest")
         apart = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "vertex", "n", "fp", "sketch", "component"), "copies-left")
+        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "band", "vertex", "n", "fp", "sketch", "weight", "component"), "copies-left")
         if left.isEmpty():
             return found
         most = MOST_PIVOTS
@@ -153,10 +158,14 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     worded = classes.where("n > 0")  # the class of no words has no links
 
     prints = simhash.components(simhash.links(worded.select("fp", F.col("fp").alias("vertex")).distinct()))
-    close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", "n", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
-    members = stored(close.unionByName(worded.select("vertex", "n", F.explode("bands").alias("bucket"))), "copies-members")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    members = stored(members.join(shared, "bucket", "left_semi").join(worded.select("vertex", "fp", "sketch"), "vertex"), "copies-met")
+    close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", "n", F.lit(BANDS).alias("band"), F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
+    members = stored(close.unionByName(worded.select("vertex", "n", F.posexplode("bands").alias("band", "bucket"))), "copies-members")
+    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "copies-shared")
+    hot = F.col("many") > shared.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
+    members = stored(hot_join(members, shared, ["bucket"], hot), "copies-met")
+    # How many a class shares its buckets with.
+    weights = members.groupBy("vertex").agg(F.sum("many").alias("weight"))
+    members = stored(members.drop("many").join(weights.join(worded.select("vertex", "fp", "sketch"), "vertex"), "vertex"), "copies-weighed")
     texts = stored(sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex"), "copies-texts")
 
     found = _links(members, texts, shingle, similarity)
