@@ -182,7 +182,7 @@ def coerced(rows: DataFrame) -> DataFrame:
     name = F.substring(F.regexp_replace(F.lower(F.trim(F.coalesce("participant_id", F.lit("")))), "[^a-z0-9_-]+", "_"), 1, 60)
     name = F.when(repeated, F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("buyer_"), F.col("nth").cast("string"))))
     page = F.when((F.col("page") > 0) & (F.col("page") == F.floor("page")), F.col("page").cast("int"))
-    have = numbered.select("doc_id", "field_id", "value", F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(~F.isnan(share), share))) + 0.5), F.lit(0)).cast("int").alias("confidence"), name.alias("participant_id"), page.alias("page"), F.nullif(F.substring(F.trim("raw"), 1, 500), F.lit("")).alias("raw"))
+    have = numbered.select("doc_id", "field_id", "value", F.when(share.isNull() | F.isnan(share), 0).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)) + 0.5)).cast("int").alias("confidence"), name.alias("participant_id"), page.alias("page"), F.nullif(F.substring(F.trim("raw"), 1, 500), F.lit("")).alias("raw"))
     every = rows.select("doc_id").distinct().withColumn("f", F.explode(fields)).select("doc_id", "f.field_id")
     return every.join(have, ["doc_id", "field_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0)))
 

@@ -250,3 +250,66 @@ _QUALITY = ORACLE["quality_coverage"]
 ORACLE["quality_totals"] = f"SELECT count(*) AS n_reports, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous FROM ({_QUALITY})"
 ORACLE["extraction_alerts"] = f"""SELECT process_id, CASE WHEN f THEN 'critical' ELSE 'warning' END AS severity, string_agg(source, ', ' ORDER BY source) AS sources, min(coverage) AS coverage, CAST(sum(n_missing) AS BIGINT) AS n_missing, CAST(sum(n_low) AS BIGINT) AS n_low, CAST(sum(n_ambiguous) AS BIGINT) AS n_ambiguous
 FROM (SELECT *, status = 'FAILED' OR coverage = 0 AS f, bool_or(status = 'FAILED' OR coverage = 0) OVER (PARTITION BY process_id) AS any_failed FROM ({_QUALITY}) WHERE status IN ('FAILED', 'PARTIAL') OR coverage = 0) WHERE f = any_failed GROUP BY process_id, f"""
+
+
+CAND = a.duck(a.CANDIDATES)
+_CHECKED = f"""(SELECT process_id, source, doc_ord, field_id, field_type, participant_id, issue, CASE WHEN issue THEN NULL ELSE value END AS value, CASE WHEN issue THEN 0 ELSE confidence END AS confidence
+FROM (SELECT *, trim(coalesce(value, '')) <> '' AND field_id <> 'property.type' AND (field_id <> 'contract.date' OR source = 'MINUTA') AND (process_id % 6 = 0 OR process_id % 5 = 0 OR (source = 'MINUTA' AND field_id = 'financial.totalValue' AND process_id % 3 <> 0)) AS issue FROM {CAND} c))"""
+_WHOSE = "CASE WHEN field_id = 'buyer.name' THEN coalesce(participant_id, 'buyer_1') END"
+_WKEY = f"CASE WHEN field_id = 'buyer.name' THEN field_id || '::' || coalesce(participant_id, 'buyer_1') ELSE field_id END"
+_DUE = f"(SELECT * FROM {a.duck(a.DOCUMENTS)} d WHERE storage_path IS NOT NULL AND purged_at IS NULL AND created_at <= TIMESTAMP '{a.NOW}' - INTERVAL 40 DAY ORDER BY created_at, document_id LIMIT 100)"
+_FIELD_ROWS = "(VALUES " + ", ".join(f"('{f}')" for f, *_ in catalog.fields()) + ") AS f(field_id)"
+_READ = f"(SELECT process_id, source, field_id, doc_ord, CASE WHEN doc_ord = 0 AND process_id % 2 <> 0 THEN NULL ELSE value END AS value FROM {CAND} c WHERE doc_ord = 0 OR process_id % 3 <> 0)"
+_HAS = f"(SELECT process_id, source, field_id, bool_or(doc_ord = 0 AND trim(coalesce(value, '')) <> '') AS f, bool_or(doc_ord = 1 AND trim(coalesce(value, '')) <> '') AS s, max(doc_ord) AS l FROM {_READ} r GROUP BY ALL)"
+_MINUTE = "(VALUES ('PENDING', 0, 1), ('EXTRACTING', 1, 2), ('COMPARING', 2, 3), ('DONE', 3, 4), ('EXTRACTING', 4, 2), ('FAILED', 5, 5)) AS s(status, minute, step)"
+
+
+def _nat(x: str) -> str:
+    return f"regexp_replace(upper({x}), '[0-9]+', '', 'g') || lpad(regexp_replace({x}, '[^0-9]', '', 'g'), 12, '0')"
+
+
+ORACLE |= {
+    "norm_every_type": f"SELECT process_id, source, field_id, participant_id, {WIDE_NORMAL} AS norm FROM {a.duck(a.WIDE_EVIDENCE)} e",
+    "reconcile_every_source": WIDE + "SELECT process_id, field_id, participant_id, status, rung, observation FROM o",
+    "every_source_summary": WIDE + f"SELECT field_id, {_COUNTS} FROM o GROUP BY field_id",
+    "every_source_missing": WIDE + f"SELECT p.source, CAST(sum(CASE WHEN contains(observation, 'não encontrado na fonte ' || {LABEL}[p.source]) THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN status = 'SOURCE_UNREADABLE' AND list_contains(list_transform(rows, lambda x: x.source), p.source) THEN 1 ELSE 0 END) AS BIGINT) AS unreadable FROM o JOIN {a.duck(a.PARTICIPATION)} p USING (process_id) GROUP BY p.source",
+    "participant_summary": WIDE + "SELECT DISTINCT process_id, participant_id, who AS label FROM o WHERE participant_id IS NOT NULL",
+    "learned_equivalence": f"""WITH p AS (SELECT process_id, field_id, {text('value')} AS t, CASE field_id WHEN 'buyer.maritalStatus' THEN {marital(text('value'))} ELSE {development(text('value'))} END AS g FROM {a.duck(a.WIDE_EVIDENCE)} e WHERE field_id IN ('buyer.maritalStatus', 'property.development')),
+c AS (SELECT process_id, field_id, CASE field_id WHEN 'buyer.maritalStatus' THEN 'MARITAL_STATUS_GENDER' ELSE 'TEXT_ALIAS' END AS rule_kind, array_to_string(list_sort(list(DISTINCT t)), ' || ') AS signature FROM p WHERE t <> '' GROUP BY ALL HAVING count(DISTINCT t) > 1 AND count(DISTINCT g) = 1 AND count(*) FILTER (WHERE g <> '') >= 2)
+SELECT c.*, CASE WHEN r.occurrence_count = 1 THEN 'Valores equivalentes por aprendizado supervisionado (1 validação humana anterior).' WHEN r.occurrence_count > 1 THEN 'Valores equivalentes por aprendizado supervisionado (' || r.occurrence_count || ' validaçãoões humanas anteriores).'
+WHEN c.rule_kind = 'TEXT_ALIAS' THEN 'Valores equivalentes: variação textual já normalizada para este campo.' ELSE 'Valores equivalentes: variação apenas gramatical do estado civil.' END AS observation FROM c LEFT JOIN {a.duck(a.RULES)} r USING (field_id, rule_kind, signature)""",
+    "report_counters": FULL + f"SELECT process_id, count(*) FILTER (WHERE status = 'MATCH' OR approved) AS checked, count(*) FILTER (WHERE status = 'DIVERGENCE' AND NOT approved) AS divergences, count(*) FILTER (WHERE status NOT IN ('MATCH', 'DIVERGENCE') AND NOT approved) AS reviews FROM {_REVIEWED} GROUP BY process_id",
+    "report_checked": FULL + f"SELECT process_id, field_id FROM {_REVIEWED} WHERE status = 'MATCH' OR approved",
+    "report_pending": FULL + f"SELECT process_id, field_id FROM {_REVIEWED} WHERE status <> 'MATCH' AND NOT approved",
+    "result_missing": FULL + f"SELECT process_id, field_id FROM {_REVIEWED} WHERE contains(observation, 'não encontrado na fonte') AND NOT has_review",
+    "review_state": f"SELECT process_id, field_id, action AS status, reviewer_id FROM {a.duck(a.REVIEW_LOG)} l QUALIFY row_number() OVER (PARTITION BY process_id, field_id ORDER BY seq DESC, action DESC) = 1 AND action <> 'REVOKED'",
+    "review_audit": f"SELECT CAST(reviewer_id AS VARCHAR) AS actor_id, CASE action WHEN 'REVOKED' THEN 'REVIEW_REVOKED' ELSE 'REVIEW_APPROVED' END AS event_type, count(*) AS n, max(process_id || ':' || field_id) AS last_entity FROM {a.duck(a.REVIEW_LOG)} l GROUP BY ALL",
+    "retention_purged": f"SELECT document_id, CAST(NULL AS VARCHAR) AS storage_path, TIMESTAMP '{a.NOW}' AS purged_at, 'RETENTION_40_DAYS' AS purge_reason, purge_attempts FROM {_DUE}",
+    "retention_failed": f"SELECT document_id, storage_path, purge_attempts + 1 AS purge_attempts, 1000 AS error_length FROM {_DUE}",
+    "retention_audit": f"SELECT organization_id, 'DOCUMENTS_PURGED' AS event_type, 'document_retention' AS entity_type, count(*) AS count FROM {_DUE} GROUP BY organization_id",
+    "process_persisted": FULL + f"SELECT p.process_id, p.status, p.updated_at, CASE WHEN p.status = 'FAILED' THEN 'FAILED' WHEN p.status <> 'DONE' OR v.bad IS NULL THEN 'IN_PROGRESS' WHEN v.bad THEN 'PENDING_REVIEW' ELSE 'FULLY_CHECKED' END AS final_status, CASE WHEN p.status IN ('DONE', 'FAILED') THEN p.updated_at END AS completed_at FROM (SELECT process_id, started_at AS updated_at, CASE WHEN process_id % 97 = 0 THEN 'FAILED' WHEN process_id % 7 = 0 THEN 'COMPARING' ELSE 'DONE' END AS status FROM {a.duck(a.PROCESSES)} x) p LEFT JOIN (SELECT process_id, bool_or(status <> 'MATCH') AS bad FROM o GROUP BY process_id) v USING (process_id)",
+    "process_lifecycle": f"SELECT process_id, status FROM {a.duck(a.PROCESSES)} p CROSS JOIN {_MINUTE} WHERE minute <= process_id % 7 AND (status <> 'DONE' OR process_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY process_id ORDER BY CAST(step >= 4 AS INT) DESC, CASE WHEN step >= 4 THEN minute ELSE -minute END) = 1",
+    "processes_with_documents": f"SELECT p.process_id, f.role, coalesce(d.documents, '') AS documents FROM {a.duck(a.PROCESSES)} p LEFT JOIN {a.duck(a.PROFILES)} f USING (user_id) LEFT JOIN (SELECT process_id, string_agg(document_id || '=' || source, ',' ORDER BY created_at, document_id, source) AS documents FROM {a.duck(a.DOCUMENTS)} x GROUP BY process_id) d USING (process_id)",
+    "documents_upsert": f"SELECT document_id, CASE WHEN line = 1 THEN 'MATRICULA' ELSE source END AS source FROM {a.duck(a.DOCUMENTS)} d",
+    "slowest_processes": f"SELECT process_id, minutes, CASE WHEN n_documents = 0 THEN 'NO_DOCUMENTS' WHEN final_status = 'FAILED' THEN 'FAILED' WHEN final_status = 'IN_PROGRESS' AND minutes >= 30 THEN 'STUCK' WHEN final_status = 'IN_PROGRESS' THEN 'SLOW_RUNNING' ELSE 'SLOW_DONE' END AS finding FROM {PROC} p WHERE n_documents = 0 OR final_status = 'FAILED' OR minutes >= 10 ORDER BY minutes DESC, process_id LIMIT 12",
+    "evidence_verified": f"SELECT process_id, source, doc_ord, field_id, value, confidence, issue FROM {_CHECKED} c",
+    "consolidated_values": f"SELECT process_id, source, field_id, {_WHOSE} AS participant_id, value, confidence FROM {_CHECKED} c WHERE trim(coalesce(value, '')) <> '' QUALIFY row_number() OVER (PARTITION BY process_id, source, field_id, {_WHOSE} ORDER BY confidence DESC, doc_ord) = 1",
+    "consolidated_conflicts": f"SELECT process_id, source, {_WKEY} AS field_id FROM (SELECT *, {NORMAL} AS norm FROM {_CHECKED} c) WHERE trim(coalesce(value, '')) <> '' GROUP BY ALL HAVING count(DISTINCT norm) > 1",
+    "consolidated_issues": f"SELECT DISTINCT process_id, source, {_WKEY} AS field_id FROM {_CHECKED} c WHERE issue",
+    "coerced_output": f"""SELECT d.doc_id, f.field_id, o.value, coalesce(o.c, 0) AS confidence, o.pid AS participant_id, o.page, o.raw FROM (SELECT c_custkey AS doc_id FROM customer) d CROSS JOIN {_FIELD_ROWS} LEFT JOIN (SELECT doc_id, field_id, value, trim(raw) AS raw,
+CASE ord WHEN 1 THEN 87 WHEN 2 THEN 100 WHEN 3 THEN 65 ELSE 0 END AS c, CASE ord WHEN 1 THEN 'buyer_1' WHEN 2 THEN 'co_buyer_' WHEN 7 THEN 'buyer_1' END AS pid, CASE ord WHEN 1 THEN 2 WHEN 7 THEN 4 END AS page FROM {a.duck(a.OUTPUT)} r WHERE ord IN (1, 2, 3, 5, 7)) o ON o.doc_id = d.doc_id AND o.field_id = f.field_id""",
+    "missing_critical": f"SELECT p.process_id, c.source, string_agg(c.field_id, ',' ORDER BY c.field_id) AS missing FROM (SELECT DISTINCT process_id, source FROM {EV} e) p JOIN {_CRITICAL} ON c.source = p.source LEFT JOIN (SELECT DISTINCT process_id, source, field_id FROM {EV} e WHERE trim(coalesce(value, '')) <> '') h ON h.process_id = p.process_id AND h.source = c.source AND h.field_id = c.field_id WHERE h.field_id IS NULL GROUP BY p.process_id, c.source",
+    "recovery_merge": f"SELECT process_id, source, field_id, doc_ord, value FROM {_READ} r JOIN {_HAS} h USING (process_id, source, field_id) WHERE doc_ord = CASE WHEN f THEN 0 ELSE l END",
+    "recovery_preferred": f"SELECT process_id, source, field_id, doc_ord, value FROM {_READ} r JOIN {_HAS} h USING (process_id, source, field_id) WHERE doc_ord = CASE WHEN s THEN 1 WHEN f THEN 0 ELSE l END",
+    "reservation_gaps": f"SELECT process_id, true AS financial, true AS identity, bool_or(trim(coalesce(value, '')) <> '' AND confidence >= 70 AND trim(raw) <> '') AS evidenced FROM {CAND} c WHERE source = 'DADOS_RESERVA' GROUP BY process_id",
+    "developments_with_units": f"SELECT development_id, name, coalesce(units, '') AS units FROM {a.duck(a.DEVELOPMENTS)} d LEFT JOIN (SELECT development_id, string_agg(tower || '/' || unit, ',' ORDER BY {_nat('tower')}, {_nat('unit')}) AS units FROM {a.duck(a.UNITS)} u GROUP BY development_id) x USING (development_id)",
+    "units_replaced": f"SELECT development_id, CASE WHEN saved THEN 'nova' ELSE tower END AS tower, unit FROM (SELECT u.*, d.development_id IS NOT NULL AND u.development_id % 3 = 1 AS saved FROM {a.duck(a.UNITS)} u LEFT JOIN {a.duck(a.DEVELOPMENTS)} d USING (development_id)) WHERE NOT saved OR CAST(unit AS INT) % 5 = 0",
+    "development_deleted": f"SELECT development_id, organization_id FROM {a.duck(a.DEVELOPMENTS)} d WHERE development_id % 4 <> 0",
+    "development_units_left": f"SELECT development_id, unit FROM {a.duck(a.UNITS)} u WHERE NOT (development_id % 4 = 0 AND development_id IN (SELECT s_suppkey FROM supplier))",
+    "towers_by_apartments": "SELECT p_partkey AS group_id, t.tower, a.unit FROM part, unnest(CASE WHEN p_partkey % 4 = 0 THEN [''] ELSE ['A', 'B'] END) AS t(tower), unnest(['101', p_brand]) AS a(unit)",
+    "pages_merged": """WITH p AS (SELECT s_suppkey, page, CASE WHEN page < 3 AND s_suppkey % 2 = 0 THEN 'Empreendimento sem nome' ELSE s_name || ' p' || page END AS name, CASE WHEN (s_suppkey + page) % 2 = 0 THEN 'c' || page END AS city, CASE WHEN (s_suppkey + page) % 3 = 0 THEN 'r' || page END AS registration, CASE WHEN (s_suppkey + page) % 5 = 0 THEN 's' || page END AS seller_name FROM supplier, (VALUES (1), (2), (3)) AS v(page))
+SELECT s_suppkey, coalesce(arg_min(name, page) FILTER (WHERE name <> 'Empreendimento sem nome'), 'Empreendimento sem nome') AS name, arg_min(city, page) FILTER (WHERE city IS NOT NULL) AS city, arg_min(registration, page) FILTER (WHERE registration IS NOT NULL) AS registration, arg_min(seller_name, page) FILTER (WHERE seller_name IS NOT NULL) AS seller_name, CAST(NULL AS VARCHAR) AS seller_cnpj FROM p GROUP BY s_suppkey""",
+    "notes_merged": "SELECT s_suppkey, array_to_string(CASE WHEN s_suppkey % 2 <> 0 THEN ['OCR: a', 'OCR: b'] ELSE [] END || CASE WHEN s_suppkey % 3 <> 0 THEN ['Visão IA: a', 'Visão IA: b'] ELSE [] END, '|') AS notes FROM supplier",
+    "empty_developments": f"SELECT development_id, CASE WHEN development_id % 2 = 0 THEN 'TYPES_WITHOUT_AREA:Tipo A, Tipo B' ELSE 'NO_UNITS' END AS issue FROM {a.duck(a.DEVELOPMENTS)} d WHERE development_id % 5 = 0 OR development_id NOT IN (SELECT development_id FROM {a.duck(a.UNITS)} u)",
+}
+ORACLE["register_appended"] = f"SELECT 0 AS source_ord, source, field_id, count(*) AS n, count(value) AS n_values FROM {EV} e WHERE source = 'SIOPI' GROUP BY source, field_id UNION ALL SELECT 4, source, field_id, count(*), count(value) FROM ({ORACLE['unit_unpivot']}) GROUP BY source, field_id"

@@ -448,6 +448,220 @@ def stream_rule_counter(spark, sf_dir):
     return _streamed(spark, alerts.rule_counter(source.select(F.lit("property.type").alias("field_id"), F.col("o_orderstatus").alias("signature"))), "rules")
 
 
+def _wide(spark, sf_dir) -> DataFrame:
+    return a.read(spark, sf_dir, a.WIDE_EVIDENCE)
+
+
+def _wide_context(spark, sf_dir) -> DataFrame:
+    sources = a.read(spark, sf_dir, a.PARTICIPATION)
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("source_ord", "source")))), lambda x: x["source"])
+    told = F.map_from_entries(F.collect_list(F.when(F.col("failed") & F.col("error").isNotNull(), F.struct("source", "error"))))
+    per = sources.groupBy("process_id").agg(ordered(F.lit(True)).alias("participating"), ordered(F.col("failed")).alias("unreadable"), told.alias("errors"))
+    marked = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.concat_ws(":", "source", "field_id")))
+    marks = a.read(spark, sf_dir, a.MARKS).groupBy("process_id").agg(marked("conflict").alias("conflicts"), marked("issue").alias("issues"))
+    none = F.array().cast("array<string>")
+    return per.join(marks, "process_id", "left").withColumns({c: F.coalesce(c, none) for c in ("conflicts", "issues")})
+
+
+def _wide_verdicts(spark, sf_dir) -> DataFrame:
+    return reconcile.reconcile(_wide(spark, sf_dir), _wide_context(spark, sf_dir), WIDE_FIELDS)
+
+
+def norm_every_type(spark, sf_dir):
+    """Every type of field, with marital statuses and development names folded."""
+    return _wide(spark, sf_dir).select("process_id", "source", "field_id", "participant_id", n.field_value("value", F.col("field_type"), F.col("field_id")).alias("norm"))
+
+
+def reconcile_every_source(spark, sf_dir):
+    """Ten sources, every type, one buyer or two, conflicts, issues, unread sources with their reasons."""
+    return _wide_verdicts(spark, sf_dir).select("process_id", "field_id", "participant_id", "status", "rung", "observation")
+
+
+def every_source_summary(spark, sf_dir):
+    return reconcile.summary(_wide_verdicts(spark, sf_dir), "field_id")
+
+
+def every_source_missing(spark, sf_dir):
+    return reconcile.missing_by_source(_wide_verdicts(spark, sf_dir), _wide_context(spark, sf_dir))
+
+
+def participant_summary(spark, sf_dir):
+    return reconcile.participants(_wide_verdicts(spark, sf_dir))
+
+
+def learned_equivalence(spark, sf_dir):
+    return reconcile.learned(reconcile.rule_candidates(_wide(spark, sf_dir)), a.read(spark, sf_dir, a.RULES))
+
+
+def report_counters(spark, sf_dir):
+    return reconcile.final_counts(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "process_id")
+
+
+def report_checked(spark, sf_dir):
+    return reconcile.report(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "CHECKED").select("process_id", "field_id")
+
+
+def report_pending(spark, sf_dir):
+    return reconcile.report(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "PENDING").select("process_id", "field_id")
+
+
+def result_missing(spark, sf_dir):
+    return reconcile.filter_results(_verdicts(spark, sf_dir), _reviews(spark, sf_dir), "MISSING").select("process_id", "field_id")
+
+
+def review_state(spark, sf_dir):
+    return _reviews(spark, sf_dir)
+
+
+def review_audit(spark, sf_dir):
+    """The audit rows of all reviews: how many of each kind a reviewer has."""
+    return ops.review_events(a.read(spark, sf_dir, a.REVIEW_LOG)).groupBy("actor_id", "event_type").agg(F.count("*").alias("n"), F.max("entity_id").alias("last_entity"))
+
+
+def retention_purged(spark, sf_dir):
+    return ops.retention_outcome(_due(spark, sf_dir), a.NOW).select("document_id", "storage_path", F.col("purged_at").cast("timestamp_ntz").alias("purged_at"), "purge_reason", "purge_attempts")
+
+
+def retention_failed(spark, sf_dir):
+    return ops.retention_outcome(_due(spark, sf_dir), a.NOW, "x" * 1200).select("document_id", "storage_path", "purge_attempts", F.length("purge_error").alias("error_length"))
+
+
+def retention_audit(spark, sf_dir):
+    return ops.retention_events(_due(spark, sf_dir)).select("organization_id", "event_type", "entity_type", "count")
+
+
+def process_persisted(spark, sf_dir):
+    """Lifecycle states of orders and the verdicts on them, as processes are stored."""
+    state = F.when(F.col("process_id") % 97 == 0, "FAILED").when(F.col("process_id") % 7 == 0, "COMPARING").otherwise("DONE")
+    rows = a.read(spark, sf_dir, a.PROCESSES).select("process_id", state.alias("status"), F.col("started_at").alias("updated_at"))
+    return ops.persisted(rows, _verdicts(spark, sf_dir))
+
+
+def process_lifecycle(spark, sf_dir):
+    steps = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(m).alias("minute")) for s, m in (("PENDING", 0), ("EXTRACTING", 1), ("COMPARING", 2), ("DONE", 3), ("EXTRACTING", 4), ("FAILED", 5), ("no state", 6))])
+    each = a.read(spark, sf_dir, a.PROCESSES).select("process_id", "started_at", F.explode(steps).alias("s")).where((F.col("s.minute") <= F.col("process_id") % 7) & ((F.col("s.status") != "DONE") | (F.col("process_id") % 2 == 0)))
+    return ops.lifecycle(each.select("process_id", "s.status", (F.col("started_at").cast("timestamp") + F.make_dt_interval(mins=F.col("s.minute"))).alias("at"))).select("process_id", "status")
+
+
+def processes_with_documents(spark, sf_dir):
+    nested = ops.with_documents(a.read(spark, sf_dir, a.PROCESSES), a.read(spark, sf_dir, a.PROFILES), a.read(spark, sf_dir, a.DOCUMENTS).select("process_id", "created_at", "document_id", "source"))
+    return nested.select("process_id", "role", F.array_join(F.transform("documents", lambda d: F.concat_ws("=", d["document_id"], d["source"])), ",").alias("documents"))
+
+
+def documents_upsert(spark, sf_dir):
+    kept = a.read(spark, sf_dir, a.DOCUMENTS).select("document_id", "source")
+    return ops.upload_documents(kept, kept.where("document_id like '%-1'").select("document_id", F.lit("MATRICULA").alias("source")))
+
+
+def slowest_processes(spark, sf_dir):
+    found = _processes(spark, sf_dir).withColumn("alert", F.lit(None).cast("string")).withColumn("finding", ops.anomaly())
+    return ops.slowest(found).select("process_id", "minutes", "finding")
+
+
+def evidence_verified(spark, sf_dir):
+    return evidence.verified(a.read(spark, sf_dir, a.CANDIDATES)).select("process_id", "source", "doc_ord", "field_id", "value", "confidence", "issue")
+
+
+def _consolidated(spark, sf_dir):
+    return evidence.consolidate(a.read(spark, sf_dir, a.CANDIDATES))
+
+
+def consolidated_values(spark, sf_dir):
+    return _consolidated(spark, sf_dir)[0]
+
+
+def consolidated_conflicts(spark, sf_dir):
+    return _consolidated(spark, sf_dir)[1]
+
+
+def consolidated_issues(spark, sf_dir):
+    return _consolidated(spark, sf_dir)[2]
+
+
+def coerced_output(spark, sf_dir):
+    return evidence.coerced(a.read(spark, sf_dir, a.OUTPUT))
+
+
+def missing_critical(spark, sf_dir):
+    return evidence.missing_critical(_evidence(spark, sf_dir)).groupBy("process_id", "source").agg(F.array_join(F.array_sort(F.collect_list("field_id")), ",").alias("missing"))
+
+
+def _readings(spark, sf_dir):
+    rows = a.read(spark, sf_dir, a.CANDIDATES).select("process_id", "source", "doc_ord", "field_id", "value", "confidence")
+    first, second = rows.where("doc_ord = 0"), rows.where("doc_ord = 1 and process_id % 3 <> 0")
+    return first.withColumn("value", F.when(F.col("process_id") % 2 == 0, F.col("value"))), second
+
+
+def recovery_merge(spark, sf_dir):
+    return evidence.recovered(*_readings(spark, sf_dir), ["process_id", "source"]).select("process_id", "source", "field_id", "doc_ord", "value")
+
+
+def recovery_preferred(spark, sf_dir):
+    return evidence.recovered(*_readings(spark, sf_dir), ["process_id", "source"], True).select("process_id", "source", "field_id", "doc_ord", "value")
+
+
+def reservation_gaps(spark, sf_dir):
+    return evidence.reservation_gaps(a.read(spark, sf_dir, a.CANDIDATES).where("source = 'DADOS_RESERVA'"))
+
+
+def developments_with_units(spark, sf_dir):
+    nested = registry.developments_with_units(a.read(spark, sf_dir, a.DEVELOPMENTS), a.read(spark, sf_dir, a.UNITS))
+    return nested.select("development_id", "name", F.array_join(F.transform("units", lambda u: F.concat_ws("/", u["tower"], u["unit"])), ",").alias("units"))
+
+
+def units_replaced(spark, sf_dir):
+    units = a.read(spark, sf_dir, a.UNITS).select("development_id", "tower", "unit")
+    saved = a.read(spark, sf_dir, a.DEVELOPMENTS).where("development_id % 3 = 1").select("development_id")
+    return registry.replace_children(units, units.where("cast(unit as int) % 5 = 0").withColumn("tower", F.lit("nova")), saved)
+
+
+def _deleted(spark, sf_dir):
+    developments, units = a.read(spark, sf_dir, a.DEVELOPMENTS), a.read(spark, sf_dir, a.UNITS)
+    gone = developments.where("development_id % 2 = 0").select("development_id", F.when(F.col("development_id") % 4 == 0, F.col("organization_id")).otherwise(F.col("organization_id") + 1).alias("organization_id"))
+    return registry.delete_cascade(developments, units, gone)
+
+
+def development_deleted(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].select("development_id", "organization_id")
+
+
+def development_units_left(spark, sf_dir):
+    return _deleted(spark, sf_dir)[1].select("development_id", "unit")
+
+
+def register_appended(spark, sf_dir):
+    """Evidence of a contract's own source with the register's rows as one more source."""
+    units = _units(spark, sf_dir).withColumn("process_id", F.col("unit").cast("long"))
+    rows = registry.with_register(_evidence(spark, sf_dir).where("source = 'SIOPI'").select("process_id", "source_ord", "source", "field_id", "value", "confidence"), registry.as_evidence(units, "process_id"), 4)
+    return rows.groupBy("source_ord", "source", "field_id").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+def towers_by_apartments(spark, sf_dir):
+    part = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").select(part.alias("group_id"), F.when(part % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"), F.lit("B"))).alias("towers"), F.array(F.lit("101"), F.col("p_brand")).alias("apartments"))
+    return registry.towers_by_apartments(rows)
+
+
+def pages_merged(spark, sf_dir):
+    key = F.col("s_suppkey")
+    of = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", of.alias("page"))
+    name = F.when((F.col("page") < 3) & (key % 2 == 0), "Empreendimento sem nome").otherwise(F.concat("s_name", F.lit(" p"), "page"))
+    some = lambda k, c: F.when((key + F.col("page")) % k == 0, F.concat(F.lit(c), "page"))
+    return registry.merged_pages(rows.select("s_suppkey", "page", name.alias("name"), some(2, "c").alias("city"), some(3, "r").alias("registration"), some(5, "s").alias("seller_name"), F.lit(None).cast("string").alias("seller_cnpj")), "s_suppkey")
+
+
+def notes_merged(spark, sf_dir):
+    key = F.col("s_suppkey")
+    notes = lambda k: F.when(key % k != 0, F.array(F.lit("a"), F.lit("b"), F.lit("a")))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(registry.merged_notes(notes(2), notes(3)), "|").alias("notes"))
+
+
+def empty_developments(spark, sf_dir):
+    typologies = F.when(F.col("development_id") % 2 == 0, F.array(F.lit("Tipo A"), F.lit("Tipo B"))).otherwise(F.array().cast("array<string>"))
+    return registry.empty_set_issues(a.read(spark, sf_dir, a.DEVELOPMENTS).withColumn("typologies", typologies), a.read(spark, sf_dir, a.UNITS).where("development_id % 5 <> 0"), "development_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -457,5 +671,6 @@ QUERIES = {
         rls_visible_documents, ops_dashboard, process_anomalies, security_alerts, retention_batch, process_merge_latest, results_merge, stream_login_failures, learned_rule_counts,
         norm_money, norm_date, norm_decimal, process_codes, source_diagnostic, optional_zero_equivalence, divergence_email, divergence_digits, result_filter, reservation_score_best, participant_expand, quality_totals, extraction_alerts,
         unit_picker, unit_accepted, form_fields, label_next_line, tabular_rows, history_search, upload_dedup, process_list, admin_metrics, login_rate_limit, stale_processes, review_progress, stream_rule_counter,
+        norm_every_type, reconcile_every_source, every_source_summary, every_source_missing, participant_summary, learned_equivalence, report_counters, report_checked, report_pending, result_missing, review_state, review_audit, retention_purged, retention_failed, retention_audit, process_persisted, process_lifecycle, processes_with_documents, documents_upsert, slowest_processes, evidence_verified, consolidated_values, consolidated_conflicts, consolidated_issues, coerced_output, missing_critical, recovery_merge, recovery_preferred, reservation_gaps, developments_with_units, units_replaced, development_deleted, development_units_left, register_appended, towers_by_apartments, pages_merged, notes_merged, empty_developments,
     )
 }

@@ -136,6 +136,21 @@ SELECT CAST(floor((p_partkey - 1) / 20) AS BIGINT) + 1 AS development_id, CASE W
 """
 
 
+#: What two documents of a source say of each field, with the text they say it in: keys decide on other values, missing and empty texts.
+CANDIDATES = f"""
+SELECT process_id, source_ord, source, doc_ord, field_id, field_type, participant_id, confidence, value, CASE WHEN process_id % 6 = 0 THEN '' WHEN process_id % 5 = 0 THEN 'nada aqui' ELSE concat(CASE WHEN process_id % 3 = 0 THEN 'valor do contrato ' ELSE 'texto ' END, coalesce(value, '')) END AS raw
+FROM (SELECT process_id, source_ord, source, d.doc_ord, field_id, field_type, CASE WHEN field_id = 'buyer.name' AND process_id % 4 = 0 THEN 'buyer_2' END AS participant_id, confidence - d.doc_ord AS confidence, CASE WHEN d.doc_ord = 1 AND process_id % 10 = 7 AND value IS NOT NULL THEN concat(value, '7') ELSE value END AS value
+  FROM ({EVIDENCE}) AS e CROSS JOIN (VALUES (0), (1)) AS d(doc_ord)) AS c
+"""
+
+#: A reader's raw output: unknown fields, repeated ones, buyers with and without names, confidences of all kinds.
+OUTPUT = """
+SELECT c_custkey AS doc_id, o.ord, o.field_id, CASE WHEN o.ord = 5 THEN NULL ELSE concat(c_name, CAST(o.ord AS STRING)) END AS value, o.confidence, o.participant_id, o.page, concat('  trecho ', c_name) AS raw FROM {customer}
+CROSS JOIN (VALUES (1, 'buyer.name', '0.87', CAST(NULL AS STRING), 2.0), (2, 'buyer.name', '150', ' Co Buyer! ', 1.5), (3, 'contract.number', '64.5', 'x', 0.0), (4, 'contract.number', '99', 'y', 3.0), (5, 'contract.date', 'muito', CAST(NULL AS STRING), -1.0), (6, 'no.such', '88', CAST(NULL AS STRING), 1.0), (7, 'buyer.cpf', '-4', '', 4.0)) AS o(ord, field_id, confidence, participant_id, page)
+WHERE o.ord <> 2 OR c_custkey % 2 = 0
+"""
+
+
 def read(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
     """A canonical table: the mapping over the Parquet tables it names."""
     names = [n for n in ("orders", "customer", "nation", "lineitem", "events", "labels", "part", "supplier") if "{" + n + "}" in mapping]
