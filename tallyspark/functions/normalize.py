@@ -46,7 +46,7 @@ def unaccent(v) -> Column:
 
 def let(value: Column, use) -> Column:
     """use(value) with value evaluated once: a lambda's variable is, where an expression named twice may be evaluated twice."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
 def _is_ascii(v: Column) -> Column:

@@ -143,11 +143,11 @@ def delete_cascade(developments: DataFrame, units: DataFrame, gone: DataFrame, k
 
 
 def towers_by_apartments(groups: DataFrame) -> DataFrame:
-    """A row for each tower and apartment of a group (arrays towers and apartments, which its other columns hold for). An empty array stands for one blank value."""
-    blank = F.array(F.lit(""))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(blank)
+    """A row for each tower and apartment of a group (arrays towers and apartments, which its other columns hold for). Where either is empty the group is one row with both blank; a group without a private area has none."""
     rest = [c for c in groups.columns if c not in ("towers", "apartments")]
-    each = groups.select(*rest, some("apartments").alias("_a"), F.explode(some("towers")).alias("tower"))
+    both = (F.size("towers") > 0) & (F.size("apartments") > 0)
+    blank = F.array(F.lit(""))
+    each = groups.where(F.coalesce(F.trim("private_area"), F.lit("")) != "").select(*rest, F.when(both, F.col("apartments")).otherwise(blank).alias("_a"), F.explode(F.when(both, F.col("towers")).otherwise(blank)).alias("tower"))
     return each.select(*rest, "tower", F.explode("_a").alias("unit"))
 
 

@@ -306,7 +306,7 @@ CASE ord WHEN 1 THEN 87 WHEN 2 THEN 100 WHEN 3 THEN 65 ELSE 0 END AS c, CASE ord
     "units_replaced": f"SELECT development_id, CASE WHEN saved THEN 'nova' ELSE tower END AS tower, unit FROM (SELECT u.*, d.development_id IS NOT NULL AND u.development_id % 3 = 1 AS saved FROM {a.duck(a.UNITS)} u LEFT JOIN {a.duck(a.DEVELOPMENTS)} d USING (development_id)) WHERE NOT saved OR CAST(unit AS INT) % 5 = 0",
     "development_deleted": f"SELECT development_id, organization_id FROM {a.duck(a.DEVELOPMENTS)} d WHERE development_id % 4 <> 0",
     "development_units_left": f"SELECT development_id, unit FROM {a.duck(a.UNITS)} u WHERE NOT (development_id % 4 = 0 AND development_id IN (SELECT s_suppkey FROM supplier))",
-    "towers_by_apartments": "SELECT p_partkey AS group_id, t.tower, a.unit FROM part, unnest(CASE WHEN p_partkey % 4 = 0 THEN [''] ELSE ['A', 'B'] END) AS t(tower), unnest(['101', p_brand]) AS a(unit)",
+    "towers_by_apartments": "SELECT p_partkey AS group_id, t.tower, a.unit FROM part, unnest(CASE WHEN p_partkey % 4 = 0 THEN [''] ELSE ['A', 'B'] END) AS t(tower), unnest(CASE WHEN p_partkey % 4 = 0 THEN [''] ELSE ['101', p_brand] END) AS a(unit) WHERE p_partkey % 7 <> 0",
     "pages_merged": """WITH p AS (SELECT s_suppkey, page, CASE WHEN page < 3 AND s_suppkey % 2 = 0 THEN 'Empreendimento sem nome' ELSE s_name || ' p' || page END AS name, CASE WHEN (s_suppkey + page) % 2 = 0 THEN 'c' || page END AS city, CASE WHEN (s_suppkey + page) % 3 = 0 THEN 'r' || page END AS registration, CASE WHEN (s_suppkey + page) % 5 = 0 THEN 's' || page END AS seller_name FROM supplier, (VALUES (1), (2), (3)) AS v(page))
 SELECT s_suppkey, coalesce(arg_min(name, page) FILTER (WHERE name <> 'Empreendimento sem nome'), 'Empreendimento sem nome') AS name, arg_min(city, page) FILTER (WHERE city IS NOT NULL) AS city, arg_min(registration, page) FILTER (WHERE registration IS NOT NULL) AS registration, arg_min(seller_name, page) FILTER (WHERE seller_name IS NOT NULL) AS seller_name, CAST(NULL AS VARCHAR) AS seller_cnpj FROM p GROUP BY s_suppkey""",
     "notes_merged": "SELECT s_suppkey, array_to_string(CASE WHEN s_suppkey % 2 <> 0 THEN ['OCR: a', 'OCR: b'] ELSE [] END || CASE WHEN s_suppkey % 3 <> 0 THEN ['Visão IA: a', 'Visão IA: b'] ELSE [] END, '|') AS notes FROM supplier",

@@ -638,8 +638,8 @@ def register_appended(spark, sf_dir):
 
 def towers_by_apartments(spark, sf_dir):
     part = F.col("p_partkey")
-    rows = _table(spark, sf_dir, "part").select(part.alias("group_id"), F.when(part % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"), F.lit("B"))).alias("towers"), F.array(F.lit("101"), F.col("p_brand")).alias("apartments"))
-    return registry.towers_by_apartments(rows)
+    rows = _table(spark, sf_dir, "part").select(part.alias("group_id"), F.when(part % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"), F.lit("B"))).alias("towers"), F.array(F.lit("101"), F.col("p_brand")).alias("apartments"), F.when(part % 7 != 0, F.col("p_name")).otherwise(" ").alias("private_area"))
+    return registry.towers_by_apartments(rows).drop("private_area")
 
 
 def pages_merged(spark, sf_dir):
