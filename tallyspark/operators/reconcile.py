@@ -247,6 +247,76 @@ def phone_gap(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(None)).when(F.substring(a, 1, 2) != F.substring(b, 1, 2), "DDD").otherwise(first_difference(a, b).cast("string"))
 
 
+def _money_text(v: Column) -> Column:
+    """As amounts are shown: R$ 1.234,56."""
+    return F.concat(F.lit("R$\u00a0"), F.translate(F.format_number(v.cast("decimal(20,2)"), 2), ",.", ".,"))
+
+
+def _percent_text(v: Column) -> Column:
+    plain = F.regexp_replace(F.regexp_replace(F.format_number(v.cast("decimal(20,2)"), 2), "0+$", ""), r"\.$", "")
+    return F.concat(F.translate(plain, ",.", ".,"), F.lit("%"))
+
+
+def divergence(kind: Column, x: Column, y: Column, a: Column, b: Column) -> Column:
+    """What differs between two values x and y (normalised: a and b) of a type, in words."""
+    say = lambda *parts: F.concat(*[F.lit(q) if isinstance(q, str) else q for q in parts])
+    # The observations' wording.
+    both = lambda what: say(what, ": imagem ", x, ", documento ", y, ".")
+    tail = lambda v: F.when(F.length(v) > 9, F.concat(F.lit("..."), F.substring(v, F.length(v) - 8, F.lit(9)))).otherwise(v)
+    at = first_difference(a, b)
+    name = F.upper(kind)
+    document = F.when(at == 0, say(name, " diverge no formato informado: imagem ", x, ", documento ", y, ".")).otherwise(say(name, " diverge na posição ", at.cast("string"), ": imagem mostra ", tail(x), ", documento mostra ", tail(y), "."))
+    numbers = a.try_cast("decimal(20,2)").isNotNull() & b.try_cast("decimal(20,2)").isNotNull()
+    money = n.let(money_gap(a, b), lambda g: F.when(numbers, say("Valor diverge em ", _money_text(g["gap"]), " (", _percent_text(g["percent"]), " ", g["direction"], "): imagem ", x, ", documento ", y, ".")).otherwise(both("Valor monetário diverge")))
+    date = n.let(date_gap(a, b), lambda g: F.when(g.isNotNull(), say("Data diverge em ", g, ": imagem ", x, ", documento ", y, ".")).otherwise(both("Data diverge")))
+    part = lambda v, i: F.coalesce(F.get(F.split(v, "@"), F.lit(i)), F.lit(""))
+    named = lambda v: F.coalesce(F.nullif(part(v, 1), F.lit("")), F.lit("sem domínio"))
+    mail = (
+        F.when(part(a, 1) != part(b, 1), say("Email diverge no domínio: imagem ", named(a), ", documento ", named(b), ".")).when(part(a, 0) != part(b, 0), say("Email diverge no usuário antes do @: imagem ", part(a, 0), ", documento ", part(b, 0), "."))
+        .otherwise(both("Email diverge no formato"))
+    )
+    area = lambda v: F.when(F.length(v) >= 10, F.substring(v, 1, 2)).otherwise("")
+    phone = (
+        F.when((area(a) != "") & (area(b) != "") & (area(a) != area(b)), say("Telefone diverge no DDD: imagem (", area(a), "), documento (", area(b), ")."))
+        .when(at > 0, say("Telefone diverge no dígito ", at.cast("string"), ": imagem ", x, ", documento ", y, ".")).otherwise(both("Telefone diverge no formato"))
+    )
+    words = lambda v: F.filter(F.split(v, " "), lambda t: t != "")
+    only = lambda v, w: F.array_join(F.filter(words(v), lambda t: ~F.array_contains(words(w), t)), " ")
+    what = F.when(kind == "endereco", "componente do endereço").otherwise("palavra")
+    told = lambda d, v: F.coalesce(F.nullif(d, F.lit("")), v)
+    text = n.let(F.struct(only(a, b).alias("l"), only(b, a).alias("r")), lambda d: F.when(
+        (d["l"] == "") & (d["r"] == ""), say('Texto diverge por ordem ou formatação dos termos: imagem "', x, '", documento "', y, '".')
+    ).otherwise(say("Diverge no ", what, ': imagem indica "', told(d["l"], x), '", documento indica "', told(d["r"], y), '".')))
+    return F.when(kind.isin("cpf", "cnpj", "rg"), document).when(kind == "valor_monetario", money).when(kind == "data", date).when(kind == "email", mail).when(kind == "telefone", phone).otherwise(text)
+
+
+#: What a status of the older check is explained by.
+EXPLAINED = {"MATCH": "Campo conferido automaticamente após normalização.", "NOT_FOUND": "Informação ausente em uma das fontes.", "NOT_APPLICABLE": "Campo opcional ausente nas duas fontes.", "REVIEW_REQUIRED": "Extração com confiança abaixo de 70%."}
+
+
+def validate(evidence: DataFrame, rows: list[tuple], left: str, right: str) -> DataFrame:
+    """The older check of one source against another over all fields of a checklist: (process_id, field_id, status, observation).
+
+    Of a field's rows in a source the last one counts (by participant_id). A
+    field that neither has is NOT_APPLICABLE, or NOT_FOUND where it is required.
+    """
+    fields = F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(k).alias("field_type"), F.lit(r).alias("required")) for f, _, _, r, k, _ in rows])
+    value = F.coalesce(F.trim("value"), F.lit(""))
+    side = lambda s: F.max_by(F.struct(value.alias("value"), "confidence"), F.when(F.col("source") == s, F.struct(F.coalesce("participant_id", F.lit("")), "source_ord")))
+    held = evidence.where(F.col("source").isin(left, right)).groupBy("process_id", "field_id").agg(side(left).alias("l"), side(right).alias("r"))
+    every = evidence.select("process_id").distinct().select("process_id", F.explode(fields).alias("f")).select("process_id", "f.*")
+    both = every.join(held, ["process_id", "field_id"], "left")
+    x, y = F.coalesce("l.value", F.lit("")), F.coalesce("r.value", F.lit(""))
+    both = both.select("process_id", "field_id", "field_type", "required", x.alias("x"), y.alias("y"), n.value(x, F.col("field_type")).alias("a"), n.value(y, F.col("field_type")).alias("b"), F.least(F.coalesce("l.confidence", F.lit(0)), F.coalesce("r.confidence", F.lit(0))).alias("c"))
+    status = (
+        F.when((F.col("a") == "") & (F.col("b") == "") & ~F.col("required"), "NOT_APPLICABLE").when((F.col("a") == "") | (F.col("b") == ""), "NOT_FOUND").when(F.col("c") < catalog.LOW_CONFIDENCE, "REVIEW_REQUIRED")
+        .when(F.col("a") == F.col("b"), "MATCH").otherwise("DIVERGENCE")
+    )
+    marked = both.withColumn("status", status)
+    why = F.coalesce(F.try_element_at(catalog.constant_map(EXPLAINED), F.col("status")), divergence(F.col("field_type"), F.col("x"), F.col("y"), F.col("a"), F.col("b")))
+    return marked.select("process_id", "field_id", "status", why.alias("observation"))
+
+
 def optional_zero(verdicts: DataFrame) -> DataFrame:
     """Verdicts that match because an optional amount without a value counts as zero."""
     return verdicts.where(F.col("field_id").isin(*catalog.OPTIONAL_ZERO) & (F.col("observation") == ZERO_TEXT))

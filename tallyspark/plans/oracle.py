@@ -313,3 +313,59 @@ SELECT s_suppkey, coalesce(arg_min(name, page) FILTER (WHERE name <> 'Empreendim
     "empty_developments": f"SELECT development_id, CASE WHEN development_id % 2 = 0 THEN 'TYPES_WITHOUT_AREA:Tipo A, Tipo B' ELSE 'NO_UNITS' END AS issue FROM {a.duck(a.DEVELOPMENTS)} d WHERE development_id % 5 = 0 OR development_id NOT IN (SELECT development_id FROM {a.duck(a.UNITS)} u)",
 }
 ORACLE["register_appended"] = f"SELECT 0 AS source_ord, source, field_id, count(*) AS n, count(value) AS n_values FROM {EV} e WHERE source = 'SIOPI' GROUP BY source, field_id UNION ALL SELECT 4, source, field_id, count(*), count(value) FROM ({ORACLE['unit_unpivot']}) GROUP BY source, field_id"
+
+
+#: Queries that SQL can't express; they have tests of their own.
+NO_SQL = {"focus_text"}
+
+
+def _rows(*rows: tuple[str, str, int]) -> str:
+    """Field, value and confidence for each customer; the customer's number stands where # does."""
+    return "SELECT c_custkey, f.field_id, replace(f.value, '#', CAST(c_custkey AS VARCHAR)) AS value, CAST(f.c AS INT) AS confidence FROM customer, (VALUES " + ", ".join(f"('{f}', '{v}', {c})" for f, v, c in rows) + ") AS f(field_id, value, c)"
+
+
+_FILES = """(SELECT l_orderkey AS upload, 'arquivo' || l_linenumber || ['.pdf', '.PNG', '.jpg', '.docx', '.rtf', '.tif', '.exe'][l_partkey % 7 + 1] AS name, l_partkey % 7 AS kind, l_partkey % 10 = 0 AS wrong, l_partkey * 1000 AS size, l_partkey % 3 AS k FROM lineitem)"""
+_MONEY = lambda v: f"'R$' || chr(160) || replace(replace(replace(format('{{:,.2f}}', CAST({v} AS DOUBLE)), ',', ';'), '.', ','), ';', '.')"
+_DIFF = "coalesce(list_position(list_transform(range(1, greatest(length(a), length(b), 1) + 1), lambda i: substring(a, i, 1) <> substring(b, i, 1)), true), 0)"
+_TAIL = lambda v: f"CASE WHEN length({v}) > 9 THEN '...' || substring({v}, length({v}) - 8, 9) ELSE {v} END"
+_ONLY = lambda v, w: f"array_to_string(list_filter(string_split({v}, ' '), lambda t: t <> '' AND NOT list_contains(string_split({w}, ' '), t)), ' ')"
+_PLAIN = WIDE_NORMAL.replace("CASE WHEN coalesce(value, '') = ''", "CASE WHEN v = ''").replace(f"WHEN field_id = 'buyer.maritalStatus' THEN {marital(text('value'))} WHEN field_id = 'property.development' THEN {development(text('value'))} ", "").replace("coalesce(value, '')", "v")
+_VALIDATED = f"""WITH f AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{k}', {str(r).lower()})" for f, _, _, r, k, _ in catalog.MINUTA)}) AS t(field_id, field_type, required)),
+e AS (SELECT process_id, field_id, source, arg_max(trim(coalesce(value, '')), coalesce(participant_id, '')) AS v, arg_max(confidence, coalesce(participant_id, '')) AS c FROM {a.duck(a.WIDE_EVIDENCE)} x GROUP BY ALL),
+p AS (SELECT DISTINCT process_id FROM e),
+s AS (SELECT p.process_id, f.*, coalesce(l.v, '') AS x, coalesce(r.v, '') AS y, least(coalesce(l.c, 0), coalesce(r.c, 0)) AS c FROM p CROSS JOIN f LEFT JOIN e l ON l.process_id = p.process_id AND l.field_id = f.field_id AND l.source = 'SIOPI' LEFT JOIN e r ON r.process_id = p.process_id AND r.field_id = f.field_id AND r.source = 'MINUTA'),
+m AS (SELECT *, (SELECT {_PLAIN} FROM (SELECT s.x AS v)) AS a, (SELECT {_PLAIN} FROM (SELECT s.y AS v)) AS b FROM s),
+t AS (SELECT *, CASE WHEN a = '' AND b = '' AND NOT required THEN 'NOT_APPLICABLE' WHEN a = '' OR b = '' THEN 'NOT_FOUND' WHEN c < 70 THEN 'REVIEW_REQUIRED' WHEN a = b THEN 'MATCH' ELSE 'DIVERGENCE' END AS status, {_DIFF} AS d, {_ONLY('a', 'b')} AS l, {_ONLY('b', 'a')} AS r,
+  abs(date_diff('day', TRY_CAST(a AS DATE), TRY_CAST(b AS DATE))) AS days, TRY_CAST(a AS DECIMAL(20,2)) AS na, TRY_CAST(b AS DECIMAL(20,2)) AS nb FROM m)
+SELECT process_id, field_id, status, CASE status WHEN 'MATCH' THEN 'Campo conferido automaticamente após normalização.' WHEN 'NOT_FOUND' THEN 'Informação ausente em uma das fontes.' WHEN 'NOT_APPLICABLE' THEN 'Campo opcional ausente nas duas fontes.' WHEN 'REVIEW_REQUIRED' THEN 'Extração com confiança abaixo de 70%.' ELSE
+CASE WHEN field_type IN ('cpf', 'rg', 'cnpj') THEN upper(field_type) || ' diverge na posição ' || d || ': imagem mostra ' || {_TAIL('x')} || ', documento mostra ' || {_TAIL('y')} || '.'
+WHEN field_type = 'valor_monetario' THEN 'Valor diverge em ' || {_MONEY('abs(nb - na)')} || ' (' || replace(rtrim(rtrim(format('{{:.2f}}', CAST(round(CAST(abs(nb - na) * 100 AS DECIMAL(38,10)) / abs(na), 2) AS DOUBLE)), '0'), '.'), '.', ',') || '% ' || CASE WHEN nb > na THEN 'maior no documento' ELSE 'menor no documento' END || '): imagem ' || x || ', documento ' || y || '.'
+WHEN field_type = 'data' AND days IS NOT NULL THEN 'Data diverge em ' || CASE WHEN days >= 365 AND days % 365 = 0 THEN days // 365 || CASE WHEN days = 365 THEN ' ano' ELSE ' anos' END WHEN days >= 30 AND days % 30 = 0 THEN days // 30 || CASE WHEN days = 30 THEN ' mês' ELSE ' meses' END ELSE days || CASE WHEN days = 1 THEN ' dia' ELSE ' dias' END END || ': imagem ' || x || ', documento ' || y || '.'
+WHEN field_type = 'data' THEN 'Data diverge: imagem ' || x || ', documento ' || y || '.'
+WHEN l = '' AND r = '' THEN 'Texto diverge por ordem ou formatação dos termos: imagem "' || x || '", documento "' || y || '".'
+ELSE 'Diverge no ' || CASE field_type WHEN 'endereco' THEN 'componente do endereço' ELSE 'palavra' END || ': imagem indica "' || CASE l WHEN '' THEN x ELSE l END || '", documento indica "' || CASE r WHEN '' THEN y ELSE r END || '".' END END AS observation FROM t"""
+
+ORACLE |= {
+    "legacy_observations": _VALIDATED.replace("TRIM_VALUE", "v"),
+    "extract_contract": _rows(("contract.number", "8.#.77", 94), ("contract.agencyCode", "1#-5", 90), ("contract.date", "12 de março de 2024", 98), ("financial.financing", "R$ 1#.000,00", 100), ("financial.totalValue", "R$ 2#.500,00", 98), ("property.unit", "302", 99), ("property.tower", "T#", 99), ("property.floor", "3º Pavimento", 99), ("property.type", "Tipo C", 99), ("property.registration", "55.#", 90)),
+    "extract_composition": _rows(("financial.financing", "R$ 1#.000,00", 100), ("financial.downPayment", "R$ 2#,00", 100), ("financial.fgts", "R$ 3#,10", 100), ("financial.subsidy", "R$ 4#,50", 100)),
+    "extract_reservation": _rows(("buyer.name", "ANA SOUZA", 90), ("buyer.cpf", "123.456.789-01", 90), ("buyer.rg", "RG1#9999", 90), ("buyer.phone", "85 99999-8888", 90), ("buyer.maritalStatus", "Casada", 90), ("buyer.address", "Rua #, Centro", 90), ("financial.totalValue", "R$ 123.000,00", 90), ("financial.financing", "15#,00", 70)),
+    "extract_declaration": _rows(("buyer.address", "Rua #", 96), ("seller.legalName", "OBRAS # LTDA", 96), ("seller.cnpj", "12.345.678/0001-90", 94), ("seller.address", "Av #", 96), ("property.registration", "55#", 94), ("property.privateArea", "5#,25", 96), ("financial.totalValue", "2#.000,00", 96), ("financial.nonFinancedValue", "5#,00", 90), ("transaction.nature", "Compra e venda", 96)),
+    "deed_units": "SELECT c_custkey, CASE n WHEN 0 THEN '5' || c_custkey || ',25' ELSE '70,10' END AS private_area, CASE n WHEN 0 THEN '6' || c_custkey || ',750' END AS total_area, CASE n WHEN 0 THEN '0,012345' END AS ideal_fraction, '77-' || c_custkey AS iptu, CASE n WHEN 0 THEN 'Tipo A' ELSE 'Tipo B' END AS typology, CAST(CASE n WHEN 0 THEN 88 ELSE 82 END AS INT) AS confidence, CASE n WHEN 0 THEN '2' ELSE '3' END AS pages FROM customer, (VALUES (0), (1)) AS v(n)",
+    "deed_table_units": "SELECT c_custkey, CASE n WHEN 0 THEN '1' ELSE '2' END AS tower, CASE n WHEN 0 THEN '101' ELSE '20200' END AS unit, CASE n WHEN 0 THEN 'Tipo A' ELSE 'Tipo B-C' END AS typology, CASE n WHEN 0 THEN '50,25' ELSE '51,00' END AS private_area, CASE n WHEN 0 THEN '60,755' ELSE '61,000' END AS total_area, CASE n WHEN 0 THEN '0,012345' ELSE '0,0123456' END AS ideal_fraction, CAST(96 AS INT) AS confidence, CAST(CASE n WHEN 0 THEN 4 ELSE 5 END AS INT) AS page FROM customer, (VALUES (0), (1)) AS v(n)",
+    "deed_development": "SELECT c_custkey, 'Condominio Vila ' || c_custkey AS name, 'Fortaleza' AS city, '12' || c_custkey AS registration, '12.345.678/0001-90' AS seller_cnpj, 'Tipo A,Tipo B' AS typologies FROM customer",
+    "upload_gate": f"SELECT upload, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes, count(*) FILTER (WHERE kind = 6 OR wrong OR size <= 0 OR size > 15728640) AS n_rejected, count(*) <= 20 AND sum(size) <= 62914560 AND count(*) FILTER (WHERE kind = 6 OR wrong OR size <= 0 OR size > 15728640) = 0 AS accepted FROM {_FILES} f GROUP BY upload",
+    "upload_kinds": f"SELECT ['application/pdf', 'image/png', 'image/jpeg', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/rtf', 'image/tiff', 'application/octet-stream'][kind + 1] AS mime_type, ['PDF', 'IMAGE', 'IMAGE', 'WORD', 'WORD', 'TIFF', 'COMPLEMENTARY'][kind + 1] AS itbi_type, ['CONTRACT', 'IMAGE', 'IMAGE', 'WORD', 'WORD', 'TIFF', 'CONTRACT'][kind + 1] AS minuta_type, ['pdf', 'image', 'image', 'docx', 'rtf', 'tiff', NULL][kind + 1] AS reader, count(*) AS n FROM {_FILES} f GROUP BY ALL",
+    "upload_sides": f"SELECT upload, bool_or(kind IN (1, 2, 5)) AND bool_or(kind NOT IN (1, 2, 5)) AS both_sides FROM {_FILES} f GROUP BY upload",
+    "upload_sources": f"SELECT upload, count(DISTINCT k) + CASE WHEN upload % 5 = 0 THEN 1 ELSE 0 END AS n_sources, count(DISTINCT k) + CASE WHEN upload % 5 = 0 THEN 1 ELSE 0 END >= 2 AS enough FROM {_FILES} f GROUP BY upload",
+    "upload_estimates": f"SELECT upload, CASE WHEN big THEN '2 a 6 minutos' WHEN p > 0 AND i > 0 THEN '1 a 3 minutos' WHEN p > 0 THEN '40 segundos a 2 minutos' WHEN i > 2 THEN '1 a 3 minutos' ELSE '30 segundos a 2 minutos' END AS label, CAST(CASE WHEN big THEN 360 WHEN p > 0 AND i > 0 THEN 180 WHEN p > 0 THEN 120 WHEN i > 2 THEN 180 ELSE 120 END AS INT) AS max_seconds FROM (SELECT upload, count(*) FILTER (WHERE kind = 0) AS p, count(*) FILTER (WHERE kind <> 0) AS i, bool_or(kind = 0 AND size >= 3145728) AS big FROM {_FILES} f GROUP BY upload)",
+    "upload_source_lists": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'SIOPI,ITBI' WHEN o_orderkey % 8 = 6 THEN 'MINUTA' END AS sources FROM orders",
+    "page_lists": "SELECT o_orderkey, CASE WHEN k % 3 = 0 AND k BETWEEN 1 AND 30 THEN array_to_string(list_sort(list_distinct(range(1, k + 1) || [CAST(2 AS BIGINT)])), ',') WHEN k % 3 = 1 AND k BETWEEN 1 AND 30 THEN CAST(k AS VARCHAR) END AS pages FROM (SELECT o_orderkey, o_orderkey % 50 AS k FROM orders)",
+    "names_inferred": "SELECT p_partkey, 'Vila ' || regexp_replace(p_brand, '#[0-9]+$', '') AS name, '12.' || p_partkey AS registration, 'cao-' || replace(p_brand, '#', '-') || '-x' AS file FROM part",
+    "errors_told": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Timeout Bearer [oculto] fim' WHEN 1 THEN 'arquivo encrypted' ELSE 'outro [chave oculta]' END AS hidden, CASE o_orderkey % 3 WHEN 0 THEN 'Tempo excedido ao extrair a.pdf. O arquivo pode ser muito pesado, escaneado em alta resolução ou o provedor de IA/OCR demorou demais.' WHEN 1 THEN 'PDF protegido por senha ou criptografia: a.pdf. Remova a proteção ou envie uma versão desbloqueada.' ELSE 'outro sk-' || o_orderkey END AS told FROM orders",
+    "requests_audited": "SELECT c_custkey, c_custkey || '.0.0.1' AS ip, CAST(least(300, length(c_name) * 20) AS INT) AS agent_length, 'u' || c_custkey || '@mail.org' AS login FROM customer",
+    "workbook_tables": "SELECT DISTINCT p_brand AS file_id, 'sheet1' AS sheet, CAST(1 AS INT) AS row, CAST(25 AS INT) AS score, CAST(0 AS INT) AS tower, CAST(1 AS INT) AS unit, CAST(2 AS INT) AS typology, CAST(3 AS INT) AS private_area FROM part",
+    "workbook_units": r"SELECT p_brand AS file_id, 'T1' AS tower, CAST(p_partkey AS VARCHAR) AS unit, CASE WHEN p_partkey % 3 <> 0 THEN 'Tipo K' || p_partkey % 4 ELSE '' END AS typology, regexp_replace(regexp_replace(replace(CAST(CAST(p_retailprice AS DECIMAL(20,2)) AS VARCHAR), '.', ','), '0+$', ''), ',$', '') AS private_area, CAST(99 AS INT) AS confidence FROM part WHERE p_partkey % 5 <> 0",
+    "workbook_texts": "SELECT p_brand AS file_id, CAST(2 + least(count(*), 1999) AS INT) AS n_lines, substring('sheet1:' || chr(10) || 'Lista de unidades: Torre | Coluna 2: Unidade (nº) | Coluna 3: Tipologia', 1, 60) AS start FROM part GROUP BY p_brand",
+    "text_shortened": "SELECT doc_id, sha256(CASE WHEN length(t) <= 22000 THEN t ELSE substring(t, 1, 17000) || chr(10) || chr(10) || '[CONTEÚDO INTERMEDIÁRIO OMITIDO]' || chr(10) || chr(10) || substring(t, length(t) - 4999, 5000) END) AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+}

@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
-from tallyspark.operators import evidence, ops, reconcile, registry, textops
+from tallyspark.operators import deeds, evidence, extract, ops, reconcile, registry, textops, uploads
 from tallyspark.plans.oracle import KEYWORDS, WIDE_FIELDS
 from tallyspark.sources import adapters as a
+from tallyspark.sources import office
 from tallyspark.streaming import alerts
 
 FIELDS = ["buyer.name", "financial.totalValue", "contract.date", "property.type", "financial.fgts"]
@@ -662,6 +663,151 @@ def empty_developments(spark, sf_dir):
     return registry.empty_set_issues(a.read(spark, sf_dir, a.DEVELOPMENTS).withColumn("typologies", typologies), a.read(spark, sf_dir, a.UNITS).where("development_id % 5 <> 0"), "development_id")
 
 
+def legacy_observations(spark, sf_dir):
+    """Every field of the contract's checklist, one source against another, with what differs in words."""
+    return reconcile.validate(_wide(spark, sf_dir), catalog.MINUTA, "SIOPI", "MINUTA")
+
+
+def _customer_texts(spark, sf_dir, source: str, template: list[str]) -> DataFrame:
+    """A text for each customer, whose number stands where # does."""
+    text = F.replace(F.lit("\n".join(template)), F.lit("#"), F.col("c_custkey").cast("string"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.lit(source).alias("source"), text.alias("text"))
+
+
+def _read_fields(docs: DataFrame, source: str) -> DataFrame:
+    return extract.extracted_rows(docs, "c_custkey", sources=[source]).select("c_custkey", "field_id", "value", "confidence")
+
+
+CONTRACT = ["nº do contrato: 8.#.77", "Agência: 1#-5", "FORTALEZA, CE 12 de março de 2024", "B.4.1 Valor do financiamento: R$ 1#.000,00", "Valor destinado à aquisição é R$ 2#.500,00", "apartamento nº 302 da torre T#, 3º pavimento, tipo C, matrícula nº 55.#"]
+COMPOSITION = ["B.4.1 Valor do financiamento B.4.2 Recursos próprios B.4.3 FGTS B.4.4 Outros B.4.5 Desconto", "R$ 1#.000,00 R$ 2#,00 R$ 3#,10 R$ 0,00 R$ 4#,50 B.5 Fim R$ 9,00"]
+RESERVATION = ["NOME DO CLIENTE CPF / CNPJ RG CELULAR", "ANA SOUZA 123.456.789-01 RG1#9999 85 99999-8888", "ESTADO CIVIL: Casada", "ENDEREÇO: Rua #", "BAIRRO: Centro", "VALOR DO CONTRATO", "R$ 123.000,00", "fnanciamento 1 15#,00"]
+DECLARATION = ["DTI [CAMPOS DE FORMULARIO] DADOS DO ADQUIRENTE Nome: ANA # CPF / CNPJ: 123.456.789-01 Endereço: Rua # Email: ana#@mail.com", "DADOS DO TRANSMITENTE Nome / Razão Social: OBRAS # LTDA CPF / CNPJ: 12.345.678/0001-90 Endereço: Av #", "NATUREZA DA TRANSAÇÃO: Compra e venda DADOS DO IMÓVEL OBJETO DA TRANSAÇÃO Matrícula: 55# Área Privativa: 5#,25 m²", "DECLARAÇÃO DE VALORES Valor TOTAL DECLARADO: 2#.000,00 Valor não financiado: 5#,00 RESPONSÁVEL PELAS INFORMAÇÕES"]
+DEED = ["Matrícula: 12.#. denominado CONDOMÍNIO VILA #, no município de Fortaleza-CE. CNPJ 12.345.678/0001-90 [PÁGINA 2] tipo A com uma área privativa de 5#,25 m², área total real de 6#,750 m² e fração ideal de 0,012345.", "[PÁGINA 3] Inscrição municipal: 77-# tipo B área privativa coberta: 70.10 m"]
+DEED_TABLE = ["[PÁGINA 4] 1 101 a 50,25 60.755 0,012345", "[PÁGINA 5] 2 20200 B-c 51,00 61,000 0,0123456 #"]
+
+
+def extract_contract(spark, sf_dir):
+    return _read_fields(_customer_texts(spark, sf_dir, "MINUTA", CONTRACT), "MINUTA")
+
+
+def extract_composition(spark, sf_dir):
+    return _read_fields(_customer_texts(spark, sf_dir, "MINUTA", COMPOSITION), "MINUTA")
+
+
+def extract_reservation(spark, sf_dir):
+    return _read_fields(_customer_texts(spark, sf_dir, "DADOS_RESERVA", RESERVATION), "DADOS_RESERVA")
+
+
+def extract_declaration(spark, sf_dir):
+    """Texts that came as certificates and are declarations."""
+    return _read_fields(_customer_texts(spark, sf_dir, "CERTIDAO", DECLARATION), "ITBI").where(F.col("field_id").isin("buyer.address", "seller.legalName", "seller.cnpj", "seller.address", "property.registration", "property.privateArea", "financial.totalValue", "financial.nonFinancedValue", "transaction.nature"))
+
+
+def deed_units(spark, sf_dir):
+    rows = _customer_texts(spark, sf_dir, "MATRICULA", DEED).select("c_custkey", F.explode(deeds.prose_units(F.col("text"))).alias("u"))
+    return rows.select("c_custkey", "u.private_area", "u.total_area", "u.ideal_fraction", "u.iptu", "u.typology", "u.confidence", F.array_join(F.col("u.pages").cast("array<string>"), ",").alias("pages"))
+
+
+def deed_table_units(spark, sf_dir):
+    return _customer_texts(spark, sf_dir, "MATRICULA", DEED_TABLE).select("c_custkey", F.explode(deeds.table_units(F.col("text"))).alias("u")).select("c_custkey", "u.*")
+
+
+def deed_development(spark, sf_dir):
+    return _customer_texts(spark, sf_dir, "MATRICULA", DEED).select("c_custkey", deeds.development(F.col("text")).alias("d"), F.array_join(deeds.typologies(F.col("text")), ",").alias("typologies")).select("c_custkey", "d.name", "d.city", "d.registration", "d.seller_cnpj", "typologies")
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """An upload for each order, a file for each of its lines: names and contents that agree or don't."""
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    ending = F.element_at(F.array(*map(F.lit, [".pdf", ".PNG", ".jpg", ".docx", ".rtf", ".tif", ".exe"])), (part % 7 + 1).cast("int"))
+    start = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ("255044462D", "89504E470D", "FFD8FFE0", "504B0304", "7B5C72746631", "49492A0008", "4D5A")]), F.when(part % 10 == 0, 7).otherwise(part % 7 + 1).cast("int"))
+    mime = F.element_at(F.array(*map(F.lit, ["application/pdf", "image/png", "image/jpeg", "x/y", "text/rtf", "image/tiff", "x/y"])), (part % 7 + 1).cast("int"))
+    return _table(spark, sf_dir, "lineitem").select(key.alias("upload"), F.concat(F.lit("arquivo"), F.col("l_linenumber"), ending).alias("name"), mime.alias("mime"), (part * 1000).alias("size"), start.alias("content"), (part % 3).alias("k"))
+
+
+def upload_gate(spark, sf_dir):
+    return uploads.gate(_files(spark, sf_dir), "upload")
+
+
+def upload_kinds(spark, sf_dir):
+    rows = _files(spark, sf_dir)
+    name, mime = F.col("name"), F.col("mime")
+    return rows.groupBy(uploads.mime_type(name, mime).alias("mime_type"), uploads.document_type(name, mime, "ITBI").alias("itbi_type"), uploads.document_type(name, mime, "MINUTA").alias("minuta_type"), uploads.reader(name, mime).alias("reader")).agg(F.count("*").alias("n"))
+
+
+def upload_sides(spark, sf_dir):
+    rows = _files(spark, sf_dir)
+    return uploads.sides(rows.withColumn("type", uploads.document_type(F.col("name"), F.col("mime"), "MINUTA")), "upload")
+
+
+def upload_sources(spark, sf_dir):
+    return uploads.enough_sources(_files(spark, sf_dir).select("upload", F.col("k").alias("source"), F.when(F.col("upload") % 5 == 0, "u1").alias("unit")), "upload", "unit")
+
+
+def upload_estimates(spark, sf_dir):
+    return uploads.estimate(_files(spark, sf_dir), "upload")
+
+
+def upload_source_lists(spark, sf_dir):
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, '["SIOPI","ITBI"]').when(key % 4 == 1, '["SIOPI","NADA"]').when(key % 4 == 2, '["MINUTA"]').otherwise("{não")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(uploads.source_list(text, F.when(key % 8 < 4, 2).otherwise(1)), ",").alias("sources"))
+
+
+def page_lists(spark, sf_dir):
+    key = F.col("o_orderkey") % 50
+    text = F.when(key % 3 == 0, F.concat(F.lit("2, 1-"), key.cast("string"))).when(key % 3 == 1, key.cast("string")).otherwise("1,x")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(uploads.page_list(text, F.lit(30)).cast("array<string>"), ",").alias("pages"))
+
+
+def names_inferred(spark, sf_dir):
+    file = F.concat(F.lit("Lista_Unidades_vila-"), F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit("_12-"), "p_partkey", F.lit(" (2).xlsx"))
+    return _table(spark, sf_dir, "part").select("p_partkey", uploads.inferred_name(file).alias("name"), uploads.inferred_registration(file).alias("registration"), extract.safe_file_name(F.concat(F.lit("ção "), "p_brand", F.lit("/x"))).alias("file"))
+
+
+def errors_told(spark, sf_dir):
+    key = F.col("o_orderkey")
+    error = F.when(key % 3 == 0, F.concat(F.lit("Timeout Bearer abc"), key, F.lit(" fim"))).when(key % 3 == 1, "arquivo encrypted").otherwise(F.concat(F.lit("outro sk-"), key))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", uploads.sanitised_error(error).alias("hidden"), uploads.explained_error(error, F.lit("a.pdf")).alias("told"))
+
+
+def requests_audited(spark, sf_dir):
+    meta = uploads.request_metadata(F.concat(F.col("c_custkey"), F.lit(".0.0.1, 9.9.9.9")), F.repeat(F.col("c_name"), 20))
+    return _table(spark, sf_dir, "customer").select("c_custkey", meta.alias("m"), uploads.login_name(F.concat(F.lit(" U"), "c_custkey"), "mail.org").alias("login")).select("c_custkey", "m.ip", F.length("m.agent").alias("agent_length"), "login")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """Cells of a workbook for each brand: a title, headings in the second row, and a row for each part."""
+    row = (F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 1).cast("int")
+    values = F.array(F.lit("T1"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("tipo k"), F.col("p_partkey") % 4)), F.when(F.col("p_partkey") % 5 != 0, F.replace(F.col("p_retailprice").cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))))
+    body = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("file_id"), F.lit("sheet1").alias("sheet"), row.alias("row"), F.posexplode(values).alias("col", "value")).where("value is not null")
+    head = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in ((0, 0, "Lista de unidades"), (1, 0, "Torre"), (1, 1, "Unidade (nº)"), (1, 2, "Tipologia"), (1, 3, "ÁREA PRIVATIVA m²"))])
+    heads = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("file_id")).distinct().select("file_id", F.lit("sheet1").alias("sheet"), F.explode(head).alias("h")).select("file_id", "sheet", "h.*")
+    return heads.unionByName(body)
+
+
+def workbook_tables(spark, sf_dir):
+    return office.best_tables(_cells(spark, sf_dir)).select("file_id", "sheet", "row", "score", "columns.tower", "columns.unit", "columns.typology", "columns.private_area")
+
+
+def workbook_units(spark, sf_dir):
+    return office.workbook_units(_cells(spark, sf_dir)).select("file_id", "tower", "unit", "typology", "private_area", "confidence")
+
+
+def workbook_texts(spark, sf_dir):
+    """Lines of the first 2,000 rows, by the title as the first column's heading."""
+    return office.workbook_text(_cells(spark, sf_dir)).select("file_id", F.size(F.split("text", "\n")).alias("n_lines"), F.substring("text", 1, 60).alias("start"))
+
+
+def text_shortened(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(textops.shortened(F.coalesce("text", F.lit(""))), 256).alias("text"))
+
+
+def focus_text(spark, sf_dir):
+    """Whole texts cut to their budget by the contract's keywords. Too long for SQL; tested against plain Python."""
+    return _table(spark, sf_dir, "documents").select("doc_id", textops.focused("text", textops.domain_keywords(catalog.MINUTA)).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -672,5 +818,6 @@ QUERIES = {
         norm_money, norm_date, norm_decimal, process_codes, source_diagnostic, optional_zero_equivalence, divergence_email, divergence_digits, result_filter, reservation_score_best, participant_expand, quality_totals, extraction_alerts,
         unit_picker, unit_accepted, form_fields, label_next_line, tabular_rows, history_search, upload_dedup, process_list, admin_metrics, login_rate_limit, stale_processes, review_progress, stream_rule_counter,
         norm_every_type, reconcile_every_source, every_source_summary, every_source_missing, participant_summary, learned_equivalence, report_counters, report_checked, report_pending, result_missing, review_state, review_audit, retention_purged, retention_failed, retention_audit, process_persisted, process_lifecycle, processes_with_documents, documents_upsert, slowest_processes, evidence_verified, consolidated_values, consolidated_conflicts, consolidated_issues, coerced_output, missing_critical, recovery_merge, recovery_preferred, reservation_gaps, developments_with_units, units_replaced, development_deleted, development_units_left, register_appended, towers_by_apartments, pages_merged, notes_merged, empty_developments,
+        legacy_observations, extract_contract, extract_composition, extract_reservation, extract_declaration, deed_units, deed_table_units, deed_development, upload_gate, upload_kinds, upload_sides, upload_sources, upload_estimates, upload_source_lists, page_lists, names_inferred, errors_told, requests_audited, workbook_tables, workbook_units, workbook_texts, text_shortened, focus_text,
     )
 }
