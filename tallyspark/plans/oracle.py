@@ -350,7 +350,7 @@ ORACLE |= {
     "extract_contract": _rows(("contract.number", "8.#.77", 94), ("contract.agencyCode", "1#-5", 90), ("contract.date", "12 de março de 2024", 98), ("financial.financing", "R$ 1#.000,00", 100), ("financial.totalValue", "R$ 2#.500,00", 98), ("property.unit", "302", 99), ("property.tower", "T#", 99), ("property.floor", "3º Pavimento", 99), ("property.type", "Tipo C", 99), ("property.registration", "55.#", 90)),
     "extract_composition": _rows(("financial.financing", "R$ 1#.000,00", 100), ("financial.downPayment", "R$ 2#,00", 100), ("financial.fgts", "R$ 3#,10", 100), ("financial.subsidy", "R$ 4#,50", 100)),
     "extract_reservation": _rows(("buyer.name", "ANA SOUZA", 90), ("buyer.cpf", "123.456.789-01", 90), ("buyer.rg", "RG1#9999", 90), ("buyer.phone", "85 99999-8888", 90), ("buyer.maritalStatus", "Casada", 90), ("buyer.address", "Rua #, Centro", 90), ("financial.totalValue", "R$ 123.000,00", 90), ("financial.financing", "15#,00", 70)),
-    "extract_declaration": _rows(("buyer.address", "Rua #", 96), ("seller.legalName", "OBRAS # LTDA", 96), ("seller.cnpj", "12.345.678/0001-90", 94), ("seller.address", "Av #", 96), ("property.registration", "55#", 94), ("property.privateArea", "5#,25", 96), ("financial.totalValue", "2#.000,00", 96), ("financial.nonFinancedValue", "5#,00", 90), ("transaction.nature", "Compra e venda", 96)),
+    "extract_declaration": _rows(("buyer.address", "Rua #", 94), ("seller.legalName", "OBRAS # LTDA", 96), ("seller.cnpj", "12.345.678/0001-90", 94), ("seller.address", "Av #", 96), ("property.registration", "55#", 94), ("property.privateArea", "5#,25", 96), ("financial.totalValue", "2#.000,00", 96), ("financial.nonFinancedValue", "5#,00", 90), ("transaction.nature", "Compra e venda", 96)),
     "deed_units": "SELECT c_custkey, CASE n WHEN 0 THEN '5' || c_custkey || ',25' ELSE '70,10' END AS private_area, CASE n WHEN 0 THEN '6' || c_custkey || ',750' END AS total_area, CASE n WHEN 0 THEN '0,012345' END AS ideal_fraction, '77-' || c_custkey AS iptu, CASE n WHEN 0 THEN 'Tipo A' ELSE 'Tipo B' END AS typology, CAST(CASE n WHEN 0 THEN 88 ELSE 82 END AS INT) AS confidence, CASE n WHEN 0 THEN '2' ELSE '3' END AS pages FROM customer, (VALUES (0), (1)) AS v(n)",
     "deed_table_units": "SELECT c_custkey, CASE n WHEN 0 THEN '1' ELSE '2' END AS tower, CASE n WHEN 0 THEN '101' ELSE '20200' END AS unit, CASE n WHEN 0 THEN 'Tipo A' ELSE 'Tipo B-C' END AS typology, CASE n WHEN 0 THEN '50,25' ELSE '51,00' END AS private_area, CASE n WHEN 0 THEN '60,755' ELSE '61,000' END AS total_area, CASE n WHEN 0 THEN '0,012345' ELSE '0,0123456' END AS ideal_fraction, CAST(96 AS INT) AS confidence, CAST(CASE n WHEN 0 THEN 4 ELSE 5 END AS INT) AS page FROM customer, (VALUES (0), (1)) AS v(n)",
     "deed_development": "SELECT c_custkey, 'Condominio Vila ' || c_custkey AS name, 'Fortaleza' AS city, '12' || c_custkey AS registration, '12.345.678/0001-90' AS seller_cnpj, 'Tipo A,Tipo B' AS typologies FROM customer",
@@ -361,7 +361,7 @@ ORACLE |= {
     "upload_estimates": f"SELECT upload, CASE WHEN big THEN '2 a 6 minutos' WHEN p > 0 AND i > 0 THEN '1 a 3 minutos' WHEN p > 0 THEN '40 segundos a 2 minutos' WHEN i > 2 THEN '1 a 3 minutos' ELSE '30 segundos a 2 minutos' END AS label, CAST(CASE WHEN big THEN 360 WHEN p > 0 AND i > 0 THEN 180 WHEN p > 0 THEN 120 WHEN i > 2 THEN 180 ELSE 120 END AS INT) AS max_seconds FROM (SELECT upload, count(*) FILTER (WHERE kind = 0) AS p, count(*) FILTER (WHERE kind <> 0) AS i, bool_or(kind = 0 AND size >= 3145728) AS big FROM {_FILES} f GROUP BY upload)",
     "upload_source_lists": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'SIOPI,ITBI' WHEN o_orderkey % 8 = 6 THEN 'MINUTA' END AS sources FROM orders",
     "page_lists": "SELECT o_orderkey, CASE WHEN k % 3 = 0 AND k BETWEEN 1 AND 30 THEN array_to_string(list_sort(list_distinct(range(1, k + 1) || [CAST(2 AS BIGINT)])), ',') WHEN k % 3 = 1 AND k BETWEEN 1 AND 30 THEN CAST(k AS VARCHAR) END AS pages FROM (SELECT o_orderkey, o_orderkey % 50 AS k FROM orders)",
-    "names_inferred": "SELECT p_partkey, 'Vila ' || regexp_replace(p_brand, '#[0-9]+$', '') AS name, '12.' || p_partkey AS registration, 'cao-' || replace(p_brand, '#', '-') || '-x' AS file FROM part",
+    "names_inferred": "SELECT p_partkey, 'Vila ' || regexp_replace(p_brand, '#[0-9]+$', '') AS name, CASE WHEN length(p_brand) > 7 THEN substring(p_brand, 7) || '_' ELSE '' END || '12.' || p_partkey AS registration, 'cao-' || replace(p_brand, '#', '-') || '-x' AS file FROM part",
     "errors_told": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Timeout Bearer [oculto] fim' WHEN 1 THEN 'arquivo encrypted' ELSE 'outro [chave oculta]' END AS hidden, CASE o_orderkey % 3 WHEN 0 THEN 'Tempo excedido ao extrair a.pdf. O arquivo pode ser muito pesado, escaneado em alta resolução ou o provedor de IA/OCR demorou demais.' WHEN 1 THEN 'PDF protegido por senha ou criptografia: a.pdf. Remova a proteção ou envie uma versão desbloqueada.' ELSE 'outro sk-' || o_orderkey END AS told FROM orders",
     "requests_audited": "SELECT c_custkey, c_custkey || '.0.0.1' AS ip, CAST(least(300, length(c_name) * 20) AS INT) AS agent_length, 'u' || c_custkey || '@mail.org' AS login FROM customer",
     "workbook_tables": "SELECT DISTINCT p_brand AS file_id, 'sheet1' AS sheet, CAST(1 AS INT) AS row, CAST(25 AS INT) AS score, CAST(0 AS INT) AS tower, CAST(1 AS INT) AS unit, CAST(2 AS INT) AS typology, CAST(3 AS INT) AS private_area FROM part",
