@@ -9,22 +9,20 @@
    links. Two sets of similarity s share a band with probability s**5; at 0.8,
    three or more of 32 with 0.9996, and above with more. That is the only place
    where a pair can be missed.
-4. Candidates are compared shingle by shingle (as 64-bit hashes) in rounds. In a
-   round each bucket names a few pivots, and each of its classes that isn't
-   connected with a pivot yet meets it: as many pairs as there are classes, not
-   as many as there are pairs. Who has been a pivot has met the whole bucket and
-   leaves it. A bucket is done when what is left of it is one component.
+4. First each class meets the lead of its buckets and a few others: as many
+   pairs as there are classes. That ends the buckets in which all are alike. The
+   classes of the others are dealt in blocks, and each two blocks of a bucket
+   meet as two packed rows; the pairs that pass are all that comes out of it.
+   Who passes is compared shingle by shingle (as 64-bit hashes).
 5. Pairs of SIMILARITY and more are links; a group is what links connect.
 
-Most buckets are done after a round or two, as all that is in them is alike. A
-bucket of many classes that are alike enough to meet and not to be linked takes
-a round for every MOST_PIVOTS of them, each as long as the bucket.
+Of a bucket of many classes that are alike enough to meet and not to be linked
+all pairs of sketches are compared, block by block, a block of so many at a time.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +36,8 @@ from tallyspark.llm.common import HOT, carried, hot_join, prepare, stored
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS, AGREE = 32, 5, 3
-#: Classes of a bucket that all others are compared with in the first round, which ends most buckets, and in later ones.
-PIVOTS, MOST_PIVOTS = 3, 256
+#: Classes of a bucket, besides its lead, that all others are compared with first, and about how many are in a block afterwards.
+PIVOTS, BLOCK = 3, 256
 #: Odd multipliers of the min-hashes.
 _TURNS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -94,6 +92,33 @@ def _agree(batches, agree: int, max_bits: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep))
 
 
+def _meet(batches, agree: int, max_bits: int, similarity: float):
+    """Pairs of two blocks (or of one with itself) of a bucket that _agree() would let pass, of different components and fitting sizes."""
+    for b in batches:
+        child, parent = [], []
+        for band, alone, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            p, q = ({k: x.values.field(k) for k in ("vertex", "n", "component", "fp", "sketch")} for x in (x, y))
+            num = lambda c, kind=np.int64: c.to_numpy(zero_copy_only=False).astype(np.int64).view(kind)
+            sx, sy = (np.frombuffer(b"".join(c["sketch"].to_pylist()), np.uint32).reshape(len(c["vertex"]), -1) for c in (p, q))
+            count, first = np.zeros((len(sx), len(sy)), np.uint8), np.full((len(sx), len(sy)), BANDS, np.uint8)
+            for k in reversed(range(BANDS)):
+                same = sx[:, k, None] == sy[None, :, k]
+                count += same
+                first[same] = k
+            n, m = num(p["n"])[:, None], num(q["n"])[None, :]
+            near = count >= agree
+            keep = near & (first == band) if band < BANDS else ~near & (np.bitwise_count(num(p["fp"], np.uint64)[:, None] ^ num(q["fp"], np.uint64)[None, :]) <= max_bits)
+            keep &= (num(p["component"])[:, None] != num(q["component"])[None, :]) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+            if alone:
+                keep = np.triu(keep, 1)
+            i, j = np.nonzero(keep)
+            one, other = num(p["vertex"])[i], num(q["vertex"])[j]
+            child.append(np.maximum(one, other))
+            parent.append(np.minimum(one, other))
+        if child:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), pa.array(np.concatenate(parent))], names=["child", "parent"])
+
+
 def _verify(batches, shingle: int, similarity: float):
     for b in batches:
         known: dict[str, np.ndarray] = {}
@@ -113,34 +138,36 @@ def _verify(batches, shingle: int, similarity: float):
 
 def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(vertex, component) of the vertices that links reach: members are (bucket, band, vertex, n, fp, sketch, weight), texts (vertex, text)."""
-    spark = members.sparkSession
-    left = members.withColumn("component", F.col("vertex"))
-    found, most = spark.createDataFrame([], "vertex long, component long"), PIVOTS
-    for turn in count():
-        # The weightiest of a bucket meets all others first: what many copies were made of is nearer to each of them than they are to each other.
-        lead = F.max_by("vertex", F.struct("weight", -F.col("vertex")))
-        sizes = stored(left.groupBy("bucket").agg(F.count("*").alias("many"), lead.alias("lead")), "copies-sizes")
-        hot = F.col("many") > sizes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
-        named = hot_join(left, sizes, ["bucket"], hot)
-        # About so many of a bucket, by a hash, and its lead.
-        drawn = F.pmod(F.xxhash64("vertex", "bucket", F.lit(turn)), F.col("many")) < most
-        named = stored(named.withColumn("pivot", drawn | (F.col("vertex") == F.col("lead"))), "copies-named")
-        pivots = named.where("pivot").select("bucket", "many", *[F.col(c).alias(f"p_{c}") for c in ("vertex", "n", "component", "fp", "sketch")])
-        met = hot_join(left, pivots, ["bucket"], hot)
-        fits = (F.col("component") != F.col("p_component")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
-        met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "band", "fp", "p_fp", "sketch", "p_sketch")
-        pairs = met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), "child long, parent long").distinct()
+    kind = "child long, parent long"
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("vertex").alias("child"), F.col("text").alias("a")), "child").join(texts.select(F.col("vertex").alias("parent"), F.col("text").alias("b")), "parent")
-        new = both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), "child long, parent long")
-        found = stored(simhash.components(found.select(F.col("vertex").alias("child"), F.col("component").alias("parent")).unionByName(new)), "copies-found")
-        # Pivots have met all of their bucket, and leave it.
-        rest = named.where("not pivot").select("bucket", "band", "vertex", "n", "fp", "sketch", "weight").join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-        rest = stored(rest, "copies-rest")
-        apart = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        left = stored(rest.join(apart, "bucket", "left_semi").select("bucket", "band", "vertex", "n", "fp", "sketch", "weight", "component"), "copies-left")
-        if left.isEmpty():
-            return found
-        most = MOST_PIVOTS
+        return both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), kind)
+
+    # The weightiest of a bucket meets all others first: what many copies were made of is nearer to each of them than they are to each other.
+    lead = F.max_by("vertex", F.struct("weight", -F.col("vertex")))
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many"), lead.alias("lead")), "copies-sizes")
+    hot = F.col("many") > sizes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
+    named = stored(hot_join(members, sizes, ["bucket"], hot), "copies-named")
+    drawn = F.pmod(F.xxhash64("vertex", "bucket"), F.col("many")) < PIVOTS
+    pivots = named.where(drawn | (F.col("vertex") == F.col("lead"))).select("bucket", "many", *[F.col(c).alias(f"p_{c}") for c in ("vertex", "n", "fp", "sketch")])
+    met = hot_join(members, pivots, ["bucket"], hot)
+    fits = (F.col("vertex") != F.col("p_vertex")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
+    met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "band", "fp", "p_fp", "sketch", "p_sketch")
+    links = stored(verified(met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), kind).distinct()), "copies-links")
+    found = stored(simhash.components(links), "copies-found")
+
+    held = stored(named.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "copies-held")
+    apart = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    left = held.join(apart, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    packed = left.groupBy("bucket", "band", "blocks", block.alias("block")).agg(F.collect_list(F.struct("vertex", "n", "component", "fp", "sketch")).alias("rows"))
+    packed = stored(packed, "copies-blocks")
+    one = packed.select("bucket", "band", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    two = packed.select(F.col("bucket").alias("_b"), F.col("block").alias("_j"), F.col("rows").alias("y"))
+    blocks = one.join(two, (F.col("bucket") == F.col("_b")) & (F.col("j") == F.col("_j"))).select("band", (F.col("i") == F.col("j")).alias("alone"), "x", "y")
+    more = blocks.mapInArrow(partial(_meet, agree=AGREE, max_bits=simhash.MAX_BITS, similarity=similarity), kind).distinct()
+    return stored(simhash.components(links.unionByName(verified(more))), "copies-found")
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list]:

@@ -73,7 +73,7 @@ def test_one_of_each_judges_rows_by_their_text(spark):
 
 
 def test_a_bucket_of_many_classes_that_are_not_similar(spark, monkeypatch):
-    """Texts that share a long passage: nearly all pairs meet, and few are links. By several rounds of pivots."""
+    """Texts that share a long passage: nearly all pairs meet, and few are links. In several blocks."""
     rng = random.Random(9)
     shared = [f"s{i}" for i in range(60)]
     docs = []
@@ -86,7 +86,7 @@ def test_a_bucket_of_many_classes_that_are_not_similar(spark, monkeypatch):
     sets = [(d, shingles(t)) for d, t in docs]
     pairs = [(d, e) for i, (d, a) in enumerate(sets) for e, b in sets[i + 1 :] if similarity(a, b) >= 0.8]
     assert 0 < len(pairs) < 100
-    monkeypatch.setattr(near_copies, "MOST_PIVOTS", 12)
+    monkeypatch.setattr(near_copies, "BLOCK", 12)
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == tops(docs, pairs)
 
