@@ -220,5 +220,33 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_segments:
     return packed.drop("tokens", "segments", "loss_tokens")
 
 
+def _turn_tokens(batches, path: str):
+    ids = encoder(path).ids
+    for b in batches:
+        counts = [len(ids(t.as_py() or "")) // 4 + 1 for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], names=["conv_id", "role", "tokens"])
+
+
+def conversation_sizes(turns: DataFrame, tokenizer: str | None = None, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, tokens, segments, loss_tokens) of each conversation of turns (conv_id, role, text): a turn is a segment of its text's ids and an end id, and bears loss where one of loss_roles speaks. Null text is empty; turns without a conv_id are one conversation."""
+    prepare(turns.sparkSession)
+    rows = turns.select(F.col("conv_id").cast("string").alias("conv_id"), F.col("role").cast("string").alias("role"), "text")
+    counted = rows.mapInArrow(partial(_turn_tokens, path=tokenizer or default_tokenizer()), "conv_id string, role string, tokens long")
+    loss = F.coalesce(F.col("role").isin(*loss_roles), F.lit(False))
+    return counted.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(loss, F.col("tokens")).otherwise(0)).alias("loss_tokens"))
+
+
+def pack_conversations(turns: DataFrame, limits: dict[str, int] | None = None, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
+    """conversation_sizes() with sequence_id and offset: whole conversations under all three limits at once. One that exceeds a limit by itself has a null sequence_id and offset."""
+    limits = limits or LIMITS | {"loss_tokens": MAX_TOKENS // 2}
+    sized = stored(conversation_sizes(turns, tokenizer), "conversation-sizes")
+    fits = F.lit(True)
+    for c, most in limits.items():
+        fits = fits & (F.col(c) <= most)
+    packed = pack(sized.where(fits), "conv_id", limits, window)
+    none = F.lit(None).cast("long")
+    return packed.unionByName(sized.where(~fits).withColumns({"sequence_id": none, "offset": none}))
+
+
 def query(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))

@@ -100,3 +100,33 @@ def test_limits_hold_in_every_dimension():
     assert len(set(zip(bins.tolist(), place.tolist(), strict=True))) == 3000
     with pytest.raises(ValueError):
         packing.fill(np.array([[101, 1, 1]]), limits)
+
+
+def test_conversations_keep_three_limits_at_once(spark, sf):
+    limits = {"tokens": 700, "segments": 6, "loss_tokens": 250}
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    odd = spark.createDataFrame([("big", 0, "user", "word " * 2000), ("long", 0, "assistant", "word " * 300), (None, 0, None, None), *[("many", i, "user", "a") for i in range(7)]], "conv_id string, turn int, role string, text string")
+    every = turns.select(packing.F.col("conv_id").cast("string"), "turn", "role", "text").unionByName(odd)
+    rows = packing.pack_conversations(every, limits).collect()
+    sizes = {r.conv_id: (r.tokens, r.segments, r.loss_tokens) for r in rows}
+    assert len(rows) == every.select("conv_id").distinct().count()
+    model = packing.encoder(packing.default_tokenizer())
+    want = {}
+    for r in every.collect():
+        t, s, loss = want.get(r.conv_id, (0, 0, 0))
+        k = len(model.ids(r.text or "")) // 4 + 1
+        want[r.conv_id] = (t + k, s + 1, loss + k * (r.role == "assistant"))
+    assert sizes == want
+    held = {}
+    for r in rows:
+        over = any(v > m for v, m in zip(sizes[r.conv_id], limits.values(), strict=True))
+        assert (r.sequence_id is None) == over == (r.offset is None)
+        if not over:
+            held.setdefault(r.sequence_id, []).append(r)
+    for group in held.values():
+        assert all(sum(getattr(r, c) for r in group) <= m for c, m in limits.items())
+        ends = 0
+        for r in sorted(group, key=lambda r: r.offset):
+            assert r.offset == ends
+            ends += r.tokens
+    assert {"big", "long", "many"} <= {r.conv_id for r in rows if r.sequence_id is None}
