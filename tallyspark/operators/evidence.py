@@ -246,3 +246,14 @@ def extraction_alerts(reports: DataFrame) -> DataFrame:
     rest = ["failed", "sources", "coverage", "n_missing", "n_low", "n_ambiguous"]
     worst = per.groupBy("process_id").agg(F.max_by(F.struct(*rest), "failed").alias("w")).select("process_id", "w.*")
     return worst.select("process_id", F.when(F.col("failed"), "critical").otherwise("warning").alias("severity"), *rest[1:])
+
+
+#: The types of documents that stand for what is compared; all others are what it is compared with.
+IMAGES = ("PRINT", "IMAGE", "TIFF")
+
+
+def two_sides(rows: DataFrame) -> DataFrame:
+    """rows (process_id, doc_ord, type, field_id, value, confidence) as evidence of two sources, IMAGE (source_ord 0) and DOCUMENT (1): of each side the surest value of a field, the earliest document's of several."""
+    image = F.col("type").isin(*IMAGES)
+    sided = rows.withColumns({"source": F.when(image, "IMAGE").otherwise("DOCUMENT"), "source_ord": F.when(image, 0).otherwise(1)})
+    return best(sided, ["process_id", "source_ord", "source", "field_id"], "doc_ord")

@@ -359,3 +359,12 @@ def final_counts(verdicts: DataFrame, reviews: DataFrame, *keys: str) -> DataFra
     checked = (F.col("status") == "MATCH") | F.col("approved")
     split = F.col("status") == "DIVERGENCE"
     return reviewed(verdicts, reviews).groupBy(*keys).agg(F.count_if(checked).alias("checked"), F.count_if(~checked & split).alias("divergences"), F.count_if(~checked & ~split).alias("reviews"))
+
+
+def checked(kind: str, evidence: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(process_id, field_id, status, observation) of processes of one kind: RECONCILIATION over all sources, or MINUTA or ITBI, which hold images (source IMAGE) against documents (source DOCUMENT), see evidence.two_sides()."""
+    if kind == "RECONCILIATION":
+        return reconcile(evidence, context).select("process_id", "field_id", "status", "observation")
+    lists = {"MINUTA": catalog.MINUTA, "ITBI": catalog.ITBI}
+    rows = evidence if "participant_id" in evidence.columns else evidence.withColumn("participant_id", F.lit(None).cast("string"))
+    return validate(rows, lists[kind], "IMAGE", "DOCUMENT")

@@ -107,3 +107,25 @@ def test_the_checklist_is_a_real_union(spark):
     assert len(rows) == 53 and [f for f, *_ in catalog.fields()] == sorted(rows, key=lambda f: rows[f].ord)
     assert rows["buyer.cpf"].category == "Dados do adquirente" and rows["buyer.cpf"].ord == 7 and rows["property.type"].label == "Tipo do imóvel" and "financial.financedValue" not in rows
     assert all((rows[f].field_type, rows[f].allow_multiple, rows[f].expected_sources) == (k, m, s) for f, _, k, m, s in catalog.fields())
+
+
+def test_kinds_of_processes(spark):
+    rows = spark.createDataFrame([(1, 0, "PRINT", "buyer.cpf", "123.456.789-01", 70), (1, 1, "TIFF", "buyer.cpf", "12345678902", 90), (1, 2, "PDF", "buyer.cpf", "12345678901", 95), (1, 3, "WORD", "buyer.name", " ", 99)], "process_id long, doc_ord int, type string, field_id string, value string, confidence int")
+    sides = evidence.two_sides(rows)
+    assert {(r.source, r.field_id): r.value for r in sides.collect()} == {("IMAGE", "buyer.cpf"): "12345678902", ("DOCUMENT", "buyer.cpf"): "12345678901"}
+    got = {r.field_id: (r.status, r.observation) for r in reconcile.checked("ITBI", sides).collect()}
+    assert len(got) == 28 and got["buyer.cpf"] == ("DIVERGENCE", "CPF diverge na posição 11: imagem mostra ...345678902, documento mostra ...345678901.")
+    assert got["buyer.name"][0] == "NOT_FOUND" and got["fortaleza.guideNumber"][0] == "NOT_APPLICABLE"
+    ctx = spark.createDataFrame([(1, ["SIOPI", "MINUTA"], [], [], [])], CONTEXT.replace(", errors map<string,string>", ""))
+    ev = spark.createDataFrame([(1, 0, "SIOPI", "buyer.cpf", None, "1", 90)], EVIDENCE)
+    assert {r.field_id for r in reconcile.checked("RECONCILIATION", ev, ctx).collect()} >= {"buyer.cpf", "contract.date"}
+
+
+def test_empty_tables_give_empty_results(spark):
+    none = spark.createDataFrame([], EVIDENCE)
+    ctx = spark.createDataFrame([], CONTEXT)
+    assert reconcile.reconcile(none, ctx).count() == 0 and reconcile.rule_candidates(none).count() == 0
+    assert evidence.missing_critical(none).count() == 0 and reconcile.missing_by_source(reconcile.reconcile(none, ctx), ctx).count() == 0
+    taking = spark.createDataFrame([], "process_id long, source string, failed boolean")
+    keys = spark.createDataFrame([], "process_id long, source string, field_id string")
+    assert evidence.quality(none, taking, keys, keys).count() == 0
