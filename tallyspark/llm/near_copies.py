@@ -12,8 +12,8 @@
 4. First each class meets the lead of its buckets and a few others: as many
    pairs as there are classes. That ends the buckets in which all are alike. The
    classes of the others are dealt in blocks, and each two blocks of a bucket
-   meet as two packed rows; the pairs that pass are all that comes out of it.
-   Who passes is compared shingle by shingle (as 64-bit hashes).
+   meet as two packed rows, whose links are all that comes out of it. Who meets
+   and agrees is compared shingle by shingle (as 64-bit hashes).
 5. Pairs of SIMILARITY and more are links; a group is what links connect.
 
 Of a bucket of many classes that are alike enough to meet and not to be linked
@@ -92,12 +92,17 @@ def _agree(batches, agree: int, max_bits: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _meet(batches, agree: int, max_bits: int, similarity: float):
-    """Pairs of two blocks (or of one with itself) of a bucket that _agree() would let pass, of different components and fitting sizes."""
+    """Links between two blocks (or within one) of a bucket: of pairs that _agree() would let pass, of different components and fitting sizes, those that are similar. Who is linked already isn't compared again."""
     for b in batches:
         child, parent = [], []
         for band, alone, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-            p, q = ({k: x.values.field(k) for k in ("vertex", "n", "component", "fp", "sketch")} for x in (x, y))
+            p, q = ({k: x.values.field(k) for k in ("vertex", "n", "component", "fp", "sketch", "codes")} for x in (x, y))
             num = lambda c, kind=np.int64: c.to_numpy(zero_copy_only=False).astype(np.int64).view(kind)
             sx, sy = (np.frombuffer(b"".join(c["sketch"].to_pylist()), np.uint32).reshape(len(c["vertex"]), -1) for c in (p, q))
             count, first = np.zeros((len(sx), len(sy)), np.uint8), np.full((len(sx), len(sy)), BANDS, np.uint8)
@@ -108,42 +113,42 @@ def _meet(batches, agree: int, max_bits: int, similarity: float):
             n, m = num(p["n"])[:, None], num(q["n"])[None, :]
             near = count >= agree
             keep = near & (first == band) if band < BANDS else ~near & (np.bitwise_count(num(p["fp"], np.uint64)[:, None] ^ num(q["fp"], np.uint64)[None, :]) <= max_bits)
-            keep &= (num(p["component"])[:, None] != num(q["component"])[None, :]) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+            one, other = num(p["component"]), num(q["component"])
+            keep &= (one[:, None] != other[None, :]) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
             if alone:
                 keep = np.triu(keep, 1)
-            i, j = np.nonzero(keep)
-            one, other = num(p["vertex"])[i], num(q["vertex"])[j]
-            child.append(np.maximum(one, other))
-            parent.append(np.minimum(one, other))
+            u, v, root = num(p["vertex"]), num(q["vertex"]), {}
+
+            def top(c, root=root):
+                while c in root:
+                    c = root[c]
+                return c
+
+            for i, j in zip(*(k.tolist() for k in np.nonzero(keep)), strict=True):
+                s, t = top(int(one[i])), top(int(other[j]))
+                if s != t and _alike(*(np.frombuffer(c["codes"][k].as_buffer(), np.uint64) for c, k in ((p, i), (q, j))), similarity):
+                    root[max(s, t)] = min(s, t)
+                    child.append(max(int(u[i]), int(v[j])))
+                    parent.append(min(int(u[i]), int(v[j])))
         if child:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(child)), pa.array(np.concatenate(parent))], names=["child", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(parent, pa.int64())], names=["child", "parent"])
+
+
+def _coded(batches, shingle: int):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codes(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["vertex", "codes"])
 
 
-def _verify(batches, shingle: int, similarity: float):
+def _verify(batches, similarity: float):
     for b in batches:
-        known: dict[str, np.ndarray] = {}
-
-        def of(text, known=known):
-            if text not in known:
-                known[text] = codes(text, shingle)
-            return known[text]
-
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = of(x), of(y)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both))
+        keep = [_alike(*(np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (2, 3)), similarity) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["child", "parent"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(vertex, component) of the vertices that links reach: members are (bucket, band, vertex, n, fp, sketch, weight), texts (vertex, text)."""
+def _links(members: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """(vertex, component) of the vertices that links reach: members are (bucket, band, vertex, n, fp, sketch, weight), coded (vertex, codes: its shingles)."""
     kind = "child long, parent long"
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("vertex").alias("child"), F.col("text").alias("a")), "child").join(texts.select(F.col("vertex").alias("parent"), F.col("text").alias("b")), "parent")
-        return both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, shingle=shingle, similarity=similarity), kind)
-
     # The weightiest of a bucket meets all others first: what many copies were made of is nearer to each of them than they are to each other.
     lead = F.max_by("vertex", F.struct("weight", -F.col("vertex")))
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("many"), lead.alias("lead")), "copies-sizes")
@@ -154,20 +159,22 @@ def _links(members: DataFrame, texts: DataFrame, shingle: int, similarity: float
     met = hot_join(members, pivots, ["bucket"], hot)
     fits = (F.col("vertex") != F.col("p_vertex")) & (F.least("n", "p_n") >= similarity * F.greatest("n", "p_n"))
     met = met.where(fits).select(F.greatest("vertex", "p_vertex").alias("child"), F.least("vertex", "p_vertex").alias("parent"), "band", "fp", "p_fp", "sketch", "p_sketch")
-    links = stored(verified(met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), kind).distinct()), "copies-links")
+    pairs = met.mapInArrow(partial(_agree, agree=AGREE, max_bits=simhash.MAX_BITS), kind).distinct()
+    both = pairs.join(coded.select(F.col("vertex").alias("child"), F.col("codes").alias("a")), "child").join(coded.select(F.col("vertex").alias("parent"), F.col("codes").alias("b")), "parent")
+    links = stored(both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, similarity=similarity), kind), "copies-links")
     found = stored(simhash.components(links), "copies-found")
 
     held = stored(named.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "copies-held")
     apart = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = held.join(apart, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    left = held.join(apart, "bucket", "left_semi").join(coded, "vertex").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
-    packed = left.groupBy("bucket", "band", "blocks", block.alias("block")).agg(F.collect_list(F.struct("vertex", "n", "component", "fp", "sketch")).alias("rows"))
+    packed = left.groupBy("bucket", "band", "blocks", block.alias("block")).agg(F.collect_list(F.struct("vertex", "n", "component", "fp", "sketch", "codes")).alias("rows"))
     packed = stored(packed, "copies-blocks")
     one = packed.select("bucket", "band", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     two = packed.select(F.col("bucket").alias("_b"), F.col("block").alias("_j"), F.col("rows").alias("y"))
     blocks = one.join(two, (F.col("bucket") == F.col("_b")) & (F.col("j") == F.col("_j"))).select("band", (F.col("i") == F.col("j")).alias("alone"), "x", "y")
-    more = blocks.mapInArrow(partial(_meet, agree=AGREE, max_bits=simhash.MAX_BITS, similarity=similarity), kind).distinct()
-    return stored(simhash.components(links.unionByName(verified(more))), "copies-found")
+    more = blocks.mapInArrow(partial(_meet, agree=AGREE, max_bits=simhash.MAX_BITS, similarity=similarity), kind)
+    return stored(simhash.components(links.unionByName(more)), "copies-found")
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list]:
@@ -193,9 +200,10 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     # How many a class shares its buckets with.
     weights = members.groupBy("vertex").agg(F.sum("many").alias("weight"))
     members = stored(members.drop("many").join(weights.join(worded.select("vertex", "fp", "sketch"), "vertex"), "vertex"), "copies-weighed")
-    texts = stored(sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex"), "copies-texts")
+    texts = sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex").select("vertex", "text")
+    coded = stored(texts.mapInArrow(partial(_coded, shingle=shingle), "vertex long, codes binary"), "copies-codes")
 
-    found = _links(members, texts, shingle, similarity)
+    found = _links(members, coded, similarity)
     labels = classes.join(found, "vertex", "left").select("key", "rows", "first", F.coalesce("component", "vertex").alias("component"))
     least = labels.groupBy("component").agg(F.min("first").alias("first"))
     labels = stored(labels.drop("first").join(least, "component").drop("component"), "copies-labels")
