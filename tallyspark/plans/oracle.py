@@ -124,7 +124,7 @@ fl AS (SELECT *, list_filter(rows, lambda x: x.v <> '') AS filled, list_filter(p
 h AS (SELECT *, list_transform(filled, lambda x: x.source) AS have, list_transform(list_filter(filled, lambda x: x.c < 70), lambda x: x.source) AS low, list_distinct(list_transform(filled, lambda x: x.norm)) AS norms,
   field_id = 'financial.fgts' AND len(list_filter(rows, lambda x: (len(asked) = 0 OR list_contains(asked, x.source)) AND x.norm NOT IN ('', '0.00'))) = 0 AS zero FROM fl),
 i AS (SELECT *, list_filter(have, lambda s: list_contains(conflicts, s || ':' || key)) AS conflicting, list_filter(participating, lambda s: list_contains(issues, s || ':' || key)) AS issued, list_filter(asked, lambda s: NOT list_contains(have, s) AND NOT list_contains(unreadable, s)) AS missing,
-  len(list_filter(norms, lambda p: len(list_filter(norms, lambda q: 1 - levenshtein(p, q) / greatest(length(p), length(q), 1) < 0.86)) > 0)) = 0 AS small FROM h),
+  len(list_filter(norms, lambda p: len(list_filter(norms, lambda q: 1 - levenshtein(replace(p, 'º', 'o'), replace(q, 'º', 'o')) / greatest(length(p), length(q), 1) < 0.86)) > 0)) = 0 AS small FROM h),
 v AS (SELECT *, CASE WHEN len(conflicting) > 0 THEN 1 WHEN len(issued) > 0 THEN 2 WHEN len(unread) > 0 THEN 3 WHEN len(filled) < 2 AND zero THEN 40 WHEN len(filled) < 2 THEN 4 WHEN len(low) > 0 THEN 5 WHEN len(norms) = 1 THEN 6 WHEN field_type IN ('texto', 'endereco') AND small THEN 8 ELSE 9 END AS rung0,
   CASE WHEN len(missing) > 0 THEN ' Campo não encontrado na fonte ' || {listed('missing')} || '.' ELSE '' END AS absent, CASE WHEN who IS NULL THEN 'o campo' ELSE 'o comprador ' || who END AS whose, list_filter(told, lambda t: list_contains(expected, t.s)) AS reasons FROM i),
 gr AS (SELECT *, list_transform(list_filter(list_transform(filled, lambda x, i: {{'n': x.norm, 'i': i}}), lambda y: list_position(list_transform(filled, lambda z: z.norm), y.n) = y.i), lambda y: list_transform(list_filter(filled, lambda x: x.norm = y.n), lambda x: x.source)) AS groups FROM v),
