@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontaminate, line_dedup, nearest, packing, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
+from tallyspark.llm import decontaminate, line_dedup, nearest, packing, periodic, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_token_counts": token_rollup.query,
     "op9_simhash": simhash.query,
     "op10_pseudonyms": pseudonyms.query,
+    "op12_periodic_runs": periodic.query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
