@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontaminate, line_dedup, nearest, packing, periodic, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
+from tallyspark.llm import decontaminate, divergence, line_dedup, nearest, packing, periodic, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_pseudonyms": pseudonyms.query,
     "op12_periodic_runs": periodic.query,
+    "op13_source_divergence": divergence.query,
 }
-ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}
