@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontaminate, divergence, line_dedup, nearest, packing, periodic, pseudonyms, quality, secrets, simhash, token_rollup, toxicity
+from tallyspark.llm import decontaminate, divergence, line_dedup, nearest, packing, periodic, pseudonyms, quality, secrets, simhash, token_files, token_rollup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_rollup.query,
     "op9_simhash": simhash.query,
     "op10_pseudonyms": pseudonyms.query,
+    "op11_token_files": token_files.query,
     "op12_periodic_runs": periodic.query,
     "op13_source_divergence": divergence.query,
 }
