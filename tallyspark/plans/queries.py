@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
 from tallyspark.operators import deeds, evidence, extract, ops, reconcile, registry, textops, uploads
+from tallyspark.plans import streams
 from tallyspark.plans.oracle import KEYWORDS, WIDE_FIELDS
 from tallyspark.sources import adapters as a
-from tallyspark.sources import office
-from tallyspark.streaming import alerts
+from tallyspark.sources import office, storage
+from tallyspark.streaming import alerts, keyed
 
 FIELDS = ["buyer.name", "financial.totalValue", "contract.date", "property.type", "financial.fgts"]
 FOUR = list(catalog.SOURCES)[:4]
@@ -198,7 +196,7 @@ def unit_signature(spark, sf_dir):
 def unit_natural_sort(spark, sf_dir):
     """The place of each unit in natural order over the whole table."""
     keyed = _table(spark, sf_dir, "part").select("p_partkey", registry.natural_order(F.concat(F.lit("Torre "), F.col("p_partkey").cast("string"))).alias("k"))
-    return registry.natural_ranks(keyed, "k", "p_partkey", lambda df: _written(df, "unit-ranks")).select("p_partkey", "position")
+    return registry.natural_ranks(keyed, "k", "p_partkey", lambda df: storage.stored(df, "unit-ranks")).select("p_partkey", "position")
 
 
 def checklist_union(spark, sf_dir):
@@ -279,23 +277,9 @@ def results_merge(spark, sf_dir):
     return ops.merge(old, old.where("process_id % 4 = 0").withColumn("status", F.lit("RERUN")), ["process_id"])
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share. In local mode (tests) one of its own, where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or tempfile.mkdtemp(prefix="tallyspark-shared-")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _streamed(spark: SparkSession, found: DataFrame, name: str) -> DataFrame:
     """A streamed aggregate, run until its source is read. Each trigger writes a table of its own; the newest one counts, so nobody meets a half-written one."""
-    folder = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = storage.new_path(spark, name)
     last = []
 
     def put(df, batch):
@@ -820,4 +804,4 @@ QUERIES = {
         norm_every_type, reconcile_every_source, every_source_summary, every_source_missing, participant_summary, learned_equivalence, report_counters, report_checked, report_pending, result_missing, review_state, review_audit, retention_purged, retention_failed, retention_audit, process_persisted, process_lifecycle, processes_with_documents, documents_upsert, slowest_processes, evidence_verified, consolidated_values, consolidated_conflicts, consolidated_issues, coerced_output, missing_critical, recovery_merge, recovery_preferred, reservation_gaps, developments_with_units, units_replaced, development_deleted, development_units_left, register_appended, towers_by_apartments, pages_merged, notes_merged, empty_developments,
         legacy_observations, extract_contract, extract_composition, extract_reservation, extract_declaration, deed_units, deed_table_units, deed_development, upload_gate, upload_kinds, upload_sides, upload_sources, upload_estimates, upload_source_lists, page_lists, names_inferred, errors_told, requests_audited, workbook_tables, workbook_units, workbook_texts, text_shortened, focus_text,
     )
-}
+} | streams.QUERIES

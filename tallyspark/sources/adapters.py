@@ -107,6 +107,20 @@ SELECT event_id, ts AS created_at, CASE WHEN event_id % 11 <> 0 THEN user_id END
 FROM {events}
 """
 
+#: The audit log with bursts: keys decide which events come many times over, seconds apart.
+BURSTS = f"""
+SELECT a.event_id * 100 + t.n * 10 + o.n AS event_id, a.event_type, a.actor_id, a.entity_id, a.created_at + (t.n * 10 + o.n) * INTERVAL '20' SECOND AS created_at
+FROM ({AUDIT}) AS a CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS t(n) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS o(n)
+WHERE t.n * 10 + o.n < CASE WHEN a.event_type = 'LOGIN_FAILED' AND a.event_id % 5 = 0 THEN 4 WHEN a.event_type = 'DOCUMENT_VIEWED' AND a.event_id % 8 = 0 THEN 60 WHEN a.event_type = 'PROCESS_CREATED' AND a.event_id % 9 = 0 THEN 30 ELSE 1 END
+"""
+
+#: What a process tells of itself: steps, mostly in their order, and heartbeats between them. A customer is a process.
+SIGNS = """
+SELECT o_custkey AS process_id, o_orderkey AS event_id, TIMESTAMP '2024-01-01 00:00:00' + ((o_orderkey * 7919) % 600) * INTERVAL '1' SECOND AS told_at,
+  CASE WHEN o_orderkey % 5 < 2 THEN 'HEARTBEAT' WHEN o_orderkey % 17 = 0 THEN 'EXTRACTING' WHEN (o_orderkey * 7919) % 600 < 120 THEN 'PENDING' WHEN (o_orderkey * 7919) % 600 < 260 THEN 'EXTRACTING' WHEN (o_orderkey * 7919) % 600 < 480 THEN 'COMPARING' WHEN o_orderkey % 3 = 0 THEN 'FAILED' ELSE 'DONE' END AS status
+FROM {orders}
+"""
+
 #: Reviews in the order they were made: each settles one field, or takes its review back.
 REVIEW_LOG = """
 SELECT l.doc_id AS process_id, f.field_id, f.seq, l.doc_id % 7 AS reviewer_id, CASE WHEN (l.doc_id + f.seq) % 4 = 0 THEN 'REVOKED' WHEN l.quality = 1 OR f.seq = 1 THEN 'APPROVED' ELSE 'REJECTED' END AS action
