@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.operators import ops
 from tallyspark.sources import adapters as a
-from tallyspark.sources import storage
+from tallyspark.sources import kept, storage
 from tallyspark.streaming import keyed
 
 
-def _source(spark, sf_dir: str, table: str, mapping: str) -> DataFrame:
-    """A mapping over a table that is read as a stream."""
+def _source(spark, sf_dir: str, table: str, mapping: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """A mapping over a table that is read as a stream, and tables beside it."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*").createOrReplaceTempView(f"{table}_stream")
-    return spark.sql(mapping.replace("{" + table + "}", f"{table}_stream"))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
+    return spark.sql(mapping, **{table: stream}, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in beside})
 
 
 def _own_clock(df: DataFrame, column: str) -> DataFrame:
@@ -39,6 +40,27 @@ def stream_process_watch(spark, sf_dir):
     return keyed.run(keyed.watched(signs), storage.new_path(spark, "watch"))
 
 
+def stream_rules_kept(spark, sf_dir):
+    """The table of learned rules, kept by a stream of approved reviews and folded once."""
+    reviews = _own_clock(_source(spark, sf_dir, "orders", a.APPROVED, ("customer",)), "at")
+    folder = storage.new_path(spark, "rules")
+    table = kept.learned_rules(spark, f"{folder}/table")
+    table.follow(kept.approvals(reviews), f"{folder}/state")
+    table.fold()
+    plain = lambda c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz").alias(c)
+    return table.rows().select("organization_id", "field_id", "signature", "rule_kind", "occurrence_count", "example", "last_process_id", "last_reviewer_id", plain("created_at"), plain("updated_at"))
+
+
+def stream_audit_kept(spark, sf_dir):
+    """The audit log that a stream of reviews appends to."""
+    log = ops.review_events(_source(spark, sf_dir, "labels", a.REVIEW_LOG))
+    folder = storage.new_path(spark, "audit")
+    table = kept.audit_log(spark, f"{folder}/table")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    table.follow(log.select(none("organization_id", "long"), "actor_id", "event_type", "entity_type", "entity_id", none("created_at", "timestamp"), none("metadata", "string")), f"{folder}/state")
+    return table.rows().select("actor_id", "event_type", "entity_type", "entity_id")
+
+
 _CHANGES = f"""
 WITH e AS (
   SELECT event_type, CASE WHEN event_type = 'DOCUMENT_RETENTION_FAILED' THEN 'retention' ELSE coalesce(CAST(actor_id AS VARCHAR), entity_id, 'unknown') END AS actor, event_id, epoch_us(created_at) // 1000 AS ms
@@ -71,10 +93,13 @@ c AS (
 SELECT * FROM c WHERE ms <= (SELECT max(ms) - 60000 FROM s)
 """
 
-QUERIES = {f.__name__: f for f in (stream_lookback_alerts, lookback_alerts, stream_process_watch)}
+QUERIES = {f.__name__: f for f in (stream_lookback_alerts, lookback_alerts, stream_process_watch, stream_rules_kept, stream_audit_kept)}
 ORACLE = {
     "lookback_alerts": _CHANGES + "SELECT * FROM c",
     # What the stream has told is what lies behind its last watermark, two hours before the newest event.
     "stream_lookback_alerts": _CHANGES + "SELECT * FROM c WHERE ms <= (SELECT max(ms) - 7200000 FROM e)",
     "stream_process_watch": _WATCH,
+    "stream_rules_kept": f"""SELECT organization_id, field_id, signature, any_value(rule_kind) AS rule_kind, count(*) AS occurrence_count, arg_max(example, process_id) AS example, max(process_id) AS last_process_id, arg_max(reviewer_id, process_id) AS last_reviewer_id,
+        CAST(min(at_) AS TIMESTAMP) AS created_at, CAST(max(at_) AS TIMESTAMP) AS updated_at FROM {a.duck(a.APPROVED).replace("AS at", "AS at_")} AS x WHERE signature <> '' GROUP BY organization_id, field_id, signature""",
+    "stream_audit_kept": f"SELECT CAST(reviewer_id AS VARCHAR) AS actor_id, CASE WHEN action = 'REVOKED' THEN 'REVIEW_REVOKED' ELSE 'REVIEW_APPROVED' END AS event_type, 'validation_result' AS entity_type, CAST(process_id AS VARCHAR) || ':' || field_id AS entity_id FROM {a.duck(a.REVIEW_LOG)} AS x",
 }

@@ -121,6 +121,12 @@ SELECT o_custkey AS process_id, o_orderkey AS event_id, TIMESTAMP '2024-01-01 00
 FROM {orders}
 """
 
+#: Reviews that approve an equivalence of two names; keys decide on ones without a signature.
+APPROVED = """
+SELECT c_nationkey AS organization_id, 'property.development' AS field_id, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('RESIDENCIAL ', c_mktsegment, ' || VILA ', c_mktsegment) END AS signature, 'TEXT_ALIAS' AS rule_kind, o_orderpriority AS example, o_orderkey AS process_id, o_custkey AS reviewer_id, o_orderdate AS at
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+
 #: Reviews in the order they were made: each settles one field, or takes its review back.
 REVIEW_LOG = """
 SELECT l.doc_id AS process_id, f.field_id, f.seq, l.doc_id % 7 AS reviewer_id, CASE WHEN (l.doc_id + f.seq) % 4 = 0 THEN 'REVOKED' WHEN l.quality = 1 OR f.seq = 1 THEN 'APPROVED' ELSE 'REJECTED' END AS action
