@@ -19,7 +19,9 @@ Texts are range-partitioned before they are encoded, so each is encoded once.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -33,9 +35,11 @@ from tallyspark.llm.common import prepare, shared_path, table
 END_ID = 1
 #: Bytes of a row group, of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 2000
-#: Words whose ids a worker remembers, and bytes of one at most.
-KNOWN, KNOWN_BYTES = 500_000, 64
-#: New words in a call of the library.
+#: Words, and pre-tokens, whose ids a worker remembers, and bytes of one at most.
+KNOWN, KNOWN_BYTES = 400_000, 64
+#: Bytes of text that are encoded together, if a text isn't longer.
+GATHERED = 12 << 20
+#: New words in a call of the library, where words aren't of plain signs.
 TOGETHER = 256
 
 COLUMNS = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -46,8 +50,10 @@ class WordEncoder:
 
     Where the file's normalizer and pre-tokenizer drop white space and look at
     nothing across it, a text's ids are those of its words between ASCII white
-    space, one after another, and a word that was met before costs a look-up.
-    Other files encode whole texts.
+    space, one after another, and a word that was met before costs a look-up. A
+    new word of plain signs is cut into the file's pre-tokens here, which the
+    library's model merges; the library encodes all others from end to end.
+    Files of another kind encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -57,21 +63,42 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.by_word = _drops_space(path)
         self.known: dict[bytes, bytes] = {}
+        self.merges, self.pieces = self.model.model, {}
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.model.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4")
 
-    def _learn(self, words: list[bytes]) -> list[bytes]:
-        """The ids of new words. They are encoded many at a time as one text; a token belongs to the word that its offset lies in."""
-        if len(words) > TOGETHER:
-            return [e for i in range(0, len(words), TOGETHER) for e in self._learn(words[i : i + TOGETHER])]
-        texts = [w.decode("utf-8", "replace") for w in words]
+    def _plain(self, word: str) -> bytes:
+        """The ids of a word of PLAIN signs: its pre-tokens, each by the vocabulary's merges."""
+        pieces, found = self.pieces, []
+        lower = word.lower()
+        for p in (lower,) if lower.isalpha() else _PIECES.findall(lower):
+            ids = pieces.get(p)
+            if ids is None:
+                shown = p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)
+                ids = array("i", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+                if len(p) <= KNOWN_BYTES:
+                    pieces[p] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def _others(self, texts: list[str]) -> list[bytes]:
+        """The ids of any words, encoded by the library as one text: a token belongs to the word that its offset lies in."""
         found = self.model.encode(" ".join(texts), add_special_tokens=False)
         ids, starts = np.array(found.ids, "<i4"), np.array([a for a, _ in found.offsets], np.int64)
         cuts = [0, *np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()]
-        learned = [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        return [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words."""
+        for memory in (self.known, self.pieces):
+            if len(memory) > KNOWN:
+                memory.clear()
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        others = [t for t, p in zip(texts, plain, strict=True) if not p]
+        rest = iter([e for i in range(0, len(others), TOGETHER) for e in self._others(others[i : i + TOGETHER])])
+        learned = [self._plain(t) if p else next(rest) for t, p in zip(texts, plain, strict=True)]
         self.known.update((w, e) for w, e in zip(words, learned, strict=True) if len(w) <= KNOWN_BYTES)
         return learned
 
@@ -96,6 +123,10 @@ class WordEncoder:
         return taken.values.to_numpy(), np.diff(ends).astype(np.int64)
 
 
+#: Fixed value: the pattern of word vocabularies, whose matches are encoded one by one.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _drops_space(path: str) -> bool:
     """White space only parts pre-tokens, and nothing else depends on it: the pre-tokenizer keeps matches of a pattern without white space, normalizers work on characters alone, and added tokens strip none."""
     import json
@@ -105,13 +136,20 @@ def _drops_space(path: str) -> bool:
     norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
     norms, pres = norm.get("normalizers", [norm] if norm else []), pre.get("pretokenizers", [pre] if pre else [])
     plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norms)
-    # Fixed value: the pattern of word vocabularies.
-    kept = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    kept = {"Regex": PIECES}
     split = len(pres) == 2 and pres[0]["type"] == "Split" and pres[0]["pattern"] == kept and pres[0]["invert"] and pres[0]["behavior"] == "Removed" and pres[1]["type"] == "ByteLevel" and not pres[1]["use_regex"] and not pres[1]["add_prefix_space"]
     added = all(not t[k] for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
     return plain and split and added and not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"])
 
 
+#: Signs whose normal form, lower case and class no Unicode version changes: ASCII and Latin letters with marks. (A capital I with a dot becomes two code points.)
+PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+#: PIECES over lower-case plain signs, by their letters and numbers.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: Bytes as byte-level vocabularies show them: printable ones as themselves, the others as 256 and on, in order.
+_SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -127,12 +165,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gathered(batches):
+    """The rows in larger batches: more words of a batch are repeated ones."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _encoded(batches, path: str, end: int):
     """Rows of one file, in the order they come; the place within the file is counted on."""
     from pyspark import TaskContext
 
     shard, total = TaskContext.get().partitionId(), 0
-    for b in batches:
+    for b in _gathered(batches):
         values, counts = encoder(path).ids(b.column(1))
         counts = counts + 1
         ends = np.cumsum(counts)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def test_every_code_point(model):
         assert one(e, text) == model.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_signs_between_all_kinds(model):
+    """Each sign that words are cut by here, beside letters, digits, signs and apostrophes."""
+    e = token_files.encoder(token_files.default_tokenizer())
+    signs = [chr(c) for c in range(0x21, 0x180)]
+    for c in signs:
+        words = [f"a{c}B", f"{c}{c}", f"'{c}", f"9{c}1", f".{c},", f"it'{c}{c}s", f"É{c}é", f"{c}'ll'S"]
+        for w in words:
+            assert one(e, w) == model.encode(w, add_special_tokens=False).ids, w
+    low = sorted({c for s in signs for c in s.lower() if token_files.PLAIN.fullmatch(s)})
+    assert [token_files._PIECES.findall(c + d) for c in low for d in low] == [regex.findall(token_files.PIECES, c + d) for c in low for d in low]
+    assert token_files.PLAIN.fullmatch("Ünïcode'S1") and not token_files.PLAIN.fullmatch("İ") and not token_files.PLAIN.fullmatch("a\u0301")
+
+
 def test_special_and_long(model, monkeypatch):
     e = token_files.WordEncoder(token_files.default_tokenizer())
     monkeypatch.setattr(token_files, "KNOWN", 20)  # the memory is emptied over and over
