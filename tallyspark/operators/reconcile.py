@@ -75,7 +75,41 @@ def _packed(rows: DataFrame, repeated: list[str]) -> DataFrame:
     return per.select("process_id", "by_key", F.transform(ids, lambda i, at: F.struct(i.alias("id"), label(i, at).alias("label"))).alias("people"))
 
 
-def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None = None) -> DataFrame:
+#: Fields whose values may be equal by a rule, and the rule's name.
+RULE_KINDS = {"buyer.maritalStatus": "MARITAL_STATUS_GENDER", "property.development": "TEXT_ALIAS"}
+#: A rule table of so many rows or fewer is broadcast; a larger one is joined by signature.
+RULES_SENT = 100_000
+
+
+def _rule_observation(kind: Column, count: Column) -> Column:
+    """What is said of values that are equal by a rule, which people have approved count times (null: never)."""
+    one = count == 1
+    # The observations' wording.
+    told = F.concat(
+        F.lit("Valores equivalentes por aprendizado supervisionado ("), count.cast("string"), F.when(one, " validação").otherwise(" validaçãoões"), F.when(one, " humana").otherwise(" humanas"),
+        F.when(one, " anterior").otherwise(" anteriores"), F.lit(")."),
+    )
+    known = F.when(kind == "MARITAL_STATUS_GENDER", "Valores equivalentes: variação apenas gramatical do estado civil.").otherwise("Valores equivalentes: variação textual já normalizada para este campo.")
+    return F.coalesce(F.when(count.isNotNull(), told), known)
+
+
+def with_rules(each: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """each (field_id, rule_kind, signature) with the occurrence_count that rules hold for it, or null. keys (organization_id, say) tell apart whose rules they are.
+
+    Small rules are broadcast, by their number of rows; others are joined by
+    signature, where rows without one get a signature of their own each, so that
+    they don't meet in one task.
+    """
+    on = [*keys, "field_id", "rule_kind", "signature"]
+    most = rules.groupBy(*on).agg(F.max("occurrence_count").alias("occurrence_count"))
+    if most.limit(RULES_SENT + 1).count() <= RULES_SENT:
+        return each.join(F.broadcast(most), on, "left")
+    alone = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    spread = each.withColumn("_own", F.col("signature")).withColumn("signature", F.coalesce("signature", alone))
+    return spread.join(most.hint("shuffle_merge"), on, "left").withColumn("signature", F.col("_own")).drop("_own")
+
+
+def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(process_id, field_id, participant_id, status, observation, rung, rows, diff) per process and field (and buyer, for fields that repeat) with evidence.
 
     evidence: (process_id, source_ord, source, field_id, value, confidence), one
@@ -85,7 +119,11 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
     source:field::buyer) keys, and maybe errors, a map of source to text.
     rung: the step that decided. A null or blank value is a value looked for
     and not found. Values of sources that don't participate aren't compared.
-    fields limits the checklist.
+    fields limits the checklist. rules (field_id, rule_kind, signature,
+    occurrence_count), and maybe organization_id if context has one, are what
+    people have approved: values that only a rule makes equal match (as one
+    without words does beside two that agree), and the observation says how
+    often the rule was approved.
     """
     chosen = [f for f in catalog.fields() if fields is None or f[0] in fields]
     kinds = F.create_map(*[F.lit(x) for f in chosen for x in (f[0], f[2])])
@@ -125,12 +163,24 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
         # Where nothing is expected of those that take part, all of them count.
         "zero": optional & zero(F.filter("rows", lambda r: (F.size(asked) == 0) | F.array_contains(asked, r["source"]))),
     })
+    # Equal by a rule: all values with words left agree, though they were written in different ways.
+    worded = F.filter("filled", lambda r: r["norm"] != "")
+    plains = F.array_distinct(F.filter(F.transform("filled", lambda r: n.text(r["value"])), lambda v: v != ""))
+    kind = F.try_element_at(catalog.constant_map(RULE_KINDS), F.col("field_id"))
+    alias = kind.isNotNull() & (F.size(worded) >= 2) & (F.size(F.array_distinct(F.transform(worded, lambda r: r["norm"]))) == 1) & (F.size(plains) > 1)
+    each = each.withColumn("signature", F.when(alias & (F.size("groups") > 1), F.array_join(F.array_sort(plains), " || "))).withColumn("rule_kind", F.when(F.col("signature").isNotNull(), kind))
     small = F.forall("groups", lambda a: F.forall("groups", lambda b: (a["value"] >= b["value"]) | similar(a["value"], b["value"])))
     rung = (
         F.when(F.size("conflicting") > 0, 1).when(F.size("issued") > 0, 2).when(F.size("unread") > 0, 3).when((F.size("filled") < 2) & F.col("zero"), 40).when(F.size("filled") < 2, 4)
-        .when(F.size("low") > 0, 5).when(F.size("groups") == 1, 6).when(optional & zero("filled"), 7).when(F.col("field_type").isin(*TEXTUAL) & small, 8).otherwise(9)
+        .when(F.size("low") > 0, 5).when(F.size("groups") == 1, 6).when(F.col("signature").isNotNull(), 70).when(optional & zero("filled"), 7).when(F.col("field_type").isin(*TEXTUAL) & small, 8).otherwise(9)
     )
     each = each.withColumn("rung", rung)
+    if rules is None:
+        each = each.withColumn("occurrence_count", F.lit(None).cast("long"))
+    else:
+        # A signature that a rung before has decided on needs no look-up.
+        each = each.withColumn("signature", F.when(F.col("rung") == 70, F.col("signature")))
+        each = with_rules(each, rules, ("organization_id",) if {"organization_id"} <= {*rules.columns} & {*each.columns} else ())
     at = F.col("rung")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     who = F.when(F.col("who").isNotNull(), say("o comprador ", F.col("who"))).otherwise("o campo")
@@ -144,7 +194,7 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
         F.when(at == 1, say("Foram encontrados valores conflitantes para ", who, " entre arquivos da fonte ", _labels(F.col("conflicting")), "."))
         .when(at == 2, say("Evidência insuficiente ou incompatível para ", who, " na fonte ", _labels(F.col("issued")), "."))
         .when(at == 3, say("Campo de ", who, " não pôde ser conferido completamente porque a fonte ", _labels(F.col("unread")), " não foi interpretada.", reason))
-        .when(at.isin(40, 7), ZERO_TEXT)
+        .when(at.isin(40, 7), ZERO_TEXT).when(at == 70, _rule_observation(F.col("rule_kind"), F.col("occurrence_count")))
         .when((at == 4) & (F.size("filled") > 0), say("Campo de ", who, " encontrado apenas na fonte ", _labels(have), ". É necessário outro arquivo com o mesmo dado para confirmar.", not_in))
         .when(at == 4, say("Campo de ", who, " não encontrado nas fontes esperadas para conferência.", not_in))
         .when(at == 5, say("Extração abaixo de 70% para ", who, " na fonte ", _labels(F.col("low")), "."))
@@ -152,9 +202,9 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
         .when(at == 8, say("Há pequena diferença textual entre ", _labels(have), "; confirme os valores destacados."))
         .otherwise(source_diagnostic(F.col("groups")))
     )
-    status = F.when(at.isin(6, 7, 40), "MATCH").when(at == 3, "SOURCE_UNREADABLE").when(at == 9, "DIVERGENCE").otherwise("REVIEW_REQUIRED")
+    status = F.when(at.isin(6, 7, 40, 70), "MATCH").when(at == 3, "SOURCE_UNREADABLE").when(at == 9, "DIVERGENCE").otherwise("REVIEW_REQUIRED")
     diff = F.when(at.isin(8, 9), diff_tokens(F.col("filled")))
-    return each.select("process_id", "field_id", "participant_id", status.alias("status"), observation.alias("observation"), F.when(at == 40, 4).otherwise(at).alias("rung"), "rows", diff.alias("diff"), F.col("who").alias("participant_label"))
+    return each.select("process_id", "field_id", "participant_id", status.alias("status"), observation.alias("observation"), F.when(at == 40, 4).when(at == 70, 7).otherwise(at).alias("rung"), "rows", diff.alias("diff"), F.col("who").alias("participant_label"))
 
 
 def participants(verdicts: DataFrame) -> DataFrame:
@@ -164,28 +214,18 @@ def participants(verdicts: DataFrame) -> DataFrame:
 
 def rule_candidates(rows: DataFrame) -> DataFrame:
     """(process_id, field_id, rule_kind, signature) of fields whose values differ as they are and agree by a rule: gender in a marital status, or noise words in a development's name. rows as in reconcile()."""
-    # Names of the rules.
-    kinds = {"buyer.maritalStatus": "MARITAL_STATUS_GENDER", "property.development": "TEXT_ALIAS"}
-    of = rows.where(F.col("field_id").isin(*kinds)).withColumn("plain", n.text("value")).where("plain != ''")
+    of = rows.where(F.col("field_id").isin(*RULE_KINDS)).withColumn("plain", n.text("value")).where("plain != ''")
     folded = F.when(F.col("field_id") == "buyer.maritalStatus", n.marital_status(F.col("plain"))).otherwise(n.development_name(F.col("plain")))
     per = of.withColumn("folded", folded).groupBy("process_id", "field_id").agg(F.collect_set("plain").alias("plains"), F.collect_set("folded").alias("foldeds"), F.count_if(F.col("folded") != "").alias("n"))
     agree = per.where((F.size("plains") > 1) & (F.size("foldeds") == 1) & (F.col("n") >= 2))
-    kind = F.element_at(catalog.constant_map(kinds), F.col("field_id"))
+    kind = F.element_at(catalog.constant_map(RULE_KINDS), F.col("field_id"))
     return agree.select("process_id", "field_id", kind.alias("rule_kind"), F.array_join(F.array_sort("plains"), " || ").alias("signature"))
 
 
 def learned(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     """candidates with the observation that their rule gives: how often people have approved it (rules: field_id, rule_kind, signature, occurrence_count), or that it is known."""
-    most = rules.groupBy("field_id", "rule_kind", "signature").agg(F.max("occurrence_count").alias("occurrence_count"))
-    joined = candidates.join(most, ["field_id", "rule_kind", "signature"], "left")
-    one = F.col("occurrence_count") == 1
-    # The observations' wording.
-    told = F.concat(
-        F.lit("Valores equivalentes por aprendizado supervisionado ("), F.col("occurrence_count").cast("string"), F.when(one, " validação").otherwise(" validaçãoões"), F.when(one, " humana").otherwise(" humanas"),
-        F.when(one, " anterior").otherwise(" anteriores"), F.lit(")."),
-    )
-    known = F.when(F.col("rule_kind") == "MARITAL_STATUS_GENDER", "Valores equivalentes: variação apenas gramatical do estado civil.").otherwise("Valores equivalentes: variação textual já normalizada para este campo.")
-    return joined.select("process_id", "field_id", "rule_kind", "signature", F.coalesce(F.when(F.col("occurrence_count").isNotNull(), told), known).alias("observation"))
+    found = with_rules(candidates, rules)
+    return found.select("process_id", "field_id", "rule_kind", "signature", _rule_observation(F.col("rule_kind"), F.col("occurrence_count")).alias("observation"))
 
 
 def summary(verdicts: DataFrame, *keys: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyspark.functions import catalog
-from tallyspark.plans import streams
+from tallyspark.plans import readings, streams
 from tallyspark.sources import adapters as a
 
 EV = a.duck(a.EVIDENCE)
@@ -370,4 +370,4 @@ ORACLE |= {
     "workbook_texts": "SELECT p_brand AS file_id, CAST(2 + least(count(*), 1999) AS INT) AS n_lines, substring('sheet1:' || chr(10) || 'Lista de unidades: Torre | Coluna 2: Unidade (nº) | Coluna 3: Tipologia', 1, 60) AS start FROM part GROUP BY p_brand",
     "text_shortened": "SELECT doc_id, sha256(CASE WHEN length(t) <= 22000 THEN t ELSE substring(t, 1, 17000) || chr(10) || chr(10) || '[CONTEÚDO INTERMEDIÁRIO OMITIDO]' || chr(10) || chr(10) || substring(t, length(t) - 4999, 5000) END) AS text FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
 }
-ORACLE |= streams.ORACLE
+ORACLE |= streams.ORACLE | readings.sql()

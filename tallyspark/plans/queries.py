@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
 from tallyspark.operators import deeds, evidence, extract, ops, reconcile, registry, textops, uploads
-from tallyspark.plans import streams
+from tallyspark.plans import readings, streams
 from tallyspark.plans.oracle import KEYWORDS, WIDE_FIELDS
 from tallyspark.sources import adapters as a
 from tallyspark.sources import office, storage
@@ -804,4 +804,4 @@ QUERIES = {
         norm_every_type, reconcile_every_source, every_source_summary, every_source_missing, participant_summary, learned_equivalence, report_counters, report_checked, report_pending, result_missing, review_state, review_audit, retention_purged, retention_failed, retention_audit, process_persisted, process_lifecycle, processes_with_documents, documents_upsert, slowest_processes, evidence_verified, consolidated_values, consolidated_conflicts, consolidated_issues, coerced_output, missing_critical, recovery_merge, recovery_preferred, reservation_gaps, developments_with_units, units_replaced, development_deleted, development_units_left, register_appended, towers_by_apartments, pages_merged, notes_merged, empty_developments,
         legacy_observations, extract_contract, extract_composition, extract_reservation, extract_declaration, deed_units, deed_table_units, deed_development, upload_gate, upload_kinds, upload_sides, upload_sources, upload_estimates, upload_source_lists, page_lists, names_inferred, errors_told, requests_audited, workbook_tables, workbook_units, workbook_texts, text_shortened, focus_text,
     )
-} | streams.QUERIES
+} | streams.QUERIES | readings.QUERIES

@@ -85,6 +85,28 @@ SELECT 'buyer.maritalStatus' AS field_id, 'MARITAL_STATUS_GENDER' AS rule_kind,
 UNION ALL SELECT 'property.development', 'TEXT_ALIAS', concat('CONDOMINIO VILA ', CAST(c_custkey AS STRING), ' || VILA ', CAST(c_custkey AS STRING), ' CLUBE'), CAST(2 + c_custkey % 3 AS INT) FROM {customer} WHERE c_custkey % 4 = 0
 """
 
+#: Three sources name a development; some write only words that many names have, and some another name.
+NAMES = """
+SELECT c_custkey AS process_id, s.source_ord, s.source, 'property.development' AS field_id, 'texto' AS field_type, CAST(95 AS INT) AS confidence,
+  CASE s.source_ord WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'Residencial' ELSE concat('Vila ', c_name) END WHEN 1 THEN concat('Condomínio  Vila ', c_name) ELSE CASE WHEN c_custkey % 10 = 7 THEN 'Outra Torre' WHEN c_custkey % 5 = 0 THEN concat('VILA ', upper(c_name)) ELSE concat('Vila ', c_name, ' Clube') END END AS value
+FROM {customer} CROSS JOIN (VALUES (0, 'SIOPI'), (1, 'MINUTA'), (2, 'ITBI')) AS s(source_ord, source)
+"""
+
+#: Rules about such names, some of them approved many times.
+NAME_RULES = """
+SELECT 'property.development' AS field_id, 'TEXT_ALIAS' AS rule_kind, concat('CONDOMINIO VILA ', upper(c_name), ' || RESIDENCIAL || VILA ', upper(c_name), CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ' CLUBE' END) AS signature, CAST(1 + c_custkey % 3 AS INT) AS occurrence_count
+FROM {customer} WHERE c_custkey % 4 <> 1
+"""
+
+#: Readers' replies about a customer, each in one of eight forms. < and > stand for braces, ^ for a backslash.
+REPLIES = """
+SELECT doc_id, form, replace(replace(replace(CASE form WHEN 0 THEN body WHEN 1 THEN concat('```json', chr(10), body, chr(10), '```') WHEN 2 THEN concat('Segue o resultado: ', body, ' Espero ter ajudado.') WHEN 3 THEN concat('Lista: [', one, ', ', two, '] fim')
+  WHEN 4 THEN concat('<"note": "chaves > e ^" <", "fields": [', one, ', ', two, ']>') WHEN 5 THEN concat('Resultado ', body, ' (use <chaves>] se preciso') WHEN 6 THEN concat('<"fields":[', one, ',<"fieldId":"contract.date","va') ELSE 'não encontrado' END, '<', chr(123)), '>', chr(125)), '^', chr(92)) AS reply
+FROM (SELECT doc_id, form, one, two, concat('<"fields":[', one, ',', two, ']>') AS body FROM (
+  SELECT c_custkey AS doc_id, CAST(c_custkey % 8 AS INT) AS form, concat('<"fieldId":"buyer.name","value":"', c_name, '","confidence":', CAST(c_custkey % 100 AS STRING), '>') AS one,
+    concat('<"fieldId":"buyer.address","value":"<', c_mktsegment, '>","confidence":', CAST(c_custkey % 50 AS STRING), '.5>') AS two FROM {customer}) AS a) AS b
+"""
+
 PROCESSES = """
 SELECT o_orderkey AS process_id, o_custkey AS user_id, n_regionkey AS organization_id, o_orderdate AS started_at, o_orderkey % 45 AS minutes,
   CASE WHEN o_orderkey % 97 = 0 THEN 'FAILED' WHEN o_orderstatus = 'F' THEN 'FULLY_CHECKED' WHEN o_orderstatus = 'P' THEN 'PENDING_REVIEW' ELSE 'IN_PROGRESS' END AS final_status

@@ -11,10 +11,10 @@ CONTEXT = "process_id long, participating array<string>, unreadable array<string
 ALL = ["SIOPI", "MINUTA", "ITBI", "DADOS_RESERVA"]
 
 
-def verdicts(spark, rows, participating=ALL, unreadable=(), conflicts=(), issues=(), errors=None, fields=None):
+def verdicts(spark, rows, participating=ALL, unreadable=(), conflicts=(), issues=(), errors=None, fields=None, rules=None):
     ev = spark.createDataFrame([(1, ALL.index(s), s, f, p, v, c) for s, f, p, v, c in rows], EVIDENCE)
     ctx = spark.createDataFrame([(1, list(participating), list(unreadable), list(conflicts), list(issues), errors or {})], CONTEXT)
-    return reconcile.reconcile(ev, ctx, fields)
+    return reconcile.reconcile(ev, ctx, fields, rules)
 
 
 def by_field(df):
@@ -129,3 +129,34 @@ def test_empty_tables_give_empty_results(spark):
     taking = spark.createDataFrame([], "process_id long, source string, failed boolean")
     keys = spark.createDataFrame([], "process_id long, source string, field_id string")
     assert evidence.quality(none, taking, keys, keys).count() == 0
+
+
+def test_rules_decide_in_the_ladder(spark):
+    """Words that a name may carry leave nothing of one source's value, and the others agree: a rule makes them equal, and says how often people approved it."""
+    row = lambda s, v: (s, "property.development", None, v, 95)
+    rules = lambda *r: spark.createDataFrame(list(r), "field_id string, rule_kind string, signature string, occurrence_count int")
+    three = [row("SIOPI", "Residencial"), row("MINUTA", "Vista Costeira Condomínio Clube"), row("ITBI", "VISTA COSTEIRA")]
+    sign = "RESIDENCIAL || VISTA COSTEIRA || VISTA COSTEIRA CONDOMINIO CLUBE"
+    run = lambda rows, r: by_field(verdicts(spark, rows, fields=["property.development", "buyer.maritalStatus"], rules=r))["property.development", None]
+    known = "Valores equivalentes: variação textual já normalizada para este campo."
+    assert run(three, None) == ("MATCH", 7, known) == run(three, rules(("property.development", "TEXT_ALIAS", "other", 3)))
+    assert run(three, rules(("property.development", "TEXT_ALIAS", sign, 1)))[2] == "Valores equivalentes por aprendizado supervisionado (1 validação humana anterior)."
+    many = rules(("property.development", "TEXT_ALIAS", sign, 4), ("property.development", "TEXT_ALIAS", sign, 2), ("buyer.maritalStatus", "TEXT_ALIAS", sign, 9))
+    assert run(three, many)[2] == "Valores equivalentes por aprendizado supervisionado (4 validaçãoões humanas anteriores)."
+    # Two that agree after folding need no rule, one with words doesn't make two, and a third name is a divergence.
+    assert run(three[1:], many) == ("MATCH", 6, "Valores equivalentes após normalização.")
+    assert run(three[:2], many)[0] != "MATCH" and run([*three[1:], row("SIOPI", "Outra Torre")], many)[0] == "DIVERGENCE"
+    # What comes before it in the ladder still does.
+    assert by_field(verdicts(spark, three, fields=["property.development"], rules=many, issues=["SIOPI:property.development"]))["property.development", None][1] == 2
+
+
+def test_rules_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    each = spark.createDataFrame([(i, "f", "k", f"s{i % 3}" if i % 4 else None) for i in range(40)], "id long, field_id string, rule_kind string, signature string")
+    rules = spark.createDataFrame([("f", "k", "s1", 5), ("f", "k", "s1", 2), ("g", "k", "s2", 1)], "field_id string, rule_kind string, signature string, occurrence_count int")
+    want = sorted((i, f"s{i % 3}" if i % 4 else None, 5 if i % 4 and i % 3 == 1 else None) for i in range(40))
+    for limit in (100, 1):
+        monkeypatch.setattr(reconcile, "RULES_SENT", limit)
+        got = reconcile.with_rules(each, rules)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (limit == 100)
+        assert sorted((r.id, r.signature, r.occurrence_count) for r in got.collect()) == want
