@@ -207,13 +207,17 @@ RESERVATION_LABELS = {
 }
 
 
+def reservation_score(field_id: str, value: str, confidence: str, raw: str) -> Column:
+    """How much a reading of a reservation counts: its confidence, 15 more with a raw text, 20 more where that holds its digits; for a financial field 40 more where the text has its label, and 40 less where not."""
+    text, own = F.coalesce(raw, F.lit("")), n.digits(value)
+    label = F.coalesce(F.try_element_at(catalog.constant_map(RESERVATION_LABELS), F.col(field_id)), F.lit(RESERVATION_LABELS["financial.downPayment"]))
+    score = F.col(confidence) + F.when(text != "", 15).otherwise(0) + F.when((own != "") & F.contains(n.digits(text), own), 20).otherwise(0)
+    return score + F.when(~F.startswith(field_id, F.lit("financial.")), 0).when(label.isNotNull() & F.regexp_like(text, label), 40).otherwise(-40)
+
+
 def scored_best(rows: DataFrame, keys: list[str], order: str, raw: str = "raw") -> DataFrame:
-    """The candidate of the highest score, the earliest of several: its confidence, 15 more with a raw text, 20 more where that holds its digits; for a financial field 40 more where the text has its label, and 40 less where not."""
-    text, own = F.coalesce(raw, F.lit("")), n.digits("value")
-    label = F.coalesce(F.try_element_at(catalog.constant_map(RESERVATION_LABELS), F.col("field_id")), F.lit(RESERVATION_LABELS["financial.downPayment"]))
-    score = F.col("confidence") + F.when(text != "", 15).otherwise(0) + F.when((own != "") & F.contains(n.digits(text), own), 20).otherwise(0)
-    score = score + F.when(~F.startswith("field_id", F.lit("financial.")), 0).when(label.isNotNull() & F.regexp_like(text, label), 40).otherwise(-40)
-    filled = rows.where(F.trim("value") != "").withColumn("score", score)
+    """The candidate of the highest reservation_score(), the earliest of several."""
+    filled = rows.where(F.trim("value") != "").withColumn("score", reservation_score("field_id", "value", "confidence", raw))
     return filled.groupBy(*keys).agg(F.max_by(F.struct("value", "score"), F.struct(F.col("score"), -F.col(order))).alias("b")).select(*keys, "b.value", "b.score")
 
 

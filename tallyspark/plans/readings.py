@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators import reconcile, replies
+from tallyspark.functions import catalog
+from tallyspark.operators import layers, reconcile, replies
 from tallyspark.sources import adapters as a
 
 _DEVELOPMENT = ["property.development", "buyer.maritalStatus"]
@@ -26,13 +27,52 @@ def replies_read(spark, sf_dir):
     return read.select("doc_id", "r.how", F.posexplode_outer("r.fields").alias("nth", "f")).select("doc_id", "how", "nth", "f.field_id", "f.value", "f.confidence")
 
 
+def _layered(spark, sf_dir) -> DataFrame:
+    return layers.layered(a.read(spark, sf_dir, a.LAYER_DOCS), a.read(spark, sf_dir, a.LAYER_READINGS), sources=["MINUTA", "DADOS_RESERVA"])
+
+
+def layered_report(spark, sf_dir):
+    """What patterns read of each text, what was asked for again, what that gave, and which images were read again."""
+    lists = ("deterministic", "asked", "recovered", "reread")
+    return _layered(spark, sf_dir).select("process_id", "source", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
+def layered_fields(spark, sf_dir):
+    """The reading of each field that counts."""
+    return layers.chosen_rows(_layered(spark, sf_dir)).select("process_id", "source", "layer", "field_id", "value")
+
+
 # The helpers of this SQL (text, development) are those of the other registered queries.
 def sql() -> dict[str, str]:
     from tallyspark.plans.oracle import development, text
 
     first = "SELECT c_custkey AS doc_id, how, 0 AS nth, 'buyer.name' AS field_id, c_name AS value, CAST(c_custkey % 100 AS DOUBLE) AS confidence"
     forms = "(SELECT *, ['WHOLE', 'WHOLE', 'OBJECT', 'LIST', 'WHOLE', 'SCANNED', 'SALVAGED', NULL][c_custkey % 8 + 1] AS how FROM customer)"
+    joined = lambda c: f"array_to_string(list_sort(list_filter({c}, lambda f: f IS NOT NULL)), ',')"
+    minuta = "[" + ", ".join(f"'{f}'" for f in catalog.CRITICAL["MINUTA"].split()) + "]"
+    # What the two tables of readings hold for a customer k: patterns, the model, rereading; then the groups of a reservation.
+    contract = f"""m AS (SELECT c_custkey AS k, c_name, k % 11 = 0 AS failed, [CASE WHEN k % 3 <> 0 THEN 'contract.number' END, CASE WHEN k % 4 <> 0 THEN 'contract.agencyCode' END, CASE WHEN k % 5 <> 0 THEN 'financial.totalValue' END] AS d,
+          CASE WHEN k % 11 = 0 THEN [] WHEN k % 2 = 0 THEN ['contract.number', 'buyer.name'] ELSE ['contract.number'] END AS p FROM customer),
+        ma AS (SELECT *, CASE WHEN failed THEN [] ELSE list_filter({minuta}, lambda f: NOT list_contains(d, f) AND NOT list_contains(p, f)) END AS asked FROM m),
+        mr AS (SELECT *, list_filter(asked, lambda f: f IN ('buyer.name', 'buyer.cpf', 'contract.agencyCode')) AS recovered FROM ma)"""
+    images = """g AS (SELECT c_custkey AS k, c_name, k % 2 = 0 AS fn, k % 5 <> 0 AS ft, k % 7 = 0 AS ff, k % 3 = 1 AS su, k % 3 = 2 AS pay FROM customer),
+        ga AS (SELECT *, CASE WHEN su THEN ['unit'] WHEN pay THEN CASE WHEN ft AND ff THEN [] ELSE ['payment'] END WHEN fn OR ft OR ff THEN list_filter([CASE WHEN fn THEN 'identity' END, CASE WHEN ft <> ff THEN 'payment' END], lambda x: x IS NOT NULL) ELSE ['identity', 'payment', 'unit'] END AS found FROM g),
+        gb AS (SELECT *, CASE WHEN NOT (fn OR ft OR ff) AND NOT list_contains(found, 'payment') THEN list_append(found, 'payment') ELSE found END AS asked FROM ga),
+        gc AS (SELECT *, CASE WHEN pay THEN NOT (ft AND ff) ELSE list_contains(asked, 'payment') END AS rp, list_contains(asked, 'identity') AS ri, list_contains(asked, 'unit') AS ru FROM gb),
+        gd AS (SELECT *, len(asked) > 0 AND CASE WHEN su THEN true WHEN pay THEN NOT (ff AND (ft OR rp)) ELSE fn OR ri OR ru OR ((ft OR ff OR rp) AND NOT (ff AND (ft OR rp))) OR NOT (fn OR ft OR ff OR rp OR ri OR ru) END AS rg FROM gc),
+        ge AS (SELECT *, [CASE WHEN rp AND NOT ft THEN 'financial.totalValue' END, CASE WHEN ri THEN 'buyer.cpf' END, CASE WHEN ru THEN 'property.unit' END, CASE WHEN ru THEN 'property.registration' END, CASE WHEN ru THEN 'property.development' END, CASE WHEN rg THEN 'property.tower' END] AS recovered FROM gd)"""
+    some = lambda cond, layer, field, value: f"SELECT k AS process_id, 'DADOS_RESERVA' AS source, '{layer}' AS layer, '{field}' AS field_id, {value} AS value FROM ge WHERE {cond}"
+    of = lambda cond, layer, field, value: f"SELECT k AS process_id, 'MINUTA' AS source, '{layer}' AS layer, '{field}' AS field_id, {value} AS value FROM mr WHERE {cond}"
     return {
+        "layered_report": f"""WITH {contract}, {images} SELECT k AS process_id, 'MINUTA' AS source, {joined("d")} AS deterministic, {joined("asked")} AS asked, {joined("recovered")} AS recovered, '' AS reread FROM mr
+            UNION ALL SELECT k, 'DADOS_RESERVA', '', {joined("asked")}, {joined("recovered")}, array_to_string(list_filter([CASE WHEN rp THEN 'PAYMENT' END, CASE WHEN ri THEN 'IDENTITY' END, CASE WHEN ru THEN 'UNIT' END, CASE WHEN rg THEN 'GENERIC' END], lambda x: x IS NOT NULL), ',') FROM ge""",
+        "layered_fields": f"WITH {contract}, {images} " + " UNION ALL ".join([
+            of("k % 3 <> 0", "DETERMINISTIC", "contract.number", "'8.' || k || '.77'"), of("k % 4 <> 0", "DETERMINISTIC", "contract.agencyCode", "'1' || k || '-5'"), of("k % 5 <> 0", "DETERMINISTIC", "financial.totalValue", "'R$ 2' || k || '.500,00'"),
+            of("k % 3 = 0 AND NOT failed", "PROVIDER", "contract.number", "'P ' || k"), of("k % 2 = 0 AND NOT failed", "PROVIDER", "buyer.name", "c_name"), of("list_contains(recovered, 'buyer.name')", "RECOVERY", "buyer.name", "'R ' || c_name"),
+            of("list_contains(recovered, 'buyer.cpf')", "RECOVERY", "buyer.cpf", "'000.000.0' || k"), of("list_contains(recovered, 'contract.agencyCode')", "RECOVERY", "contract.agencyCode", "'R' || k"),
+            some("fn", "FOCUSED", "buyer.name", "c_name"), some("ft AND NOT rp", "FOCUSED", "financial.totalValue", "'R$ 5' || k || ',00'"), some("rp", "PAYMENT", "financial.totalValue", "'R$ 6' || k || ',00'"), some("ff", "FOCUSED", "financial.financing", "'R$ 4' || k || ',00'"),
+            some("ri", "IDENTITY", "buyer.cpf", "'000.000.0' || k"), some("ru", "UNIT", "property.unit", "'10' || k"), some("ru", "UNIT", "property.registration", "'77' || k"), some("ru", "UNIT", "property.development", "'Vila Sol'"), some("rg", "GENERIC", "property.tower", "'Torre Norte'"),
+        ]),
         "replies_read": f"""{first} FROM {forms} AS x WHERE how IS NOT NULL UNION ALL SELECT c_custkey, how, 1, 'buyer.address', '{{' || c_mktsegment || '}}', c_custkey % 50 + 0.5 FROM {forms} AS x WHERE how <> 'SALVAGED'
             UNION ALL SELECT c_custkey, how, NULL, NULL, NULL, NULL FROM {forms} AS x WHERE how IS NULL""",
         "reconcile_learned": f"""WITH v AS (SELECT process_id, source_ord, {text("value")} AS t FROM {a.duck(a.NAMES)} AS n),
@@ -47,4 +87,4 @@ def sql() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (reconcile_learned, replies_read)}
+QUERIES = {f.__name__: f for f in (reconcile_learned, replies_read, layered_report, layered_fields)}

@@ -107,6 +107,23 @@ FROM (SELECT doc_id, form, one, two, concat('<"fields":[', one, ',', two, ']>')
     concat('<"fieldId":"buyer.address","value":"<', c_mktsegment, '>","confidence":', CAST(c_custkey % 50 AS STRING), '.5>') AS two FROM {customer}) AS a) AS b
 """
 
+#: A contract and a reservation of each customer, whose texts say more or less.
+LAYER_DOCS = """
+SELECT c_custkey AS process_id, 'MINUTA' AS source, CAST(0 AS INT) AS doc_ord, concat('Instrumento', CASE WHEN c_custkey % 3 <> 0 THEN concat(chr(10), 'nº do contrato: 8.', CAST(c_custkey AS STRING), '.77') ELSE '' END, CASE WHEN c_custkey % 4 <> 0 THEN concat(chr(10), 'Agência: 1', CAST(c_custkey AS STRING), '-5') ELSE '' END,
+  CASE WHEN c_custkey % 5 <> 0 THEN concat(chr(10), 'Valor destinado à aquisição é R$ 2', CAST(c_custkey AS STRING), '.500,00') ELSE '' END) AS text, c_custkey % 11 = 0 AS failed FROM {customer}
+UNION ALL SELECT c_custkey, 'DADOS_RESERVA', CAST(1 AS INT), CASE c_custkey % 3 WHEN 1 THEN 'ver matrícula' WHEN 2 THEN 'condição de pagamento' END, false FROM {customer}
+"""
+
+#: What models read of them, first and again.
+LAYER_READINGS = """
+SELECT c_custkey AS process_id, r.source, r.doc_ord, r.layer, r.nth, r.field_id, CAST(NULL AS STRING) AS participant_id, replace(replace(r.value, '#', CAST(c_custkey AS STRING)), '@', c_name) AS value, r.confidence, replace(replace(r.raw, '#', CAST(c_custkey AS STRING)), '@', c_name) AS raw
+FROM {customer} CROSS JOIN (VALUES ('MINUTA', 0, 'PROVIDER', 0, 'contract.number', 'P #', 99, 'P #', 1, 0), ('MINUTA', 0, 'PROVIDER', 1, 'buyer.name', '@', 80, 'comprador @', 2, 0), ('MINUTA', 0, 'PROVIDER', 2, 'contract.date', ' ', 80, '', 1, 0), ('MINUTA', 0, 'RECOVERY', 0, 'buyer.name', 'R @', 70, 'R @', 1, 0), ('MINUTA', 0, 'RECOVERY', 1, 'buyer.cpf', '000.000.0#', 70, 'CPF 000.000.0#', 1, 0),
+  ('MINUTA', 0, 'RECOVERY', 2, 'contract.agencyCode', 'R#', 70, 'R#', 1, 0), ('MINUTA', 0, 'RECOVERY', 3, 'signature.city', 'Fortaleza', 70, 'Fortaleza', 1, 0), ('DADOS_RESERVA', 1, 'FOCUSED', 0, 'buyer.name', '@', 90, 'cliente @', 2, 0), ('DADOS_RESERVA', 1, 'FOCUSED', 1, 'financial.totalValue', 'R$ 5#,00', 88, 'valor total R$ 5#,00', 5, 1), ('DADOS_RESERVA', 1, 'FOCUSED', 2, 'financial.financing', 'R$ 4#,00', 88, 'financiamento R$ 4#,00', 7, 0),
+  ('DADOS_RESERVA', 1, 'PAYMENT', 0, 'financial.totalValue', 'R$ 6#,00', 99, 'valor do contrato R$ 6#,00', 1, 0), ('DADOS_RESERVA', 1, 'PAYMENT', 1, 'financial.financing', 'R$ 7#,00', 99, 'sem o valor', 1, 0), ('DADOS_RESERVA', 1, 'SUMMARY', 0, 'financial.subsidy', 'R$ 1,00', 99, 'subsidio R$ 1,00', 1, 0), ('DADOS_RESERVA', 1, 'IDENTITY', 0, 'buyer.cpf', '000.000.0#', 80, 'cpf 000.000.0#', 1, 0),
+  ('DADOS_RESERVA', 1, 'UNIT', 0, 'property.unit', '10#', 80, 'unidade 10#', 1, 0), ('DADOS_RESERVA', 1, 'UNIT', 1, 'property.registration', '77#', 80, 'matrícula 77#', 1, 0), ('DADOS_RESERVA', 1, 'UNIT', 2, 'property.development', 'Vila Sol', 80, 'vila sol', 1, 0), ('DADOS_RESERVA', 1, 'GENERIC', 0, 'property.tower', 'Torre Norte', 60, 'torre norte', 1, 0)) AS r(source, doc_ord, layer, nth, field_id, value, confidence, raw, every, rest)
+WHERE CASE WHEN r.rest = 0 THEN c_custkey % r.every = 0 ELSE c_custkey % r.every <> 0 END AND (r.layer <> 'PROVIDER' OR c_custkey % 11 <> 0)
+"""
+
 PROCESSES = """
 SELECT o_orderkey AS process_id, o_custkey AS user_id, n_regionkey AS organization_id, o_orderdate AS started_at, o_orderkey % 45 AS minutes,
   CASE WHEN o_orderkey % 97 = 0 THEN 'FAILED' WHEN o_orderstatus = 'F' THEN 'FULLY_CHECKED' WHEN o_orderstatus = 'P' THEN 'PENDING_REVIEW' ELSE 'IN_PROGRESS' END AS final_status
