@@ -114,9 +114,11 @@ def planes(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def estimates(codes: np.ndarray, held: np.ndarray, plane: np.ndarray, low: float, step: float, total: float) -> np.ndarray:
     """<s, q> for every code (row, word): held counts a code's bits, total is the sum of the rotated query."""
-    shared = np.zeros(len(codes), np.uint16)
+    # Wide enough for a code that shares all bits of every plane, however long vectors are.
+    kind = np.min_scalar_type((2**PLANES - 1) * 64 * codes.shape[1])
+    shared = np.zeros(len(codes), kind)
     for k in range(PLANES):
-        shared += np.bitwise_count(codes & plane[k]).sum(axis=1, dtype=np.uint16) << k
+        shared += np.bitwise_count(codes & plane[k]).sum(axis=1, dtype=kind) << k
     return (2 * (low * held + step * shared) - total) / np.sqrt(64 * codes.shape[1])
 
 

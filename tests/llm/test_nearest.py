@@ -88,3 +88,16 @@ def test_estimates_come_from_packed_words():
             got = nearest.estimates(codes, signs.sum(axis=1), plane[r], low[r], step[r], rounded.sum())
             assert np.allclose(got, (2 * signs - 1) @ rounded / np.sqrt(bits))
             assert np.abs(got - (2 * signs - 1) @ q[r] / np.sqrt(bits)).max() < step[r] * 4
+
+
+def test_estimates_of_long_vectors():
+    """A code against the query it was made of: the weighted counts don't overflow at any length."""
+    rng = np.random.default_rng(1)
+    for dim in (64, 4096, 16_384, 65_536):
+        q = rng.normal(size=(1, dim))
+        codes = np.packbits(q > 0, axis=1, bitorder="little").view(np.uint64)
+        plane, low, step = nearest.planes(q)
+        held = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+        total = low[0] * dim + step[0] * sum(int(np.bitwise_count(plane[0, j]).sum(dtype=np.int64)) << j for j in range(nearest.PLANES))
+        exact = np.abs(q).sum() / np.sqrt(dim)
+        assert abs(nearest.estimates(codes, held, plane[0], low[0], step[0], total)[0] - exact) < 0.02 * exact
