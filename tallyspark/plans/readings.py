@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import catalog
-from tallyspark.operators import layers, reconcile, replies
+from tallyspark.operators import attempts, layers, reconcile, replies, searching
 from tallyspark.sources import adapters as a
+from tallyspark.sources import storage
 
 _DEVELOPMENT = ["property.development", "buyer.maritalStatus"]
 
@@ -42,9 +43,40 @@ def layered_fields(spark, sf_dir):
     return layers.chosen_rows(_layered(spark, sf_dir)).select("process_id", "source", "layer", "field_id", "value")
 
 
+def extraction_attempts(spark, sf_dir):
+    """Attempts at each upload with their ends, open and repeated ones, and ends without a start."""
+    return attempts.attempts(a.read(spark, sf_dir, a.ATTEMPTS))
+
+
+def extraction_attempt_totals(spark, sf_dir):
+    return attempts.attempt_totals(attempts.attempts(a.read(spark, sf_dir, a.ATTEMPTS)))
+
+
+_VIEWER = {"is_master": False, "role": "ADMIN", "organization_id": 2, "user_id": 50}
+
+
+def documents_opened(spark, sf_dir):
+    return attempts.opened(*[a.read(spark, sf_dir, m) for m in (a.OPENINGS, a.PROCESSES, a.DOCUMENTS)], _VIEWER)
+
+
+def documents_opened_audit(spark, sf_dir):
+    return attempts.opening_events(documents_opened(spark, sf_dir), _VIEWER)
+
+
+def method_notices(spark, sf_dir):
+    return attempts.method_notices(a.read(spark, sf_dir, a.METHODS))
+
+
+def history_indexed(spark, sf_dir):
+    """A search over codes, analysts, document names and values by the index of trigrams."""
+    path = storage.new_path(spark, "history")
+    searching.build(a.read(spark, sf_dir, a.HISTORY), "process_id", path)
+    return searching.search(spark, path, "process_id", "contrato  12")
+
+
 # The helpers of this SQL (text, development) are those of the other registered queries.
 def sql() -> dict[str, str]:
-    from tallyspark.plans.oracle import development, text
+    from tallyspark.plans.oracle import _KW, development, text
 
     first = "SELECT c_custkey AS doc_id, how, 0 AS nth, 'buyer.name' AS field_id, c_name AS value, CAST(c_custkey % 100 AS DOUBLE) AS confidence"
     forms = "(SELECT *, ['WHOLE', 'WHOLE', 'OBJECT', 'LIST', 'WHOLE', 'SCANNED', 'SALVAGED', NULL][c_custkey % 8 + 1] AS how FROM customer)"
@@ -63,7 +95,26 @@ def sql() -> dict[str, str]:
         ge AS (SELECT *, [CASE WHEN rp AND NOT ft THEN 'financial.totalValue' END, CASE WHEN ri THEN 'buyer.cpf' END, CASE WHEN ru THEN 'property.unit' END, CASE WHEN ru THEN 'property.registration' END, CASE WHEN ru THEN 'property.development' END, CASE WHEN rg THEN 'property.tower' END] AS recovered FROM gd)"""
     some = lambda cond, layer, field, value: f"SELECT k AS process_id, 'DADOS_RESERVA' AS source, '{layer}' AS layer, '{field}' AS field_id, {value} AS value FROM ge WHERE {cond}"
     of = lambda cond, layer, field, value: f"SELECT k AS process_id, 'MINUTA' AS source, '{layer}' AS layer, '{field}' AS field_id, {value} AS value FROM mr WHERE {cond}"
+    tried = f"""WITH e AS (SELECT *, event_type = 'DEVELOPMENT_EXTRACTION_STARTED' AS begins, row_number() OVER (PARTITION BY upload ORDER BY created_at, event_id) AS rn FROM {a.duck(a.ATTEMPTS)} AS x WHERE event_type <> 'REVIEW_APPROVED'),
+        l AS (SELECT *, max(CASE WHEN begins THEN rn END) OVER w AS ls, max(CASE WHEN NOT begins THEN rn END) OVER w AS le, max(CASE WHEN begins THEN rn END) OVER (PARTITION BY upload) AS last_start FROM e WINDOW w AS (PARTITION BY upload ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        x AS (SELECT *, ls IS NOT NULL AND (le IS NULL OR le < ls) AS fits FROM l WHERE NOT begins),
+        b AS (SELECT s.upload, s.rn, s.created_at AS started_at, x.created_at AS ended_at, CASE WHEN x.rn IS NOT NULL THEN split_part(x.event_type, '_', 3) WHEN s.rn < s.last_start THEN 'REPEATED' ELSE 'OPEN' END AS outcome, coalesce(x.stage, s.stage) AS stage, coalesce(x.page_count, s.page_count) AS page_count
+            FROM l AS s LEFT JOIN x ON x.upload = s.upload AND x.fits AND x.ls = s.rn WHERE s.begins
+          UNION ALL SELECT upload, rn, NULL, created_at, split_part(event_type, '_', 3), stage, page_count FROM x WHERE NOT fits),
+        t AS (SELECT upload, CAST(row_number() OVER (PARTITION BY upload ORDER BY rn) AS INT) AS attempt, started_at, ended_at, outcome, stage, page_count, epoch_us(ended_at) // 1000 - epoch_us(started_at) // 1000 AS duration_ms FROM b)"""
+    opening = f"""(SELECT r.request_id, r.process_id, r.document_id, CASE WHEN p.process_id IS NULL THEN 'Processo não encontrado.' WHEN coalesce(d.storage_path, '') = '' THEN CASE WHEN d.purged_at IS NOT NULL THEN 'Arquivo original removido após o período de retenção de 40 dias.' ELSE 'O arquivo original não está disponível.' END END AS message, d.storage_path
+        FROM {a.duck(a.OPENINGS)} AS r LEFT JOIN (SELECT process_id FROM {a.duck(a.PROCESSES)} AS y WHERE organization_id = 2) AS p ON p.process_id = r.process_id
+        LEFT JOIN (SELECT * FROM {a.duck(a.DOCUMENTS)} AS z WHERE organization_id = 2) AS d ON d.process_id = r.process_id AND d.document_id = r.document_id)"""
+    label = "CASE source " + " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in catalog.SOURCES.items()) + " END"
     return {
+        "extraction_attempts": tried + "SELECT * FROM t",
+        "extraction_attempt_totals": tried + "SELECT outcome, stage, count(*) AS n, CAST(floor(avg(duration_ms)) AS BIGINT) AS mean_ms FROM t GROUP BY outcome, stage",
+        "documents_opened": f"SELECT request_id, process_id, document_id, CASE WHEN message IS NULL THEN storage_path END AS storage_path, message FROM {opening} AS o",
+        "documents_opened_audit": f"SELECT CAST(2 AS BIGINT) AS organization_id, '50' AS actor_id, 'DOCUMENT_VIEWED' AS event_type, 'process_document' AS entity_type, document_id AS entity_id, process_id FROM {opening} AS o WHERE message IS NULL",
+        "method_notices": f"""SELECT process_id, CASE WHEN n > 0 THEN errors ELSE images || ' exigiu OCR porque o PDF tinha pouco ou nenhum texto selecionável.' END AS notice FROM (
+            SELECT process_id, count(*) FILTER (WHERE status = 'FAILED' AND error IS NOT NULL) AS n, string_agg({label} || ': ' || error, chr(10) ORDER BY source_ord) FILTER (WHERE status = 'FAILED' AND error IS NOT NULL) AS errors,
+              string_agg({label}, ', ' ORDER BY source_ord) FILTER (WHERE method IN ('OCR', 'MIXED')) AS images FROM {a.duck(a.METHODS)} AS m GROUP BY process_id) AS q WHERE n > 0 OR images IS NOT NULL""",
+        "history_indexed": f"SELECT DISTINCT process_id FROM (SELECT process_id, {_KW} AS k FROM (SELECT process_id, coalesce(text, '') AS t FROM {a.duck(a.HISTORY)} AS h) AS x) AS y WHERE contains(k, 'contrato 12')",
         "layered_report": f"""WITH {contract}, {images} SELECT k AS process_id, 'MINUTA' AS source, {joined("d")} AS deterministic, {joined("asked")} AS asked, {joined("recovered")} AS recovered, '' AS reread FROM mr
             UNION ALL SELECT k, 'DADOS_RESERVA', '', {joined("asked")}, {joined("recovered")}, array_to_string(list_filter([CASE WHEN rp THEN 'PAYMENT' END, CASE WHEN ri THEN 'IDENTITY' END, CASE WHEN ru THEN 'UNIT' END, CASE WHEN rg THEN 'GENERIC' END], lambda x: x IS NOT NULL), ',') FROM ge""",
         "layered_fields": f"WITH {contract}, {images} " + " UNION ALL ".join([
@@ -87,4 +138,4 @@ def sql() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (reconcile_learned, replies_read, layered_report, layered_fields)}
+QUERIES = {f.__name__: f for f in (reconcile_learned, replies_read, layered_report, layered_fields, extraction_attempts, extraction_attempt_totals, documents_opened, documents_opened_audit, method_notices, history_indexed)}

@@ -160,6 +160,29 @@ SELECT o_custkey AS process_id, o_orderkey AS event_id, TIMESTAMP '2024-01-01 00
 FROM {orders}
 """
 
+#: Attempts at reading registries: users are uploads, and their events start and end attempts in any order.
+ATTEMPTS = """
+SELECT event_id, concat('u', CAST(user_id % 60 AS STRING)) AS upload, CASE event_type WHEN 'click' THEN 'DEVELOPMENT_EXTRACTION_STARTED' WHEN 'view' THEN 'DEVELOPMENT_EXTRACTION_FINISHED' WHEN 'error' THEN 'DEVELOPMENT_EXTRACTION_FAILED' ELSE 'REVIEW_APPROVED' END AS event_type, ts AS created_at,
+  CASE event_type WHEN 'click' THEN 'EXTRACTION' WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'XLSX_PARSER' ELSE 'RECONCILIATION' END ELSE CASE event_id % 3 WHEN 0 THEN 'VALIDATION' WHEN 1 THEN 'RENDERING' ELSE 'UNEXPECTED' END END AS stage, CAST(event_id % 9 AS INT) AS page_count FROM {events}
+"""
+
+#: Requests to open a document, some of them of another process than its own.
+OPENINGS = """
+SELECT l_orderkey * 10 + l_linenumber AS request_id, l_orderkey + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END AS process_id, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS document_id FROM {lineitem}
+"""
+
+#: How the sources of a process were read.
+METHODS = """
+SELECT c_custkey AS process_id, s.source_ord, s.source, CASE WHEN (c_custkey + s.source_ord) % 9 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status, CASE WHEN c_custkey % 2 = 0 THEN concat('erro ', CAST(c_custkey AS STRING)) END AS error, CASE (c_custkey * 3 + s.source_ord) % 7 WHEN 0 THEN 'OCR' WHEN 1 THEN 'MIXED' ELSE 'TEXT' END AS method
+FROM {customer} CROSS JOIN (VALUES (0, 'SIOPI'), (1, 'MINUTA'), (2, 'ITBI')) AS s(source_ord, source)
+"""
+
+#: What a process can be found by: its code, its analyst, its documents' names and its values.
+HISTORY = f"""
+SELECT o_orderkey AS process_id, concat('OP-', CAST(o_orderkey AS STRING)) AS text FROM {{orders}} UNION ALL SELECT o_orderkey, c_name FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
+UNION ALL SELECT l_orderkey, concat('Contrato ', CAST(l_partkey AS STRING), '.pdf') FROM {{lineitem}} UNION ALL SELECT process_id, value FROM ({EVIDENCE}) AS e
+"""
+
 #: Reviews that approve an equivalence of two names; keys decide on ones without a signature.
 APPROVED = """
 SELECT c_nationkey AS organization_id, 'property.development' AS field_id, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('RESIDENCIAL ', c_mktsegment, ' || VILA ', c_mktsegment) END AS signature, 'TEXT_ALIAS' AS rule_kind, o_orderpriority AS example, o_orderkey AS process_id, o_custkey AS reviewer_id, o_orderdate AS at
