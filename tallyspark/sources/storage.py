@@ -64,6 +64,9 @@ class Folder:
         at = self._at(folder) if folder else self.jvm.org.apache.hadoop.fs.Path(self.path)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
     def text(self, name: str) -> str:
         stream = self.fs.open(self._at(name))
         try:
