@@ -250,3 +250,8 @@ def pack_conversations(turns: DataFrame, limits: dict[str, int] | None = None, t
 
 def query(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def conversations_query(spark, sf_dir):
+    """All conversations, packed under limits on tokens, turns and loss-bearing tokens at once."""
+    return pack_conversations(table(spark, sf_dir, "conversations"))

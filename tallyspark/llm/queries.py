@@ -18,5 +18,6 @@ QUERIES = {
     "op11_token_files": token_files.query,
     "op12_periodic_runs": periodic.query,
     "op13_source_divergence": divergence.query,
+    "conversation_packing": packing.conversations_query,
 }
 ORACLE = {"op1_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}

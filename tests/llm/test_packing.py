@@ -130,3 +130,34 @@ def test_conversations_keep_three_limits_at_once(spark, sf):
             assert r.offset == ends
             ends += r.tokens
     assert {"big", "long", "many"} <= {r.conv_id for r in rows if r.sequence_id is None}
+
+
+def test_conversations_of_the_table(spark, sf, model):
+    """Every conversation once, whole, by the library's counts; every sequence within all three limits, without gaps, and not many more than any packing needs."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    sizes = defaultdict(lambda: [0, 0, 0])
+    for t in turns:
+        n = len(whole(model, t.text))
+        for i, x in enumerate((n, 1, n if t.role == "assistant" else 0)):
+            sizes[str(t.conv_id)][i] += x
+    limits = (packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_TOKENS // 2)
+    found = packing.conversations_query(spark, sf).collect()
+    assert {r.conv_id: [r.tokens, r.segments, r.loss_tokens] for r in found} == dict(sizes) and len(found) == len(sizes)
+    sequences = defaultdict(list)
+    for r in found:
+        fits = all(x <= m for x, m in zip((r.tokens, r.segments, r.loss_tokens), limits, strict=True))
+        assert (r.sequence_id is not None) == fits == (r.offset is not None)
+        if fits:
+            sequences[r.sequence_id].append(r)
+    used = [0, 0, 0]
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.tokens
+        sums = [sum(getattr(r, c) for r in rows) for c in ("tokens", "segments", "loss_tokens")]
+        assert all(x <= m for x, m in zip(sums, limits, strict=True))
+        used = [a + b for a, b in zip(used, sums, strict=True)]
+    least = max(-(-u // m) for u, m in zip(used, limits, strict=True))
+    assert len(sequences) <= 1.25 * least + 8
+
