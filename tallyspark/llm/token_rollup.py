@@ -9,8 +9,12 @@ failed attempt leaves nothing behind but files that nobody reads. A batch id
 that is committed already is left as it is, whatever comes with it again.
 
 fold() adds what is committed to the rollup of totals, a table of a row for each
-key, published in the same way; readers then add only the batches since. One
-writer at a time works on a rollup; readers may come at any time.
+key, published in the same way; readers then add only the batches since. Its
+batches' ids go to a table of taken ids, by which commits know them, and their
+commit files go: what a reader or a fold looks at is as long as the batches
+since the last folds, not as the history. Small files are read through the file
+system, without a job. One writer at a time works on a rollup; readers may come
+at any time.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ import uuid
 from functools import partial
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import delete, prepare, shared_path, stored, table
 from tallyspark.llm.packing import default_tokenizer, encoder
+from tallyspark.sources.storage import Folder
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -47,72 +53,90 @@ def signed(events: DataFrame) -> DataFrame:
     return events.select(*[F.col(k).cast("string").alias(k) for k in KEYS], F.explode(rows).alias("r")).select(*KEYS, "r.*")
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def _publish(spark: SparkSession, path: str, lines: list[str]) -> None:
+def _publish(files: Folder, name: str, lines: list[str]) -> None:
     """A small file that appears whole, by a rename."""
-    fs, at = _fs(spark, path)
-    _, draft = _fs(spark, f"{path[: path.rindex('/')]}/.draft-{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
-    out.write("\n".join(lines).encode())
-    out.close()
-    if not fs.rename(draft, at):
-        raise OSError(f"could not publish {path}")
+    if not files.publish(name, "\n".join(lines)):
+        raise OSError(f"could not publish {files.path}/{name}")
 
 
-def _published(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+def _published(files: Folder, folder: str) -> dict[str, list[str]]:
     """Name and lines of each published file of a folder."""
-    fs, at = _fs(spark, folder)
-    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    names = sorted(n for n in names if not n.startswith("."))
-    return {n: [r[0] for r in spark.read.text(f"{folder}/{n}").collect()] for n in names}
+    found = {}
+    for n in files.names(folder):
+        if not n.endswith(".tmp"):
+            try:
+                found[n] = files.text(f"{folder}/{n}").split("\n")
+            except Py4JJavaError:  # a fold has taken the batch meanwhile
+                if n in files.names(folder):
+                    raise
+    return found
+
+
+def _taken(spark: SparkSession, files: Folder, batch_id: str) -> bool:
+    """Whether a fold has taken a batch in. One job, over a table of ids."""
+    if not files.names("taken"):
+        return False
+    return bool(spark.read.schema("batch_id string").parquet(f"{files.path}/taken").where(F.col("batch_id") == batch_id).take(1))
 
 
 def commit(path: str, batch_id: str, events: DataFrame) -> bool:
     """Applies a batch of events to the rollup at path. False, and nothing done, where the batch_id is committed already."""
     if not batch_id.replace("-", "").replace("_", "").isalnum():
         raise ValueError("a batch id has letters, digits, - and _")
-    spark = events.sparkSession
-    fs, at = _fs(spark, f"{path}/commits/{batch_id}")
-    if fs.exists(at):
+    files = Folder(events.sparkSession, path)
+    if files.exists(f"commits/{batch_id}") or _taken(events.sparkSession, files, batch_id):
         return False
     attempt = f"{path}/batches/{batch_id}-{uuid.uuid4().hex}"
     signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(attempt)
-    _publish(spark, f"{path}/commits/{batch_id}", [attempt])
+    _publish(files, f"commits/{batch_id}", [attempt])
     return True
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, list[str], dict[str, str]]:
+def _folds(files: Folder) -> dict[int, tuple[str, dict[str, str]]]:
+    """Number, totals and batches (id to folder) of the folds that are kept: the newest ones."""
+    return {int(n): (lines[0], dict(x.split("\t") for x in lines[1:])) for n, lines in _published(files, "folds").items()}
+
+
+def _state(files: Folder) -> tuple[int, list[str], dict[str, str]]:
     """The number of the newest fold, the folders that make up the totals, and the batches that it hasn't taken in: id to folder."""
-    folds = {int(n): lines for n, lines in _published(spark, f"{path}/folds").items()}
-    newest = max(folds, default=0)
-    base, *taken = folds.get(newest) or [None]
-    taken = set(taken)
-    fresh = {b: lines[0] for b, lines in _published(spark, f"{path}/commits").items() if b not in taken}
-    return newest, [base] if base else [], fresh
+    while True:
+        folds = _folds(files)
+        newest = max(folds, default=0)
+        base, taken = folds.get(newest, (None, {}))
+        fresh = {b: lines[0] for b, lines in _published(files, "commits").items() if b not in taken}
+        if max(_folds(files), default=0) == newest:  # else a fold came between the two looks
+            return newest, [base] if base else [], fresh
 
 
 def fold(spark: SparkSession, path: str) -> int:
     """Adds all committed batches to the totals and gives how many there were. The batches of the fold before, which no reader of the newest totals needs, are deleted."""
-    newest, base, fresh = _state(spark, path)
+    files = Folder(spark, path)
+    newest, base, fresh = _state(files)
     if not fresh:
         return 0
+    folds = _folds(files)
+    _forget(files, folds.get(newest, (None, {}))[1])  # what a fold that broke off may have left
     attempt = f"{path}/totals/{newest + 1}-{uuid.uuid4().hex}"
     _sums(spark, [*base, *fresh.values()]).write.parquet(attempt)
-    before = _published(spark, f"{path}/folds")
-    old = before.get(f"{newest:08}", [None])[1:]
-    _publish(spark, f"{path}/folds/{newest + 1:08}", [attempt, *old, *fresh])
+    spark.createDataFrame([(b,) for b in sorted(fresh)], "batch_id string").coalesce(1).write.mode("append").parquet(f"{path}/taken")
+    _publish(files, f"folds/{newest + 1:08}", [attempt, *(f"{b}\t{f}" for b, f in fresh.items())])
+    _forget(files, fresh)
     # What the fold before the last was made of may still be read by those who began before that; what is older may not.
-    base, *earlier = before.get(f"{newest - 1:08}", [None])
-    commits = _published(spark, f"{path}/commits") if earlier else {}
-    for folder in [commits[b][0] for b in earlier if b in commits] + [base] * bool(base):
-        delete(spark, folder)
+    for n in [n for n in folds if n < newest]:
+        totals_of, batches = folds[n]
+        for folder in [totals_of, *batches.values()]:
+            delete(spark, folder)
+        files.delete(f"folds/{n:08}")
     return len(fresh)
 
 
+def _forget(files: Folder, batches: dict[str, str]) -> None:
+    """Takes the commit files of batches away that a published fold names."""
+    for b in batches:
+        if files.exists(f"commits/{b}"):
+            files.delete(f"commits/{b}")
+
+
 def _sums(spark: SparkSession, folders: list[str]) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA)
     sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -121,7 +145,7 @@ def _sums(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """KEYS, n_docs, n_tokens over the folded totals and all batches committed since; keys whose documents are all gone have no row."""
-    _, base, fresh = _state(spark, path)
+    _, base, fresh = _state(Folder(spark, path))
     return _sums(spark, [*base, *fresh.values()])
 
 

@@ -80,3 +80,37 @@ def test_counts_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, "a", "x", 3), (2, "  two  words ", None, None, 4), (2, "w " * 50_000, "a", "x", 5)], "doc_id long, text string, source string, lang string, tokens int")
     got = sorted((r.tokens, r.revised) for r in token_rollup.counted(df, packing.default_tokenizer()).collect())
     assert got[0] == (0, 0) and got[1][0] > got[1][1] == 2
+
+
+def test_the_past_costs_nothing(spark, tmp_path):
+    """Reading starts as many jobs after four commits as after forty, ids that folds took are still known, and few small files are left."""
+    path = str(tmp_path / "rollup")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    batch = spark.createDataFrame([("insert", "a", "x", "t", 1, None)], EVENT)
+    for i in range(40):
+        assert token_rollup.commit(path, f"b{i}", batch)
+        if i % 4 == 3:
+            assert token_rollup.fold(spark, path) == 4
+        if i in (4, 36):
+            spark.sparkContext.setJobGroup(f"totals-{i}", "")
+            found = token_rollup.totals(spark, path)
+            jobs.append(len(tracker.getJobIdsForGroup(f"totals-{i}")))
+            spark.sparkContext._jsc.clearJobGroup()
+            assert found.first().n_docs == i + 1
+    assert jobs[0] == jobs[1] <= 1
+    assert not any(token_rollup.commit(path, f"b{i}", batch) for i in (0, 3, 20, 39)) and token_rollup.totals(spark, path).first().n_docs == 40
+    count = lambda folder: len([p for p in (tmp_path / "rollup" / folder).iterdir() if not p.name.startswith(".")])
+    assert count("commits") == 0 and count("folds") <= 2 and count("batches") <= 8 and count("totals") <= 2
+
+
+def test_a_fold_that_breaks_off(spark, tmp_path, monkeypatch):
+    """The totals are published and the commit files still there: they aren't added twice, and the next fold takes them away."""
+    path = str(tmp_path / "rollup")
+    batch = spark.createDataFrame([("insert", "a", "x", "t", 1, None)], EVENT)
+    token_rollup.commit(path, "b1", batch)
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup, "_forget", lambda *a: None)
+        token_rollup.fold(spark, path)
+    assert token_rollup.totals(spark, path).first().n_docs == 1 and token_rollup.fold(spark, path) == 0
+    token_rollup.commit(path, "b2", batch)
+    assert token_rollup.fold(spark, path) == 1 and token_rollup.totals(spark, path).first().n_docs == 2 and not token_rollup.commit(path, "b1", batch)
