@@ -239,11 +239,18 @@ BELOW = [
 ADDRESS_BELOW = [
     (r"(?:ENDERE[CÇ]O|LOGRADOURO|END\.?)", r"([\s\S]+)"), (r"(?:N[ÚU]MERO|N[ºO]\.?)", r"(\d{1,8}[A-Z]?)"), ("BAIRRO", r"([\s\S]+)"), ("CIDADE", r"([\s\S]+)"), (r"ESTADO(?!\s+CIVIL)\b", r"([\s\S]+)"), ("CEP", r"(\d{5}-?\d{3})"),
 ]
-#: Grids of headings above their values, with the fields of their groups.
+#: Columns of civil status and street, and of city, state, quarter and postal code, which make an address together.
+CIVIL_COLUMNS = r"ESTADO\s+CIVIL:\s+PROFISS[ÃA]O:\s+LOGRADOURO:\s+END:\s*\r?\n\s*(SOLTEIR[OA](?:\(A\))?|CASAD[OA](?:\(A\))?|DIVORCIAD[OA](?:\(A\))?|VI[ÚU]V[OA](?:\(A\))?)[^\r\n]*?\s+(?:RUA|AV(?:ENIDA)?\.?|ALAMEDA|TRAVESSA)\s+((?:RUA|AV(?:ENIDA)?\.?|ALAMEDA|TRAVESSA)\s+[^\r\n]+)"
+LOCATION_COLUMNS = r"CIDADE\s+ESTADO\s+BAIRRO:\s+CEP:\s*\r?\n\s*([A-ZÀ-Úa-zà-ú\s]+?)\s+([A-ZÀ-Úa-zà-ú\s]+?)\s+([A-ZÀ-Úa-zà-ú\s]+?)\s+(\d{5}-?\d{3})"
+#: Grids of headings above their values, in the order in which a later one counts, with the fields of their groups.
 GRIDS = [
     (r"NOME\s+DO\s+CLIENTE\s+CPF\s*\/?\s*CNPJ\s+RG\s+CELULAR\s*\r?\n\s*([^\r\n]+?)\s+(\d{3}\.?\d{3}\.?\d{3}-?\d{2})\s+([A-Z0-9.-]{5,30})\s+(\+?[\d(][\d\s().-]{8,24})", {1: ("buyer.name", "NOME DO CLIENTE: "), 2: ("buyer.cpf", "CPF/CNPJ: "), 3: ("buyer.rg", "RG: "), 4: ("buyer.phone", "CELULAR: ")}),
     (r"TELEFONE\s+E-?MAIL\s+PROFISS[ÃA]O[\s\S]{0,80}?\r?\n\s*(\+?[\d(][\d\s().-]{8,24})\s+([\w.+-]+(?:@|&|Q)[\w.-]+\.[A-Z]{2,})", {1: ("buyer.phone", "TELEFONE: "), 2: ("buyer.email", "E-MAIL: ")}),
+    (r"NASCIMENTO\s+ESTADO\s+CIVIL[\s\S]{0,80}?\r?\n\s*\d{1,2}[/-]\d{1,2}[/-]\d{4}\s+([^\r\n]+?)\s+(?:—|-)?\s*(?:RUA|AV(?:ENIDA)?\.?|ALAMEDA|TRAVESSA)\s+([^\r\n]+)", {1: ("buyer.maritalStatus", "ESTADO CIVIL: "), 2: ("buyer.address", "ENDEREÇO: ")}),
     (r"NOME:\s+NASCIMENTO:\s+CPF\s*\/?\s*CNPJ:\s+RG:\s*\r?\n\s*(.+?)\s+(\d{1,2}[/-]\d{1,2}[/-]\d{4})\s+(\d{3}\.?\d{3}\.?\d{3}-?\d{2})\s+([A-Z0-9.-]{5,30})", {1: ("buyer.name", "NOME: "), 3: ("buyer.cpf", "CPF: "), 4: ("buyer.rg", "RG: ")}),
+    (CIVIL_COLUMNS, {1: ("buyer.maritalStatus", "ESTADO CIVIL: ")}),
+    (r"TELEFONE:\s+TELEFONE\s*2:\s+E-?MAIL:\s+[^\r\n]*\r?\n\s*([+()\d\s.-]{8,24})\s+[+()\d\s.-]{8,24}\s+([A-Z0-9._%+-]+(?:@|&)[A-Z0-9.-]+\.[A-Z]{2,})", {1: ("buyer.phone", "TELEFONE: "), 2: ("buyer.email", "E-MAIL: ")}),  # without white space in the number
+    (LOCATION_COLUMNS, {}),
     (r"NOME\s+DO\s+CLIENTE[^\n\r]*[\n\r]+\s*([A-ZÀ-Ú][A-ZÀ-Ú\s]+?)\s+(\d{3}\.?\d{3}\.?\d{3}-?\d{2})\s+(\d{8,14})\s+(\+?\d{10,15})", {1: ("buyer.name", "NOME DO CLIENTE: "), 2: ("buyer.cpf", "CPF / CNPJ: "), 3: ("buyer.rg", "RG: "), 4: ("buyer.phone", "CELULAR: ")}),
 ]
 
@@ -267,10 +274,15 @@ def reservation_grid(text) -> Column:
     found = _found(rows)
     for grid, groups in GRIDS:
         def over(hit, grid=grid, groups=groups):
+            if grid == LOCATION_COLUMNS:
+                street = F.coalesce(F.nullif(trimmed(_group(text, CIVIL_COLUMNS, 2)), F.lit("")), below(*ADDRESS_BELOW[0]), F.lit(""))
+                parts = F.filter(F.array(street, *[trimmed(_group(text, grid, i)) for i in (3, 1, 2, 4)]), lambda x: x != "")
+                return F.when(hit != "", let(F.array_join(parts, ", "), lambda v: F.array(_field("buyer.address", v, 90, "Dados da reserva", F.concat(F.lit("ENDEREÇO: "), v))))).otherwise(_found([]))
             each = []
             for i, (f, q) in groups.items():
                 v = trimmed(_group(text, grid, i))
                 v = F.regexp_replace(v, "[&Q]", "@") if f == "buyer.email" else v
+                v = F.regexp_replace(v, r"\s+", "") if f == "buyer.phone" and grid.startswith(r"TELEFONE:") else v
                 keep = v != trimmed(_group(text, grid, i - 1)) if f == "buyer.rg" else F.lit(True)
                 # A null value takes the field out.
                 each.append(_field(f, F.when(keep, v), F.when(keep, 90).otherwise(0), "Dados da reserva", F.concat(F.lit(q), v)))

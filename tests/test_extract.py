@@ -76,3 +76,17 @@ def test_small_parts(spark):
     assert one(extract.label_value(t("Bairro: Centro\nCIDADE\n\nFortaleza."), ["CIDADE"])) == "Fortaleza" and one(extract.label_value(t("x"), ["CIDADE"])) == ""
     assert one(extract.composition_line(t("a B.4.1 nada\nb B.4.1 x R$ 12,50 y"), "B.4.1")["value"]) == "R$ 12,50"
     assert one(extract.between(t("xx INI abc FIM INI"), "INI", "FIM")) == "abc"
+
+
+def test_columns_of_a_reservation(spark):
+    """Headings of several columns above their values: what a later grid says counts, and an address is made of two grids."""
+    civil = "ESTADO CIVIL: PROFISSÃO: LOGRADOURO: END:\nCASADO(A) ENGENHEIRO RUA RUA DAS FLORES 12\n"
+    contact = "TELEFONE: TELEFONE 2: E-MAIL: OUTRO\n+55 85999998888 8533332222 ANA.SOUZA&MAIL.COM\n"
+    place = "CIDADE ESTADO BAIRRO: CEP:\nFORTALEZA CE CENTRO 60000-123\n"
+    got = read(spark, "DADOS_RESERVA", civil + contact + place)
+    assert got["buyer.maritalStatus"] == ("CASADO(A)", 90) and got["buyer.address"] == ("RUA DAS FLORES 12, CENTRO, FORTALEZA, CE, 60000-123", 90)
+    assert got["buyer.email"] == ("ANA.SOUZA@MAIL.COM", 90) and got["buyer.phone"] == ("+5585999998888", 90)
+    assert read(spark, "DADOS_RESERVA", place)["buyer.address"][0].endswith("CENTRO, FORTALEZA, CE, 60000-123")
+    grid = read(spark, "DADOS_RESERVA", "NASCIMENTO ESTADO CIVIL PROFISSÃO ENDEREÇO\n01/02/1980 Divorciada — AVENIDA Beira Mar 100\n")
+    assert grid["buyer.maritalStatus"] == ("Divorciada", 90) and grid["buyer.address"] == ("Beira Mar 100", 90)
+
