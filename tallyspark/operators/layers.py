@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import catalog
 from tallyspark.functions import normalize as n
-from tallyspark.operators import evidence, extract
+from tallyspark.operators import evidence, extract, reconcile
 
 KEYS = ["process_id", "source", "doc_ord"]
+SAYS = ("says_identity", "says_unit", "payment_table", "summary_table", "says_fgts", "says_subsidy")
 RESERVATION = "DADOS_RESERVA"
 #: The readings in the order in which the earlier of two equal ones counts: of texts, and of a reservation's images.
 TEXT_LAYERS = ("DETERMINISTIC", "PROVIDER", "RECOVERY")
@@ -37,8 +38,8 @@ SUMMARY_TABLE = r"(?iu)valor\s+avalia[cç][aã]o|valor\s+aprovado|valor\s+subs[i
 
 def _rows_of(docs: DataFrame, readings: DataFrame, catalogue: dict | None, sources: list[str] | None) -> DataFrame:
     """A row for each reading of a field, and one at least for each document, with what its text says of itself."""
-    text = F.coalesce("text", F.lit(""))
-    says = {"says_identity": text.rlike(IDENTITY_WORDS), "says_unit": text.rlike(UNIT_WORDS), "payment_table": text.rlike(PAYMENT_TABLE), "summary_table": text.rlike(SUMMARY_TABLE)}
+    text, plain = F.coalesce("text", F.lit("")), n.text("text")
+    says = {"says_identity": text.rlike(IDENTITY_WORDS), "says_unit": text.rlike(UNIT_WORDS), "payment_table": text.rlike(PAYMENT_TABLE), "summary_table": text.rlike(SUMMARY_TABLE), "says_fgts": plain.rlike(r"\bFGTS\b"), "says_subsidy": plain.rlike(r"\bSUBSIDIO\b|\bDESCONTO\b")}
     read = extract.extracted(docs, catalogue, sources).withColumns(says)
     mine = read.select(*KEYS, F.coalesce("failed", F.lit(False)).alias("failed"), *says, F.posexplode_outer("fields").alias("nth", "f")).select(
         *KEYS, "failed", *says, "nth", F.lit("DETERMINISTIC").alias("layer"), "f.field_id", F.lit(None).cast("string").alias("participant_id"), "f.value", F.col("f.confidence").cast("int").alias("confidence"), "f.raw"
@@ -60,7 +61,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     rank = F.when(image, reservation_order).otherwise(order).cast("int")
     filled = F.coalesce(F.trim("value"), F.lit("")) != ""
     row = F.struct((-evidence.reservation_score("field_id", "value", "confidence", "raw")).alias("cost"), rank.alias("rank"), "nth", "layer", "field_id", "participant_id", "value", "confidence", "raw")
-    flags = ("failed", "says_identity", "says_unit", "payment_table", "summary_table")
+    flags = ("failed", *SAYS)
     return both.groupBy(*KEYS).agg(F.collect_list(F.when(filled & (rank > 0), row)).alias("rows"), *[F.bool_or(c).alias(c) for c in flags])
 
 
@@ -93,7 +94,40 @@ def recovery_groups(available: Column, says_identity: Column, says_unit: Column,
     return F.when(any_said, pick(said)).when(any_has, pick(has)).otherwise(lit(["identity", "payment", "unit"]))
 
 
-def _reservation_plan(rows: Column, says_identity: Column, says_unit: Column, payment_table: Column, summary_table: Column) -> Column:
+def composed(chosen: Column, says_fgts: Column, says_subsidy: Column) -> Column:
+    """A reservation's rows with its own resources as what its parts leave of the total, unless they are told by themselves.
+
+    A signal alone isn't them. They are taken out where they can't be derived
+    safely: without a total or financing, with a doubtful part, or with one that
+    the text mentions and nobody could read; and left where they would be below 0.
+    """
+    own, parts = "financial.downPayment", ("financial.totalValue", "financial.financing", "financial.fgts", "financial.subsidy")
+
+    def of(rows):
+        row = lambda f: F.get(F.filter(rows, lambda r: r["field_id"] == f), F.lit(0))
+        # What tells own resources, and the wording of what was calculated.
+        said = F.coalesce(row(own)["raw"], F.lit(""))
+        explicit = row(own).isNotNull() & said.rlike(r"(?iu)recursos\s+pr[oó]prios|entrada\s+total") & ~said.rlike(r"(?i)\bsinal\b")
+        low = F.exists(rows, lambda r: r["field_id"].isin(*parts) & (r["confidence"] < catalog.LOW_CRITICAL))
+        total, financing, fgts, subsidy = (n.money_decimal(row(f)["value"]) for f in parts)
+        zero = F.lit(0).cast("decimal(28,2)")
+        left = total - financing - F.coalesce(fgts, zero) - F.coalesce(subsidy, zero)
+        unsafe = total.isNull() | financing.isNull() | low | (says_fgts & row(parts[2]).isNull()) | (says_subsidy & row(parts[3]).isNull())
+        rest = F.filter(rows, lambda r: r["field_id"] != own)
+
+        def calculated(amount):
+            shown = reconcile.money_text(amount)
+            labels = ("Valor do contrato: ", "Financiamento: ", "FGTS: ", "Subsídio: ")
+            raw = F.concat_ws(" | ", *[F.concat(F.lit(label), row(f)["value"]) for label, f in zip(labels, parts, strict=True)], F.concat(F.lit("Recursos próprios calculados: "), shown))
+            new = row(parts[0]).withField("layer", F.lit("CALCULATED")).withField("field_id", F.lit(own)).withField("value", shown).withField("confidence", F.lit(88)).withField("raw", raw)
+            return F.when(amount < 0, rows).otherwise(F.concat(rest, F.array(new)))
+
+        return F.when(explicit, rows).when(unsafe, rest).otherwise(n.let(left, calculated))
+
+    return n.let(chosen, of)
+
+
+def _reservation_plan(rows: Column, says_identity: Column, says_unit: Column, payment_table: Column, summary_table: Column, says_fgts: Column, says_subsidy: Column) -> Column:
     """(asked, recovered, reread, chosen) of a reservation's image: the groups asked for, the fields that only rereading gave, the readings that were made again, and of each field the reading of the highest score."""
     sure = lambda f: F.exists(_of(rows, "FOCUSED"), lambda r: (r["field_id"] == f) & (r["confidence"] >= catalog.RELIABLE) & (F.coalesce(r["raw"], F.lit("")) != ""))
     total = sure("financial.totalValue")
@@ -117,7 +151,7 @@ def _reservation_plan(rows: Column, says_identity: Column, says_unit: Column, pa
         seen = F.concat(first, F.filter(rows, lambda r: F.array_contains(reread, r["layer"])))
         chosen = F.transform(F.array_sort(_ids(seen)), lambda f: F.array_min(F.filter(seen, lambda r: r["field_id"] == f)))
         got = F.array_intersect(F.array_except(_ids(seen), _ids(first)), F.flatten(F.array(*[F.array(*map(F.lit, names)) for names in GROUPS.values()])))
-        return F.struct(asked.alias("asked"), got.alias("recovered"), reread.alias("reread"), chosen.alias("chosen"))
+        return F.struct(asked.alias("asked"), got.alias("recovered"), reread.alias("reread"), composed(chosen, says_fgts, says_subsidy).alias("chosen"))
 
     return n.let(asked, directed)
 
@@ -133,7 +167,7 @@ def layered(docs: DataFrame, readings: DataFrame, catalogue: dict | None = None,
     """
     critical = F.coalesce(F.try_element_at(catalog.constant_map({s: names.split() for s, names in catalog.CRITICAL.items()}), F.col("source")), F.array().cast("array<string>"))
     packed = _packed(_rows_of(docs, readings, catalogue, sources))
-    plan = F.when(F.col("source") == RESERVATION, _reservation_plan(F.col("rows"), F.col("says_identity"), F.col("says_unit"), F.col("payment_table"), F.col("summary_table"))).otherwise(_text_plan(F.col("rows"), critical, F.col("failed")))
+    plan = F.when(F.col("source") == RESERVATION, _reservation_plan(F.col("rows"), *map(F.col, SAYS))).otherwise(_text_plan(F.col("rows"), critical, F.col("failed")))
     lists = lambda c: F.array_sort(f"p.{c}").alias(c)
     planned = packed.withColumn("p", plan).withColumn("deterministic", F.array_sort(_ids(_of(F.col("rows"), "DETERMINISTIC"))))
     return planned.select(*KEYS, "deterministic", lists("asked"), lists("recovered"), "p.reread", "p.chosen")

@@ -287,7 +287,7 @@ def phone_gap(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(None)).when(F.substring(a, 1, 2) != F.substring(b, 1, 2), "DDD").otherwise(first_difference(a, b).cast("string"))
 
 
-def _money_text(v: Column) -> Column:
+def money_text(v: Column) -> Column:
     """As amounts are shown: R$ 1.234,56."""
     return F.concat(F.lit("R$\u00a0"), F.translate(F.format_number(v.cast("decimal(20,2)"), 2), ",.", ".,"))
 
@@ -307,7 +307,7 @@ def divergence(kind: Column, x: Column, y: Column, a: Column, b: Column) -> Colu
     name = F.upper(kind)
     document = F.when(at == 0, say(name, " diverge no formato informado: imagem ", x, ", documento ", y, ".")).otherwise(say(name, " diverge na posição ", at.cast("string"), ": imagem mostra ", tail(x), ", documento mostra ", tail(y), "."))
     numbers = a.try_cast("decimal(20,2)").isNotNull() & b.try_cast("decimal(20,2)").isNotNull()
-    money = n.let(money_gap(a, b), lambda g: F.when(numbers, say("Valor diverge em ", _money_text(g["gap"]), " (", _percent_text(g["percent"]), " ", g["direction"], "): imagem ", x, ", documento ", y, ".")).otherwise(both("Valor monetário diverge")))
+    money = n.let(money_gap(a, b), lambda g: F.when(numbers, say("Valor diverge em ", money_text(g["gap"]), " (", _percent_text(g["percent"]), " ", g["direction"], "): imagem ", x, ", documento ", y, ".")).otherwise(both("Valor monetário diverge")))
     date = n.let(date_gap(a, b), lambda g: F.when(g.isNotNull(), say("Data diverge em ", g, ": imagem ", x, ", documento ", y, ".")).otherwise(both("Data diverge")))
     part = lambda v, i: F.coalesce(F.get(F.split(v, "@"), F.lit(i)), F.lit(""))
     named = lambda v: F.coalesce(F.nullif(part(v, 1), F.lit("")), F.lit("sem domínio"))

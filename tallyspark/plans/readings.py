@@ -76,7 +76,7 @@ def history_indexed(spark, sf_dir):
 
 # The helpers of this SQL (text, development) are those of the other registered queries.
 def sql() -> dict[str, str]:
-    from tallyspark.plans.oracle import _KW, development, text
+    from tallyspark.plans.oracle import _KW, _MONEY, development, text
 
     first = "SELECT c_custkey AS doc_id, how, 0 AS nth, 'buyer.name' AS field_id, c_name AS value, CAST(c_custkey % 100 AS DOUBLE) AS confidence"
     forms = "(SELECT *, ['WHOLE', 'WHOLE', 'OBJECT', 'LIST', 'WHOLE', 'SCANNED', 'SALVAGED', NULL][c_custkey % 8 + 1] AS how FROM customer)"
@@ -122,7 +122,7 @@ def sql() -> dict[str, str]:
             of("k % 3 = 0 AND NOT failed", "PROVIDER", "contract.number", "'P ' || k"), of("k % 2 = 0 AND NOT failed", "PROVIDER", "buyer.name", "c_name"), of("list_contains(recovered, 'buyer.name')", "RECOVERY", "buyer.name", "'R ' || c_name"),
             of("list_contains(recovered, 'buyer.cpf')", "RECOVERY", "buyer.cpf", "'000.000.0' || k"), of("list_contains(recovered, 'contract.agencyCode')", "RECOVERY", "contract.agencyCode", "'R' || k"),
             some("fn", "FOCUSED", "buyer.name", "c_name"), some("ft AND NOT rp", "FOCUSED", "financial.totalValue", "'R$ 5' || k || ',00'"), some("rp", "PAYMENT", "financial.totalValue", "'R$ 6' || k || ',00'"), some("ff", "FOCUSED", "financial.financing", "'R$ 4' || k || ',00'"),
-            some("ri", "IDENTITY", "buyer.cpf", "'000.000.0' || k"), some("ru", "UNIT", "property.unit", "'10' || k"), some("ru", "UNIT", "property.registration", "'77' || k"), some("ru", "UNIT", "property.development", "'Vila Sol'"), some("rg", "GENERIC", "property.tower", "'Torre Norte'"),
+            some("ri", "IDENTITY", "buyer.cpf", "'000.000.0' || k"), some("ff AND (ft OR rp)", "CALCULATED", "financial.downPayment", _MONEY("CAST(CASE WHEN rp THEN '6' ELSE '5' END || k AS BIGINT) - CAST('4' || k AS BIGINT)")), some("ru", "UNIT", "property.unit", "'10' || k"), some("ru", "UNIT", "property.registration", "'77' || k"), some("ru", "UNIT", "property.development", "'Vila Sol'"), some("rg", "GENERIC", "property.tower", "'Torre Norte'"),
         ]),
         "replies_read": f"""{first} FROM {forms} AS x WHERE how IS NOT NULL UNION ALL SELECT c_custkey, how, 1, 'buyer.address', '{{' || c_mktsegment || '}}', c_custkey % 50 + 0.5 FROM {forms} AS x WHERE how <> 'SALVAGED'
             UNION ALL SELECT c_custkey, how, NULL, NULL, NULL, NULL FROM {forms} AS x WHERE how IS NULL""",

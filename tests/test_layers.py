@@ -59,7 +59,7 @@ def test_the_generic_reading_is_the_last_resort(spark):
     again = [("PAYMENT", "financial.totalValue", "R$ 9,00", 99, "valor do contrato R$ 9,00"), ("PAYMENT", "financial.financing", "R$ 3,00", 80, "financiamento R$ 3,00"), ("GENERIC", "buyer.name", "Eva Lima", 99, "Eva Lima"), ("UNIT", "property.unit", "302", 99, "unidade 302")]
     _, asked, recovered, reread, chosen = one(run(spark, "DADOS_RESERVA", "sinal", [TOTAL, *again]))
     assert (asked, recovered, reread) == (["payment"], ["financial.financing"], ["PAYMENT"])
-    assert chosen == {"financial.totalValue": ("PAYMENT", "R$ 9,00"), "financial.financing": ("PAYMENT", "R$ 3,00")}  # 174 points before 160
+    assert chosen == {"financial.totalValue": ("PAYMENT", "R$ 9,00"), "financial.financing": ("PAYMENT", "R$ 3,00"), "financial.downPayment": ("CALCULATED", "R$\xa06,00")}  # 174 points before 160
     # A value that its text doesn't hold is no reading.
     assert one(run(spark, "DADOS_RESERVA", "sinal", [TOTAL, ("PAYMENT", "financial.totalValue", "R$ 9,00", 99, "nada")]))[4] == {"financial.totalValue": ("FOCUSED", "R$ 5,00")}
 
@@ -75,3 +75,22 @@ def test_from_texts_to_consolidated_fields(spark):
 
 def test_empty(spark):
     assert layers.layered(spark.createDataFrame([], DOCS), spark.createDataFrame([], READINGS), sources=["MINUTA"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "more", "own"),
+    [
+        ("", [], "R$\xa072.346,53"), ("", [("FOCUSED", "financial.downPayment", "R$ 500,00", 98, "entrada: sinal 1 R$ 500,00")], "R$\xa072.346,53"), ("subsídio", [("FOCUSED", "financial.downPayment", "R$ 500,00", 98, "entrada: sinal 1 R$ 500,00")], None), ("desconto de FGTS", [], None),
+        ("FGTS", [("FOCUSED", "financial.fgts", "R$ 46,53", 90, "FGTS R$ 46,53")], "R$\xa072.300,00"), ("", [("FOCUSED", "financial.fgts", "R$ 46,53", 74, "FGTS R$ 46,53")], None), ("", [("FOCUSED", "financial.downPayment", "R$ 1,00", 90, "recursos próprios R$ 1,00")], "R$ 1,00"),
+        ("", [("FOCUSED", "financial.subsidy", "R$ 99.000,00", 90, "subsídio R$ 99.000,00")], None),
+    ],
+)
+def test_own_resources(spark, text, more, own):
+    """What the parts leave of the total: calculated, told by itself, or not safe to say."""
+    two = [("FOCUSED", "financial.totalValue", "R$ 261.946,53", 98, "valor total R$ 261.946,53"), ("FOCUSED", "financial.financing", "R$ 189.600,00", 98, "financiamento R$ 189.600,00")]
+    found = run(spark, "DADOS_RESERVA", text, [*two, *more]).first()
+    rows = {r.field_id: r for r in found.chosen}
+    assert (rows["financial.downPayment"].value if "financial.downPayment" in rows else None) == own
+    if own == "R$\xa072.300,00":
+        assert rows["financial.downPayment"].layer == "CALCULATED" and rows["financial.downPayment"].raw == "Valor do contrato: R$ 261.946,53 | Financiamento: R$ 189.600,00 | FGTS: R$ 46,53 | Recursos próprios calculados: R$\xa072.300,00"
+
