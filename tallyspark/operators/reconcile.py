@@ -164,11 +164,14 @@ def reconcile(evidence: DataFrame, context: DataFrame, fields: list[str] | None
         "zero": optional & zero(F.filter("rows", lambda r: (F.size(asked) == 0) | F.array_contains(asked, r["source"]))),
     })
     # Equal by a rule: all values with words left agree, though they were written in different ways.
-    worded = F.filter("filled", lambda r: r["norm"] != "")
-    plains = F.array_distinct(F.filter(F.transform("filled", lambda r: n.text(r["value"])), lambda v: v != ""))
-    kind = F.try_element_at(catalog.constant_map(RULE_KINDS), F.col("field_id"))
-    alias = kind.isNotNull() & (F.size(worded) >= 2) & (F.size(F.array_distinct(F.transform(worded, lambda r: r["norm"]))) == 1) & (F.size(plains) > 1)
-    each = each.withColumn("signature", F.when(alias & (F.size("groups") > 1), F.array_join(F.array_sort(plains), " || "))).withColumn("rule_kind", F.when(F.col("signature").isNotNull(), kind))
+    signature = kind = F.lit(None).cast("string")
+    if any(f[0] in RULE_KINDS for f in chosen):
+        worded = F.filter("filled", lambda r: r["norm"] != "")
+        plains = F.array_distinct(F.filter(F.transform("filled", lambda r: n.text(r["value"])), lambda v: v != ""))
+        kind = F.try_element_at(catalog.constant_map(RULE_KINDS), F.col("field_id"))
+        alias = kind.isNotNull() & (F.size("groups") > 1) & (F.size(worded) >= 2) & (F.size(F.array_distinct(F.transform(worded, lambda r: r["norm"]))) == 1) & (F.size(plains) > 1)
+        signature = F.when(alias, F.array_join(F.array_sort(plains), " || "))
+    each = each.withColumn("signature", signature).withColumn("rule_kind", F.when(F.col("signature").isNotNull(), kind))
     small = F.forall("groups", lambda a: F.forall("groups", lambda b: (a["value"] >= b["value"]) | similar(a["value"], b["value"])))
     rung = (
         F.when(F.size("conflicting") > 0, 1).when(F.size("issued") > 0, 2).when(F.size("unread") > 0, 3).when((F.size("filled") < 2) & F.col("zero"), 40).when(F.size("filled") < 2, 4)
