@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the compared values know it: ASCII, no-break and typographic spaces.
@@ -49,6 +49,17 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
+def opened(df: DataFrame, items: Column, name: str, *keys: str) -> DataFrame:
+    """(keys, name): a row for each of a row's items, none of which is null. (explode alone makes the optimizer ask beforehand whether there are any, and that evaluates the items two times more.)"""
+    return df.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def settled(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all columns but the keys evaluated once, before filters: one on a derived column would go below the steps that derive it and take a copy of all of them along."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(*keys, F.explode_outer(F.array(F.struct(*rest))).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
 def _is_ascii(v: Column) -> Column:
     return F.octet_length(v) == F.char_length(v)
 

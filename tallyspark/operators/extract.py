@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import normalize as n
 from tallyspark.functions import patterns as p
-from tallyspark.functions.normalize import let
+from tallyspark.functions.normalize import let, opened
 
 FIELD = "struct<field_id:string,value:string,confidence:int,section:string,raw:string>"
 
@@ -387,4 +387,4 @@ def extracted(docs: DataFrame, catalogue: dict | None = None, sources: list[str]
 
 def extracted_rows(docs: DataFrame, *keys: str, catalogue: dict | None = None, sources: list[str] | None = None) -> DataFrame:
     """(keys, source, field_id, value, confidence, section, raw): a row for each field of extracted()."""
-    return extracted(docs, catalogue, sources).select(*keys, "source", F.explode("fields").alias("f")).select(*keys, "source", "f.*")
+    return opened(extracted(docs, catalogue, sources), F.col("fields"), "f", *keys, "source").select(*keys, "source", "f.*")

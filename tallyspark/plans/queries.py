@@ -655,7 +655,7 @@ def legacy_observations(spark, sf_dir):
 def _customer_texts(spark, sf_dir, source: str, template: list[str]) -> DataFrame:
     """A text for each customer, whose number stands where # does."""
     text = F.replace(F.lit("\n".join(template)), F.lit("#"), F.col("c_custkey").cast("string"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.lit(source).alias("source"), text.alias("text"))
+    return storage.spread(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.lit(source).alias("source"), text.alias("text"))
 
 
 def _read_fields(docs: DataFrame, source: str) -> DataFrame:
@@ -688,12 +688,12 @@ def extract_declaration(spark, sf_dir):
 
 
 def deed_units(spark, sf_dir):
-    rows = _customer_texts(spark, sf_dir, "MATRICULA", DEED).select("c_custkey", F.explode(deeds.prose_units(F.col("text"))).alias("u"))
+    rows = n.opened(_customer_texts(spark, sf_dir, "MATRICULA", DEED), deeds.prose_units(F.col("text")), "u", "c_custkey")
     return rows.select("c_custkey", "u.private_area", "u.total_area", "u.ideal_fraction", "u.iptu", "u.typology", "u.confidence", F.array_join(F.col("u.pages").cast("array<string>"), ",").alias("pages"))
 
 
 def deed_table_units(spark, sf_dir):
-    return _customer_texts(spark, sf_dir, "MATRICULA", DEED_TABLE).select("c_custkey", F.explode(deeds.table_units(F.col("text"))).alias("u")).select("c_custkey", "u.*")
+    return n.opened(_customer_texts(spark, sf_dir, "MATRICULA", DEED_TABLE), deeds.table_units(F.col("text")), "u", "c_custkey").select("c_custkey", "u.*")
 
 
 def deed_development(spark, sf_dir):

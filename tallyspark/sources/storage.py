@@ -42,6 +42,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key over the session's shuffle partitions, for work on each row that costs much more than moving it. A small table lies in one file, often in one row group, which one task reads; its rows are then read as texts, or multiplied, by that task alone."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     path = new_path(df.sparkSession, name)
