@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.sources.storage import spread
+
 #: Fixed point in time of operational queries.
 NOW = "2024-01-31 00:00:00"
 
@@ -233,10 +235,28 @@ WHERE o.ord <> 2 OR c_custkey % 2 = 0
 """
 
 
+#: Orders with their customers, where a mapping says so.
+_ORDERS_JOINED = "{orders} JOIN {customer} ON o_custkey = c_custkey"
+#: Mappings that make many rows of a customer or an order, or long ones.
+MULTIPLIED = (EVIDENCE, WIDE_EVIDENCE, PARTICIPATION, MARKS, NAMES, REPLIES, LAYER_DOCS, LAYER_READINGS, METHODS, CANDIDATES, HISTORY, OUTPUT)
+
+
 def read(spark: SparkSession, sf_dir: str, mapping: str) -> DataFrame:
-    """A canonical table: the mapping over the Parquet tables it names."""
-    names = [n for n in ("orders", "customer", "nation", "lineitem", "events", "labels", "part", "supplier") if "{" + n + "}" in mapping]
-    return spark.sql(mapping, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    """A canonical table: the mapping over the Parquet tables it names.
+
+    Where it makes many rows of one, customers, or orders with their customers,
+    are dealt out by their key before. So all tasks make rows, and what is made
+    lies by process: what groups or joins it by process moves none of it.
+    """
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    given = {}
+    if mapping in MULTIPLIED and _ORDERS_JOINED in mapping:
+        both = spark.sql(f"SELECT * FROM {_ORDERS_JOINED}", orders=table("orders"), customer=table("customer"))
+        mapping, given["joined"] = mapping.replace(_ORDERS_JOINED, "{joined}"), spread(both, "o_orderkey")
+    elif mapping in MULTIPLIED:
+        given["customer"] = spread(table("customer"), "c_custkey")
+    names = [n for n in ("orders", "customer", "nation", "lineitem", "events", "labels", "part", "supplier") if "{" + n + "}" in mapping and n not in given]
+    return spark.sql(mapping, **given, **{n: table(n) for n in names})
 
 
 def duck(mapping: str) -> str:
