@@ -23,15 +23,18 @@ def conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def holds_value(value: Column, raw: Column, kind: Column) -> Column:
     """Whether a raw text holds the value, judged by its type: digits, equal numbers, the address, or three fifths of its words."""
-    normal = n.value(value, kind)
     numbers = F.transform(F.regexp_extract_all(raw, F.lit(r"[0-9][0-9.,]*"), F.lit(0)), lambda x: x)
-    words = F.filter(F.split(normal, " "), lambda t: F.length(t) > 2)
-    found = F.filter(words, lambda t: F.contains(n.value(raw, kind), t))
-    return F.when(normal == "", False).when(kind.isin(*n.DIGIT_TYPES), F.contains(n.digits(raw), normal)).when(
-        kind == "valor_monetario", F.exists(numbers, lambda x: n.money(x) == normal)
-    ).when(kind == "area", F.exists(numbers, lambda x: n.area(x) == normal)).when(kind == "email", F.contains(F.lower(raw), normal)).otherwise(
-        (F.size(words) > 0) & (F.size(found) / F.greatest(F.size(words), F.lit(1)) >= 0.6)
-    )
+
+    def held(normal):
+        words = F.filter(F.split(normal, " "), lambda t: F.length(t) > 2)
+        enough = lambda words, text: (F.size(words) > 0) & (F.size(F.filter(words, lambda t: F.contains(text, t))) / F.greatest(F.size(words), F.lit(1)) >= 0.6)
+        return F.when(normal == "", False).when(kind.isin(*n.DIGIT_TYPES), F.contains(n.digits(raw), normal)).when(
+            kind == "valor_monetario", F.exists(numbers, lambda x: n.money(x) == normal)
+        ).when(kind == "area", F.exists(numbers, lambda x: n.area(x) == normal)).when(kind == "email", F.contains(F.lower(raw), normal)).otherwise(
+            n.let(F.struct(words.alias("words"), n.value(raw, kind).alias("text")), lambda s: enough(s["words"], s["text"]))
+        )
+
+    return n.let(n.value(value, kind), held)
 
 
 def quality(rows: DataFrame, participating: DataFrame, conflicted: DataFrame, issues: DataFrame) -> DataFrame:
@@ -125,7 +128,8 @@ def verified(rows: DataFrame) -> DataFrame:
     labelled = F.when(F.col("source") == "MINUTA", labelled).otherwise(True)
     filled = F.coalesce(F.trim("value"), F.lit("")) != ""
     issue = wanted & filled & ((raw == "") | ~holds_value(F.col("value"), raw, F.col("field_type")) | ~labelled)
-    marked = rows.withColumn("issue", issue)
+    # Held by explode, so that a filter on what is taken out doesn't judge each row once more.
+    marked = rows.drop("issue").select("*", F.explode_outer(F.array(issue)).alias("issue"))
     return marked.withColumns({"value": F.when(~F.col("issue"), F.col("value")), "confidence": F.when(F.col("issue"), 0).otherwise(F.col("confidence")), "raw": F.when(~F.col("issue"), F.col("raw"))})
 
 
@@ -149,17 +153,20 @@ def consolidate(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def recovered(initial: DataFrame, recovery: DataFrame, keys: list[str], prefer_recovery: bool = False) -> DataFrame:
     """A field's values after a second reading: the first reading's where it has one, else the second's; the other way round where prefer_recovery is set. (keys and field_id, value, confidence; a field's rows come as a whole from one reading.)"""
     both = initial.withColumn("reading", F.lit(0)).unionByName(recovery.withColumn("reading", F.lit(1)))
-    has = both.groupBy(*keys, "field_id").agg(F.coalesce(F.max(F.when(F.col("reading") == 0, F.trim("value") != "")), F.lit(False)).alias("first"), F.coalesce(F.max(F.when(F.col("reading") == 1, F.trim("value") != "")), F.lit(False)).alias("second"), F.max("reading").alias("last"))
-    by_need = F.when(F.col("first"), 0).otherwise(F.col("last"))
-    chosen = F.when(F.col("second"), 1).otherwise(by_need) if prefer_recovery else by_need
-    return both.join(has.select(*keys, "field_id", chosen.alias("reading")), [*keys, "field_id", "reading"]).drop("reading")
+    of = Window.partitionBy(*keys, "field_id")
+    has = lambda reading: F.coalesce(F.max(F.when(F.col("reading") == reading, F.trim("value") != "")).over(of), F.lit(False))
+    by_need = F.when(has(0), 0).otherwise(F.max("reading").over(of))
+    chosen = F.when(has(1), 1).otherwise(by_need) if prefer_recovery else by_need
+    named = both.where(F.forall(F.array(*[F.col(c).isNotNull() for c in (*keys, "field_id")]), lambda x: x))
+    return named.withColumn("_chosen", chosen).where("reading = _chosen").drop("reading", "_chosen")
 
 
 def missing_critical(rows: DataFrame) -> DataFrame:
     """(process_id, source, field_id): critical fields without a value, of sources that gave any row."""
-    filled = rows.where(F.coalesce(F.trim("value"), F.lit("")) != "").select("process_id", "source", "field_id")
-    wanted = rows.select("process_id", "source").distinct().withColumn("field_id", F.explode(F.try_element_at(catalog.constant_map({s: names.split() for s, names in catalog.CRITICAL.items()}), F.col("source"))))
-    return wanted.join(filled, ["process_id", "source", "field_id"], "left_anti")
+    critical = F.try_element_at(catalog.constant_map({s: names.split() for s, names in catalog.CRITICAL.items()}), F.col("source"))
+    filled = F.coalesce(F.trim("value"), F.lit("")) != ""
+    per = rows.groupBy("process_id", "source").agg(F.collect_set(F.when(filled & F.array_contains(critical, F.col("field_id")), F.col("field_id"))).alias("have"))
+    return n.opened(per, F.array_except(critical, "have"), "field_id", "process_id", "source")
 
 
 def coerced(rows: DataFrame) -> DataFrame:
