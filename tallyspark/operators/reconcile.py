@@ -239,10 +239,13 @@ def summary(verdicts: DataFrame, *keys: str) -> DataFrame:
 def missing_by_source(verdicts: DataFrame, context: DataFrame) -> DataFrame:
     """(source, missing, unreadable) of each participating source: observations that name it as missing (the first one of a list), and unreadable verdicts that hold a value row of it."""
     seen = context.select("process_id", F.explode("participating").alias("source"))
-    named = F.explode(F.array_compact(F.array(*[F.when(F.contains("observation", F.lit(f"não encontrado na fonte {label}")), F.lit(s)) for s, label in catalog.SOURCES.items()])))
-    missing = verdicts.select("process_id", named.alias("source")).groupBy("process_id", "source").agg(F.count("*").alias("missing"))
-    unread = verdicts.where("status = 'SOURCE_UNREADABLE'").select("process_id", F.explode(_sources(F.col("rows"))).alias("source")).groupBy("process_id", "source").agg(F.count("*").alias("unreadable"))
-    both = seen.join(missing, ["process_id", "source"], "left").join(unread, ["process_id", "source"], "left")
+    named = F.array_compact(F.array(*[F.when(F.contains("observation", F.lit(f"não encontrado na fonte {label}")), F.lit(s)) for s, label in catalog.SOURCES.items()]))
+    # Both are counted in one reading of the verdicts: a verdict gives an entry for each source that it names, and for each that it couldn't read.
+    entry = lambda sources, missing, unreadable: F.transform(sources, lambda s: F.struct(s.alias("source"), F.lit(missing).alias("missing"), F.lit(unreadable).alias("unreadable")))
+    unread = F.when(F.col("status") == "SOURCE_UNREADABLE", _sources(F.col("rows"))).otherwise(F.array().cast("array<string>"))
+    each = n.opened(verdicts, F.concat(entry(named, 1, 0), entry(unread, 0, 1)), "e", "process_id").select("process_id", "e.*")
+    found = each.groupBy("process_id", "source").agg(F.sum("missing").alias("missing"), F.sum("unreadable").alias("unreadable"))
+    both = seen.join(found, ["process_id", "source"], "left")
     return both.groupBy("source").agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"), F.coalesce(F.sum("unreadable"), F.lit(0)).alias("unreadable"))
 
 
@@ -346,9 +349,12 @@ def validate(evidence: DataFrame, rows: list[tuple], left: str, right: str) -> D
     fields = F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(k).alias("field_type"), F.lit(r).alias("required")) for f, _, _, r, k, _ in rows])
     value = F.coalesce(F.trim("value"), F.lit(""))
     side = lambda s: F.max_by(F.struct(value.alias("value"), "confidence"), F.when(F.col("source") == s, F.struct(F.coalesce("participant_id", F.lit("")), "source_ord")))
-    held = evidence.where(F.col("source").isin(left, right)).groupBy("process_id", "field_id").agg(side(left).alias("l"), side(right).alias("r"))
-    every = evidence.select("process_id").distinct().select("process_id", F.explode(fields).alias("f")).select("process_id", "f.*")
-    both = every.join(held, ["process_id", "field_id"], "left")
+    listed = F.col("source").isin(left, right) & F.col("field_id").isin([f for f, *_ in rows])
+    # All by process: its sides are packed by field, and the checklist looks them up. Rows of others only say that there is the process.
+    each = evidence.repartition("process_id").select("process_id", F.when(listed, F.col("field_id")).alias("field_id"), "source", "source_ord", "participant_id", F.when(listed, F.col("value")).alias("value"), "confidence")
+    held = each.groupBy("process_id", "field_id").agg(side(left).alias("l"), side(right).alias("r"))
+    packed = held.groupBy("process_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("field_id").isNotNull(), F.struct("field_id", F.struct("l", "r").alias("sides"))))).alias("by_field"))
+    both = packed.select("process_id", "by_field", F.explode(fields).alias("f")).select("process_id", "f.*", F.try_element_at("by_field", F.col("f.field_id")).alias("sides")).select("process_id", "field_id", "field_type", "required", "sides.l", "sides.r")
     x, y = F.coalesce("l.value", F.lit("")), F.coalesce("r.value", F.lit(""))
     both = both.select("process_id", "field_id", "field_type", "required", x.alias("x"), y.alias("y"), n.value(x, F.col("field_type")).alias("a"), n.value(y, F.col("field_type")).alias("b"), F.least(F.coalesce("l.confidence", F.lit(0)), F.coalesce("r.confidence", F.lit(0))).alias("c"))
     status = (
@@ -373,7 +379,7 @@ def reviewed(verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
     """verdicts with approved and has_review: reviews are (process_id, field_id, status), one for each process and field (field::buyer where it repeats)."""
     key = F.when(F.col("participant_id").isNotNull(), F.concat_ws("::", "field_id", "participant_id")).otherwise(F.col("field_id"))
     of = reviews.select("process_id", F.col("field_id").alias("_key"), (F.col("status") == "APPROVED").alias("approved"), F.lit(True).alias("has_review"))
-    joined = verdicts.withColumn("_key", key).join(of, ["process_id", "_key"], "left").drop("_key")
+    joined = n.settled(verdicts, "process_id").withColumn("_key", key).join(of, ["process_id", "_key"], "left").drop("_key")
     return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("approved", "has_review")})
 
 
@@ -384,6 +390,8 @@ def filter_results(verdicts: DataFrame, reviews: DataFrame, status: str | None =
         each = each.where(F.contains("observation", F.lit("não encontrado na fonte")) & ~F.col("has_review"))
     elif status:
         each = each.where(F.when(F.col("approved"), "MATCH").otherwise(F.col("status")) == status)
+    if not query:
+        return each
     about = {r[0]: f"{r[1]} {r[2]}" for r in catalog.MINUTA + catalog.ITBI}
     text = F.concat_ws(" ", F.try_element_at(catalog.constant_map(about), F.col("field_id")), F.array_join(F.transform("rows", lambda r: r["value"]), " "), F.element_at(catalog.constant_map(STATUS), F.col("status")), "observation")
     return each.where(F.contains(F.lower(text), F.lit(query.lower())))
