@@ -176,7 +176,7 @@ def layered(docs: DataFrame, readings: DataFrame, catalogue: dict | None = None,
 def chosen_rows(found: DataFrame) -> DataFrame:
     """The rows of layered() that count, one each: (process_id, source, doc_ord, layer, field_id, participant_id, value, confidence, raw, field_type)."""
     kinds = catalog.constant_map({f: k for f, _, k, _, _ in catalog.fields()})
-    each = found.select(*KEYS, F.explode("chosen").alias("r")).select(*KEYS, "r.layer", "r.field_id", "r.participant_id", "r.value", "r.confidence", "r.raw")
+    each = n.opened(found, F.col("chosen"), "r", *KEYS).select(*KEYS, "r.layer", "r.field_id", "r.participant_id", "r.value", "r.confidence", "r.raw")
     return each.withColumn("field_type", F.coalesce(F.try_element_at(kinds, F.col("field_id")), F.lit("texto")))
 
 

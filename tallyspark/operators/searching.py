@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.normalize import opened
 from tallyspark.operators.textops import keyword
 
 GRAM, BUCKETS = 3, 64
@@ -33,7 +34,7 @@ def build(entries: DataFrame, key: str, path: str) -> None:
     texts = named.select("text_id", "text").distinct()
     texts.repartitionByRange("text_id").sortWithinPartitions("text_id").write.parquet(f"{path}/texts")
     stored = entries.sparkSession.read.parquet(f"{path}/texts")
-    postings = stored.where(F.length("text") >= GRAM).select("text_id", F.explode(_grams(F.col("text"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+    postings = opened(stored.where(F.length("text") >= GRAM), _grams(F.col("text")), "gram", "text_id").withColumn("bucket", _bucket(F.col("gram")))
     # Ranges of (bucket, gram, text) are even, however frequent a gram is; a bucket's files are sorted by gram.
     postings.repartitionByRange("bucket", "gram", "text_id").sortWithinPartitions("bucket", "gram", "text_id").write.partitionBy("bucket").parquet(f"{path}/postings")
 
