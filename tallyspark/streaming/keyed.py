@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -36,61 +37,105 @@ def keyed_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-class InOrder(StatefulProcessor):
-    """Events (ms, event_id, what) of a key, in order, once the watermark is past them.
+#: How many buckets keys are dealt to. A fixed value: what a checkpoint holds lies by bucket.
+BUCKETS = 4_096
+#: What waits of an event, before its key.
+EVENT = {"ms": "long", "event_id": "long", "what": "string"}
+
 
-    A subclass has MEMORY (the schema of what a key remembers), start() (of a new
-    key), step(key, memory, ms, what) and silent(key, memory, before), which
-    yield rows (nothing else is to come before that moment), and due(key, memory), the moment past which silent() wants to
-    hear of the time, or None where nothing is left to remember.
+class InOrder(StatefulProcessor):
+    """Events (ms, event_id, what) of keys, in order, once the watermark is past them.
+
+    A call of Python for state or a timer costs about as much as a thousand
+    events. So what Spark keeps state by is a bucket of keys: their events wait
+    together, a list of columns for each batch, and so does what is remembered
+    of them. The calls then grow with the buckets, not with the keys.
+
+    A subclass has MEMORY (fields of what a key remembers), TOLD (fields of its
+    rows, after the key's), start() (of a new key), step(key, memory, ms, what)
+    and silent(key, memory, before), which yield rows (nothing else is to come
+    before that moment), and due(key, memory), the moment past which silent()
+    wants to hear of the time, or None where nothing is left to remember.
     """
 
-    MEMORY = ""
+    MEMORY: dict[str, str] = {}
+    TOLD: dict[str, str] = {}
+
+    def __init__(self, key: dict[str, str]):
+        self.key = key
 
     def init(self, handle) -> None:
+        columns = lambda kinds: ", ".join(f"{name} array<{kind}>" for name, kind in kinds.items())
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, what string")
-        self.memory = handle.getValueState("memory", self.MEMORY)
+        self.waiting = handle.getListState("waiting", columns(EVENT | self.key))
+        self.memory = handle.getValueState("memory", columns(self.key | self.MEMORY))
+        self.heard = set()
 
     def handleInputRows(self, key, rows, timerValues):
-        passed = timerValues.getCurrentWatermarkInMs()
-        fresh = [(r.ms, r.event_id, r.what) for r in rows if r.ms > passed]
-        if fresh:
-            self.waiting.appendList(fresh)
-            self.handle.registerTimer(min(fresh)[0])
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for df in rows:
+            fresh = df[df["ms"] > passed]
+            if len(fresh):
+                self.waiting.appendValue(tuple(fresh[c].tolist() for c in EVENT | self.key))
+                least = int(fresh["ms"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted({tuple(r) for r in self.waiting.get()}) if self.waiting.exists() else []
-        now, later = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
-        memory = list(self.memory.get()) if self.memory.exists() else self.start()
-        for ms, _, what in now:
-            yield from self.step(key, memory, ms, what)
+        if key in self.heard:  # by an earlier timer of this batch
+            return
+        self.heard.add(key)
+        passed, wide = timerValues.getCurrentWatermarkInMs(), len(self.key)
+        memories = {r[:wide]: list(r[wide:]) for r in zip(*(self.memory.get() or ()))}
+        told, later = [], []
+        for r in sorted({r for batch in self.waiting.get() for r in zip(*batch)}):
+            if r[0] > passed:
+                later.append(r)
+                continue
+            of = r[3:]
+            if of not in memories:
+                memories[of] = self.start()
+            told += [of + x for x in self.step(of, memories[of], r[0], r[2])]
         # No event up to the watermark can come any more.
-        yield from self.silent(key, memory, passed + 1)
+        for of, memory in memories.items():
+            told += [of + x for x in self.silent(of, memory, passed + 1)]
+        due = {of: self.due(of, memory) for of, memory in memories.items()}
+        kept = [(*of, *memories[of]) for of, at in due.items() if at is not None]
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0])
+            self.waiting.put([tuple(map(list, zip(*later)))])
         else:
             self.waiting.clear()
-        due = self.due(key, memory)
-        if due is None:
-            self.memory.clear()
+        if kept:
+            self.memory.update(tuple(map(list, zip(*kept))))
         else:
-            self.memory.update(tuple(memory))
-            self.handle.registerTimer(due)
+            self.memory.clear()
+        times = [r[0] for r in later[:1]] + [at for at in due.values() if at is not None]
+        if times:
+            self.handle.registerTimer(min(times))
+        if told:
+            yield pd.DataFrame(told, columns=[*self.key, *self.TOLD])
 
     def close(self) -> None:
         pass
 
 
+def _in_buckets(rows: DataFrame, processor: InOrder) -> DataFrame:
+    """What the processor tells of rows (EVENT and its key, with a watermark)."""
+    fields = ", ".join(f"{name} {kind}" for name, kind in (processor.key | processor.TOLD).items())
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*processor.key), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=fields, outputMode="Append", timeMode="EventTime")
+
+
 class LookBack(InOrder):
     """Raises an alert when a key has so many events within so many minutes, and lets it lapse."""
 
-    MEMORY = "since long, n long, last array<long>"
+    MEMORY = {"since": "long", "n": "long", "last": "array<long>"}
+    TOLD = {"change": "string", "ms": "long", "n": "long"}
 
     def __init__(self, rules: dict[str, tuple[int, int]]):
+        super().__init__({"event_type": "string", "actor": "string"})
         self.rules = rules
 
     def start(self):
@@ -102,7 +147,7 @@ class LookBack(InOrder):
     def _lapse(self, key, memory, before: int):
         if memory[0] is not None and memory[2][0] + self._span(key) < before:
             memory[0] = None
-            yield Row(event_type=key[0], actor=key[1], change="LAPSED", ms=memory[2][0] + self._span(key), n=memory[1])
+            yield "LAPSED", memory[2][0] + self._span(key), memory[1]
 
     def step(self, key, memory, ms, what):
         yield from self._lapse(key, memory, ms)
@@ -112,7 +157,7 @@ class LookBack(InOrder):
             memory[1] = memory[1] + 1 if memory[0] is not None else least
             if memory[0] is None:
                 memory[0] = ms
-                yield Row(event_type=key[0], actor=key[1], change="RAISED", ms=ms, n=least)
+                yield "RAISED", ms, least
 
     def silent(self, key, memory, before):
         yield from self._lapse(key, memory, before)
@@ -124,7 +169,6 @@ class LookBack(InOrder):
 
 
 EVERY_RULE = ALERT_RULES | {RETENTION_FAILURE: (RETENTION_MINUTES, 1)}
-CHANGES = "event_type string, actor string, change string, ms long, n long"
 
 
 def _of_rules(log: DataFrame, rules: dict) -> DataFrame:
@@ -145,7 +189,7 @@ def lookback_alerts(log: DataFrame, rules: dict[str, tuple[int, int]] | None = N
     rules = rules or EVERY_RULE
     ship(log.sparkSession)
     rows = _of_rules(log, rules).withWatermark("created_at", late).withColumn("what", F.lit(""))
-    return rows.groupBy("event_type", "actor").transformWithState(statefulProcessor=LookBack(rules), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    return _in_buckets(rows, LookBack(rules))
 
 
 def lookback_changes(log: DataFrame, rules: dict[str, tuple[int, int]] | None = None) -> DataFrame:
@@ -179,22 +223,21 @@ HEARTBEAT = "HEARTBEAT"
 class Watch(InOrder):
     """Follows a process through its states and tells when it falls silent."""
 
-    MEMORY = "status string, last long, stale boolean"
+    MEMORY = {"status": "string", "last": "long", "stale": "boolean"}
+    TOLD = {"change": "string", "before": "string", "after": "string", "ms": "long"}
 
-    def __init__(self, seconds: int, remember_hours: int):
+    def __init__(self, kind: str, seconds: int, remember_hours: int):
+        super().__init__({"process_id": kind})
         self.silence, self.remember = seconds * 1000, remember_hours * 3_600_000
 
     def start(self):
         return ["", None, False]
 
-    def _row(self, key, change, before, after, ms):
-        return Row(process_id=key[0], change=change, before=before, after=after, ms=ms)
-
     def silent(self, key, memory, before):
         status, last, stale = memory
         if status in FOLLOWS and last is not None and not stale and last + self.silence < before:
             memory[2] = True
-            yield self._row(key, "STALE", status, status, last + self.silence)
+            yield "STALE", status, status, last + self.silence
         if last is not None and last + self.remember < before:
             memory[:] = self.start()
 
@@ -203,11 +246,11 @@ class Watch(InOrder):
         status, _, stale = memory
         beat = what == HEARTBEAT and status in FOLLOWS and status != ""
         if not (beat or what in FOLLOWS.get(status, ()) or stale and status in RESTARTS and what == RESTARTS[0]):
-            yield self._row(key, "REFUSED", status, what, ms)
+            yield "REFUSED", status, what, ms
             return
         after = status if beat else what
         if stale or not beat:
-            yield self._row(key, "RESUMED" if stale else "STEP", status, after, ms)
+            yield "RESUMED" if stale else "STEP", status, after, ms
         memory[:] = [after, ms, False]
 
     def due(self, key, memory):
@@ -230,7 +273,7 @@ def watched(events: DataFrame, seconds: int = STALE_SECONDS, late: str = "1 minu
         "process_id", F.coalesce(F.col("event_id").cast("long"), F.lit(-1)).alias("event_id"), F.col("at").cast("timestamp").alias("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("ms"), F.col("status").alias("what")
     ).withWatermark("at", late)
     kind = rows.schema["process_id"].dataType.simpleString()
-    return rows.groupBy("process_id").transformWithState(statefulProcessor=Watch(seconds, remember_hours), outputStructType=f"process_id {kind}, change string, before string, after string, ms long", outputMode="Append", timeMode="EventTime")
+    return _in_buckets(rows, Watch(kind, seconds, remember_hours))
 
 
 def run(stream: DataFrame, folder: str) -> DataFrame:

@@ -138,3 +138,49 @@ def test_processes_of_a_stream(spark, tmp_path):
     found = [tuple(r) for r in keyed.run(keyed.watched(stream(spark, STEPS, path), late="3 minutes"), folder).collect()]
     want = expected_watch(rows, 2**62)
     assert len(found) == len(set(found)) and set(found) == want and {r[1] for r in want} == {"STEP", "REFUSED", "STALE", "RESUMED"}
+
+
+def started(spark, rows, folder):
+    """Runs a stream until its source is read; the states that its batches left, as counted by Spark."""
+    with keyed.keyed_state(spark):
+        query = rows.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/table").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+
+
+def test_states_grow_with_buckets_not_with_processes(spark, tmp_path, monkeypatch):
+    """What Spark calls Python for is a bucket; the processes in it stay apart, between restarts too."""
+    monkeypatch.setattr(keyed, "BUCKETS", 3, raising=False)
+    rng, rows = random.Random(7), []
+    for p in range(600):
+        at, plan = START + dt.timedelta(seconds=rng.randrange(40)), ["PENDING", "EXTRACTING", "HEARTBEAT", "COMPARING", rng.choice(["DONE", "FAILED"])]
+        if p % 5 == 0:
+            rng.shuffle(plan)
+        for status in plan:
+            at += dt.timedelta(seconds=rng.choice([0, 20, 45, 46]))
+            rows.append((p, rng.randrange(3) if p % 7 else None, status, at))
+    rows = [r for r in rows if r[3] <= START + dt.timedelta(seconds=170)]
+    rows.sort(key=lambda r: r[3])
+    path, folder, states = f"{tmp_path}/in", f"{tmp_path}/q", []
+    for part in (rows[:1200], rows[1200:]):
+        sent = part + part[:100]
+        rng.shuffle(sent)
+        write(spark, sent, STEPS, path)
+        states += started(spark, keyed.watched(stream(spark, STEPS, path), late="4 minutes"), folder)
+    write(spark, [(9999, 1, "PENDING", START + dt.timedelta(hours=2))], STEPS, path)
+    states += started(spark, keyed.watched(stream(spark, STEPS, path), late="4 minutes"), folder)
+    found = [tuple(r) for r in spark.read.parquet(f"{folder}/table").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected_watch([(p, -1 if i is None else i, s, at) for p, i, s, at in rows], 2**62)
+    assert 0 < max(states) < 100
+
+
+def test_alerts_of_actors_in_one_bucket(spark, log, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 1, raising=False)
+    rows = [(i, kind, f"{actor}{n}", entity, at) for n in range(9) for i, kind, actor, entity, at in log]
+    path, folder = f"{tmp_path}/in", f"{tmp_path}/q"
+    write(spark, rows, LOG, path)
+    write(spark, [(6000, "LOGIN_FAILED", "z", None, START + dt.timedelta(days=3))], LOG, path)
+    states = started(spark, keyed.lookback_alerts(stream(spark, LOG, path), RULES, "2 hours"), folder)
+    found = [tuple(r) for r in spark.read.parquet(f"{folder}/table").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected_alerts(rows, RULES, 2**62)
+    assert 0 < max(states) < 20
