@@ -46,10 +46,10 @@ EVENT = {"ms": "long", "event_id": "long", "what": "string"}
 class InOrder(StatefulProcessor):
     """Events (ms, event_id, what) of keys, in order, once the watermark is past them.
 
-    A call of Python for state or a timer costs about as much as a thousand
-    events. So what Spark keeps state by is a bucket of keys: their events wait
-    together, a list of columns for each batch, and so does what is remembered
-    of them. The calls then grow with the buckets, not with the keys.
+    Python's calls for state and timers cost far more than an event. So what
+    Spark keeps state by is a bucket of keys: their events wait together, lists
+    of columns for each batch, and so does what is remembered of them. The calls
+    then grow with the buckets, not with the keys.
 
     A subclass has MEMORY (fields of what a key remembers), TOLD (fields of its
     rows, after the key's), start() (of a new key), step(key, memory, ms, what)
