@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _open: list[list[str]] = []
+#: Where stored() put the tables that are still in use.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -86,11 +89,19 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it cuts the lineage, and lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: it cuts the lineage, and lost executors cost no recomputation. codec: a Parquet codec other than the session's."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes tables as stored() gave them, which nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, _places.pop(df))
 
 
 def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], hot: Column) -> DataFrame:

@@ -10,10 +10,11 @@
    three or more of 32 with 0.9996, and above with more. That is the only place
    where a pair can be missed.
 4. First each class meets the lead of its buckets and a few others: as many
-   pairs as there are classes. That ends the buckets in which all are alike. The
-   classes of the others are dealt in blocks, and each two blocks of a bucket
-   meet as two packed rows, whose links are all that comes out of it. Who meets
-   and agrees is compared shingle by shingle (as 64-bit hashes).
+   pairs as there are classes. That ends the buckets in which all are alike, and
+   those of PIVOTS classes or fewer, all of whose pairs have met. The classes of
+   the others are dealt in blocks, and each two blocks of a bucket meet as two
+   packed rows, whose links are all that comes out of it. Who meets and agrees
+   is compared shingle by shingle (as 64-bit hashes).
 5. Pairs of SIMILARITY and more are links; a group is what links connect.
 
 Of a bucket of many classes that are alike enough to meet and not to be linked
@@ -29,10 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.llm import simhash
-from tallyspark.llm.common import HOT, carried, hot_join, prepare, stored
+from tallyspark.llm.common import HOT, carried, freed, hot_join, prepare, stored
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS, AGREE = 32, 5, 3
@@ -75,7 +75,7 @@ def _sets(batches, at: int, shingle: int):
             pa.array(np.array([simhash._fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
             pa.array([(np.array(x, np.int64) & 0xFFFFFFFF).astype(np.uint32).tobytes() for x in bands], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "key", "n", "fp", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:at], *columns], names=[*b.schema.names[:at], "key", "n", "fp", "bands", "sketch"])
 
 
 def _agree(batches, agree: int, max_bits: int):
@@ -164,7 +164,9 @@ def _links(members: DataFrame, coded: DataFrame, similarity: float) -> DataFrame
     links = stored(both.select("child", "parent", "a", "b").mapInArrow(partial(_verify, similarity=similarity), kind), "copies-links")
     found = stored(simhash.components(links), "copies-found")
 
-    held = stored(named.join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "copies-held")
+    # All of a bucket no larger than the pivots have met.
+    held = stored(named.where(F.col("many") > PIVOTS).join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "copies-held")
+    freed(sizes, named, found)
     apart = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     left = held.join(apart, "bucket", "left_semi").join(coded, "vertex").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
@@ -174,40 +176,51 @@ def _links(members: DataFrame, coded: DataFrame, similarity: float) -> DataFrame
     two = packed.select(F.col("bucket").alias("_b"), F.col("block").alias("_j"), F.col("rows").alias("y"))
     blocks = one.join(two, (F.col("bucket") == F.col("_b")) & (F.col("j") == F.col("_j"))).select("band", (F.col("i") == F.col("j")).alias("alone"), "x", "y")
     more = blocks.mapInArrow(partial(_meet, agree=AGREE, max_bits=simhash.MAX_BITS, similarity=similarity), kind)
-    return stored(simhash.components(links.unionByName(more)), "copies-found")
+    out = stored(simhash.components(links.unionByName(more)), "copies-found")
+    freed(links, held, packed)
+    return out
 
 
-def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list]:
-    """Stored rows of docs (row: a number of their own; id, whole, text, key); for each key its rows, and the first row (id, row) of its group; and what selects docs' columns back."""
+def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """Stored rows of docs (row: a number of their own; id, whole, text) and their keys (id, key); for each key its rows, and the first row (id, row) of its group; and what selects docs' columns back.
+
+    The texts are stored once, and what a step has used up is deleted: disk holds the texts and one step's tables.
+    """
     prepare(docs.sparkSession)
     whole, back = carried(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), whole, "text")
-    kind = T.StructType([*rows.schema.fields, *T._parse_datatype_string("key string, n long, fp long, bands array<long>, sketch binary").fields])
     # Written once, so that a row's number stays what it is.
-    sets = stored(rows.mapInArrow(partial(_sets, at=3, shingle=shingle), kind), "copies-sets")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), whole, "text"), "copies-rows", "zstd")
+    kind = "row long, id long, key string, n long, fp long, bands array<long>, sketch binary"
+    sets = stored(rows.select("row", "id", "text").mapInArrow(partial(_sets, at=2, shingle=shingle), kind), "copies-sets")
     classes = sets.where("id is not null").groupBy("key").agg(
         F.min("row").alias("vertex"), F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")
     )
-    classes = stored(classes, "copies-classes")
+    classes, keys = stored(classes, "copies-classes"), stored(sets.select("id", "key"), "copies-keys")
+    freed(sets)
+    firsts = stored(classes.select("key", "vertex", "first", "rows"), "copies-firsts")
     worded = classes.where("n > 0")  # the class of no words has no links
 
     prints = simhash.components(simhash.links(worded.select("fp", F.col("fp").alias("vertex")).distinct()))
-    close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", "n", F.lit(BANDS).alias("band"), F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
-    members = stored(close.unionByName(worded.select("vertex", "n", F.posexplode("bands").alias("band", "bucket"))), "copies-members")
-    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "copies-shared")
+    close = worded.join(prints.withColumnRenamed("vertex", "fp"), "fp", "left").select("vertex", F.lit(BANDS).alias("band"), F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("bucket"))
+    every = stored(close.unionByName(worded.select("vertex", F.posexplode("bands").alias("band", "bucket"))), "copies-members")
+    shared = stored(every.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1"), "copies-shared")
     hot = F.col("many") > shared.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0] / HOT
-    members = stored(hot_join(members, shared, ["bucket"], hot), "copies-met")
+    met = stored(hot_join(every, shared, ["bucket"], hot), "copies-met")
+    freed(every, shared)
     # How many a class shares its buckets with.
-    weights = members.groupBy("vertex").agg(F.sum("many").alias("weight"))
-    members = stored(members.drop("many").join(weights.join(worded.select("vertex", "fp", "sketch"), "vertex"), "vertex"), "copies-weighed")
-    texts = sets.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex").select("vertex", "text")
+    weights = met.groupBy("vertex").agg(F.sum("many").alias("weight"))
+    members = stored(met.drop("many").join(weights.join(worded.select("vertex", "n", "fp", "sketch"), "vertex"), "vertex"), "copies-weighed")
+    freed(met, classes)
+    texts = rows.select(F.col("row").alias("vertex"), "text").join(members.select("vertex").distinct(), "vertex").select("vertex", "text")
     coded = stored(texts.mapInArrow(partial(_coded, shingle=shingle), "vertex long, codes binary"), "copies-codes")
 
     found = _links(members, coded, similarity)
-    labels = classes.join(found, "vertex", "left").select("key", "rows", "first", F.coalesce("component", "vertex").alias("component"))
+    freed(members, coded)
+    labels = firsts.join(found, "vertex", "left").select("key", "rows", "first", F.coalesce("component", "vertex").alias("component"))
     least = labels.groupBy("component").agg(F.min("first").alias("first"))
     labels = stored(labels.drop("first").join(least, "component").drop("component"), "copies-labels")
-    return sets.drop("n", "fp", "bands", "sketch"), labels, back
+    freed(firsts, found)
+    return rows, keys, labels, back
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -217,14 +230,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     a doc_id keep a row each, and each is in the group of its own text. Rows
     without a doc_id get a null component. Extra columns are ignored.
     """
-    rows, labels, _ = _grouped(docs.select("doc_id", "text"), shingle, similarity)
-    named, hot = rows.where("id is not null").select("id", "key"), F.col("rows") > rows.count() / HOT
+    rows, keys, labels, _ = _grouped(docs.select("doc_id", "text"), shingle, similarity)
+    freed(rows)
+    named, hot = keys.where("id is not null"), F.col("rows") > keys.count() / HOT
     with_id = hot_join(named, labels, ["key"], hot).select(F.col("id").alias("doc_id"), F.col("first.id").alias("component_id"))
-    return with_id.unionByName(rows.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("component_id")))
+    return with_id.unionByName(keys.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group of near copies: the one of the smallest doc_id, and one of several rows that have it. Rows without a doc_id all stay."""
-    rows, labels, back = _grouped(docs, shingle, similarity)
+    rows, keys, labels, back = _grouped(docs, shingle, similarity)
+    freed(keys)
     gone = rows.where("id is not null").select("row").join(labels.select(F.col("first.row").alias("row")).distinct(), "row", "left_anti")
     return rows.join(gone, "row", "left_anti").select(*back)

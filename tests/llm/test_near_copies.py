@@ -1,7 +1,8 @@
+import os
 import random
 
 import corpus_pipeline
-from tallyspark.llm import near_copies
+from tallyspark.llm import common, near_copies
 
 
 def shingles(text):
@@ -91,6 +92,25 @@ def test_a_bucket_of_many_classes_that_are_not_similar(spark, monkeypatch):
     assert got == tops(docs, pairs)
 
 
+def test_disk_holds_the_texts_and_what_is_still_read(spark, monkeypatch):
+    """What a step has used up goes, and buckets that the pivots cover aren't packed with their shingles again."""
+    docs, pairs = planted()
+    rows, kept = {}, common.stored
+
+    def stored(df, name, *more):
+        rows[name] = (out := kept(df, name, *more)).count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", stored)
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = near_copies.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    left = {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before}
+    assert rows["copies-named"] > 0 and rows["copies-blocks"] == 0
+    assert {name for name in left if name.startswith("copies-")} == {"copies-rows", "copies-labels"}
+    assert {r.doc_id for r in out.collect()} == set(tops(docs, pairs).values())
+
+
 def test_pipeline_stages_on_planted_copies(spark, tmp_path):
     """All stages: of each group that brute force finds, the document of the smallest id is packed and no other."""
     docs, pairs = planted()
